@@ -64,3 +64,10 @@ def text_of(column: str | Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of ids that no classifier may learn from (crc32 of the id as text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep Arrow batches of whole texts small: long texts, not row counts, fill a Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))

@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from ._common import table
 from .exact_dedup import exact_dedup
+from .mixing import mix_sources
+from .packing import pack_documents
 from .sharding import histogram_shards
+from .warc import round_trip
+
+
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return round_trip(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,12 +23,29 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return histogram_shards(docs, 8, carry=False).select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int"), F.col("slot").cast("long"), "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_histogram_shards)}
+def word_bpe() -> str:
+    """The word BPE vocabulary of the contract; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, word_bpe()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op2_exact_dedup, op3_cube_mixing, op8_histogram_shards, op10_ffd_packing)}
 
 SQL = {
     "op2_exact_dedup": r"""
