@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
+from .embedding_dedup import embedding_duplicates
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -34,6 +35,11 @@ def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embedding_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return histogram_shards(docs, 8, carry=False).select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int"), F.col("slot").cast("long"), "grown_shard")
@@ -51,7 +57,7 @@ def op10_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, word_bpe()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op2_exact_dedup, op3_cube_mixing, op6_hyperminhash, op8_histogram_shards, op10_ffd_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op2_exact_dedup, op3_cube_mixing, op6_hyperminhash, op7_hnsw_shards, op8_histogram_shards, op10_ffd_packing)}
 
 SQL = {
     "op2_exact_dedup": r"""
