@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -18,37 +19,64 @@ GROUP = 8192
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class ChunkEncoder:
-    """Token ids of whole texts, each distinct chunk between spaces or line feeds encoded once.
+#: Texts of these characters alone are split here; any other text goes to the tokenizer whole.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00fe\u0153"
+_PLAIN = re.compile("[ \\t\\n\\r\\x21-\\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00fe\u0152\u0153\u2013\u2014\u2018-\u201f\u2026\u20ac]*")
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \\t\\n\\r0-9{_LETTERS}]+")
 
-    Right for tokenizers that drop white space before anything else looks at more than one chunk, as
-    the word BPE vocabulary does; the tests hold it against encoding whole texts. Chunks longer than
-    ``longest`` characters are encoded without being remembered, and the memory is emptied at ``most`` entries.
+
+def _byte_letters() -> dict[int, str]:
+    """The visible letter that byte-level vocabularies write for each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordEncoder:
+    """Token ids of whole texts, each distinct word put through the tokenizer's model once.
+
+    Holds for lower-casing word BPE vocabularies that split at white space, letters, single digits and
+    the rest. Words are remembered up to ``most``; a text with any character outside the plain set, or with the mark of a
+    special token, is encoded whole by the tokenizer. The tests hold both ways against it.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model  # the pipeline around it is what _WORD and lower() stand for
+        self.letters = _byte_letters()
         self.known: dict[str, tuple[int, ...]] = {}
-        self.most, self.longest = most, longest
+        self.most = most
+
+    def _learn(self, words: list[str]) -> None:
+        known, letters, model = self.known, self.letters, self.model
+        for w in words:
+            if w not in known:
+                shown = w if w.isascii() else "".join([letters[b] for b in w.encode()])
+                known[w] = tuple([t.id for t in model.tokenize(shown)])
 
     def ids(self, text: str) -> np.ndarray:
-        chunks = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for at in range(0, len(new), 512):
-                part = new[at : at + 512]
-                known.update(zip(part, (tuple(x.ids) for x in self.encode.encode_batch(part, add_special_tokens=False)), strict=True))
-        out = np.fromiter(chain.from_iterable(map(known.__getitem__, chunks)), dtype="<u4")
-        for c in new:
-            if len(c) > self.longest:
-                del known[c]
-        return out
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        words = _WORD.findall(text.lower())
+        if len(self.known) > self.most:
+            self.known.clear()
+        try:
+            return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), dtype="<u4")
+        except KeyError:
+            self._learn(words)
+            return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), dtype="<u4")
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each Python worker, so that its tasks share what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
@@ -61,11 +89,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     names = [x.split()[0] for x in schema.split(", ")]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder(tokenizer)
+        encode = encoder(tokenizer).ids
         for batch in batches:
             rows, held = [], 0
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(encoder.ids(text), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), length):
                     raw = ids[start : start + length].tobytes()
                     rows.append((doc_id, start, len(raw) // 4, zlib.crc32(raw), len(ids), *([raw] if with_ids else [])))
