@@ -146,7 +146,10 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     marked = keyed.join(keepers, "key", "left").drop("key")
     revisits = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.octet_length("payload") >= min_revisit_bytes)
     marked = marked.withColumn("revisit", F.coalesce(revisits, F.lit(False)))
-    sample = rows.where(F.octet_length("payload") <= 65_536).orderBy(F.xxhash64("page_id", F.octet_length("payload")), "page_id").limit(dictionary_records).collect()
+    order = F.xxhash64("page_id", F.octet_length("payload"))
+    fit = rows.where(F.octet_length("payload") <= 65_536)
+    picked = [r[0] for r in fit.select(order.alias("o")).orderBy("o").limit(dictionary_records).collect()]
+    sample = fit.where(order.isin(picked)).limit(4 * dictionary_records).collect() if picked else []
     records = [record_bytes(r.page_id, r.url, bytes(r.payload), payload_digest(bytes(r.payload)), False, None) for r in sample]
     dictionary = spark.sparkContext.broadcast(train_dictionary(records, dictionary_bytes))
 
