@@ -11,7 +11,10 @@ from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .pii import find_personal_data
+from .quality import fit_quality, score_quality
 from .sharding import histogram_shards
+from .toxicity import fit_toxicity, score_toxicity
 from .warc import round_trip
 
 
@@ -30,6 +33,17 @@ def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, machine).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_personal_data(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
@@ -45,6 +59,12 @@ def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(docs, 8, carry=False).select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int"), F.col("slot").cast("long"), "grown_shard")
 
 
+def op9_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "text_score", "meta_score", "score", "predicted", (F.col("predicted") == 1).alias("kept"))
+
+
 def word_bpe() -> str:
     """The word BPE vocabulary of the contract; the operator takes any path."""
     import public_tokenizers
@@ -57,7 +77,7 @@ def op10_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, word_bpe()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op2_exact_dedup, op3_cube_mixing, op6_hyperminhash, op7_hnsw_shards, op8_histogram_shards, op10_ffd_packing)}
+QUERIES = {f.__name__: f for f in (op1_warc_dictionary, op2_exact_dedup, op3_cube_mixing, op4_toxicity, op5_weak_supervision_pii, op6_hyperminhash, op7_hnsw_shards, op8_histogram_shards, op9_co_training, op10_ffd_packing)}
 
 SQL = {
     "op2_exact_dedup": r"""
