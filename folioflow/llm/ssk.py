@@ -67,7 +67,7 @@ def dense(words: list[str]) -> np.ndarray:
 
 def project(words: list[str], table: np.ndarray, chunk: int = 1024) -> np.ndarray:
     """Normalised kernel of each word with the columns of ``table`` (DIM x m): K(w, column) / sqrt(K(w, w))."""
-    out = []
+    out, chunk = [], max(32, chunk // max(1, table.shape[1] // 8))
     for a in range(0, len(words), chunk):
         f, w = occurrences(words[a : a + chunk])
         norm = np.sqrt(np.maximum(self_kernel(f, w), 1e-12))

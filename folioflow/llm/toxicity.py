@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,7 +56,7 @@ class Machine:
 
 def _svm(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
     """Linear SVM with squared hinge: row i is a positive with weight pos[i] and a negative with neg[i]."""
-    x = np.column_stack([x, np.ones(len(x))])
+    x = np.column_stack([x, np.ones(len(x), dtype=x.dtype)])
     w = np.zeros(x.shape[1])
     reg = np.full(len(w), ridge)
     reg[-1] = 1e-3
@@ -85,27 +84,26 @@ def _platt(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = 160, rounds: int = 3, seed: int = 3) -> Machine:
+def train(texts: list[str], labels: list[int], landmarks: int = 128, instances: int = 60_000, rounds: int = 3) -> Machine:
     """Train on documents' sentences, each with its document's label.
 
     A sentence is a bag of words and its value that of its strongest word. Landmarks are the words that
     speak most for either label and are unlike each other, filled up with common ones. All
     sentences of a negative document are negative. A positive one at first lends its label to all its sentences through the words that
-    its label favours; then, in each round, to those whose strongest word the last machine put above -0.5.
+    its label favours; then, in each round, to those whose strongest word the last machine put above -0.5. At most ``instances`` distinct words (the most
+    frequent) are rows of the machine; calibration looks at all.
     """
-    rng = np.random.default_rng(seed)
-    bags = [[{w.strip(TRIM)[: ssk.LONGEST] for w in words(s)} - {""} for s in sentences(t)] for t in texts]
-    docs = [set().union(*b) if b else set() for b in bags]
-    y = np.array(labels)
-    pos, neg = Counter(), Counter()
+    where: dict[str, int] = {}
+    bags = [[np.array(sorted({where.setdefault(w, len(where)) for w in (x.strip(TRIM)[: ssk.LONGEST] for x in words(s)) if w}), dtype=np.int32) for s in sentences(t)] for t in texts]
+    docs = [np.unique(np.concatenate(b)) if b else np.empty(0, np.int32) for b in bags]
+    y, vocabulary = np.array(labels), list(where)
+    cp, cn = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
     for d, label in zip(docs, y, strict=True):
-        (pos if label else neg).update(d)
+        (cp if label else cn)[d] += 1
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    vocabulary = sorted(set(pos) | set(neg))
-    if not vocabulary or not pos or not neg:
+    if not vocabulary or not cp.any() or not cn.any():
         prior = float(np.clip((y.sum() + 1) / (len(y) + 2), 0.01, 0.99))
         return Machine(np.zeros(ssk.DIM), 0.0, 1.0, float(np.log(prior / (1 - prior))))
-    cp, cn = np.array([pos[w] for w in vocabulary], float), np.array([neg[w] for w in vocabulary], float)
     odds = np.log((cp + 0.5) / n1) - np.log((cn + 0.5) / n0)
     order = np.lexsort((vocabulary, -odds * np.sqrt(np.minimum(cp, 50))))
     common = np.lexsort((vocabulary, -cn))
@@ -128,19 +126,20 @@ def train(texts: list[str], labels: list[int], landmarks: int = 160, rounds: int
     values, vectors = np.linalg.eigh(gram)
     keep = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, keep] / np.sqrt(values[keep])
-    kernel = np.concatenate([ssk.project(vocabulary[a : a + 512], np.ascontiguousarray(mark.T)) for a in range(0, len(vocabulary), 512)])
-    z = kernel @ root
-    where = {w: i for i, w in enumerate(vocabulary)}
-    counted = [[np.array(sorted(where[w] for w in s), dtype=int) for s in b] for b in bags]
-    np_, nn = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+    rows = np.sort(np.lexsort((vocabulary, -(cp + cn)))[:instances])
+    z = np.concatenate([(ssk.project([vocabulary[i] for i in rows[a : a + 1024]], np.ascontiguousarray(mark.T)) @ root).astype(np.float32) for a in range(0, len(rows), 1024)])
+    place = np.full(len(vocabulary), -1)
+    place[rows] = np.arange(len(rows))
+    counted = [[q[q >= 0] for q in (place[s] for s in b)] for b in bags]
+    np_, nn = np.zeros(len(rows)), np.zeros(len(rows))
     for b, label in zip(counted, y, strict=True):
         for s in b:
             (np_ if label else nn)[s] += 1
-    np_ *= odds > np.log(2)  # a witness is at least twice as frequent under the label
+    np_ *= odds[rows] > np.log(2)  # a witness is at least twice as frequent under the label
     f = None
     for _ in range(rounds):
         if f is not None:
-            np_ = np.zeros(len(vocabulary))
+            np_ = np.zeros(len(rows))
             for b, label in zip(counted, y, strict=True):
                 if label:
                     for s in b:
@@ -153,9 +152,9 @@ def train(texts: list[str], labels: list[int], landmarks: int = 160, rounds: int
     alpha = root @ w[:-1]
     weight = mark.T.astype(np.float64) @ alpha
     weight[0] = 0.0
-    top = np.array([f[[where[x] for x in d]].max() if d else w[-1] for d in docs])
-    fit = rng.permutation(len(top))
-    slope, offset = _platt(top[fit], y[fit])
+    value = ssk.project(vocabulary, weight[:, None])[:, 0] + w[-1]
+    top = np.array([value[d].max() if len(d) else w[-1] for d in docs])
+    slope, offset = _platt(top, y)
     return Machine(weight, float(w[-1]), slope, offset)
 
 
