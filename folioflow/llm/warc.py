@@ -88,7 +88,7 @@ class ArchiveWriter:
         self.fs, root = open_store(folder)
         self.fs.create_dir(root, recursive=True)
         self.name = f"{uuid.uuid4().hex}.warc.zst"
-        self.out = self.fs.open_output_stream(f"{root}/{self.name}")
+        self.out = self.fs.open_output_stream(f"{root}/{self.name}", compression=None)
         frame = zstandard.ZstdCompressor(level=level).compress(dictionary)
         self.out.write(struct.pack("<II", SKIPPABLE, len(frame)) + frame)
         kind = zstandard.DICT_TYPE_FULLDICT if dictionary[:4] == DICTIONARY else zstandard.DICT_TYPE_RAWCONTENT
@@ -108,7 +108,7 @@ class ArchiveWriter:
 def read_archive(path: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The raw records of an archive, one at a time; memory is bounded by a chunk and the largest record."""
     fs, root = open_store(path)
-    with fs.open_input_stream(root) as src:
+    with fs.open_input_stream(root, compression=None) as src:
         magic, size = struct.unpack("<II", src.read(8))
         if magic != SKIPPABLE:
             raise ValueError(f"{path} does not begin with a dictionary frame")
