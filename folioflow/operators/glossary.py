@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .pages import kept
 
 #: Separators in the order in which they are tried, and words for "leave as it is".
 SEPARATORS = ("=>", "＝>", "->", "→", "::", "＝", "=")
@@ -81,8 +82,8 @@ def route(texts: DataFrame, entries: list[tuple[str, str, bool]], column: str =
 def translate(texts: DataFrame, entries: list[tuple[str, str, bool]], engine: Callable[[list[str]], list[str | None]], column: str = "src", engine_name: str = "engine", batch: int = 24, cache: DataFrame | None = None) -> DataFrame:
     """Every row with ``dst, engine, warn``: distinct trimmed texts are routed, sent in batches of ``batch``, finished and joined back.
 
-    ``engine`` is any function from masked texts to translations (an adapter or a fake). It runs on executors and may be called again after a
-    lost task, so it should be idempotent. ``cache`` (``raw, dst, engine, warn``) settles texts before any engine sees them.
+    ``engine`` is any function from masked texts to translations (an adapter or a fake). Its answers are checkpointed, so nothing
+    downstream asks again; it runs on executors and may be called again after a lost task, so it should be idempotent. ``cache`` (``raw, dst, engine, warn``) settles texts before any engine sees them.
     """
     keyed = texts.withColumn("_raw", F.trim(F.coalesce(F.col(column), F.lit(""))))
     distinct = keyed.select(F.col("_raw").alias("raw")).distinct()
@@ -104,7 +105,7 @@ def translate(texts: DataFrame, entries: list[tuple[str, str, bool]], engine: Ca
             yield frame.assign(reply=out)
 
     schema = "raw string, payload string, codes array<string>, reply string"
-    answered = routed.where("route = 'send'").select("raw", "payload", "codes").mapInPandas(send, schema)
+    answered = kept(routed.where("route = 'send'").select("raw", "payload", "codes").mapInPandas(send, schema))
     restored = answered.withColumn("_r", T.restore_codes(F.col("reply"), F.col("codes")))
     lost = T.lost_codes(F.col("_r"), F.col("codes"))
     warn = F.when(F.col("reply").isNull() | (F.trim(F.coalesce(F.col("reply"), F.lit(""))) == ""), "empty reply").when(F.size(lost) > 0, F.concat(F.lit("lost: "), F.array_join(lost, ", "))).otherwise("")

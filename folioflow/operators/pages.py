@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +12,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed: computed once and cut off from its lineage.
+
+    The folder is the session's ``spark.checkpoint.dir``; only a session without one (tests) gets its own.
+    """
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-"))
+    return df.checkpoint()
+
+
 def per_page(df: DataFrame, columns: tuple[str, ...], order: tuple[str, ...], work: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
     """``work`` on the rows of each page, sorted by ``order``; its rows get the page back as ``page``.
 

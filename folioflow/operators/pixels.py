@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pages import kept
+
 
 def to_gray(pixels: DataFrame) -> DataFrame:
     """Luminance, rounded half to even."""
@@ -116,21 +118,16 @@ def components(mask: DataFrame, reach: int = 1, rounds: int = 64) -> DataFrame:
     Runs take the least label among their neighbours and jump to their label's label until nothing
     changes, so rounds grow with the logarithm of a component's height; each is checkpointed.
     """
-    spark = mask.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-pixels-"))
     key = lambda y, x: F.col(y).cast("long") * (1 << 31) + F.col(x)
-    r = runs(mask).withColumn("id", key("y", "x0")).checkpoint()
+    r = kept(runs(mask).withColumn("id", key("y", "x0")))
     e = run_edges(r, reach).select("page", key("ya", "a0").alias("u"), key("yb", "b0").alias("v"))
-    e = e.unionByName(e.select("page", F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
+    e = kept(e.unionByName(e.select("page", F.col("v").alias("u"), F.col("u").alias("v"))))
     label = r.select("page", "id", F.col("id").alias("root"))
     for _ in range(rounds):
         near = e.join(label, (e["page"] == label["page"]) & (e["v"] == label["id"])).groupBy(e["page"], F.col("u").alias("id")).agg(F.min("root").alias("least"))
         after = label.join(near, ["page", "id"], "left").select("page", "id", F.col("root").alias("was"), F.least("root", "least").alias("root"))
         jump = after.select("page", F.col("id").alias("root"), F.col("root").alias("next"))
-        after = after.join(jump, ["page", "root"]).select("page", "id", "was", F.least("root", "next").alias("root")).checkpoint()
+        after = kept(after.join(jump, ["page", "root"]).select("page", "id", "was", F.least("root", "next").alias("root")))
         label = after.select("page", "id", "root")
         if after.where("was <> root").isEmpty():
             break
