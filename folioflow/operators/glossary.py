@@ -71,7 +71,9 @@ def route(texts: DataFrame, entries: list[tuple[str, str, bool]], column: str =
     In order: blank, mostly Han, dictionary mode, wholly covered by the glossary, nothing left to translate once codes are masked; else send.
     """
     raw = F.coalesce(F.col(column), F.lit(""))
-    rows = texts.withColumn("_g", apply_glossary(raw, entries)).withColumn("codes", T.codes(raw)).withColumn("payload", T.mask_codes(raw))
+    may = raw.rlike("[0-9]|PMS|[A-Z0-9]-[A-Z0-9]")  # no code without a digit, a colour name or a hyphenated id
+    codes, payload = F.when(may, T.codes(raw)).otherwise(F.array().cast("array<string>")), F.when(may, T.mask_codes(raw)).otherwise(raw)
+    rows = texts.withColumn("_g", apply_glossary(raw, entries)).withColumn("codes", codes).withColumn("payload", payload)
     covered = (F.col("_g") != raw) & ~F.col("_g").rlike("[A-Za-z]")
     way = F.when(F.trim(raw) == "", "blank").when(T.is_mostly_han(raw), "han").when(F.lit(dictionary_only), "dict").when(covered, "glossary").when(~F.col("payload").rlike("[A-Za-z]"), "codes").otherwise("send")
     rows = rows.withColumn("route", way)
@@ -86,12 +88,14 @@ def translate(texts: DataFrame, entries: list[tuple[str, str, bool]], engine: Ca
     downstream asks again; it runs on executors and may be called again after a lost task, so it should be idempotent. ``cache`` (``raw, dst, engine, warn``) settles texts before any engine sees them.
     """
     keyed = texts.withColumn("_raw", F.trim(F.coalesce(F.col(column), F.lit(""))))
-    distinct = keyed.select(F.col("_raw").alias("raw")).distinct()
+    spark = texts.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # stated: patterns cost more than bytes
+    distinct = keyed.select(F.col("_raw").alias("raw")).repartition(n, "raw").distinct()
     known = None
     if cache is not None:
         known = distinct.join(cache, "raw").select("raw", "dst", "engine", "warn")
         distinct = distinct.join(cache.select("raw"), "raw", "left_anti")
-    routed = route(distinct, entries, "raw")
+    routed = kept(route(distinct, entries, "raw").select("raw", "route", "dst", "payload", "codes"))
     settled = routed.where("route <> 'send'").select("raw", "dst", F.when(F.col("route").isin("dict", "glossary"), "glossary").otherwise("skip").alias("engine"), F.lit("").alias("warn"))
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,13 +15,16 @@ def is_wide(c: str) -> bool:
 
 
 def measure(text: str, size: float, spacing: float = 0.0) -> float:
-    return sum(size if is_wide(c) else 0.55 * size for c in text) + spacing * size * max(0, len(text) - 1)
+    wide = 0 if text.isascii() else sum(map(is_wide, text))
+    return size * (0.45 * wide + 0.55 * len(text)) + spacing * size * max(0, len(text) - 1)
 
 
 def wrap(text: str, width: float, size: float, spacing: float = 0.0) -> list[str]:
     """Greedy wrapping by character; a closing sign is pulled up, an opening one pushed down, a blank at a break dropped."""
     if not text or not width > 0:
         return [text] if text else []
+    if measure(text, size, spacing) <= width:
+        return [text]
     lines, line = [], ""
     for c in text:
         if not line or measure(line + c, size, spacing) <= width:
