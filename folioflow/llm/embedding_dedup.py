@@ -103,7 +103,8 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     dealt = classes.withColumn("dim", F.size("__v")).join(per, ["__l", "dim"]).withColumn("shard", F.pmod(F.xxhash64("cid"), "shards").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("i", F.least("shard", "other")).withColumn("j", F.greatest("shard", "other"))
     tasks = dealt.select("__l", "dim", "i", "j", "shard", "cid", "copies", F.col("__v").alias("embedding"))
-    found = written(tasks.groupBy("__l", "dim", "i", "j").applyInPandas(_links(threshold, recall), "cid long, links long, root long"), "vec-links")
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that few bytes with much work are not folded together
+    found = written(tasks.repartition(n, "__l", "dim", "i", "j").groupBy("__l", "dim", "i", "j").applyInPandas(_links(threshold, recall), "cid long, links long, root long"), "vec-links")
     linked = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     known = classes.join(counts, "cid", "left").join(linked.withColumnRenamed("id", "cid"), "cid", "left").select("__l", "__v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
