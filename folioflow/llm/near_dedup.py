@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -60,26 +61,39 @@ def _verified(percent: int, width: int):
     return run
 
 
-def _open_pairs(part: pd.DataFrame, key: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a task's members that sit in different components and may reach the threshold."""
-    regs, comp, block, ids = _registers(part["regs"]), part["comp"].to_numpy(), part["blk"].to_numpy(), part["cid"].to_numpy()
-    _, i, j = key
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+def _open_pairs(hub: int, i: int, j: int, regs: np.ndarray, comp: np.ndarray, block: np.ndarray, ids: np.ndarray, threshold: float) -> np.ndarray:
+    """Index pairs of a task's members that sit in different components and may reach the threshold; pairs with the hub are known."""
+    left, right = np.flatnonzero((block == i) & (ids != hub)), np.flatnonzero((block == j) & (ids != hub))
     found = []
     for x in left:
         y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) if i == j else True)]
         if len(y):
             y = y[possible(*estimate(regs[x][None], regs[y]), threshold)]
             found.append(np.column_stack([np.full(len(y), x), y]))
-    pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=int)
-    return pairs[:, 0], pairs[:, 1]
+    return np.concatenate(found) if found else np.empty((0, 2), dtype=int)
 
 
 def _doubtful(threshold: float):
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x, y = _open_pairs(part, key, threshold)
-        rows = np.unique(np.concatenate([x, y]))
-        return part.iloc[rows][["hub", "i", "j", "cid", "comp", "blk", "regs"]]
+    """Over rows sorted by task, a batch holding many small tasks: the members that have a possible partner."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in chain(batches, [None]):
+            last = b is None
+            b = rest if last else b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if b is None or not len(b):
+                continue
+            key = b[["hub", "i", "j"]].to_numpy()
+            first = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(b)]])
+            if not last:
+                rest, first = b.iloc[first[-2] :], first[:-1]
+            regs, comp, block, ids = _registers(b["regs"]), b["comp"].to_numpy(), b["blk"].to_numpy(), b["cid"].to_numpy()
+            kept = []
+            for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                if (comp[s:e] != comp[s]).any():
+                    kept.append(s + np.unique(_open_pairs(*key[s].tolist(), regs[s:e], comp[s:e], block[s:e], ids[s:e], threshold)))
+            if kept:
+                yield b.iloc[np.concatenate(kept)][["hub", "i", "j", "cid", "comp", "blk", "regs"]]
 
     return run
 
@@ -87,7 +101,7 @@ def _doubtful(threshold: float):
 def _forest(threshold: float, percent: int, width: int):
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates(["cid", "text"]).reset_index(drop=True)
-        x, y = _open_pairs(part, key, threshold)
+        pairs = _open_pairs(*map(int, key), _registers(part["regs"]), part["comp"].to_numpy(), part["blk"].to_numpy(), part["cid"].to_numpy(), threshold)
         sets = [shingles(t, width) for t in part["text"]]
         comp, ids, root, out = part["comp"].tolist(), part["cid"].tolist(), {}, []
 
@@ -97,7 +111,7 @@ def _forest(threshold: float, percent: int, width: int):
                 c = root[c]
             return c
 
-        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        for a, b in pairs.tolist():
             ra, rb = find(comp[a]), find(comp[b])
             if ra != rb:
                 both, union = jaccard_counts(sets[a], sets[b])
@@ -158,8 +172,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_members = written(members.join(open_hubs, "hub").withColumn("blk", F.pmod(F.xxhash64("cid"), "blocks").cast("int")), "near-open")
     dealt = open_members.join(regs, "cid").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
     fields = "hub long, i int, j int, cid long, comp long, blk int, regs binary"
-    doubtful = written(dealt.select(*[f.split()[0] for f in fields.split(", ")]).groupBy("hub", "i", "j").applyInPandas(_doubtful(threshold), fields), "near-doubtful")
-    more = written(doubtful.join(mine, "cid").groupBy("hub", "i", "j").applyInPandas(_forest(threshold, percent, width), "hub long, cid long"), "near-more")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select(*[f.split()[0] for f in fields.split(", ")]).repartition(tasks, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    doubtful = written(dealt.mapInPandas(_doubtful(threshold), fields), "near-doubtful")
+    more = written(doubtful.join(mine, "cid").repartition(tasks, "hub", "i", "j").groupBy("hub", "i", "j").applyInPandas(_forest(threshold, percent, width), "hub long, cid long"), "near-more")
     if not more.isEmpty():
         linked = written(components(links.unionByName(more).toDF("u", "v")), "near-linked")
 
