@@ -132,10 +132,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     3. In each band's bucket the most central member (the one whose buckets are largest) is the hub and every
        member is paired with it: rows, not squares. Pairs pass a size test and the collision-corrected
        estimate (six deviations of slack), and are then verified on the sets of their whole texts.
-    4. Members of one hub's group that are still in different components are compared in blocks of ``BLOCK``
-       inside tasks: first by registers, then those with a possible partner by their whole sets. Only links
-       that join components leave a task. This finds what the hubs did not; its work is quadratic only in members that
-       look alike and yet are not connected, and no cap or sample limits it.
+    4. Members of a hub's group (the hub itself is done) that are not in the hub's component meet, in blocks of ``BLOCK`` inside tasks, each
+       other and the members that are: first by registers, then those with a possible partner by their whole sets. Only links
+       that join components leave a task. This finds what the hubs did not, with no cap or sample; its work is the
+       group's size times its unconnected members, so quadratic only in texts that look alike and yet are not linked.
     5. Links are unioned by large-star and small-star rounds.
 
     Hashes of shingles have 64 bits and class keys 128, so equality on sets errs with a chance far below 1e-9 a table.
@@ -166,11 +166,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(likely.join(mine, "cid").join(theirs, "hub").select("hub", "cid", "hub_text", "text").mapInPandas(_verified(percent, width), "hub long, cid long"), "near-links")
     linked = written(components(links.toDF("u", "v")), "near-linked")
 
-    members = star.unionByName(star.select("hub", F.col("hub").alias("cid")).distinct())
-    members = members.join(linked.withColumnRenamed("id", "cid"), "cid", "left").select("hub", "cid", F.coalesce("component", "cid").alias("comp"))
-    open_hubs = members.groupBy("hub").agg(F.count("*").alias("m"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("m > 2 and a <> b").select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    open_members = written(members.join(open_hubs, "hub").withColumn("blk", F.pmod(F.xxhash64("cid"), "blocks").cast("int")), "near-open")
-    dealt = open_members.join(regs, "cid").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
+    comps = lambda name, comp: linked.toDF(name, comp)
+    members = written(star.join(comps("cid", "comp"), "cid", "left").join(comps("hub", "hub_comp"), "hub", "left").select("hub", "cid", F.coalesce("comp", "cid").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp")), "near-members")
+    sides = members.select("hub", "cid", "comp", (F.col("comp") != F.col("hub_comp")).alias("apart"))
+    open_hubs = sides.groupBy("hub").agg(F.count_if("apart").alias("a"), F.count_if(~F.col("apart")).alias("m")).where("a > 0 and a + m > 1")
+    open_hubs = written(open_hubs.select("hub", F.ceil(F.col("a") / BLOCK).cast("int").alias("ab"), F.ceil(F.col("m") / BLOCK).cast("int").alias("mb")), "near-open-hubs")
+    block = F.when(F.col("apart"), F.pmod(F.xxhash64("cid"), "ab")).otherwise(F.col("ab") + F.pmod(F.xxhash64("cid"), "mb")).cast("int")
+    open_members = written(sides.join(open_hubs, "hub").withColumn("blk", block), "near-open")
+    meets = F.sequence(F.lit(0), F.when(F.col("apart"), F.col("ab") + F.col("mb")).otherwise(F.col("ab")) - 1)
+    dealt = open_members.join(regs, "cid").withColumn("o", F.explode(meets)).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
     fields = "hub long, i int, j int, cid long, comp long, blk int, regs binary"
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.select(*[f.split()[0] for f in fields.split(", ")]).repartition(tasks, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")

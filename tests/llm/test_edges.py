@@ -119,8 +119,10 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(map(tuple, got)) == want
 
 
-def test_dense_near_group(spark):
-    """Copies that only a hub, or another copy, connects."""
+@pytest.mark.parametrize("block", [512, 16])
+def test_dense_near_group(spark, monkeypatch, block):
+    """Copies that only a hub, or another copy, connects; in one task or in many."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(8)
     base, rows = prose(77, 160).split(), []
     for i in range(150):
