@@ -19,7 +19,7 @@ ADDED = ("held_out", "text_score", "meta_score", "score", "predicted", "kept_qua
 
 class _Slots(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = slot = xxhash.xxh32_intdigest(word.encode()) % WORDS
         return slot
