@@ -141,3 +141,40 @@ def page_size(px_w: Column, px_h: Column, pt_w: Column, pt_h: Column, scale: Col
         "dpi": F.when(given, 72 * px_w / pt_w).when(scaled, 72 * scale).otherwise(F.lit(72.0)),
         "exact": given | scaled,
     }
+
+
+def map_rect(b: Box, scale, pad, page_w, page_h) -> Box:
+    """A box of a scaled page on the whole page: padded, rounded outwards, cut to the page, at least one pixel."""
+    x0, y0 = F.greatest(F.lit(0.0), F.floor((b.x - pad) * scale)), F.greatest(F.lit(0.0), F.floor((b.y - pad) * scale))
+    x1, y1 = F.least(_lit(page_w), F.ceil((b.right + pad) * scale)), F.least(_lit(page_h), F.ceil((b.bottom + pad) * scale))
+    return Box(x0, y0, F.greatest(F.lit(1.0), x1 - x0), F.greatest(F.lit(1.0), y1 - y0))
+
+
+def fallback_size(page_w: Column, page_h: Column) -> tuple[Column, Column]:
+    """Width and height of a box that a reader gave no place: 2.5 per cent of the page's short side, between 24 and 200."""
+    short = F.greatest(F.lit(1.0), F.least(page_w, page_h))
+    s = F.floor(clamp(short * 0.025, 24.0, 200.0) + 0.5)
+    return s, F.greatest(F.lit(12), F.floor(s * 0.5 + 0.5))
+
+
+def dilation_width(height: Column) -> Column:
+    """Odd width of the brush that joins the letters of a line of this height."""
+    v = F.floor(F.least(F.lit(25.0), F.greatest(F.lit(3.0), F.floor(height * 0.6 + 0.5).cast("double"))) + 0.5)
+    return F.when(v % 2 == 0, v + 1).otherwise(v)
+
+
+def tiles(page_w: Column, page_h: Column, most: float = 1600.0) -> Column:
+    """Overlapping tiles (x, y, w, h) of a page, row by row; one tile where the page is no larger than 86 per cent of ``most``."""
+    target = float(int(most * 0.86 + 0.5))
+    cols, rows = F.greatest(F.lit(1), F.ceil(page_w / target)), F.greatest(F.lit(1), F.ceil(page_h / target))
+    tw, th = F.ceil(page_w / cols), F.ceil(page_h / rows)
+    lap = F.floor(F.least(tw, th) * 0.12 + 0.5)
+    start = lambda i, size: F.greatest(F.lit(0), i * size - F.when(i > 0, lap).otherwise(0)).cast("double")
+    stop = lambda i, size, n, end: F.least(end, ((i + 1) * size + F.when(i < n - 1, lap).otherwise(0)).cast("double"))
+
+    def one(r: Column, c: Column) -> Column:
+        x, y = start(c, tw), start(r, th)
+        return F.struct(x.alias("x"), y.alias("y"), (stop(c, tw, cols, page_w) - x).alias("w"), (stop(r, th, rows, page_h) - y).alias("h"))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.transform(F.sequence(F.lit(0), cols - 1), lambda c: one(r, c))))
+    return F.when((cols == 1) & (rows == 1), every).otherwise(F.filter(every, lambda t: (t["w"] >= 32) & (t["h"] >= 32)))

@@ -137,3 +137,56 @@ def model_text(body: Column) -> Column:
     j = F.from_json(body, kind)
     parts = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda p: p["text"]), ""))
     return F.coalesce(parts(F.get(j["candidates"], 0)["content"]["parts"]), F.get(j["choices"], 0)["message"]["content"], parts(j["content"]))
+
+
+#: Where an engine's answer may stand in an item; ``text`` is not among them, as it may echo the source.
+ANSWER_KEYS = ("translation", "translated", "translationText", "output", "result", "dst", "zh")
+
+
+def _answers(text: str | None) -> list[tuple[object, str]]:
+    """(id or None, answer) of each item of a reply; bare strings have no id."""
+    found = extract(text)
+    listed = found if isinstance(found, list) else coerce_items(found)
+    if isinstance(found, dict):
+        named = next((found[k] for k in LIST_KEYS if isinstance(found.get(k), list)), None)
+        listed = named if named is not None else listed or ([found] if any(k in found for k in ANSWER_KEYS) else [])
+    out = []
+    for item in listed:
+        if isinstance(item, str):
+            out.append((None, item.strip()))
+        elif isinstance(item, dict):
+            said = next((v.strip() for k in ANSWER_KEYS if isinstance(v := item.get(k), str) and v.strip()), "")
+            out.append((item.get("id") if item.get("id") is not None else item.get("index"), said))
+    return [(i, s) for i, s in out if s]
+
+
+def answers_of(text: str | None, n: int) -> list[str | None]:
+    """A reply's answers in the order of the ``n`` texts asked: first by unused valid id, the rest fill the gaps in order."""
+    slots, rest = [None] * n, []
+    for i, said in _answers(text):
+        try:
+            at = float(i) if i is not None else None
+        except (TypeError, ValueError):
+            at = None
+        if at is not None and at == int(at) and 0 <= at < n and slots[int(at)] is None:
+            slots[int(at)] = said
+        else:
+            rest.append(said)
+    left = iter(rest)
+    return [s if s is not None else next(left, None) for s in slots]
+
+
+def single_answer(text: str | None) -> str:
+    """A reply to one text: its first answer, or the bare reply without wrapping quotes."""
+    s = (text or "").strip()
+    return next((said for _, said in _answers(s)), re.sub("^[\"'“”]+|[\"'“”]+$", "", s).strip())
+
+
+def batch_answers(replies: DataFrame, body: str = "body", size: str = "n") -> DataFrame:
+    """One row for each text of a batch: ``slot`` from 0 and ``answer``, null where the reply has none."""
+
+    @F.pandas_udf("array<string>")
+    def run(b: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([answers_of(t, int(k)) for t, k in zip(b, n, strict=True)])
+
+    return replies.select(*[c for c in replies.columns if c not in (body, size)], F.posexplode(run(F.col(body), F.col(size))).alias("slot", "answer"))

@@ -209,3 +209,22 @@ def chat_endpoint(url: Column) -> Column:
 
 def retryable(status: Column) -> Column:
     return (status == 408) | (status == 429) | status.between(500, 599)
+
+
+def models_endpoint(url: Column) -> Column:
+    """Where a service lists its models; follows the rules of ``chat_endpoint``."""
+    u = F.regexp_replace(F.trim(_empty(url)), "/+$", "")
+    base = F.regexp_replace(u, "(?i)/chat/completions$", "")
+    deepseek = base.rlike(r"(?i)^https?://api\.deepseek\.com$")
+    return F.when(u.rlike("(?i)/models$"), u).when(deepseek | base.rlike(r"/v[0-9]+[a-z0-9]*$"), F.concat(base, F.lit("/models"))).otherwise(F.concat(base, F.lit("/v1/models")))
+
+
+def cache_key(raw: Column, lang: Column, engine: Column, model: Column, glossary: Column, preserve: Column) -> Column:
+    """What a remembered translation hangs on; ``glossary`` is a fingerprint, and the model counts for model engines alone."""
+    return F.concat_ws("\x01", lang, engine, F.when(engine == "llm", _empty(model)).otherwise(""), glossary, F.when(preserve, "1").otherwise("0"), _empty(raw))
+
+
+def backoff_ms(attempt: Column, retry_after_s: Column) -> Column:
+    """Wait before another attempt: as the service asks, else doubling from half a second, ten seconds at most."""
+    asked = F.when(retry_after_s > 0, retry_after_s * 1000)
+    return F.least(F.lit(10000.0), F.coalesce(asked, 500 * F.pow(F.lit(2.0), attempt)))

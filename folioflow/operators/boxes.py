@@ -246,3 +246,49 @@ def prepare_items(items: DataFrame, mode: str = "smart") -> DataFrame:
         return first
     merged = merge_adjacent(first, **({"gap_ratio": float("inf")} if mode == "whole" else {})).drop("merged")
     return collapse_overlapping(dedupe_overlapping(merged).drop("pos")).drop("pos")
+
+
+def drop_repeats(boxes: DataFrame, least: float = 0.5) -> DataFrame:
+    """Boxes found twice by overlapping tiles: of those that overlap by more than ``least``, the first stays."""
+
+    def merge(kept: Column, a: Column) -> Column:
+        return F.when(F.exists(kept, lambda b: G.overlap_ratio(_part(a), _part(b)) > least), kept).otherwise(F.array_append(kept, a))
+
+    return _fold(boxes, (F.col("no"),), merge, ("no", "x", "y", "w", "h"))
+
+
+def drop_reread(lines: DataFrame, overlap: float = 0.5) -> DataFrame:
+    """Lines that neighbouring bands both read (page, no, x, y, w, h, text, conf): the surer one takes the first one's place."""
+
+    def merge(kept: Column, a: Column) -> Column:
+        again = lambda b: (G.overlap_ratio(_part(b), _part(a)) > overlap) & T.same_text(b["text"], a["text"])
+        at = F.coalesce(F.array_position(F.transform(kept, again), True), F.lit(0))
+        surer = lambda b: F.coalesce(a["conf"], F.lit(0.0)) > F.coalesce(b["conf"], F.lit(0.0))
+        return F.when(at == 0, F.array_append(kept, a)).otherwise(F.transform(kept, lambda b, i: F.when((i + 1 == at) & surer(b), a).otherwise(b)))
+
+    return _fold(lines, (F.col("no"),), merge, ("no", "x", "y", "w", "h", "text", "conf"))
+
+
+def regions_of(rows: list[dict], most: int = 40, v_gap: int = 14, h_gap: int = 40) -> list[dict]:
+    """Regions of lines; while there are too many, gaps widen (four tries), and only then the best ``most`` stay."""
+    for _ in range(4):
+        blocks = block_of(rows, v_gap, h_gap)
+        if len(blocks) <= most:
+            break
+        v_gap, h_gap = int(v_gap * 1.8 + 0.5), int(h_gap * 1.8 + 0.5)
+    out = []
+    for members in blocks:
+        hull = rows[members[0]]
+        for i in members:
+            hull = _hull(hull, rows[i])
+        w, h, ink = max(1.0, hull["w"]), max(1.0, hull["h"]), sum(rows[i].get("ink") or 0 for i in members)
+        even = 1.0 if 0.06 <= ink / (w * h) <= 0.62 else 0.35
+        out.append({"x": hull["x"], "y": hull["y"], "w": w, "h": h, "ink": int(ink), "lines": len(members), "score": min(1.0, 0.5 * even + 0.12 * min(len(members), 6))})
+    out = sorted(sorted(out, key=lambda r: (-r["score"], -r["ink"]))[:most], key=lambda r: (r["y"] // 16, r["x"]))
+    return [{"region": i, **r} for i, r in enumerate(out)]
+
+
+def group_regions(lines: DataFrame, **options) -> DataFrame:
+    """Regions of the lines (page, no, x, y, w, h, ink) of each page, in reading order."""
+    schema = "page long, region int, x double, y double, w double, h double, ink long, lines int, score double"
+    return per_page(lines, ("no", "x", "y", "w", "h", "ink"), ("no",), lambda rows: regions_of(rows, **options), schema)

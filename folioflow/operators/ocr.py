@@ -120,3 +120,37 @@ def group_text_items(items: DataFrame) -> DataFrame:
         return out
 
     return per_page(items, ("base_y", "x", "y", "w", "h", "font_height", "raw"), ("base_y", "x"), work, "page long, x double, y double, w double, h double, font_height double, text string, parts int")
+
+
+_AT = "struct<x0:double,y0:double,x1:double,y1:double>"
+#: A reader's result tree: lines alone, lines inside blocks, or only words.
+TREE = f"struct<lines:array<struct<text:string,confidence:double,bbox:{_AT}>>,blocks:array<struct<paragraphs:array<struct<lines:array<struct<text:string,confidence:double,bbox:{_AT}>>>>>>,words:array<struct<text:string,confidence:double,bbox:{_AT}>>>"
+
+
+def lines_of_tree(trees: DataFrame, body: str = "body") -> DataFrame:
+    """Lines of reader results in JSON, with the other columns: flat lines, else lines of blocks, else words whose tops are near each other.
+
+    Lines without area or text go, and an unstated confidence is 100.
+    """
+    rest = [c for c in trees.columns if c != body]
+    t = trees.select(*rest, F.from_json(body, TREE).alias("t"))
+    nested = F.flatten(F.flatten(F.transform("t.blocks", lambda b: F.transform(b["paragraphs"], lambda p: F.coalesce(p["lines"], F.array().cast(t.schema["t"].dataType["lines"].dataType))))))
+    tidy = lambda s: F.trim(F.regexp_replace(F.coalesce(s, F.lit("")), r"\s+", " "))
+    line = lambda l: F.struct(l["bbox"]["x0"].alias("x"), l["bbox"]["y0"].alias("y"), (l["bbox"]["x1"] - l["bbox"]["x0"]).alias("w"), (l["bbox"]["y1"] - l["bbox"]["y0"]).alias("h"), tidy(l["text"]).alias("text"), F.coalesce(l["confidence"], F.lit(100.0)).alias("conf"))
+    usable = lambda a: F.filter(F.transform(a, line), lambda l: (l["w"] > 0) & (l["h"] > 0) & (l["text"] != ""))
+
+    def place(lines: Column, w: Column) -> Column:
+        """Put a word, by its top, on the last line or on a new one."""
+        b, last = w["bbox"], F.get(lines, F.size(lines) - 1)
+        one = F.struct(b["x0"].alias("x"), b["y0"].alias("y"), b["x1"].alias("x1"), b["y1"].alias("y1"), F.coalesce(w["text"], F.lit("")).alias("text"), F.coalesce(w["confidence"], F.lit(100.0)).alias("conf"), F.lit(1).alias("n"))
+        both = F.struct(F.least(last["x"], b["x0"]).alias("x"), last["y"].alias("y"), F.greatest(last["x1"], b["x1"]).alias("x1"), F.greatest(last["y1"], b["y1"]).alias("y1"), F.concat_ws(" ", last["text"], one["text"]).alias("text"), (last["conf"] + one["conf"]).alias("conf"), (last["n"] + 1).alias("n"))
+        apart = (F.size(lines) == 0) | (F.abs(b["y0"] - last["y"]) > F.greatest(F.lit(4.0), (b["y1"] - b["y0"]) * 0.6))
+        return F.when(apart, F.array_append(lines, one)).otherwise(F.array_append(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), both))
+
+    placed = F.filter("t.words", lambda w: w["bbox"].isNotNull())
+    ordered = F.transform(F.array_sort(F.transform(placed, lambda w, i: F.struct(w["bbox"]["y0"].alias("y"), i.alias("i"), w.alias("w")))), lambda s: s["w"])
+    kind = "array<struct<x:double,y:double,x1:double,y1:double,text:string,conf:double,n:int>>"
+    worded = F.transform(F.aggregate(ordered, F.array().cast(kind), place), lambda l: F.struct(l["x"].alias("x"), l["y"].alias("y"), (l["x1"] - l["x"]).alias("w"), (l["y1"] - l["y"]).alias("h"), tidy(l["text"]).alias("text"), (l["conf"] / l["n"]).alias("conf")))
+    flat, deep = usable(F.col("t.lines")), usable(nested)
+    out = F.when(F.size(flat) > 0, flat).when(F.size(deep) > 0, deep).otherwise(worded)
+    return t.select(*rest, F.posexplode(out).alias("line_no", "l")).select(*rest, "line_no", "l.*")

@@ -164,3 +164,117 @@ def inverted(pixels: DataFrame, value: str = "lum") -> DataFrame:
 def downscale(pixels: DataFrame, k: int = 2, value: str = "lum") -> DataFrame:
     """Area average of k x k pixels, rounded half to even."""
     return pixels.groupBy("page", F.floor(F.col("y") / k).cast("int").alias("y"), F.floor(F.col("x") / k).cast("int").alias("x")).agg(F.rint(F.avg(value)).cast("int").alias("lum"))
+
+
+def _held(value, radius: int, along, size, at):
+    """Sum over ``2 radius + 1`` neighbours, pixels beyond an edge standing in as the edge's own value."""
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before, after = F.greatest(radius - at, F.lit(0)), F.greatest(radius - (size - 1 - at), F.lit(0))
+    return F.sum(value).over(along.rowsBetween(-radius, radius)) + before * F.first(value).over(whole) + after * F.last(value).over(whole)
+
+
+def box_blur(pixels: DataFrame, radius: int = 1, passes: int = 1, value: str = "lum") -> DataFrame:
+    """``blur``: the mean of a square window, edges replicated; two separable sums a pass."""
+    along, down = Window.partitionBy("page", "y").orderBy("x"), Window.partitionBy("page", "x").orderBy("y")
+    out = pixels.withColumn("blur", F.col(value).cast("double")).withColumn("_w", F.count("*").over(Window.partitionBy("page", "y"))).withColumn("_h", F.count("*").over(Window.partitionBy("page", "x")))
+    for _ in range(passes if radius > 0 else 0):
+        out = out.withColumn("_s", _held(F.col("blur"), radius, along, F.col("_w"), F.col("x")))
+        out = out.withColumn("blur", _held(F.col("_s"), radius, down, F.col("_h"), F.col("y")) / (2 * radius + 1) ** 2)
+    return out.drop("_w", "_h", "_s")
+
+
+def unsharp(pixels: DataFrame, amount, radius: int = 2, threshold: float = 0.0, value: str = "lum") -> DataFrame:
+    """``sharp``: the value pushed away from its blur by ``amount`` (a number or a column), differences under ``threshold`` left alone."""
+    diff = F.col(value) - F.col("blur")
+    pushed = F.least(F.greatest(F.rint(F.col(value) + amount * diff), F.lit(0.0)), F.lit(255.0)).cast("int")
+    return box_blur(pixels, radius, value=value).withColumn("sharp", F.when(F.abs(diff) < threshold, F.col(value)).otherwise(pushed)).drop("blur")
+
+
+def sharpening(pixels: DataFrame, value: str = "lum") -> DataFrame:
+    """How strongly a page is sharpened before it is read: more, the less sharp it is."""
+    s = F.col("sharpness")
+    return laplacian_variance(pixels, value).select("page", F.when(s < 0.35, 0.9).when(s < 0.6, 0.6).otherwise(0.3).alias("amount"))
+
+
+def detection_ink(pixels: DataFrame, fine: int = 7, coarse: int = 22, c: float = 10.0, dark: float = 0.6, value: str = "lum") -> DataFrame:
+    """Ink of a fine or a coarse adaptive threshold, on pages turned to dark on light first.
+
+    A page is turned when more than ``dark`` of every fourth pixel is at or under its global threshold.
+    """
+    width = F.count("*").over(Window.partitionBy("page", "y"))
+    marked = pixels.select("page", "y", "x", F.col(value).alias("lum"), width.alias("_w")).join(otsu(pixels, value), "page")
+    sampled = F.when((F.col("y") * F.col("_w") + F.col("x")) % 4 == 0, (F.col("lum") <= F.col("threshold")).cast("int"))
+    share = F.avg(sampled).over(Window.partitionBy("page"))
+    even = marked.withColumn("_d", share).select("page", "y", "x", F.when(F.col("_d") > dark, 255 - F.col("lum")).otherwise(F.col("lum")).alias("lum"))
+    mean = {}
+    for name, r in (("f", fine), ("g", coarse)):
+        along = Window.partitionBy("page", "y").orderBy("x").rowsBetween(-r, r)
+        even = even.withColumn(f"_{name}s", F.sum(F.col("lum").cast("long")).over(along)).withColumn(f"_{name}n", F.count("*").over(along))
+        down = Window.partitionBy("page", "x").orderBy("y").rowsBetween(-r, r)
+        mean[name] = F.sum(f"_{name}s").over(down) / F.sum(f"_{name}n").over(down)
+    return even.select("page", "y", "x", ((F.col("lum") < mean["f"] - c) | (F.col("lum") < mean["g"] - c)).cast("int").alias("ink"))
+
+
+def _upper_median(of):
+    values = F.array_sort(F.collect_list(of))
+    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+
+
+def median_colour(pixels: DataFrame) -> DataFrame:
+    """Upper median of each channel of a page and the mean absolute distance from it.
+
+    Two sums over counted shades a channel, so a page's pixels never meet in one list.
+    """
+    long = pixels.select("page", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("int").alias("v")) for c in "rgb"])).alias("p")).select("page", "p.c", "p.v")
+    shades = long.groupBy("page", "c", "v").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("page", "c")
+    shades = shades.withColumn("_b", F.sum("n").over(by.orderBy("v"))).withColumn("_n", F.sum("n").over(by))
+    shades = shades.withColumn("m", F.min(F.when(F.col("_b") > F.floor(F.col("_n") / 2), F.col("v"))).over(by))
+    out = shades.groupBy("page").agg(*[F.max(F.when(F.col("c") == c, F.col("m"))).alias(c) for c in "rgb"], F.sum(F.col("n") * F.abs(F.col("v") - F.col("m"))).alias("_d"), F.sum("n").alias("_n"), F.max("_n").alias("_one"))
+    return out.select("page", "r", "g", "b", F.when(F.col("_one") < 2, 0.0).otherwise(F.col("_d") / F.col("_n")).alias("spread"))
+
+
+def ring(pixels: DataFrame, box: tuple[int, int, int, int], width: int = 2) -> DataFrame:
+    """Pixels outside a box (x, y, w, h) and at most ``width`` from it in either direction."""
+    x, y, w, h = box
+    inside = F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1)
+    return pixels.where(F.col("x").between(x - width, x + w - 1 + width) & F.col("y").between(y - width, y + h - 1 + width) & ~inside)
+
+
+def measure_ink(pixels: DataFrame, contrast: float = 38.0) -> DataFrame:
+    """What is written on each page: ink box, lines and their height, density, background, alignment.
+
+    ``pixels`` (page, y, x, r, g, b) counts its page from 0. The background is the median shade; ink differs from it by more than
+    ``contrast``. A single band of 10 rows or more is taken for several lines. Pages without ink give no row.
+    """
+    lum = 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")
+    shade = F.least(F.greatest(F.floor(lum), F.lit(0)), F.lit(255)).cast("int")
+    p = pixels.select("page", "y", "x", lum.alias("lum"), shade.alias("shade"))
+    by = Window.partitionBy("page")
+    h = histogram(p, "shade").withColumn("_b", F.sum("n").over(by.orderBy("v"))).withColumn("_n", F.sum("n").over(by))
+    page = h.groupBy("page").agg(F.min(F.when(F.col("_b") >= F.col("_n") / 2, F.col("v"))).alias("background"))
+    size = p.groupBy("page").agg((F.max("x") + 1).alias("box_w"), (F.max("y") + 1).alias("box_h"))
+    page = page.join(size, "page").where("box_w >= 3 AND box_h >= 3")
+    rows = p.join(page, "page").where(F.abs(F.col("lum") - F.col("background")) > contrast).groupBy("page", "y").agg(F.count("*").alias("ink"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    rows = rows.withColumn("_g", F.col("y") - F.row_number().over(by.orderBy("y")))
+    runs_ = rows.groupBy("page", "_g").agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.sum("ink").alias("ink"))
+    tall = F.col("y1") - F.col("y0") >= 2
+    of = lambda v: F.when(tall, v)
+    wide = lambda v: F.max(of(v)) - F.min(of(v))
+    ink = runs_.groupBy("page").agg(
+        F.min("x0").alias("x"), F.min("y0").alias("y"), (F.max("x1") - F.min("x0") + 1).alias("w"), (F.max("y1") - F.min("y0")).alias("h"), F.max("x1").alias("_r"), F.sum("ink").alias("_ink"),
+        F.count(of(F.lit(1))).alias("bands"), _upper_median(of(F.col("y1") - F.col("y0"))).alias("_m"),
+        wide(F.col("x0")).alias("_sl"), wide(F.col("x1")).alias("_sr"), wide((F.col("x0") + F.col("x1")) / 2).alias("_sc"),
+    ).join(page, "page")
+    lone = (F.col("bands") == 1) & (F.col("_m") >= 10)
+    guess = F.greatest(F.lit(9), F.least(F.lit(28), F.floor(F.col("_m") * 0.38 + 0.5)))
+    several = F.greatest(F.lit(2), F.floor(F.col("_m") / guess + 0.5))
+    near, left, right = F.greatest(F.lit(3.0), F.col("w") * 0.12), F.col("x"), F.col("box_w") - 1 - F.col("_r")
+    rowed = F.when((F.col("_sc") <= near) & (F.col("_sc") < F.col("_sl")) & (F.col("_sc") < F.col("_sr")), "center").when((F.col("_sr") <= near) & (F.col("_sr") < F.col("_sl")), "right").otherwise("left")
+    loose = F.least(left, right) >= F.greatest(F.lit(4.0), F.col("box_w") * 0.08)
+    single = F.when(loose & (F.abs(left - right) <= F.greatest(F.lit(6.0), F.col("box_w") * 0.12)), "center").when(loose & (left > right * 1.8), "right").otherwise("left")
+    return ink.select(
+        "page", "x", "y", "w", "h", F.when(F.col("bands") > 1, F.col("bands")).when(lone, several).otherwise(1).cast("int").alias("line_count"),
+        F.when(F.col("bands") > 1, F.col("_m").cast("double")).when(lone, F.col("_m") / several).otherwise(F.col("h").cast("double")).alias("line_height"),
+        F.when(F.col("bands") >= 2, rowed).otherwise(single).alias("alignment"), (F.col("_ink") / (F.col("w") * F.col("h"))).alias("density"), "background", (F.col("background") < 95).alias("dark"),
+    )

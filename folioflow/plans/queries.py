@@ -627,3 +627,126 @@ def kernel_detect_lines(spark, sf_dir):
 def kernel_erase(spark, sf_dir):
     rows = _plane_rows(spark, sf_dir).select("page", "width", "height", F.unhex(F.regexp_replace(F.hex("lum"), "(..)", "$1$1$1")).alias("rgb"))
     return K.erase_pages(rows).select("page", F.md5("rgb").alias("digest"), "masked")
+
+
+_EDGE = """lum_at AS (SELECT page, y, x, CAST(lum AS DOUBLE) AS lum FROM planes), off AS (SELECT unnest(range(-2, 3)) AS d),
+bh AS (SELECT a.page, a.y, a.x, sum(b.lum) AS s FROM lum_at a, off, lum_at b WHERE b.page = a.page AND b.y = a.y AND b.x = least(greatest(a.x + d, 0), 7) GROUP BY ALL),
+blur AS (SELECT a.page, a.y, a.x, sum(b.s) / 25 AS blur FROM bh a, off, bh b WHERE b.page = a.page AND b.x = a.x AND b.y = least(greatest(a.y + d, 0), 7) GROUP BY ALL)"""
+
+
+@query(_PX + f", {_EDGE} SELECT page, y, x, blur FROM blur")
+def px_box_blur(spark, sf_dir):
+    return P.box_blur(D.planes(spark, sf_dir), 2).select("page", "y", "x", "blur")
+
+
+@query(_PX + f""", {_EDGE}, l AS (SELECT page, lag(lum) OVER a + lead(lum) OVER a + lag(lum) OVER d + lead(lum) OVER d - 4 * lum AS l FROM planes WINDOW a AS (PARTITION BY page, y ORDER BY x), d AS (PARTITION BY page, x ORDER BY y)),
+v AS (SELECT page, coalesce(var_pop(l), 0) AS v FROM l GROUP BY page), am AS (SELECT page, CAST(CASE WHEN v / (v + 500) < 0.35 THEN 0.9 WHEN v / (v + 500) < 0.6 THEN 0.6 ELSE 0.3 END AS DOUBLE) AS amount FROM v)
+SELECT page, y, x, CASE WHEN abs(lum - blur) < 3 THEN lum ELSE CAST(least(greatest(round_even(lum + amount * (lum - blur), 0), 0), 255) AS INTEGER) END AS sharp FROM planes JOIN blur USING (page, y, x) JOIN am USING (page)""")
+def px_sharpen_for_reading(spark, sf_dir):
+    p = D.planes(spark, sf_dir)
+    return P.unsharp(p.join(P.sharpening(p), "page"), F.col("amount"), 2, 3.0).select("page", "y", "x", "sharp")
+
+
+@query(SQL["px_otsu"].replace("SELECT page, CAST(CASE WHEN b > 0", ", t AS (SELECT page, CAST(CASE WHEN b > 0", 1).replace("WHERE k = 1", "WHERE k = 1)", 1) + """,
+e AS (SELECT page, y, x, CASE WHEN avg(CASE WHEN (y * 8 + x) % 4 = 0 THEN CASE WHEN lum <= threshold THEN 1.0 ELSE 0.0 END END) OVER (PARTITION BY page) > 0.6 THEN 255 - lum ELSE lum END AS lum FROM planes JOIN t USING (page)),
+g AS (SELECT a.page, a.y, a.x, any_value(a.lum) AS lum, avg(b.lum) FILTER (abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1) AS fine, avg(b.lum) FILTER (abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3) AS coarse FROM e a JOIN e b USING (page) GROUP BY ALL)
+SELECT page, y, x, CAST(lum < fine - 10 OR lum < coarse - 10 AS INTEGER) AS ink FROM g""")
+def px_detection_ink(spark, sf_dir):
+    return P.detection_ink(D.planes(spark, sf_dir), 1, 3)
+
+
+@query(_PX + """, m AS (SELECT page, list_sort(list(r))[33] AS mr, list_sort(list(g))[33] AS mg, list_sort(list(b))[33] AS mb FROM planes GROUP BY page)
+SELECT page, any_value(mr) AS r, any_value(mg) AS g, any_value(mb) AS b, avg(abs(planes.r - mr) + abs(planes.g - mg) + abs(planes.b - mb)) / 3 AS spread FROM planes JOIN m USING (page) GROUP BY page""")
+def px_median_colour(spark, sf_dir):
+    return P.median_colour(D.planes(spark, sf_dir))
+
+
+@query(_PX + " SELECT page, y, x, lum FROM planes WHERE x BETWEEN 1 AND 6 AND y BETWEEN 2 AND 7 AND NOT (x BETWEEN 3 AND 4 AND y BETWEEN 4 AND 5)")
+def px_ring(spark, sf_dir):
+    return P.ring(D.planes(spark, sf_dir), (3, 4, 2, 2)).select("page", "y", "x", "lum")
+
+
+@query(_PX + """, l AS (SELECT page, y, x, 0.299 * CAST(r AS DOUBLE) + 0.587 * CAST(g AS DOUBLE) + 0.114 * CAST(b AS DOUBLE) AS l FROM planes), k AS (SELECT page, CAST(quantile_disc(CAST(floor(l) AS INTEGER), 0.5) AS INTEGER) AS background FROM l GROUP BY page),
+w AS (SELECT page, y, count(*) AS ink, min(x) AS x0, max(x) AS x1 FROM l JOIN k USING (page) WHERE abs(l - background) > 38 GROUP BY ALL), i AS (SELECT *, y - row_number() OVER (PARTITION BY page ORDER BY y) AS g FROM w),
+b AS (SELECT page, min(y) AS y0, max(y) + 1 AS y1, min(x0) AS x0, max(x1) AS x1, sum(ink) AS ink FROM i GROUP BY page, g)
+SELECT page, min(x0) AS x, min(y0) AS y, max(x1) - min(x0) + 1 AS w, max(y1) - min(y0) AS h, CAST(sum(ink) AS DOUBLE) / ((max(x1) - min(x0) + 1) * (max(y1) - min(y0))) AS density, background, background < 95 AS dark,
+  CASE WHEN count(*) FILTER (y1 - y0 >= 2) > 1 THEN CAST(count(*) FILTER (y1 - y0 >= 2) AS INTEGER) ELSE 1 END AS line_count FROM b JOIN k USING (page) GROUP BY page, background""")
+def px_measure_ink(spark, sf_dir):
+    return P.measure_ink(D.planes(spark, sf_dir)).select("page", "x", "y", "w", "h", "density", "background", "dark", "line_count")
+
+
+@query()
+def px_ink_alignment(spark, sf_dir):
+    return P.measure_ink(D.planes(spark, sf_dir), 20.0).select("page", "line_height", "alignment")
+
+
+@query(f"""WITH {D.BOXES}, r AS (SELECT page, no, greatest(0, floor((x - 1) * 1.5)) AS x, greatest(0, floor((y - 1) * 1.5)) AS y, least({PAGE_W}, ceil((x + w + 1) * 1.5)) AS x1, least({PAGE_H}, ceil((y + h + 1) * 1.5)) AS y1,
+  floor(least(greatest(least(w, h) * 20 * CAST(0.025 AS DOUBLE), 24), 200) + 0.5) AS fw, floor(least(25, greatest(3, floor(h * CAST(0.6 AS DOUBLE) + 0.5))) + 0.5) AS d FROM boxes)
+SELECT page, no, x, y, greatest(1, x1 - x) AS w, greatest(1, y1 - y) AS h, CAST(fw AS DOUBLE) AS fallback_w, CAST(greatest(12, floor(fw * 0.5 + 0.5)) AS DOUBLE) AS fallback_h, CAST(CASE WHEN d % 2 = 0 THEN d + 1 ELSE d END AS DOUBLE) AS brush FROM r""")
+def box_map_rect(spark, sf_dir):
+    m = G.map_rect(G.Box.of(), 1.5, 1.0, PAGE_W, PAGE_H)
+    fw, fh = G.fallback_size(F.col("w") * 20, F.col("h") * 20)
+    return D.boxes(spark, sf_dir).select("page", "no", *[c.cast("double").alias(n) for n, c in zip("xywh", m, strict=True)], fw.cast("double").alias("fallback_w"), fh.cast("double").alias("fallback_h"), G.dilation_width(F.col("h")).cast("double").alias("brush"))
+
+
+@query(f"""WITH {D.BOXES}, p AS (SELECT page, no, w * 40 AS pw, h * 120 AS ph FROM boxes), n AS (SELECT *, CAST(greatest(1, ceil(pw / 1376)) AS BIGINT) AS nc, CAST(greatest(1, ceil(ph / 1376)) AS BIGINT) AS nr FROM p),
+s AS (SELECT *, ceil(pw / nc) AS tw, ceil(ph / nr) AS th, floor(least(ceil(pw / nc), ceil(ph / nr)) * CAST(0.12 AS DOUBLE) + 0.5) AS lap FROM n), c AS (SELECT *, unnest(range(nc)) AS c FROM s), r AS (SELECT *, unnest(range(nr)) AS r FROM c),
+t AS (SELECT page, no, nc, nr, greatest(0, c * tw - CASE WHEN c > 0 THEN lap ELSE 0 END) AS x, greatest(0, r * th - CASE WHEN r > 0 THEN lap ELSE 0 END) AS y, least(pw, (c + 1) * tw + CASE WHEN c < nc - 1 THEN lap ELSE 0 END) AS x1, least(ph, (r + 1) * th + CASE WHEN r < nr - 1 THEN lap ELSE 0 END) AS y1 FROM r)
+SELECT page, no, x, y, x1 - x AS w, y1 - y AS h FROM t WHERE (nc = 1 AND nr = 1) OR (x1 - x >= 32 AND y1 - y >= 32)""")
+def page_tiles(spark, sf_dir):
+    return D.boxes(spark, sf_dir).select("page", "no", F.explode(G.tiles(F.col("w") * 40, F.col("h") * 120)).alias("t")).select("page", "no", "t.*")
+
+
+@query()
+def tiles_drop_repeats(spark, sf_dir):
+    return B.drop_repeats(D.boxes(spark, sf_dir))
+
+
+@query()
+def ocr_drop_reread(spark, sf_dir):
+    conf = (F.col("no") * 37 % 100).cast("double").alias("conf")
+    return B.drop_reread(D.boxes(spark, sf_dir).select("page", "no", "x", "y", "w", "h", F.col("src").alias("text"), conf))
+
+
+@query()
+def regions_from_lines(spark, sf_dir):
+    return B.group_regions(D.boxes(spark, sf_dir).withColumn("ink", F.floor(F.col("w") * F.col("h") * 0.3)), most=3)
+
+
+_URLS = ("https://a.b/v1/", "https://a.b", "https://api.deepseek.com/", "https://a.b/v1/chat/completions", "https://a.b/v4beta", "https://a.b/models")
+
+
+@query("WITH u(k, url) AS (VALUES " + ", ".join(f"({i}, '{u}')" for i, u in enumerate(_URLS)) + r"""), s AS (SELECT k, regexp_replace(trim(url), '/+$', '') AS u FROM u), b AS (SELECT k, u, regexp_replace(u, '/chat/completions$', '') AS b FROM s)
+SELECT k, CASE WHEN u LIKE '%/models' THEN u WHEN b = 'https://api.deepseek.com' OR regexp_matches(b, '/v[0-9]+[a-z0-9]*$') THEN b || '/models' ELSE b || '/v1/models' END AS endpoint,
+  CAST(CASE WHEN k % 2 = 1 THEN least(10000, k * 3000) ELSE least(10000, 500 * pow(2, k)) END AS DOUBLE) AS wait_ms FROM b""")
+def endpoint_models_and_waits(spark, sf_dir):
+    rows = spark.createDataFrame(list(enumerate(_URLS)), "k int, url string")
+    return rows.select("k", T.models_endpoint(F.col("url")).alias("endpoint"), T.backoff_ms(F.col("k"), F.when(F.col("k") % 2 == 1, F.col("k") * 3)).cast("double").alias("wait_ms"))
+
+
+@query(_TEXT + " SELECT k, no, 'zh-CN' || chr(1) || CASE WHEN no % 2 = 0 THEN 'llm' ELSE 'free' END || chr(1) || CASE WHEN no % 2 = 0 THEN 'm@u' ELSE '' END || chr(1) || '0' || chr(1) || CASE WHEN no % 3 = 0 THEN '1' ELSE '0' END || chr(1) || line AS key FROM t")
+def translate_cache_key(spark, sf_dir):
+    engine = F.when(F.col("no") % 2 == 0, "llm").otherwise("free")
+    return _text(spark, sf_dir).select("k", "no", T.cache_key(F.col("line"), F.lit("zh-CN"), engine, F.lit("m@u"), F.lit("0"), F.col("no") % 3 == 0).alias("key"))
+
+
+@query("""SELECT p_partkey AS k, u.slot, CASE u.slot WHEN 0 THEN 'A' || p_size WHEN 1 THEN 'B' || p_size WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN 'C' END END AS answer
+FROM part, (SELECT unnest(range(3))::INTEGER AS slot) u""")
+def json_batch_answers(spark, sf_dir):
+    s = F.col("p_size").cast("string")
+    last = F.when(F.col("p_size") % 2 == 0, F.lit(', {"id": 9, "dst": "C"}')).otherwise(F.lit(', {"id": 2, "text": "echo"}'))
+    body = F.concat(F.lit('```json\n{"items": [{"id": 1, "translation": "B'), s, F.lit('"}, {"index": "0", "zh": "A'), s, F.lit('"}'), last, F.lit(",]}\n```"))
+    return J.batch_answers(D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), body.alias("body"), F.lit(3).alias("n"))).select("k", "slot", "answer")
+
+
+@query(f"""WITH {D.BOXES} SELECT page, 0 AS line_no, x, y, w, h, src AS text, CASE WHEN no % 2 = 0 THEN CAST(no AS DOUBLE) ELSE 100.0 END AS conf FROM boxes WHERE no % 3 <> 2
+UNION ALL SELECT page, 0, x, y, w + 10, h, src || ' next', 55.0 FROM boxes WHERE no % 3 = 2""")
+def ocr_lines_of_tree(spark, sf_dir):
+    b = D.boxes(spark, sf_dir)
+    at = lambda more: F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w") + more).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
+    line = F.struct(F.concat(F.lit("  "), F.regexp_replace("src", " ", "\n ")).alias("text"), F.when(F.col("no") % 2 == 0, F.col("no").cast("double")).alias("confidence"), at(0).alias("bbox"))
+    word = lambda t, c, more: F.struct(t.alias("text"), F.lit(c).alias("confidence"), at(more).alias("bbox"))
+    flat = F.to_json(F.struct(F.array(line).alias("lines")))
+    deep = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(line).alias("lines"))).alias("paragraphs"))).alias("blocks")))
+    words = F.to_json(F.struct(F.array(word(F.col("src"), 50.0, 0), word(F.lit("next"), 60.0, 10)).alias("words")))
+    return O.lines_of_tree(b.select("page", F.when(F.col("no") % 3 == 0, flat).when(F.col("no") % 3 == 1, deep).otherwise(words).alias("body"))).select("page", "line_no", "x", "y", "w", "h", "text", "conf")
