@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def odd(v: float) -> int:
@@ -76,7 +77,7 @@ def without_long_lines(mask: np.ndarray, least: int, thick: int) -> np.ndarray:
 
 
 def components(mask: np.ndarray, raw: np.ndarray | None = None, corners: bool = True) -> list[dict]:
-    """Connected components from runs and union-find; ink is counted on ``raw``."""
+    """Connected components from runs and union-find, each with its ``runs`` (y, x0, x1); ink is counted on ``raw``."""
     raw, root, runs, last = mask if raw is None else raw, [], [], []
 
     def find(i: int) -> int:
@@ -100,9 +101,10 @@ def components(mask: np.ndarray, raw: np.ndarray | None = None, corners: bool =
         last = here
     found: dict[int, dict] = {}
     for i, (y, x0, x1, ink) in enumerate(runs):
-        c = found.setdefault(find(i), {"x": x0, "y": y, "x1": x1, "y1": y + 1, "ink": 0, "area": 0, "_rows": set()})
+        c = found.setdefault(find(i), {"x": x0, "y": y, "x1": x1, "y1": y + 1, "ink": 0, "area": 0, "_rows": set(), "runs": []})
         c["x"], c["x1"], c["y1"] = min(c["x"], x0), max(c["x1"], x1), y + 1
         c["ink"], c["area"] = c["ink"] + ink, c["area"] + x1 - x0
+        c["runs"].append((y, x0, x1))
         if ink:
             c["_rows"].add(y)
     for c in found.values():
@@ -229,8 +231,8 @@ def text_mask(plane: np.ndarray, grow: int = 2) -> np.ndarray:
         long, short = max(c["w"], c["h"]), min(c["w"], c["h"])
         rule = (long / short >= 8 and c["density"] >= 0.7) or (short <= 2 and long / short >= 5)
         if not rule and c["h"] <= 3 * glyph + 2 and c["area"] <= 24 * glyph * glyph:
-            box = (slice(c["y"], c["y"] + c["h"]), slice(c["x"], c["x"] + c["w"]))
-            keep[box] |= mask[box]
+            for y, x0, x1 in c["runs"]:
+                keep[y, x0:x1] = True
     return spread(keep, grow, grow)
 
 
@@ -251,3 +253,104 @@ def erase_pages(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page", "width", "height", "rgb", "masked"])
 
     return pages.select("page", "width", "height", "rgb").mapInPandas(run, "page long, width int, height int, rgb binary, masked double")
+
+
+def thin_bands(full: np.ndarray, thick: int = 6, share: float = 0.4) -> np.ndarray:
+    """Marks runs of full rows (or columns) of at most ``thick``, from the first on, while they stay under ``share`` of the extent."""
+    out, left = np.zeros_like(full), max(1, int(np.floor(len(full) * share + 0.5)))
+    for a, b in row_runs(full):
+        if b - a <= min(thick, left):
+            out[a:b] = True
+            left -= b - a
+    return out
+
+
+def ring_colour(rgb: np.ndarray, box: tuple[int, int, int, int], width: int = 6, step: int = 16) -> tuple[np.ndarray, float]:
+    """Mean colour of the fullest colour bucket around a box (x0, y0, x1, y1), and that bucket's share of the ring."""
+    x0, y0, x1, y1 = box
+    outside = np.ones(rgb.shape[:2], dtype=bool)
+    outside[y0:y1, x0:x1] = False
+    area = (slice(max(0, y0 - width), y1 + width), slice(max(0, x0 - width), x1 + width))
+    pixels = rgb[area][outside[area]].astype(np.int64)
+    if not len(pixels):
+        return np.array([255, 255, 255]), 0.0
+    _, first, bucket, n = np.unique(pixels // step @ np.array([65536, 256, 1]), return_index=True, return_inverse=True, return_counts=True)
+    best = np.lexsort((first, -n))[0]
+    return np.floor(pixels[bucket == best].mean(axis=0) + 0.5).astype(np.int64), float(n[best] / len(pixels))
+
+
+COVER = ("mode", "coverage", "threshold", "painted", "residual", "protected")
+
+
+def cover(rgb: np.ndarray, x: float, y: float, w: float, h: float, mode: str = "ink", glyph: float = 0.0) -> tuple[np.ndarray, dict]:
+    """The page with the text of one box painted over, and what was done.
+
+    ``fill`` paints the whole box in the colour around it, unless that colour has less than 55 per cent of the ring: then ``ink``.
+    ``ink`` paints pixels unlike that colour and their soft edges, sparing rules, strips and pictures. ``repair`` relaxes the strokes
+    from their surroundings. Boxes under 3 pixels, and repairs that find no strokes, leave the page as it is (mode null).
+    """
+    high, wide = rgb.shape[:2]
+    x0, y0 = min(max(0, int(np.floor(x))), wide), min(max(0, int(np.floor(y))), high)
+    x1, y1 = min(int(np.ceil(x + w)), wide), min(int(np.ceil(y + h)), high)
+    done = dict.fromkeys(COVER) | {"painted": 0}
+    if x1 - x0 < 3 or y1 - y0 < 3:
+        return rgb, done
+    colour, share = ring_colour(rgb, (x0, y0, x1, y1))
+    out = rgb.copy()
+    inner = out[y0:y1, x0:x1]
+    done["coverage"] = share
+    if mode == "repair":
+        strokes = text_mask(gray(inner))
+        if strokes.mean() < 0.004:
+            return rgb, done
+        whole = np.zeros(rgb.shape[:2], dtype=bool)
+        whole[y0:y1, x0:x1] = strokes
+        area = (slice(max(0, y0 - 6), y1 + 6), slice(max(0, x0 - 6), x1 + 6))
+        out[area] = inpaint(rgb[area], whole[area])
+        return out, done | {"mode": "repair", "painted": int(strokes.sum())}
+    if mode == "fill" and share >= 0.55:
+        inner[:] = colour
+        return out, done | {"mode": "fill", "painted": inner.shape[0] * inner.shape[1]}
+    far = np.floor(np.sqrt(((inner.astype(np.int64) - colour) ** 2).sum(axis=2)) + 0.5)
+    threshold = 16 if share >= 0.8 else 30 if share >= 0.55 else 44
+    ink = far > threshold
+    rows, cols = thin_bands(ink.mean(axis=1) >= 0.85), thin_bands(ink.mean(axis=0) >= 0.85)
+    spared = rows[:, None] | cols[None, :]
+    parts = components(ink, corners=False)
+    glyph = glyph or (sorted(c["h"] for c in parts)[len(parts) // 2] if parts else 0)
+    for c in parts:
+        if rows[c["y"]] and rows[c["y"] + c["h"] - 1]:
+            continue
+        solid = c["area"] / (c["w"] * c["h"]) >= 0.85
+        strip = solid and min(c["w"], c["h"]) <= 4 and max(c["w"], c["h"]) >= max(24, 3 * glyph)
+        if c["h"] > max(18, 4 * glyph + 8) or strip:
+            for r, a, b in c["runs"]:
+                spared[r, a:b] = True
+    erase, soft = ink & ~spared, (far > max(14, int(np.floor(threshold * 0.4 + 0.5)))) & ~spared
+    for _ in range(2):
+        erase = erase | ((spread(erase, 1, 0) | spread(erase, 0, 1)) & soft)
+    inner[erase] = colour
+    return out, done | {"mode": "ink", "threshold": threshold, "painted": int(erase.sum()), "residual": int(((far > 22) & ~erase & ~spared).sum()), "protected": int((spared & ink).sum())}
+
+
+def cover_pages(pages: DataFrame, boxes: DataFrame, mode: str = "ink") -> DataFrame:
+    """Pages (page, width, height, rgb) with all their ``boxes`` (page, no, x, y, w, h) covered in order, and a report for each box.
+
+    A page's boxes come to its image as one list, so an image is moved once.
+    """
+    listed = boxes.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("no", "x", "y", "w", "h"))).alias("boxes"))
+    none = F.array().cast(listed.schema["boxes"].dataType)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for page, w, h, raw, todo in zip(b["page"], b["width"], b["height"], b["rgb"], b["boxes"], strict=True):
+                image, report = np.frombuffer(raw, dtype=np.uint8).reshape(h, w, 3), []
+                for t in todo:
+                    image, done = cover(image, t["x"], t["y"], t["w"], t["h"], mode)
+                    report.append({"no": t["no"]} | done)
+                rows.append((page, w, h, image.tobytes(), report))
+            yield pd.DataFrame(rows, columns=["page", "width", "height", "rgb", "report"])
+
+    joined = pages.select("page", "width", "height", "rgb").join(listed, "page", "left").withColumn("boxes", F.coalesce("boxes", none))
+    return joined.mapInPandas(run, "page long, width int, height int, rgb binary, report array<struct<no:int,mode:string,coverage:double,threshold:int,painted:int,residual:int,protected:int>>")

@@ -16,6 +16,7 @@ from ..operators import kernels as K
 from ..operators import layout as Y
 from ..operators import ocr as O
 from ..operators import pixels as P
+from ..operators import reading as R
 from ..sources import derive as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -750,3 +751,39 @@ def ocr_lines_of_tree(spark, sf_dir):
     deep = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(line).alias("lines"))).alias("paragraphs"))).alias("blocks")))
     words = F.to_json(F.struct(F.array(word(F.col("src"), 50.0, 0), word(F.lit("next"), 60.0, 10)).alias("words")))
     return O.lines_of_tree(b.select("page", F.when(F.col("no") % 3 == 0, flat).when(F.col("no") % 3 == 1, deep).otherwise(words).alias("body"))).select("page", "line_no", "x", "y", "w", "h", "text", "conf")
+
+
+def fake_reader(image: bytes, crop: dict, kind: str) -> str:
+    """Says where it looked; fails on some crops and babbles on others, by the crop's place."""
+    if kind == "region" and int(crop["x"]) % 5 == 0:
+        raise ConnectionError("busy")
+    if kind == "region" and int(crop["y"]) % 11 == 3:
+        return "no braces here"
+    return '{"items": [{"text": "%s %d", "translation": "t", "box": [100, 100, 900, 900]}]}' % (kind, int(crop["y"]) % 3)
+
+
+def _answers(spark, sf_dir):
+    b = D.boxes(spark, sf_dir)
+    pages = b.groupBy("page").agg(F.lit(PAGE_W).alias("width"), F.lit(PAGE_H).alias("height"), F.lit(b"\0").alias("image"))
+    return R.ask(pages, R.requests(pages, b, 3), fake_reader)
+
+
+@query(f"""WITH {D.BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY w * h DESC, no) AS rank FROM boxes WHERE w >= 8 AND h >= 6),
+p AS (SELECT page, rank, greatest(0, x - greatest(4, floor(greatest(w, h) * CAST(0.12 AS DOUBLE) + 0.5))) AS cx, greatest(0, y - greatest(4, floor(greatest(w, h) * CAST(0.12 AS DOUBLE) + 0.5))) AS cy FROM r WHERE rank <= 3),
+q AS (SELECT page, count(*) AS regions, count(*) FILTER (CAST(floor(cx) AS BIGINT) % 5 = 0 OR CAST(floor(cy) AS BIGINT) % 11 = 3) AS failed FROM p GROUP BY page)
+SELECT page, regions + 1 AS requests, failed, regions, failed < regions AS usable FROM q""")
+def reading_two_pass_report(spark, sf_dir):
+    answers = _answers(spark, sf_dir)
+    return R.reading_report(answers, R.read_items(answers)).select("page", "requests", "failed", "regions", "usable")
+
+
+@query()
+def reading_two_pass_items(spark, sf_dir):
+    return R.read_items(_answers(spark, sf_dir)).select("page", "pos", "x", "y", "w", "h", "src", "dst")
+
+
+@query()
+def kernel_cover_boxes(spark, sf_dir):
+    pages = _plane_rows(spark, sf_dir).select("page", "width", "height", F.unhex(F.regexp_replace(F.hex("lum"), "(..)", "$1$1$1")).alias("rgb"))
+    todo = pages.select("page", F.explode(F.array(*[F.struct(F.lit(i).alias("no"), *[F.lit(float(v)).alias(c) for c, v in zip("xywh", b, strict=True)]) for i, b in enumerate(((4, 4, 24, 20), (30, 30, 20, 28)))])).alias("b")).select("page", "b.*")
+    return K.cover_pages(pages, todo).select("page", F.md5("rgb").alias("digest"), F.explode("report").alias("r")).select("page", "digest", "r.*")

@@ -16,6 +16,7 @@ from folioflow.operators import glossary as L
 from folioflow.operators import kernels as K
 from folioflow.operators import layout as Y
 from folioflow.operators import ocr as O
+from folioflow.operators import pixels as P
 
 
 def value(spark, column):
@@ -244,7 +245,6 @@ def test_erase_leaves_no_ink():
 
 
 def test_relation_and_kernel_agree(spark):
-    from folioflow.operators import pixels as P
 
     rng = np.random.default_rng(2)
     planes = rng.integers(0, 256, (5, 8, 8)).astype(np.uint8)
@@ -256,3 +256,56 @@ def test_relation_and_kernel_agree(spark):
     assert {r.page: r.threshold for r in P.otsu(px).collect()} == {p: K.otsu(planes[p]) for p in range(5)}
     found = sorted((r.page, r.x, r.y, r.w, r.h, r.ink) for r in P.components(P.adaptive_ink(px)).collect())
     assert found == sorted((p, c["x"], c["y"], c["w"], c["h"], c["ink"]) for p in range(5) for c in K.components(K.adaptive(planes[p], 5, 8.0)))
+
+
+def page_with_text(base=(240, 240, 240)):
+    image = np.full((60, 120, 3), base, dtype=np.uint8)
+    image[20:28, 20:24] = image[20:28, 30:34] = image[20:28, 40:44] = 10
+    return image
+
+
+def test_cover_fills_plain_ground_and_spares_a_rule():
+    image = page_with_text()
+    image[32:34] = 0
+    filled, done = K.cover(image, 10, 15, 50, 15, "fill")
+    assert done["mode"] == "fill" and (filled[15:30, 10:60] == 240).all() and (filled[32:34] == 0).all()
+    inked, done = K.cover(image, 10, 15, 50, 25, "ink")
+    assert done["mode"] == "ink" and done["residual"] == 0 and (inked[20:28, 20:44] == 240).all() and (inked[32:34] == 0).all()
+
+
+def test_cover_falls_back_and_reports():
+    image = page_with_text()
+    image[:, ::2] //= 2
+    assert K.cover(image, 10, 15, 50, 15, "fill")[1]["mode"] == "ink"
+    same, done = K.cover(page_with_text(), 10, 15, 2, 15)
+    assert done["mode"] is None and (same == page_with_text()).all()
+    blank = np.full((60, 120, 3), 200, dtype=np.uint8)
+    assert K.cover(blank, 10, 10, 40, 40, "repair")[1]["mode"] is None
+
+
+@pytest.mark.parametrize("reply, want", [
+    ('[{"id":1,"translation":"b"},{"id":0,"translation":"a"}]', ["a", "b"]), ('["a","b"]', ["a", "b"]), ('[{"translation":"a"},{"id":0,"translation":"z"}]', ["z", "a"]),
+    ('{"translations":[{"id":"1","zh":"b"}]}', [None, "b"]), ("sorry", [None, None]), ('[{"id":7,"dst":"x"},{"text":"echo"}]', ["x", None]),
+])
+def test_batch_answers(reply, want):
+    assert J.answers_of(reply, 2) == want
+
+
+def test_single_answer():
+    assert J.single_answer('"Hi"') == "Hi" and J.single_answer('{"translation":" x "}') == "x" and J.single_answer(None) == ""
+
+
+def test_tiles_cover_a_page(spark):
+    assert len(value(spark, G.tiles(F.lit(1000.0), F.lit(900.0)))) == 1
+    found = value(spark, G.tiles(F.lit(4000.0), F.lit(1500.0)))
+    seen = np.zeros((1500, 4000), dtype=int)
+    for t in found:
+        seen[int(t["y"]) : int(t["y"] + t["h"]), int(t["x"]) : int(t["x"] + t["w"])] += 1
+    assert len(found) == 6 and seen.min() == 1 and seen.max() > 1
+
+
+def test_measured_lines_and_alignment(spark):
+    ink = {(y, x) for y in (4, 5, 6, 14, 15, 16) for x in (range(10, 50) if y < 10 else range(20, 40))}
+    px = spark.createDataFrame([(1, y, x, *[0 if (y, x) in ink else 255] * 3) for y in range(24) for x in range(60)], "page long, y int, x int, r int, g int, b int")
+    r = P.measure_ink(px).first()
+    assert (r.x, r.y, r.w, r.h, r.line_count, r.line_height, r.alignment, r.dark) == (10, 4, 40, 13, 2, 3.0, "center", False)
