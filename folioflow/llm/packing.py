@@ -40,7 +40,7 @@ class WordEncoder:
     special token, is encoded whole by the tokenizer. The tests hold both ways against it.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
