@@ -36,7 +36,8 @@ class WordEncoder:
     """Token ids of whole texts, each distinct word put through the tokenizer's model once.
 
     Holds for lower-casing word BPE vocabularies that split at white space, letters, single digits and
-    the rest. Words are remembered up to ``most``; a text with any character outside the plain set, or with the mark of a
+    the rest. Words are remembered in two generations of about ``most``: a full one becomes the older, whose words
+    come back as they recur and are otherwise forgotten with it; a text with any character outside the plain set, or with the mark of a
     special token, is encoded whole by the tokenizer. The tests hold both ways against it.
     """
 
@@ -47,21 +48,25 @@ class WordEncoder:
         self.model = self.tokenizer.model  # the pipeline around it is what _WORD and lower() stand for
         self.letters = _byte_letters()
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.most = most
 
     def _learn(self, words: list[str]) -> None:
-        known, letters, model = self.known, self.letters, self.model
+        known, older, letters, model = self.known, self.older, self.letters, self.model
         for w in words:
             if w not in known:
-                shown = w if w.isascii() else "".join([letters[b] for b in w.encode()])
-                known[w] = tuple([t.id for t in model.tokenize(shown)])
+                ids = older.get(w)
+                if ids is None:
+                    shown = w if w.isascii() else "".join([letters[b] for b in w.encode()])
+                    ids = tuple([t.id for t in model.tokenize(shown)])
+                known[w] = ids
 
     def ids(self, text: str) -> np.ndarray:
         if "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         words = _WORD.findall(text.lower())
         if len(self.known) > self.most:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         try:
             return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), dtype="<u4")
         except KeyError:
