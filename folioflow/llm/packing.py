@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,7 +36,7 @@ class WordEncoder:
 
     Holds for lower-casing word BPE vocabularies that split at white space, letters, single digits and
     the rest. Words are remembered in two generations of about ``most``: a full one becomes the older, whose words
-    come back as they recur and are otherwise forgotten with it; a text with any character outside the plain set, or with the mark of a
+    come back as they recur, each as its ids' bytes, and are otherwise forgotten with it; a text with any character outside the plain set, or with the mark of a
     special token, is encoded whole by the tokenizer. The tests hold both ways against it.
     """
 
@@ -47,8 +46,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model  # the pipeline around it is what _WORD and lower() stand for
         self.letters = _byte_letters()
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = most
 
     def _learn(self, words: list[str]) -> None:
@@ -58,7 +57,7 @@ class WordEncoder:
                 ids = older.get(w)
                 if ids is None:
                     shown = w if w.isascii() else "".join([letters[b] for b in w.encode()])
-                    ids = tuple([t.id for t in model.tokenize(shown)])
+                    ids = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(shown)])
                 known[w] = ids
 
     def ids(self, text: str) -> np.ndarray:
@@ -68,10 +67,10 @@ class WordEncoder:
         if len(self.known) > self.most:
             self.older, self.known = self.known, {}
         try:
-            return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), dtype="<u4")
+            return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
         except KeyError:
             self._learn(words)
-            return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), dtype="<u4")
+            return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
