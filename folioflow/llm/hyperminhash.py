@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Registers of a signature (bands of ROWS registers), and the mantissa bits that a register keeps.
-ROWS, BANDS, MANTISSA = 6, 42, 10
+ROWS, BANDS, MANTISSA = 5, 50, 10
 REGISTERS = ROWS * BANDS
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _BAND = np.random.default_rng(20).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,6 +86,20 @@ def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64), r.any(axis=2)
 
 
+def few_keys(regs: np.ndarray, most: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and keys of signatures with at most ``most`` used registers: one of all of them, one of all but each.
+
+    Sets that differ in one shingle always share such a key; in so small sets, one band may hold all of what they share.
+    """
+    few = np.flatnonzero((regs != 0).sum(axis=1) <= most)
+    r, c = np.nonzero(regs[few])
+    each = mixed((c.astype(np.uint64) << np.uint64(16)) + regs[few][r, c] + _ODD[3])
+    total = np.zeros(len(few), dtype=np.uint64)
+    np.add.at(total, r, each)
+    rows, keys = np.concatenate([np.arange(len(few)), r]), np.concatenate([total, total[r] - each])
+    return few[rows[keys != 0]], mixed(keys[keys != 0]).view(np.int64)
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Jaccard estimates of rows of ``a`` and ``b`` and the number of buckets that each rests on.
 

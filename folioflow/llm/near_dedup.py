@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ._common import small_batches, text_of, without, written
 from .graph import components
-from .hyperminhash import REGISTERS, band_keys, estimate, jaccard_counts, possible, registers, set_key, shingles
+from .hyperminhash import REGISTERS, band_keys, estimate, few_keys, jaccard_counts, possible, registers, set_key, shingles
 
 #: Stands for a null id inside, so that it is never the smallest of its component.
 NO_ID = (1 << 63) - 1
@@ -38,8 +38,9 @@ def _signatures(width: int):
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        keys, used = band_keys(_registers(b["regs"]))
-        yield pd.DataFrame({"band": keys[used], "cid": np.repeat(b["cid"].to_numpy(), used.sum(axis=1))})
+        regs, cid = _registers(b["regs"]), b["cid"].to_numpy()
+        (keys, used), (few, more) = band_keys(regs), few_keys(regs)
+        yield pd.DataFrame({"band": np.concatenate([keys[used], more]), "cid": np.concatenate([np.repeat(cid, used.sum(axis=1)), cid[few]])})
 
 
 def _likely(threshold: float):
@@ -128,7 +129,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. One pass over whole texts gives each document its set's size, a 128-bit key and its HyperMinHash registers.
        Documents with the same set are one class, so a group of copies is one row from here on.
-    2. 42 bands of 6 registers make the candidates: a pair at similarity 0.85 shares no band with a chance below 1e-8.
+    2. 50 bands of 5 registers make the candidates: a pair at similarity 0.80 shares no band with a chance below 1e-8 (1e-12 at
+       0.85). Sets of five shingles and less, for which one band may hold all that is shared, also meet in keys that leave one out.
     3. In each band's bucket the most central member (the one whose buckets are largest) is the hub and every
        member is paired with it: rows, not squares. Pairs pass a size test and the collision-corrected
        estimate (six deviations of slack), and are then verified on the sets of their whole texts.
@@ -194,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return result.withColumn("kept", F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with the columns of ``docs``."""
-    marked = near_duplicates(docs.select("*", F.lit(0).alias("__mark")), **options)
+    marked = near_duplicates(docs.select("*", F.lit(0).alias("__mark")), percent=percent, **options)
     return marked.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])

@@ -46,7 +46,7 @@ def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(docs, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,45 @@
+"""Stages of the corpus pipeline on small fixtures."""
+
+import numpy as np
+
+import corpus_pipeline
+from folioflow.llm.hyperminhash import BANDS, REGISTERS, ROWS, band_keys, few_keys
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def numbered(tag, n):
+    return [f"{tag}w{i}" for i in range(n)]
+
+
+def doc(i, words, lang="en", source="s"):
+    text = " ".join(words)
+    return (i, text, lang, source, len(text))
+
+
+def test_near_stage_links_from_0_80(spark):
+    """16 of 20 and 4 of 5 shingles shared are near copies, 3 of 4 and 15 of 20 are not."""
+    rows, want = [], []
+    for k in range(20):
+        base, tail = numbered(f"a{k}", 22), [f"x{k}", f"y{k}"]
+        rows += [doc(100 * k + 1, base), doc(100 * k + 2, base[:20] + tail)]
+        short = numbered(f"b{k}", 9)
+        rows += [doc(100 * k + 11, short), doc(100 * k + 12, short[:8])]
+        less = numbered(f"c{k}", 8)
+        rows += [doc(100 * k + 21, less), doc(100 * k + 22, less[:7])]
+        far = numbered(f"d{k}", 22)
+        rows += [doc(100 * k + 31, far), doc(100 * k + 32, far[:19] + tail)]
+        want += [100 * k + i for i in (1, 11, 21, 22, 31, 32)]
+    kept = corpus_pipeline.near(spark, spark.createDataFrame(rows, DOCS), None)
+    assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_bands_are_sized_for_0_80():
+    assert (1 - 0.8**ROWS) ** BANDS < 1e-8
+    a = np.zeros((2, REGISTERS), dtype=np.uint16)
+    a[:, :ROWS] = 7
+    a[1, 2] = 0
+    keys, used = band_keys(a)
+    assert not set(keys[0][used[0]]) & set(keys[1][used[1]])
+    rows, few = few_keys(a)
+    assert set(few[rows == 0]) & set(few[rows == 1])
