@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, text_of, without, written
+from ._common import discard, small_batches, text_of, without, written
 from .graph import components
 from .hyperminhash import REGISTERS, band_keys, estimate, few_keys, jaccard_counts, possible, registers, set_key, shingles
 
@@ -31,7 +31,7 @@ def _signatures(width: int):
         for b in batches:
             sets = [shingles(t, width) for t in b["text"]]
             keys = [set_key(s) for s in sets]
-            yield pd.DataFrame({"id": b["id"], "n": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "regs": [registers(s).tobytes() for s in sets]})
+            yield pd.DataFrame({"id": b["id"], "t": b["t"], "n": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "regs": [registers(s).tobytes() for s in sets]})
 
     return run
 
@@ -140,18 +140,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        group's size times its unconnected members, so quadratic only in texts that look alike and yet are not linked.
     5. Links are unioned by large-star and small-star rounds.
 
-    Hashes of shingles have 64 bits and class keys 128, so equality on sets errs with a chance far below 1e-9 a table.
+    Hashes of shingles have 64 bits, class keys and text digests 128, so equality on sets errs with a chance far below 1e-9 a table.
+    Up to the end a class goes by a number of its own, never by an id; a component then takes the smallest id of its classes.
     Defined cases: no words (or null) is an empty set, linked with nothing; null ids link like others but are never a
-    component's id unless all its ids are null; rows that repeat an id go by their own text, and where other columns are
-    carried along they share the id's smallest component.
+    component's id unless all its ids are null; rows that repeat an id go by their own text.
     Columns of ``docs`` named like an added one are replaced; an empty table gives an empty result.
     """
     spark, threshold = docs.sparkSession, percent / 100
     small_batches(spark)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    rows = docs.select(ident.alias("id"), text_of(text_col).alias("text"))
-    sig = written(rows.mapInPandas(_signatures(width), "id long, n long, k1 long, k2 long, regs binary"), "near-signatures")
-    classes = written(sig.where("n > 0").groupBy("k1", "k2", "n", "regs").agg(F.min("id").alias("cid")), "near-classes")
+    digest = F.md5(text_of(text_col).cast("binary"))
+    rows = docs.select(ident.alias("id"), digest.alias("t"), text_of(text_col).alias("text"))
+    sig = written(rows.mapInPandas(_signatures(width), "id long, t string, n long, k1 long, k2 long, regs binary"), "near-signatures")
+    grouped = sig.where("n > 0").groupBy("k1", "k2", "n", "regs").agg(F.min(F.struct("id", "t")).alias("first"))
+    classes = written(grouped.select("k1", "k2", "n", "regs", "first.id", "first.t", F.monotonically_increasing_id().alias("cid")), "near-classes")
     bands = written(classes.select("cid", "regs").mapInPandas(_bands, "band long, cid long"), "near-bands")
     counts = written(bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "near-counts")
     shared = written(bands.join(counts, "band"), "near-shared")
@@ -160,11 +162,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = written(ranked.groupBy("band").agg(F.max(F.struct("w", (-F.col("cid")).alias("less"))).alias("best")).select("band", (-F.col("best.less")).alias("hub")), "near-hubs")
     star = written(shared.select("band", "cid").join(hubs, "band").where("hub <> cid").select("hub", "cid").distinct(), "near-stars")
 
+    for done in (bands, counts, shared, hubs):
+        discard(done)
+
     regs = classes.select("cid", "n", "regs")
     hub_regs = classes.select(F.col("cid").alias("hub"), F.col("n").alias("hub_n"), F.col("regs").alias("hub_regs"))
     sized = star.join(regs, "cid").join(hub_regs, "hub").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
     likely = written(sized.select("hub", "cid", "regs", "hub_regs").mapInPandas(_likely(threshold), "hub long, cid long"), "near-likely")
-    mine, theirs = rows.toDF("cid", "text"), rows.toDF("hub", "hub_text")
+    stands = classes.join(central.select("cid"), "cid", "left_semi").select("id", "t", "cid")
+    texts = written(rows.dropDuplicates(["id", "t"]).join(stands, ["id", "t"]).select("cid", "text"), "near-texts")
+    mine, theirs = texts, texts.toDF("hub", "hub_text")
     links = written(likely.join(mine, "cid").join(theirs, "hub").select("hub", "cid", "hub_text", "text").mapInPandas(_verified(percent, width), "hub long, cid long"), "near-links")
     linked = written(components(links.toDF("u", "v")), "near-linked")
 
@@ -185,14 +192,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         linked = written(components(links.unionByName(more).toDF("u", "v")), "near-linked")
 
-    found = sig.select("id", "n", "k1", "k2").join(classes.select("k1", "k2", "cid"), ["k1", "k2"], "left").join(linked.toDF("cid", "component"), "cid", "left")
-    component = F.coalesce("component", "cid", "id")
-    result = found.select("id", F.col("n").alias("n_shingles"), F.when(component != NO_ID, component).alias("component_id"))
+    placed = classes.select("cid", "id").join(comps("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    named = placed.groupBy("comp").agg(F.min("id").alias("component"))
+    found = sig.select("id", "t", "n", "k1", "k2").join(classes.select("k1", "k2", "cid"), ["k1", "k2"], "left").join(placed.select("cid", "comp").join(named, "comp").select("cid", "component"), "cid", "left")
+    component = F.coalesce("component", "id")
+    result = found.select("id", "t", F.col("n").alias("n_shingles"), F.when(component != NO_ID, component).alias("component_id"))
     if set(docs.columns) - {id_col, text_col}:
-        base = without(docs, *ADDED, "id").withColumn("id", ident)
-        result = base.join(result.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")), "id").drop("id")
+        base = without(docs, *ADDED, "__id", "__t").withColumn("__id", ident).withColumn("__t", digest)
+        mark = result.toDF("__id", "__t", "n_shingles", "component_id").dropDuplicates(["__id", "__t"])
+        result = base.join(mark, ["__id", "__t"]).drop("__id", "__t")
     else:
-        result = result.withColumn(id_col, F.when(F.col("id") != NO_ID, F.col("id"))).drop("id")
+        result = result.withColumn(id_col, F.when(F.col("id") != NO_ID, F.col("id"))).drop("id", "t")
     return result.withColumn("kept", F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
 
 

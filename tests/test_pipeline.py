@@ -1,10 +1,14 @@
 """Stages of the corpus pipeline on small fixtures."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from folioflow.llm import near_dedup
 from folioflow.llm.hyperminhash import BANDS, REGISTERS, ROWS, band_keys, few_keys
 
+from .llm import brute
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -43,3 +47,37 @@ def test_bands_are_sized_for_0_80():
     assert not set(keys[0][used[0]]) & set(keys[1][used[1]])
     rows, few = few_keys(a)
     assert set(few[rows == 0]) & set(few[rows == 1])
+
+
+def repeated_rows():
+    """Null ids and one repeated id on unlike texts; some of them near a numbered text, or near each other."""
+    rows, near = [], []
+    for k in range(8):
+        base = numbered(f"n{k}", 60)
+        rows.append((None, base))
+        if k % 2 == 0:
+            rows.append((10 + k, base[:59]))
+        if k % 4 == 1:
+            rows.append((None, base[1:]))
+        other = numbered(f"r{k}", 60)
+        rows.append((7, other))
+        if k % 2:
+            rows.append((3 if k == 1 else 20 + k, other[:59]))
+    rows += [(None, numbered("n0", 60)), (7, numbered("r1", 60)), (None, []), (7, [])]
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_null_and_repeated_ids_go_by_their_own_text(spark):
+    rows = repeated_rows()
+    sets = [brute.shingle_set(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    comp, least = brute.components(len(rows), links), {}
+    for (i, _), c in zip(rows, comp, strict=True):
+        if i is not None:
+            least[c] = min(i, least.get(c, i))
+    want = sorted(((i, t, len(s), least.get(c), i == least.get(c)) for (i, t), s, c in zip(rows, sets, comp, strict=True)), key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = near_dedup.near_duplicates(docs)
+    assert sorted((tuple(r) for r in plain.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str) == sorted((x[:1] + x[2:] for x in want), key=str)
+    carried = near_dedup.near_duplicates(docs.select("*", F.lit(1).alias("more")))
+    assert sorted((tuple(r) for r in carried.select("doc_id", "text", "n_shingles", "component_id", "kept").collect()), key=str) == want
