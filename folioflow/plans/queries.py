@@ -444,6 +444,47 @@ def json_model_text(spark, sf_dir):
     return c.select("conv_id", "turn", J.model_text(F.when(F.col("turn") % 2 == 0, gemini).otherwise(openai)).alias("said"))
 
 
+def _whole_replies(spark, sf_dir):
+    """Replies that quote a turn's whole text: untidy ones (bare keys, trailing commas) and well-formed ones in turn."""
+    said = F.coalesce("text", F.lit(""))
+    quoted = F.regexp_replace(F.to_json(F.struct(said.alias("t"))), r'^\{"t":|\}$', "")
+    turn = F.col("turn").cast("string")
+    untidy = F.concat(F.lit("{items:[{text:"), quoted, F.lit(',translation:"T '), turn, F.lit('",box:[0,0,10,10],},],}'))
+    tidy = F.concat(F.lit('{"items":[{"text":'), quoted, F.lit(',"translation":"T '), turn, F.lit('","box":[0,0,10,10]}]}'))
+    body = F.concat(F.lit("Sure:\n```json\n"), F.when(F.col("turn") % 2 == 0, untidy).otherwise(tidy), F.lit("\n```"))
+    return D.table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said"), body.alias("body"))
+
+
+@query()
+def json_strip_fences_whole(spark, sf_dir):
+    return _whole_replies(spark, sf_dir).select("conv_id", "turn", T.strip_fences(F.col("body")).alias("inner_text"))
+
+
+@query()
+def json_repair_whole(spark, sf_dir):
+    return _whole_replies(spark, sf_dir).select("conv_id", "turn", T.repair_json(T.strip_fences(F.col("body"))).alias("repaired"))
+
+
+@query()
+def json_typed_items_whole(spark, sf_dir):
+    rows = _whole_replies(spark, sf_dir).select("conv_id", "turn", F.posexplode(J.typed_items(F.col("body"))).alias("item_no", "i"))
+    return rows.select("conv_id", "turn", "item_no", F.col("i.text").alias("src"), F.col("i.translation").alias("dst"), F.aggregate("i.box", F.lit(0.0), lambda a, x: a + x).alias("box_sum"))
+
+
+@query()
+def json_parse_replies_whole(spark, sf_dir):
+    return J.parse_replies(_whole_replies(spark, sf_dir).drop("said")).select("conv_id", "turn", "item_no", "src", "dst")
+
+
+@query()
+def json_model_text_whole(spark, sf_dir):
+    c = _whole_replies(spark, sf_dir)
+    part = lambda t: F.struct(t.alias("text"))
+    gemini = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(part(F.col("said")), part(F.lit("tail"))).alias("parts")).alias("content"))).alias("candidates")))
+    openai = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("said", F.lit("tail")).alias("content")).alias("message"))).alias("choices")))
+    return c.select("conv_id", "turn", J.model_text(F.when(F.col("turn") % 2 == 0, gemini).otherwise(openai)).alias("said"))
+
+
 # Recognition and text layers -----------------------------------------------------------------------------------------
 
 def _tsv(spark, sf_dir):
