@@ -57,6 +57,17 @@ def flagship_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy("lang", "engine").agg(F.count("*").alias("n"), F.countDistinct(F.trim("line")).alias("texts"))
 
 
+@query(rf"""
+WITH {D.LINES}, t AS (SELECT lang, trim(line) AS raw FROM lines),
+r AS (SELECT lang, raw, len(regexp_extract_all(raw, '[\x{{4e00}}-\x{{9fff}}]')) AS han, len(regexp_extract_all(raw, '[A-Za-z]')) AS latin, regexp_replace(raw, '{T.CODES.replace("'", "''")}', '', 'g') AS masked FROM t)
+SELECT lang, CASE WHEN raw = '' OR han > latin OR NOT regexp_matches(masked, '[A-Za-z]') THEN 'skip' ELSE 'engine' END AS engine, '' AS warn, count(*) AS n, count(DISTINCT raw) AS texts
+FROM r GROUP BY ALL""")
+def flagship_translation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines, distinct, routed, codes masked, translated by a fake engine, codes restored, joined back and counted."""
+    done = L.translate(D.text_lines(spark, sf_dir), ONE_TERM, fake_engine, "line")
+    return done.groupBy("lang", "engine", "warn").agg(F.count("*").alias("n"), F.countDistinct(F.trim("line")).alias("texts"))
+
+
 # Boxes ---------------------------------------------------------------------------------------------------------------
 
 @query(f"""WITH {D.BOXES} SELECT page, no, w * h AS area, x + w / 2 AS cx, y + h / 2 AS cy, least(greatest(x, 100.0), 500.0) AS clamped,

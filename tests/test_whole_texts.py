@@ -43,3 +43,11 @@ def test_json_queries_read_whole_texts(spark, talks):
         assert (typed[key].item_no, typed[key].src, typed[key].dst, typed[key].box_sum) == (0, t, f"T {turn}", 20.0)
         assert (parsed[key].item_no, parsed[key].src, parsed[key].dst) == (0, t.strip(), f"T {turn}")
         assert said[key].said == t + "tail"
+
+
+def test_flagship_translates_every_line(spark, tmp_path):
+    lines = ["Hello there", "SKU-11227J", "AB-1234 costs 99", "100%", "", "3 boxes of 12 in", "中文 12", " 4'5\" and 160cm "]
+    docs = [(1, "en", "\n".join(lines)), (2, "de", "\r\n".join(lines * 2))]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.lang, r.engine, r.warn): (r.n, r.texts) for r in plans.QUERIES["flagship_translation_whole"](spark, str(tmp_path)).collect()}
+    assert got == {("en", "skip", ""): (4, 4), ("en", "engine", ""): (4, 4), ("de", "skip", ""): (8, 4), ("de", "engine", ""): (8, 4)}
