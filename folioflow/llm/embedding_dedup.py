@@ -23,29 +23,54 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def audited_hits(graph: Graph, q: np.ndarray, threshold: float, recall: float) -> tuple[np.ndarray, int]:
+def _pairs(tables) -> np.ndarray:
+    return np.concatenate([np.column_stack(np.nonzero(t)) + [a * CHUNK, 0] for a, t in enumerate(tables)])
+
+
+def exact_hits(vectors: np.ndarray, q: np.ndarray, threshold: float) -> np.ndarray:
+    """Row and column of all pairs, by brute force in blocks of queries."""
+    return _pairs(q[a : a + CHUNK] @ vectors.T >= threshold - 1e-9 for a in range(0, len(q), CHUNK))
+
+
+def audit_of(vectors: np.ndarray, q: np.ndarray, threshold: float, recall: float, own: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Evenly spaced queries, their true neighbours, and whether these are enough to see a loss of ``1 - recall``.
+
+    ``own``: the queries are the shard's vectors, and none counts as its own neighbour.
+    """
+    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
+    truth = q[audit] @ vectors.T >= threshold
+    if own:
+        truth[np.arange(len(audit)), audit] = False
+    return audit, truth, bool(truth.sum() * (1 - recall) >= 1 - 1e-9)
+
+
+def audited_hits(graph: Graph, q: np.ndarray, threshold: float, recall: float, own: bool = False) -> tuple[np.ndarray, int]:
     """Row and column of all pairs found, and how often the beam was widened.
 
     Evenly spaced audit queries are held against brute force; while they miss more than ``1 - recall``
-    of their true neighbours, the beam doubles and the margin grows by half. A beam as wide as the shard finds everything.
+    of their true neighbours, the beam doubles and the margin grows by half. Where they have too few true neighbours to
+    tell, or still miss some with a beam as wide as the shard, all queries are answered by brute force.
     """
     beam, margin, widened = 32, 0.02, 0
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = q[audit] @ graph.vectors.T >= threshold
-    while (graph.within(q[audit], threshold, beam, margin) & truth).sum() < recall * truth.sum() and beam < len(graph.vectors):
+    audit, truth, enough = audit_of(graph.vectors, q, threshold, recall, own)
+    if not enough:
+        return exact_hits(graph.vectors, q, threshold), widened
+    while (graph.within(q[audit], threshold, beam, margin) & truth).sum() < recall * truth.sum():
+        if beam >= len(graph.vectors):
+            return exact_hits(graph.vectors, q, threshold), widened
         beam, margin, widened = beam * 2, margin * 1.5, widened + 1
-    rows = [np.nonzero(graph.within(q[a : a + CHUNK], threshold, beam, margin)) for a in range(0, len(q), CHUNK)]
-    return np.concatenate([np.column_stack([r + a * CHUNK, c]) for a, (r, c) in enumerate(rows)]), widened
+    return _pairs(graph.within(q[a : a + CHUNK], threshold, beam, margin) for a in range(0, len(q), CHUNK)), widened
 
 
 def _links(threshold: float, recall: float):
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["shard", "cid"], kind="stable")
         mine, theirs = part[part["shard"] == key[2]], part[part["shard"] == key[3]]
-        graph = Graph(_unit(theirs["embedding"]))
-        q = _unit(mine["embedding"])
-        hits, _ = audited_hits(graph, q, threshold, recall)
-        same = key[2] == key[3]
+        vectors, q, same = _unit(theirs["embedding"]), _unit(mine["embedding"]), key[2] == key[3]
+        if audit_of(vectors, q, threshold, recall, same)[2]:
+            hits, _ = audited_hits(Graph(vectors), q, threshold, recall, same)
+        else:  # no audit could pass, so no graph is built
+            hits = exact_hits(vectors, q, threshold)
         if same:
             hits = np.unique(np.sort(hits[hits[:, 0] != hits[:, 1]], axis=1), axis=0)
         a = np.stack(mine["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)).tolist())
@@ -83,7 +108,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     vector that a third of all rows share is one row. Classes of a label are dealt by hash into shards of about ``shard``;
     a label with a third of all rows is many shards. Each pair of shards of a label is a task that
     builds the graph of one, queries it with every vector of the other, audits its recall against brute force, widens until the audit
-    passes and verifies each hit in double precision. A task returns link counts and one forest edge a vector,
+    passes (a task with too few true pairs for an audit is done by brute force in blocks) and verifies each hit in double precision. A task returns link counts and one forest edge a vector,
     never its pairs; components are unioned over those.
 
     Defined cases: rows whose label or vector is null, or whose vector is empty, zero or holds null or

@@ -1,0 +1,31 @@
+"""Audits of the small-world search that have nothing, or not enough, to go by."""
+
+import numpy as np
+import pytest
+
+from folioflow.llm.embedding_dedup import audited_hits
+
+
+class Blind:
+    """A graph whose search finds nothing but a query's own row."""
+
+    def __init__(self, vectors, own):
+        self.vectors, self.own = vectors, own
+
+    def within(self, q, threshold, beam, margin):
+        return (q @ self.vectors.T > 1 - 1e-12) & self.own
+
+
+@pytest.mark.parametrize("own", [False, True])
+@pytest.mark.parametrize("crowd", [3, 300])
+def test_pairs_that_no_audit_vouches_for_are_found(own, crowd):
+    """A few true pairs that the audit's queries miss, and many that no beam finds."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 24))
+    at = np.arange(2, 2 + crowd) if crowd > 3 else np.array([3, 4, 5])
+    x[at] = x[at[0]] + rng.normal(size=(crowd, 24)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x if own else x[:800] + 1e-4
+    q = q / np.linalg.norm(q, axis=1, keepdims=True)
+    hits, _ = audited_hits(Blind(x, own), q, 0.98, 0.999, own)
+    assert sorted(map(tuple, hits.tolist())) == sorted(map(tuple, np.argwhere(q @ x.T >= 0.98).tolist()))
