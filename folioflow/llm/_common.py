@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Fixed value: the six characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
+#: Paths of written tables that nobody has discarded yet.
+_LEFT: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests on one machine) gets a folder of its own.
+    Only a session that runs in one process (a local master, as in tests) and names none gets a folder of its own; on a
+    cluster a missing setting is an error, as executors could not see such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(__import__("shutil").rmtree, found.removeprefix("file://"), True)
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
     return found.rstrip("/")
 
 
@@ -37,17 +49,45 @@ def written(df: DataFrame, tag: str = "stage") -> DataFrame:
     result keeps its schema.
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    _LEFT.add(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folioflow_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``written`` that no later step reads."""
-    spark, path = df.sparkSession, df._folioflow_path
+def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _LEFT.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no later step reads."""
+    for df in tables:
+        delete(df.sparkSession, df._folioflow_path)
+
+
+@atexit.register
+def _discard_rest() -> None:
+    """Results are lazy and may read the last tables of their operator, so these live as long as the driver's session."""
+    spark = SparkSession.getActiveSession()
+    for path in list(_LEFT) if spark is not None else ():
+        delete(spark, path)
+
+
+def rows_of(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns that an operator reads, and whole rows as ``__row``: no name of the caller's can clash with an added one."""
+    return docs.select(*[F.col(f"`{c}`") for c in needed], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+
+
+def one_of_each(rows: DataFrame, key: str, tied: str) -> DataFrame:
+    """One row a ``key`` among the rows that are ``tied`` (boolean), and all others, as they were in ``__row``.
+
+    Only tied rows, full repeats of a row, are exchanged; copies are combined before that.
+    """
+    again = rows.where(tied).dropDuplicates([key])
+    return rows.where(f"NOT {tied}").unionByName(again).select("__row.*")
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -71,3 +111,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > rows:
         spark.conf.set(name, str(rows))
+
+
+def with_scores(docs: DataFrame, carry: list[str], inputs: list[Column], score: Callable[[pd.DataFrame], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """The columns ``carry`` of ``docs`` and a double column for each of ``names``, computed from batches of ``inputs``.
+
+    What is carried goes through the worker as Arrow data that nobody looks at, so its types and nulls stay as they are.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), *inputs)
+    schema = StructType([rows.schema["row"], *[StructField(n, DoubleType()) for n in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = score(b.select(b.schema.names[1:]).to_pandas()) if b.num_rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.asarray(x, dtype="f8")) for x in found]], names=["row", *names])
+
+    return rows.mapInArrow(run, schema).select("row.*", *names)
