@@ -7,11 +7,20 @@ import hashlib
 import numpy as np
 import xxhash
 
-#: Registers of a signature (bands of ROWS registers), and the mantissa bits that a register keeps.
-ROWS, BANDS, MANTISSA = 5, 50, 10
-REGISTERS = ROWS * BANDS
+#: Registers of a signature, bands of ROWS registers at the lowest threshold in use, and the mantissa bits that a register keeps.
+REGISTERS, ROWS, BANDS, MANTISSA = 252, 5, 50, 10
+#: Chance at which a pair at the threshold itself may share no band.
+MISS = 1e-8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-_BAND = np.random.default_rng(20).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = np.random.default_rng(20).integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def rows_for(threshold: float) -> int:
+    """The most registers a band may have so that a pair at ``threshold`` misses all bands with a chance below ``MISS``.
+
+    Longer bands make fewer chance candidates: 5 registers at 0.80, 6 at 0.85.
+    """
+    return max((r for r in range(1, 13) if (1 - threshold**r) ** (REGISTERS // r) < MISS), default=1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -79,10 +88,11 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows x BANDS) 64-bit keys of the bands, and which bands hold anything."""
-    r = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    key = mixed((mixed(r + np.uint64(1)) * _BAND).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[0])
+def band_keys(regs: np.ndarray, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures x bands) 64-bit keys of the bands of ``rows`` registers, and which bands hold anything."""
+    bands = REGISTERS // rows
+    r = regs[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+    key = mixed((mixed(r + np.uint64(1)) * _BAND[:rows]).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _ODD[0])
     return key.view(np.int64), r.any(axis=2)
 
 

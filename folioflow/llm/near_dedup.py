@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, small_batches, text_of, without, written
+from ._common import discard, one_of_each, rows_of, small_batches, text_of, without, written
 from .graph import components
-from .hyperminhash import REGISTERS, band_keys, estimate, few_keys, jaccard_counts, possible, registers, set_key, shingles
+from .hyperminhash import REGISTERS, band_keys, estimate, few_keys, jaccard_counts, possible, registers, rows_for, set_key, shingles
 
-#: Stands for a null id inside, so that it is never the smallest of its component.
-NO_ID = (1 << 63) - 1
 #: Members of a hub's group that meet in one task.
 BLOCK = 512
 ADDED = ("n_shingles", "component_id", "kept")
@@ -31,16 +30,24 @@ def _signatures(width: int):
         for b in batches:
             sets = [shingles(t, width) for t in b["text"]]
             keys = [set_key(s) for s in sets]
-            yield pd.DataFrame({"id": b["id"], "t": b["t"], "n": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "regs": [registers(s).tobytes() for s in sets]})
+            yield pd.DataFrame(
+                {
+                    "id": b["id"], "t": b["t"], "n": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys],
+                    "regs": [registers(s).tobytes() for s in sets],
+                }
+            )
 
     return run
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        regs, cid = _registers(b["regs"]), b["cid"].to_numpy()
-        (keys, used), (few, more) = band_keys(regs), few_keys(regs)
-        yield pd.DataFrame({"band": np.concatenate([keys[used], more]), "cid": np.concatenate([np.repeat(cid, used.sum(axis=1)), cid[few]])})
+def _bands(rows: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            regs, cid = _registers(b["regs"]), b["cid"].to_numpy()
+            (keys, used), (few, more) = band_keys(regs, rows), few_keys(regs)
+            yield pd.DataFrame({"band": np.concatenate([keys[used], more]), "cid": np.concatenate([np.repeat(cid, used.sum(axis=1)), cid[few]])})
+
+    return run
 
 
 def _likely(threshold: float):
@@ -102,7 +109,8 @@ def _doubtful(threshold: float):
 def _forest(threshold: float, percent: int, width: int):
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates(["cid", "text"]).reset_index(drop=True)
-        pairs = _open_pairs(*map(int, key), _registers(part["regs"]), part["comp"].to_numpy(), part["blk"].to_numpy(), part["cid"].to_numpy(), threshold)
+        columns = (part[c].to_numpy() for c in ("comp", "blk", "cid"))
+        pairs = _open_pairs(*map(int, key), _registers(part["regs"]), *columns, threshold)
         sets = [shingles(t, width) for t in part["text"]]
         comp, ids, root, out = part["comp"].tolist(), part["cid"].tolist(), {}, []
 
@@ -124,89 +132,154 @@ def _forest(threshold: float, percent: int, width: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5) -> DataFrame:
+def _meetings(sides: DataFrame, percent: int) -> DataFrame:
+    """``sides`` (hub, cid, comp, apart, n) with ``blk`` and one row for each task (``i``, ``j``) that the member is in.
+
+    Sets whose sizes differ by more than the threshold allows cannot be linked, so members of a hub are parted by size:
+    linked ones sit in the same step of a geometric scale or in neighbouring ones. A step's members are cut by hash
+    into blocks of ``BLOCK``, those apart from the hub's component and the others on their own, and blocks of near steps meet where
+    at least one holds members that are apart. A hub has a few dozen steps at most, whatever its group's size.
+    """
+    step = F.floor(F.log("n") / (math.log(100 / min(percent, 99)) * (1 + 1e-9))).cast("int")
+    sides = sides.withColumn("step", step)
+    per = sides.groupBy("hub", "step").agg(F.count_if("apart").alias("a"), F.count_if(~F.col("apart")).alias("m"))
+    per = per.select("hub", "step", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(f"{c}b") for c in "am"], (F.col("a") + F.col("m")).alias("all"))
+    hubs = per.groupBy("hub").agg(F.map_from_entries(F.collect_list(F.struct("step", F.struct("ab", "mb")))).alias("steps"), F.sum("ab").alias("open"), F.sum("all").alias("all"))
+    hubs = written(hubs.where("open > 0 and all > 1").select("hub", "steps"), "near-open-hubs")
+    here = F.element_at("steps", F.col("step"))
+    label = lambda step, b: step.cast("long") * (1 << 32) + b
+
+    def blocks(step: Column) -> Column:
+        there = F.try_element_at(F.col("steps"), step)
+        last = F.coalesce(F.when(F.col("apart"), there["ab"] + there["mb"]).otherwise(there["ab"]), F.lit(0))
+        return F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1), lambda b: label(step, b))).otherwise(F.array().cast("array<bigint>"))
+
+    mine = F.when(F.col("apart"), F.pmod(F.xxhash64("cid"), here["ab"])).otherwise(here["ab"] + F.pmod(F.xxhash64("cid"), here["mb"]))
+    dealt = sides.join(hubs, "hub").withColumn("blk", label(F.col("step"), mine))
+    other = F.explode(F.concat(*[blocks(F.col("step") + d) for d in (-1, 0, 1)]))
+    return dealt.select("hub", "cid", "comp", "blk", other.alias("o")).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """``docs`` with ``n_shingles, component_id, kept``: documents linked at Jaccard >= ``percent`` / 100.
 
     1. One pass over whole texts gives each document its set's size, a 128-bit key and its HyperMinHash registers.
        Documents with the same set are one class, so a group of copies is one row from here on.
-    2. 50 bands of 5 registers make the candidates: a pair at similarity 0.80 shares no band with a chance below 1e-8 (1e-12 at
-       0.85). Sets of five shingles and less, for which one band may hold all that is shared, also meet in keys that leave one out.
+    2. Bands of registers make the candidates, as long as a pair at the threshold shares none with a chance below 1e-8 (50
+       bands of 5 at 0.80, 42 of 6 at 0.85). Sets of five shingles and less, for which one band may hold all that is shared, also meet in
+       keys that leave one out.
     3. In each band's bucket the most central member (the one whose buckets are largest) is the hub and every
        member is paired with it: rows, not squares. Pairs pass a size test and the collision-corrected
        estimate (six deviations of slack), and are then verified on the sets of their whole texts.
     4. Members of a hub's group (the hub itself is done) that are not in the hub's component meet, in blocks of ``BLOCK`` inside tasks, each
-       other and the members that are: first by registers, then those with a possible partner by their whole sets. Only links
-       that join components leave a task. This finds what the hubs did not, with no cap or sample; its work is the
-       group's size times its unconnected members, so quadratic only in texts that look alike and yet are not linked.
+       other and the members that are, where set sizes allow a link: first by registers, then those with a possible partner by their whole sets.
+       Only links that join components leave a task. This finds what the hubs did not, with no cap or sample; its work is the
+       group's size times its unconnected members of like size, so quadratic only in texts that look alike and yet are not linked.
     5. Links are unioned by large-star and small-star rounds.
 
     Hashes of shingles have 64 bits, class keys and text digests 128, so equality on sets errs with a chance far below 1e-9 a table.
-    Up to the end a class goes by a number of its own, never by an id; a component then takes the smallest id of its classes.
-    Defined cases: no words (or null) is an empty set, linked with nothing; null ids link like others but are never a
-    component's id unless all its ids are null; rows that repeat an id go by their own text.
+    Up to the end a class goes by a number of its own, never by an id; a component then takes the smallest id of its classes, and
+    rows get their result by their text's digest. Defined cases: no words (or null) is an empty set, linked with nothing; null ids link like
+    others but are never a component's id unless all its ids are null; rows that repeat an id go by their own text, any
+    long is an id. ``kept`` is id = component id, so true for each row of a component's id (``keep_one_of_each`` keeps one).
     Columns of ``docs`` named like an added one are replaced; an empty table gives an empty result.
     """
+    marks, sig = _marks(docs, id_col, text_col, percent, width)
+    ident = F.col(f"`{id_col}`").cast("long")
+    if set(docs.columns) - {id_col, text_col}:
+        base = without(docs, *ADDED, "__t")
+        names = base.columns
+        found = base.withColumn("__t", F.md5(text_of(text_col).cast("binary"))).join(marks.withColumnRenamed("t", "__t"), "__t")
+    else:
+        names = [id_col]
+        found = sig.select(F.col("id").alias(id_col), "t").join(marks, "t")
+    found = found.withColumn("__component", F.when(F.col("__n") == 0, ident).otherwise(F.col("__component")))
+    return found.select(
+        *[F.col(f"`{c}`") for c in names], F.col("__n").alias("n_shingles"), F.col("__component").alias("component_id"),
+        ident.eqNullSafe(F.col("__component")).alias("kept"),
+    )
+
+
+def _marks(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Per distinct text ``t, __n, __component, __first`` (the text and id that stand for its component); and the signatures' ids."""
     spark, threshold = docs.sparkSession, percent / 100
     small_batches(spark)
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    digest = F.md5(text_of(text_col).cast("binary"))
-    rows = docs.select(ident.alias("id"), digest.alias("t"), text_of(text_col).alias("text"))
-    sig = written(rows.mapInPandas(_signatures(width), "id long, t string, n long, k1 long, k2 long, regs binary"), "near-signatures")
-    grouped = sig.where("n > 0").groupBy("k1", "k2", "n", "regs").agg(F.min(F.struct("id", "t")).alias("first"))
-    classes = written(grouped.select("k1", "k2", "n", "regs", "first.id", "first.t", F.monotonically_increasing_id().alias("cid")), "near-classes")
-    bands = written(classes.select("cid", "regs").mapInPandas(_bands, "band long, cid long"), "near-bands")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.md5(text_of(text_col).cast("binary")).alias("t"), text_of(text_col).alias("text"))
+    # Ids go through Python as text: a null would turn a column of longs into floats.
+    signed = rows.withColumn("id", F.col("id").cast("string")).mapInPandas(_signatures(width), "id string, t string, n long, k1 long, k2 long, regs binary")
+    sig = written(signed.withColumn("id", F.col("id").cast("long")), "near-signatures")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "t"))
+    grouped = sig.where("n > 0").groupBy("k1", "k2", "n", "regs").agg(least.alias("first"))
+    classes = written(grouped.select("k1", "k2", "n", "regs", "first", F.monotonically_increasing_id().alias("cid")), "near-classes")
+    slim = written(sig.drop("regs"), "near-ids")
+    discard(sig)
+    bands = written(classes.select("cid", "regs").mapInPandas(_bands(rows_for(threshold)), "band long, cid long"), "near-bands")
     counts = written(bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "near-counts")
     shared = written(bands.join(counts, "band"), "near-shared")
+    discard(bands, counts)
     central = written(shared.groupBy("cid").agg(F.sum("c").alias("w")), "near-central")
     ranked = shared.select("band", "cid").join(central, "cid")
-    hubs = written(ranked.groupBy("band").agg(F.max(F.struct("w", (-F.col("cid")).alias("less"))).alias("best")).select("band", (-F.col("best.less")).alias("hub")), "near-hubs")
+    best = F.max(F.struct("w", (-F.col("cid")).alias("less"))).alias("best")
+    hubs = written(ranked.groupBy("band").agg(best).select("band", (-F.col("best.less")).alias("hub")), "near-hubs")
     star = written(shared.select("band", "cid").join(hubs, "band").where("hub <> cid").select("hub", "cid").distinct(), "near-stars")
-
-    for done in (bands, counts, shared, hubs):
-        discard(done)
+    discard(shared, hubs)
 
     regs = classes.select("cid", "n", "regs")
     hub_regs = classes.select(F.col("cid").alias("hub"), F.col("n").alias("hub_n"), F.col("regs").alias("hub_regs"))
     sized = star.join(regs, "cid").join(hub_regs, "hub").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
     likely = written(sized.select("hub", "cid", "regs", "hub_regs").mapInPandas(_likely(threshold), "hub long, cid long"), "near-likely")
-    stands = classes.join(central.select("cid"), "cid", "left_semi").select("id", "t", "cid")
-    texts = written(rows.dropDuplicates(["id", "t"]).join(stands, ["id", "t"]).select("cid", "text"), "near-texts")
-    mine, theirs = texts, texts.toDF("hub", "hub_text")
-    links = written(likely.join(mine, "cid").join(theirs, "hub").select("hub", "cid", "hub_text", "text").mapInPandas(_verified(percent, width), "hub long, cid long"), "near-links")
+    stands = classes.join(central.select("cid"), "cid", "left_semi").select(F.col("first.t").alias("t"), "cid")
+    texts = written(rows.select("t", "text").dropDuplicates(["t"]).join(stands, "t").select("cid", "text"), "near-texts")
+    discard(central)
+    theirs = texts.toDF("hub", "hub_text")
+    pairs = likely.join(texts, "cid").join(theirs, "hub").select("hub", "cid", "hub_text", "text")
+    links = written(pairs.mapInPandas(_verified(percent, width), "hub long, cid long"), "near-links")
+    discard(likely)
     linked = written(components(links.toDF("u", "v")), "near-linked")
 
     comps = lambda name, comp: linked.toDF(name, comp)
-    members = written(star.join(comps("cid", "comp"), "cid", "left").join(comps("hub", "hub_comp"), "hub", "left").select("hub", "cid", F.coalesce("comp", "cid").alias("comp"), F.coalesce("hub_comp", "hub").alias("hub_comp")), "near-members")
-    sides = members.select("hub", "cid", "comp", (F.col("comp") != F.col("hub_comp")).alias("apart"))
-    open_hubs = sides.groupBy("hub").agg(F.count_if("apart").alias("a"), F.count_if(~F.col("apart")).alias("m")).where("a > 0 and a + m > 1")
-    open_hubs = written(open_hubs.select("hub", F.ceil(F.col("a") / BLOCK).cast("int").alias("ab"), F.ceil(F.col("m") / BLOCK).cast("int").alias("mb")), "near-open-hubs")
-    block = F.when(F.col("apart"), F.pmod(F.xxhash64("cid"), "ab")).otherwise(F.col("ab") + F.pmod(F.xxhash64("cid"), "mb")).cast("int")
-    open_members = written(sides.join(open_hubs, "hub").withColumn("blk", block), "near-open")
-    meets = F.sequence(F.lit(0), F.when(F.col("apart"), F.col("ab") + F.col("mb")).otherwise(F.col("ab")) - 1)
-    dealt = open_members.join(regs, "cid").withColumn("o", F.explode(meets)).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
-    fields = "hub long, i int, j int, cid long, comp long, blk int, regs binary"
+    sides = star.join(comps("cid", "comp"), "cid", "left").join(comps("hub", "hub_comp"), "hub", "left").join(classes.select("cid", "n"), "cid")
+    comp = F.coalesce("comp", "cid")
+    sides = written(sides.select("hub", "cid", "n", comp.alias("comp"), (comp != F.coalesce("hub_comp", "hub")).alias("apart")), "near-members")
+    discard(star)
+    fields = "hub long, i long, j long, cid long, comp long, blk long, regs binary"
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select(*[f.split()[0] for f in fields.split(", ")]).repartition(tasks, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    dealt = _meetings(sides, percent).join(regs.drop("n"), "cid").select(*[f.split()[0] for f in fields.split(", ")])
+    dealt = dealt.repartition(tasks, "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     doubtful = written(dealt.mapInPandas(_doubtful(threshold), fields), "near-doubtful")
-    more = written(doubtful.join(mine, "cid").repartition(tasks, "hub", "i", "j").groupBy("hub", "i", "j").applyInPandas(_forest(threshold, percent, width), "hub long, cid long"), "near-more")
+    discard(sides)
+    forest = doubtful.join(texts, "cid").repartition(tasks, "hub", "i", "j").groupBy("hub", "i", "j").applyInPandas(_forest(threshold, percent, width), "hub long, cid long")
+    more = written(forest, "near-more")
+    discard(doubtful, texts)
     if not more.isEmpty():
+        discard(linked)
         linked = written(components(links.unionByName(more).toDF("u", "v")), "near-linked")
+    discard(links, more)
+
+    placed = written(classes.select("cid", "first", "k1", "k2").join(comps("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "near-placed")
+    discard(classes, linked)
+    named = placed.groupBy("comp").agg(F.min("first").alias("__first"))
+    by_class = placed.select("k1", "k2", "comp").join(named, "comp").select("k1", "k2", "__first")
+    kinds = slim.select("t", "n", "k1", "k2").distinct().join(by_class, ["k1", "k2"], "left")
+    marks = written(kinds.select("t", F.col("n").alias("__n"), F.col("__first.id").alias("__component"), "__first"), "near-marks")
+    discard(placed)
+    return marks, slim
 
-    placed = classes.select("cid", "id").join(comps("cid", "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    named = placed.groupBy("comp").agg(F.min("id").alias("component"))
-    found = sig.select("id", "t", "n", "k1", "k2").join(classes.select("k1", "k2", "cid"), ["k1", "k2"], "left").join(placed.select("cid", "comp").join(named, "comp").select("cid", "component"), "cid", "left")
-    component = F.coalesce("component", "id")
-    result = found.select("id", "t", F.col("n").alias("n_shingles"), F.when(component != NO_ID, component).alias("component_id"))
-    if set(docs.columns) - {id_col, text_col}:
-        base = without(docs, *ADDED, "__id", "__t").withColumn("__id", ident).withColumn("__t", digest)
-        mark = result.toDF("__id", "__t", "n_shingles", "component_id").dropDuplicates(["__id", "__t"])
-        result = base.join(mark, ["__id", "__t"]).drop("__id", "__t")
-    else:
-        result = result.withColumn(id_col, F.when(F.col("id") != NO_ID, F.col("id"))).drop("id", "t")
-    return result.withColumn("kept", F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
 
+def keep_one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, one each, with all columns of ``docs`` as they were.
 
-def keep_one_of_each(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with the columns of ``docs``."""
-    marked = near_duplicates(docs.select("*", F.lit(0).alias("__mark")), percent=percent, **options)
-    return marked.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
+    The smallest id stands for its component; of its texts, should it have several there, the one of the smallest digest; of
+    full repeats of that row any. Null ids stand only where there is no other. Rows without words stay, all of them.
+    """
+    slim = rows_of(docs, id_col, text_col)
+    marks, ids = _marks(slim, id_col, text_col, percent, width)
+    stands = marks.where("__n > 0 AND t = __first.t")
+    same = ids.join(stands.select("t", F.col("__component").alias("c")), "t").where("id <=> c").groupBy("t").agg((F.count("*") > 1).alias("__tied"))
+    same = written(same, "near-stands")
+    keyed = slim.select("__row", F.col(f"`{id_col}`").cast("long").alias("__id"), F.md5(text_of(text_col).cast("binary")).alias("t"))
+    chosen = marks.join(same, "t", "left").where("__n = 0 OR __tied IS NOT NULL").select("t", "__n", "__component", F.coalesce("__tied", F.lit(False)).alias("__tied"))
+    rows = keyed.join(chosen, "t").where("__n = 0 OR __id <=> __component")
+    if same.where("__tied").isEmpty():
+        return rows.select("__row.*")
+    return one_of_each(rows, "t", "__tied")

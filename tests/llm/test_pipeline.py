@@ -77,7 +77,7 @@ def test_null_and_repeated_ids_go_by_their_own_text(spark):
             least[c] = min(i, least.get(c, i))
     want = sorted(((i, t, len(s), least.get(c), i == least.get(c)) for (i, t), s, c in zip(rows, sets, comp, strict=True)), key=str)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    plain = near_dedup.near_duplicates(docs)
+    plain = near_dedup.near_duplicates(docs, percent=85)
     assert sorted((tuple(r) for r in plain.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str) == sorted((x[:1] + x[2:] for x in want), key=str)
-    carried = near_dedup.near_duplicates(docs.select("*", F.lit(1).alias("more")))
+    carried = near_dedup.near_duplicates(docs.select("*", F.lit(1).alias("more")), percent=85)
     assert sorted((tuple(r) for r in carried.select("doc_id", "text", "n_shingles", "component_id", "kept").collect()), key=str) == want
