@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, text_of, without, written
+from ._common import BLANKS, one_of_each, rows_of, text_of, without, written
 
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -24,38 +24,47 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are matched by their bytes.
 
     Defined cases: null text counts as empty, and all empty or blank texts form one group. A null id
-    loses every tie and is ``kept`` only if its whole group has null ids. Rows that repeat an id and
-    its text are one document: all are marked as that document is. An empty table gives an empty result.
-    Columns of ``docs`` named like an added one are replaced; others pass through.
+    loses every tie and is ``kept`` only if its whole group has null ids. A row is ``kept`` that has the group's ``keep_id`` and as many
+    code points as the row that stays, so full repeats of that row are all marked (``keep_first_copies`` keeps one of them).
+    An empty table gives an empty result. Columns of ``docs`` named like an added one are replaced; others pass through.
     """
-    norm = F.translate(text_of(text_col), BLANKS, "")
-    rows = docs.select(F.col(id_col).alias("id"), F.length(text_of(text_col)).alias("points"), norm.alias("norm")).withColumn("h", digest("norm"))
-    best = F.min(F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id")))
-    groups = written(
-        rows.groupBy("h", "norm").agg(F.count("*").alias("group_size"), best.alias("best"))
-        .select("h", F.sha2("norm", 256).alias("text_sha256"), "group_size", F.col("best.id").alias("keep_id")),
-        "exact-groups",
-    )
-    base = without(docs, *ADDED, "__h", "__norm")
-    keyed = base.withColumn("__h", digest(norm))
-    shared = groups.groupBy(F.col("h").alias("__h")).agg(F.count("*").alias("__texts")).where("__texts > 1").drop("__texts")
-    groups = groups.withColumnRenamed("h", "__h")
+    out, base = _grouped(docs, id_col, text_col, digest)
+    return out.select(*[F.col(f"`{c}`") for c in base.columns], *ADDED)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    norm, points, ident = F.translate(text_of(text_col), BLANKS, ""), F.length(text_of(text_col)), F.col(f"`{id_col}`")
+    rows = docs.select(ident.alias("id"), points.alias("points"), norm.alias("norm")).withColumn("h", digest("norm"))
+    best = F.min(F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))).alias("best")
+    found = [F.sha2("norm", 256).alias("text_sha256"), "group_size", F.col("best.id").alias("keep_id"), (-F.col("best.less")).alias("__most")]
+    groups = written(rows.groupBy("h", "norm").agg(F.count("*").alias("group_size"), best).select(F.col("h").alias("__h"), *found), "exact-groups")
+    base = without(docs, *ADDED, "__h", "__norm", "__points", "__most")
+    keyed = base.withColumn("__h", digest(norm)).withColumn("__points", points)
+    shared = groups.groupBy("__h").agg(F.count("*").alias("__texts")).where("__texts > 1").drop("__texts")
     if shared.isEmpty():
         out = keyed.join(groups, "__h")
     else:
         shared = written(shared, "exact-collisions")
         in_bytes = keyed.join(shared, "__h", "left_semi").withColumn("__norm", norm)
-        their = (
-            rows.withColumnRenamed("h", "__h").join(shared, "__h", "left_semi")
-            .groupBy("__h", F.col("norm").alias("__norm")).agg(F.count("*").alias("group_size"), best.alias("best"))
-            .select("__h", "__norm", F.sha2("__norm", 256).alias("text_sha256"), "group_size", F.col("best.id").alias("keep_id"))
-        )
+        their = rows.withColumnRenamed("h", "__h").join(shared, "__h", "left_semi").groupBy("__h", "norm").agg(F.count("*").alias("group_size"), best)
+        their = their.select("__h", F.col("norm").alias("__norm"), *found)
         plain = keyed.join(shared, "__h", "left_anti").join(groups.join(shared, "__h", "left_anti"), "__h")
         out = plain.unionByName(in_bytes.join(their, ["__h", "__norm"]).drop("__norm"))
-    return out.drop("__h").withColumn("kept", F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id"))).select(*[F.col(f"`{c}`") for c in base.columns], *ADDED)
+    return out.withColumn("kept", ident.eqNullSafe(F.col("keep_id")) & (F.col("__points") == F.col("__most"))), base
 
 
-def keep_first_copies(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with the columns of ``docs``."""
-    marked = exact_dedup(docs.select("*", F.lit(0).alias("__mark")), **options)
-    return marked.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
+def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = F.md5) -> DataFrame:
+    """One row of each group, the one that ``exact_dedup`` keeps, with all columns of ``docs`` as they were.
+
+    Of full repeats of that row any one stays: ids and text lengths are counted by hash first, without texts, and only
+    rows that are repeated there are exchanged to keep one.
+    """
+    slim = rows_of(docs, id_col, text_col)
+    kept = _grouped(slim, id_col, text_col, digest)[0].where("kept")
+    norm = F.translate(text_of(text_col), BLANKS, "")
+    again = slim.groupBy(F.col(f"`{id_col}`").alias("i"), digest(norm).alias("h"), F.length(text_of(text_col)).alias("p")).agg(F.count("*").alias("n")).where("n > 1")
+    again = written(again.select("h").distinct(), "exact-repeats")
+    if again.isEmpty():
+        return kept.select("__row.*")
+    marked = kept.join(again.select(F.col("h").alias("__h"), F.lit(True).alias("__tied")), "__h", "left")
+    return one_of_each(marked.withColumn("__tied", F.coalesce("__tied", F.lit(False))), "text_sha256", "__tied")
