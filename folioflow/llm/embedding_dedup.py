@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, without, written
+from ._common import discard, small_batches, without, written
 from .graph import components
 from .hnsw import Graph
 
-NO_ID = (1 << 63) - 1
-#: Vectors that one graph holds, queries searched at a time, queries of an audit.
-SHARD, CHUNK, AUDIT = 4096, 256, 128
+#: Vectors that one graph holds (fewer where they are so long that a graph would pass ``SHARD_BYTES``), shards that query a
+#: graph in one task, queries searched at a time, queries of an audit.
+SHARD, SHARD_BYTES, ROUND, CHUNK, AUDIT = 4096, 64 << 20, 4, 256, 512
 ADDED = ("n_links", "component_id", "kept")
 
 
@@ -45,7 +47,7 @@ def audit_of(vectors: np.ndarray, q: np.ndarray, threshold: float, recall: float
 
 
 def audited_hits(graph: Graph, q: np.ndarray, threshold: float, recall: float, own: bool = False) -> tuple[np.ndarray, int]:
-    """Row and column of all pairs found, and how often the beam was widened.
+    """Row and column of all pairs found, and how often the beam was widened (-1: answered by brute force).
 
     Evenly spaced audit queries are held against brute force; while they miss more than ``1 - recall``
     of their true neighbours, the beam doubles and the margin grows by half. Where they have too few true neighbours to
@@ -54,33 +56,74 @@ def audited_hits(graph: Graph, q: np.ndarray, threshold: float, recall: float, o
     beam, margin, widened = 32, 0.02, 0
     audit, truth, enough = audit_of(graph.vectors, q, threshold, recall, own)
     if not enough:
-        return exact_hits(graph.vectors, q, threshold), widened
+        return exact_hits(graph.vectors, q, threshold), -1
     while (graph.within(q[audit], threshold, beam, margin) & truth).sum() < recall * truth.sum():
         if beam >= len(graph.vectors):
-            return exact_hits(graph.vectors, q, threshold), widened
+            return exact_hits(graph.vectors, q, threshold), -1
         beam, margin, widened = beam * 2, margin * 1.5, widened + 1
     return _pairs(graph.within(q[a : a + CHUNK], threshold, beam, margin) for a in range(0, len(q), CHUNK)), widened
 
 
-def _links(threshold: float, recall: float):
+def _sorted(part: pd.DataFrame) -> pd.DataFrame:
+    return part.sort_values(["shard", "cid"], kind="stable").reset_index(drop=True)
+
+
+def _build(threshold: float, recall: float):
+    """A shard's graph, once: its vectors, ids and copies with it. Without links where its own audit has nothing to go by."""
+
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["shard", "cid"], kind="stable")
-        mine, theirs = part[part["shard"] == key[2]], part[part["shard"] == key[3]]
-        vectors, q, same = _unit(theirs["embedding"]), _unit(mine["embedding"]), key[2] == key[3]
-        if audit_of(vectors, q, threshold, recall, same)[2]:
-            hits, _ = audited_hits(Graph(vectors), q, threshold, recall, same)
-        else:  # no audit could pass, so no graph is built
-            hits = exact_hits(vectors, q, threshold)
-        if same:
-            hits = np.unique(np.sort(hits[hits[:, 0] != hits[:, 1]], axis=1), axis=0)
-        a = np.stack(mine["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)).tolist())
-        b = np.stack(theirs["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)).tolist())
-        x, y = hits[:, 0], hits[:, 1]
-        cosine = np.concatenate([(a[x[k : k + 65536]] * b[y[k : k + 65536]]).sum(axis=1) / np.sqrt((a[x[k : k + 65536]] ** 2).sum(axis=1) * (b[y[k : k + 65536]] ** 2).sum(axis=1)) for k in range(0, len(x), 65536)]) if len(x) else np.empty(0)
-        x, y = x[cosine >= threshold], y[cosine >= threshold]
-        ids = np.concatenate([mine["cid"].to_numpy(), theirs["cid"].to_numpy()])
-        size = np.concatenate([mine["copies"].to_numpy(), theirs["copies"].to_numpy()])
-        y = y if same else y + len(mine)
+        part = _sorted(part)
+        raw = np.stack(part["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)).tolist())
+        unit = _unit(part["embedding"])
+        graph = Graph(unit) if audit_of(unit, unit, threshold, recall, True)[2] else None
+        blob = pickle.dumps((graph, raw, part["cid"].to_numpy(), part["copies"].to_numpy()), protocol=5)
+        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "shards": [part["shards"][0]], "graph": [blob]})
+
+    return run
+
+
+class _Flat:
+    """What stands in for a graph where none is built."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    parts = [slice(k, k + 65536) for k in range(0, len(a), 65536)]
+    found = [(a[s] * b[s]).sum(axis=1) / np.sqrt((a[s] ** 2).sum(axis=1) * (b[s] ** 2).sum(axis=1)) for s in parts]
+    return np.concatenate(found) if found else np.empty(0)
+
+
+def _links(threshold: float, recall: float):
+    """Link counts and a forest over what one graph and the shards that query it hold, and a row (cid -1 - shard) for each audit."""
+
+    def run(key: tuple, queries: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
+        graph, raw, cid, copies = pickle.loads(bytes(graphs["graph"][0]))
+        shard, ids, sizes, x_all, y_all, audits = int(key[2]), [cid], [copies], [], [], []
+        unit = raw / np.abs(raw).max(axis=1, keepdims=True)
+        unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        graph, at = graph if graph is not None else _Flat(unit), len(cid)
+        for other, mine in _sorted(queries).groupby("shard", sort=True):
+            same, q = other == shard, _unit(mine["embedding"])
+            searchable = isinstance(graph, Graph) or not audit_of(unit, q, threshold, recall, same)[2]
+            if not searchable:  # the shard's own pairs were too few to vouch for a graph, those with this one are not
+                graph = Graph(unit)
+            hits, widened = audited_hits(graph, q, threshold, recall, same)
+            if same:
+                hits = np.unique(np.sort(hits[hits[:, 0] != hits[:, 1]], axis=1), axis=0)
+            a = np.stack(mine["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)).tolist())
+            good = _cosines(a[hits[:, 0]], raw[hits[:, 1]]) >= threshold
+            x, y = hits[good, 0], hits[good, 1]
+            audits.append((-1 - int(other), int(widened), len(x)))
+            if not same:
+                ids.append(mine["cid"].to_numpy())
+                sizes.append(mine["copies"].to_numpy())
+                x, at = x + at, at + len(mine)
+            x_all.append(x)
+            y_all.append(y)
+        ids, size = np.concatenate(ids), np.concatenate(sizes)
+        x, y = np.concatenate(x_all), np.concatenate(y_all)
         links = np.zeros(len(ids), dtype=np.int64)
         np.add.at(links, x, size[y])
         np.add.at(links, y, size[x])
@@ -96,7 +139,8 @@ def _links(threshold: float, recall: float):
             ru, rv = find(u), find(v)
             root[max(ru, rv)] = min(ru, rv)
         has = np.flatnonzero(links)
-        return pd.DataFrame({"cid": ids[has], "links": links[has], "root": ids[[find(c) for c in has]] if len(has) else ids[:0]})
+        found = pd.DataFrame({"cid": ids[has], "links": links[has], "root": ids[[find(c) for c in has]] if len(has) else ids[:0]})
+        return pd.concat([found, pd.DataFrame(audits, columns=["cid", "links", "root"])], ignore_index=True).astype("int64")
 
     return run
 
@@ -106,34 +150,61 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
 
     Equal vectors of a label are one class from the start (linked to each other, counted by size), so a
     vector that a third of all rows share is one row. Classes of a label are dealt by hash into shards of about ``shard``;
-    a label with a third of all rows is many shards. Each pair of shards of a label is a task that
-    builds the graph of one, queries it with every vector of the other, audits its recall against brute force, widens until the audit
-    passes (a task with too few true pairs for an audit is done by brute force in blocks) and verifies each hit in double precision. A task returns link counts and one forest edge a vector,
-    never its pairs; components are unioned over those.
+    a label with a third of all rows is many shards. Each shard's graph is built once and stored; every other shard of the label
+    queries it, ``ROUND`` of them a task. A task audits the recall of each shard's queries against brute force, widens until the audit
+    passes (queries with too few true pairs for an audit are answered by brute force in blocks) and verifies each hit in double precision. It
+    returns link counts and one forest edge a vector, never its pairs; components are unioned over those.
 
-    Defined cases: rows whose label or vector is null, or whose vector is empty, zero or holds null or
+    A class goes by a number of its own, never by an id; a component takes the smallest id of its classes, and rows get their result by
+    label and a 128-bit digest of the vector. Defined cases: rows whose label or vector is null, or whose vector is empty, zero or holds null or
     non-finite components, link with nothing, keep ``n_links`` 0 and are their own component. Vectors of different lengths
     are never linked. Null ids link like others but are a component's id only if all its ids are null. Rows
-    that repeat id and vector count as further vectors. Columns named like an added one are replaced;
-    an empty table gives an empty result.
+    that repeat id and vector count as further vectors; an id under several labels goes by each label's own vectors.
+    Columns named like an added one are replaced; an empty table gives an empty result.
     """
-    small_batches(vectors.sparkSession)
-    base = without(vectors, *ADDED, "__id", "__v", "__l")
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    base = without(vectors, *ADDED, "__l", "__v", "__d")
+    ident = F.col(f"`{id_col}`").cast("long")
+    v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col(label_col).isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    keyed = base.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__l", F.when(usable, F.col(label_col).cast("string"))).withColumn("__v", F.when(usable, v))
-    classes = written(keyed.where("__l is not null").groupBy("__l", "__v").agg(F.min("__id").alias("cid"), F.count("*").alias("copies")), "vec-classes")
-    per = classes.withColumn("dim", F.size("__v")).groupBy("__l", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
-    dealt = classes.withColumn("dim", F.size("__v")).join(per, ["__l", "dim"]).withColumn("shard", F.pmod(F.xxhash64("cid"), "shards").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("i", F.least("shard", "other")).withColumn("j", F.greatest("shard", "other"))
-    tasks = dealt.select("__l", "dim", "i", "j", "shard", "cid", "copies", F.col("__v").alias("embedding"))
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so that few bytes with much work are not folded together
-    found = written(tasks.repartition(n, "__l", "dim", "i", "j").groupBy("__l", "dim", "i", "j").applyInPandas(_links(threshold, recall), "cid long, links long, root long"), "vec-links")
-    linked = components(found.select(F.col("cid").alias("u"), F.col("root").alias("v")))
-    counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    known = classes.join(counts, "cid", "left").join(linked.withColumnRenamed("id", "cid"), "cid", "left").select("__l", "__v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
-    out = keyed.join(written(known, "vec-known"), ["__l", "__v"], "left")
-    component = F.coalesce("component", "__id")
-    out = out.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")).withColumn("component_id", F.when(component != NO_ID, component))
-    return out.withColumn("kept", F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(*[F.col(f"`{c}`") for c in base.columns], *ADDED)
+    keyed = base.withColumn("__l", F.when(usable, F.col(label_col).cast("string"))).withColumn("__v", F.when(usable, v))
+    keyed = keyed.withColumn("__d", F.md5(F.concat_ws(",", F.col("__v").cast("array<string>"))))
+    classes, found = _found(keyed.where("__l IS NOT NULL").select("__l", "__d", "__v", ident.alias("id")), threshold, recall, shard)
+    links = found.where("cid >= 0")
+    linked = written(components(links.select(F.col("cid").alias("u"), F.col("root").alias("v"))), "vec-linked")
+    counts = links.groupBy("cid").agg(F.sum("links").alias("links"))
+    placed = classes.drop("__v").join(counts, "cid", "left").join(linked.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    placed = written(placed.select("__l", "__d", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component", "first"), "vec-placed")
+    named = placed.groupBy("component").agg(F.min("first").alias("first"))
+    known = written(placed.drop("first").join(named, "component").select("__l", "__d", "n_links", F.col("first.id").alias("component_id")), "vec-known")
+    discard(classes, found, linked, placed)
+    names = [F.col(f"`{c}`") for c in base.columns]
+    out = keyed.where("__l IS NOT NULL").join(known, ["__l", "__d"]).select(*names, "n_links", "component_id")
+    alone = keyed.where("__l IS NULL").select(*names, F.lit(0).cast("long").alias("n_links"), ident.alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", ident.eqNullSafe(F.col("component_id")))
+
+
+def _found(keyed: DataFrame, threshold: float, recall: float, shard: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal vectors, and what the tasks found among them (rows of ``cid`` below 0 tell of audits)."""
+    spark = keyed.sparkSession
+    small_batches(spark)
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id"))
+    grouped = keyed.groupBy("__l", "__d").agg(F.first("__v").alias("__v"), least.alias("first"), F.count("*").alias("copies"))
+    classes = written(grouped.withColumn("dim", F.size("__v")).withColumn("cid", F.monotonically_increasing_id()), "vec-classes")
+    most = F.greatest(F.lit(1), F.least(F.lit(shard), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim")))))
+    per = classes.groupBy("__l", "dim").agg(F.count("*").alias("n")).select("__l", "dim", F.ceil(F.col("n") / most).cast("int").alias("shards"))
+    dealt = classes.join(per, ["__l", "dim"]).select("__l", "dim", "shards", F.pmod(F.xxhash64("cid"), "shards").cast("int").alias("shard"), "cid", "copies", F.col("__v").alias("embedding"))
+    dealt = written(dealt, "vec-dealt")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, so that few bytes with much work are not folded together
+    built = dealt.withColumnRenamed("__l", "label").repartition(n, "label", "dim", "shard").groupBy("label", "dim", "shard")
+    graphs = written(built.applyInPandas(_build(threshold, recall), "label string, dim int, shard int, shards int, graph binary"), "vec-graphs")
+    # Shard i queries the graphs of the shards from i on, in rounds counted from each graph's own shard.
+    asked = dealt.withColumn("at", F.explode(F.sequence("shard", F.col("shards") - 1))).withColumn("turn", F.floor((F.col("at") - F.col("shard")) / ROUND).cast("int"))
+    asked = asked.select(F.col("__l").alias("label"), "dim", "at", "turn", "shard", "cid", "copies", "embedding")
+    turns = F.explode(F.sequence(F.lit(0), F.floor(F.col("shard") / ROUND).cast("int")))
+    served = graphs.select("label", "dim", F.col("shard").alias("at"), turns.alias("turn"), "graph")
+    keys = ("label", "dim", "at", "turn")
+    pairs = asked.repartition(n, *keys).groupBy(*keys).cogroup(served.repartition(n, *keys).groupBy(*keys))
+    found = written(pairs.applyInPandas(_links(threshold, recall), "cid long, links long, root long"), "vec-links")
+    discard(dealt, graphs)
+    return classes, found
