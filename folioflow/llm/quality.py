@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,9 +12,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, small_batches, text_of, without
+from ._common import discard, held_out, rows_of, small_batches, text_of, with_scores, without, written
 
-WORDS, SOURCES, LANGS = 512, 32, 16
+WORDS, SIZES, SOURCES, LANGS = 512, 24, 64, 16
 ADDED = ("held_out", "text_score", "meta_score", "score", "predicted", "kept_quality")
 
 
@@ -40,14 +41,16 @@ def text_view(text: str) -> np.ndarray:
     return np.concatenate([np.array(head), np.bincount(slots, minlength=WORDS) / n])
 
 
-def meta_view(n_chars: float | None, lang: str | None, source: str | None, text: str) -> np.ndarray:
-    """What a crawler records of a page: length, lines, bytes a character, language and source."""
-    lines = text.count("\n") + 1
-    size = float(n_chars) if n_chars is not None and n_chars == n_chars else float(len(text))
-    out = np.zeros(6 + LANGS + SOURCES)
-    out[:6] = [np.log1p(max(0.0, size)), np.log1p(lines), np.log1p(size / lines), np.log1p(max(map(len, text.split("\n")))), len(text.encode()) / max(1, len(text)), float(n_chars is None)]
-    out[6 + xxhash.xxh32_intdigest(str(lang).encode()) % LANGS] = 1
-    out[6 + LANGS + xxhash.xxh32_intdigest(str(source).encode()) % SOURCES] = 1
+def meta_view(n_chars: float | None, lang: str | None, source: str | None) -> np.ndarray:
+    """What a crawler records of a page, and nothing of its text: length, language and source."""
+    out = np.zeros(2 + SIZES + LANGS + SOURCES)
+    if n_chars is None or n_chars != n_chars:
+        out[1] = 1
+    else:
+        out[0] = np.log1p(max(0.0, float(n_chars))) / 10
+        out[2 + min(SIZES - 1, int(np.log2(1 + max(0.0, float(n_chars)))))] = 1
+    out[2 + SIZES + xxhash.xxh32_intdigest(str(lang).encode()) % LANGS] = 1
+    out[2 + SIZES + LANGS + xxhash.xxh32_intdigest(str(source).encode()) % SOURCES] = 1
     return out
 
 
@@ -60,18 +63,28 @@ class Logistic:
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3.0, steps: int = 25) -> Logistic:
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        z = np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))])
-        w = np.zeros(z.shape[1])
-        reg = np.full(len(w), ridge)
-        reg[-1] = 1e-3
+        found = cls(mean, scale, np.zeros(x.shape[1] + 1))
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            h = (z * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z + np.diag(reg)
-            step = np.linalg.solve(h, z.T @ (weight * (p - y)) + reg * w)
-            w = w - step * min(1.0, 5.0 / (np.abs(step).max() + 1e-9))
-            if np.abs(step).max() < 1e-5:
+            if np.abs(found.step(*found.sums(x, y, weight), ridge)).max() < 1e-5:
                 break
-        return cls(mean, scale, w)
+        return found
+
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))])
+
+    def sums(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the loss at these rows; both add up over any parts of the data."""
+        z = self.rows(x)
+        p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+        return z.T @ (weight * (p - y)), (z * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z
+
+    def step(self, grad: np.ndarray, curve: np.ndarray, ridge: float = 3.0) -> np.ndarray:
+        """One damped Newton step."""
+        reg = np.full(len(self.w), ridge)
+        reg[-1] = 1e-3
+        by = np.linalg.solve(curve + np.diag(reg), grad + reg * self.w)
+        self.w = self.w - by * min(1.0, 5.0 / (np.abs(by).max() + 1e-9))
+        return by
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8) @ self.w[:-1] + self.w[-1]
@@ -90,45 +103,66 @@ class CoTrained:
         return views[0], views[1], 1 / (1 + np.exp(-np.clip(self.mix.margin(np.column_stack([mt, mm])), -30, 30)))
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, rounds: int = 5, share: float = 0.05, sure: float = 0.95) -> CoTrained | None:
-    """``y``: 1, 0, or -1 for unlabelled. Every fourth labelled row calibrates and is not trained on.
+def sure_margin(margin: np.ndarray, y: np.ndarray, label: int, sure: float, least: int = 5) -> float:
+    """The smallest margin from which a view is right about ``label`` on at least ``sure`` of (and ``least``) calibration rows; inf if none."""
+    toward = margin if label else -margin
+    order = np.argsort(-toward, kind="stable")
+    right = np.cumsum(y[order] == label) / np.arange(1, len(order) + 1)
+    good = np.flatnonzero((right >= sure) & (np.arange(1, len(order) + 1) >= least) & (toward[order] > 0))
+    return float(toward[order][good[-1]]) if len(good) else float("inf")
 
-    In each round either view labels the ``share`` of the unlabelled rows of which it is surest, for the other view, but only
-    a class for which it was right on at least ``sure`` of the calibration rows that it would have labelled.
+
+#: What a pass over the pool brings for each view and lent label: rows, gradient and curvature.
+Sums = list[list[tuple[float, np.ndarray, np.ndarray]]]
+
+
+def lent_sums(views: tuple[Logistic, Logistic], least: list[list[float]], x: tuple[np.ndarray, np.ndarray]) -> Sums:
+    """For either view and label, the sums over the rows of which the other view is sure."""
+    margins, out = [v.margin(a) for v, a in zip(views, x, strict=True)], []
+    for k, view in enumerate(views):
+        other, per = margins[1 - k], []
+        for label in (0, 1):
+            rows = (other if label else -other) >= least[1 - k][label]
+            per.append((float(rows.sum()), *view.sums(x[k][rows], np.full(int(rows.sum()), float(label)), np.ones(int(rows.sum())))))
+        out.append(per)
+    return out
+
+
+def add_sums(a: Sums | None, b: Sums) -> Sums:
+    return b if a is None else [[tuple(x + y for x, y in zip(p, q, strict=True)) for p, q in zip(v, w, strict=True)] for v, w in zip(a, b, strict=True)]
+
+
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, lent, rounds: int = 4, sure: float = 0.95, share: float = 0.5) -> CoTrained | None:
+    """Both views' classifiers from labelled rows and a pool of any size. Every fourth labelled row calibrates and is not trained on.
+
+    Each view starts from the labelled rows. In each round it lends its label to all pool rows whose margin is one at which it was right on
+    at least ``sure`` of the calibration rows, and the other view takes a Newton step on its labelled rows and on what is lent to it;
+    the lent rows of a class together weigh ``share`` of its labelled ones, so a larger pool makes them steadier, not heavier.
+    ``lent(views, margins)`` passes once over the pool and returns ``lent_sums`` of it, or None where the pool is empty.
     """
-    known, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
-    calibrate = known[::4]
-    own = np.setdiff1d(known, calibrate)
-    if len(set(y[own].tolist())) < 2 or len(set(y[calibrate].tolist())) < 2:
+    calibrate = np.arange(len(y)) % 4 == 0
+    own, goal = y[~calibrate], y[calibrate].astype(float)
+    if len(set(own.tolist())) < 2 or len(set(goal.tolist())) < 2:
         return None
-    views, lent = (xt, xm), ({}, {})
-    fitted = [None, None]
+    x = (xt, xm)
+    fitted = tuple(Logistic.fit(a[~calibrate], own, np.ones(len(own))) for a in x)
     for _ in range(rounds):
-        for k in (0, 1):
-            rows = np.concatenate([own, np.array(sorted(lent[k]), dtype=int)])
-            goal = np.concatenate([y[own], np.array([lent[k][i] for i in sorted(lent[k])], dtype=int)]).astype(float)
-            fitted[k] = Logistic.fit(views[k][rows], goal, np.concatenate([np.ones(len(own)), np.full(len(lent[k]), 0.3)]))
-        for k in (0, 1):
-            margin, there = fitted[k].margin(views[k][pool]) if len(pool) else np.empty(0), fitted[k].margin(views[k][calibrate])
-            for label, sign in ((1, 1.0), (0, -1.0)):
-                prior = (y[own] == label).mean()
-                take = int(share * len(pool) * prior)
-                if not take:
-                    continue
-                best = np.argsort(-sign * margin, kind="stable")[:take]
-                like = sign * there >= max(0.0, (sign * margin[best]).min())
-                if like.any() and (y[calibrate][like] == label).mean() >= sure:
-                    lent[1 - k].update({int(pool[i]): label for i in best if sign * margin[i] > 0})
-    ones = np.ones(len(calibrate))
-    margins = [f.margin(v[calibrate]) for f, v in zip(fitted, views, strict=True)]
-    goal = y[calibrate].astype(float)
+        least = [[sure_margin(v.margin(a[calibrate]), y[calibrate], label, sure) for label in (0, 1)] for v, a in zip(fitted, x, strict=True)]
+        sums = lent(fitted, least)
+        if sums is None:
+            break
+        for v, a, per in zip(fitted, x, sums, strict=True):
+            grad, curve = v.sums(a[~calibrate], own, np.ones(len(own)))
+            for label, (n, g, c) in enumerate(per):
+                weight = share * (own == label).sum() / n if n else 0.0
+                grad, curve = grad + weight * g, curve + weight * c
+            v.step(grad, curve)
+    ones = np.ones(len(goal))
+    margins = [v.margin(a[calibrate]) for v, a in zip(fitted, x, strict=True)]
     single = tuple(Logistic.fit(m[:, None], goal, ones, 1.0) for m in margins)
     return CoTrained(fitted[0], fitted[1], Logistic.fit(np.column_stack(margins), goal, ones, 1.0), single)
 
 
-_INPUT = "text string, n_chars double, lang string, source string"
-
-
 def _rows(docs: DataFrame, text_col: str):
     have = {c.lower() for c in docs.columns}
     text = text_of(text_col)
@@ -137,34 +171,82 @@ def _rows(docs: DataFrame, text_col: str):
 
 
 def _views(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    texts = batch["text"]
-    xm = [meta_view(None if pd.isna(n) else n, lang, source, t) for n, lang, source, t in zip(batch["n_chars"], batch["lang"], batch["source"], texts, strict=True)]
-    return np.array([text_view(t) for t in texts]), np.array(xm)
+    xm = [meta_view(None if pd.isna(n) else n, lang, source) for n, lang, source in zip(batch["n_chars"], batch["lang"], batch["source"], strict=True)]
+    return np.array([text_view(t) for t in batch["text"]]), np.array(xm)
+
 
+def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        if len(b):
+            xt, xm = _views(b)
+            yield pd.DataFrame({"id": b["id"], "xt": [x.astype("<f2").tobytes() for x in xt], "xm": [x.astype("<f2").tobytes() for x in xm]})
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = 4000, unlabelled: int = 4000) -> CoTrained | None:
-    """Co-train on at most ``labelled`` and ``unlabelled`` documents (the smallest hashes of their ids), held-out ids apart.
 
-    An id with several labels counts as the rounded mean, half up. None when the sample lacks a class.
+def _stacked(column) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, column)), dtype="<f2").reshape(len(column), -1).astype(np.float64)
+
+
+def _pool_pass(pool: DataFrame):
+    """``lent`` over a table of views: a task adds up its rows, then few tasks add up many, each one row at a time."""
+    spark = pool.sparkSession
+
+    def lent(views: tuple[Logistic, Logistic], least: list[list[float]]) -> Sums | None:
+        shared = spark.sparkContext.broadcast((views, least))
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for b in batches:
+                if len(b):
+                    total = add_sums(total, lent_sums(*shared.value, (_stacked(b["xt"]), _stacked(b["xm"]))))
+            if total is not None:
+                yield pd.DataFrame({"sums": [pickle.dumps(total)]})
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for b in batches:
+                for raw in b["sums"]:
+                    total = add_sums(total, pickle.loads(bytes(raw)))
+            if total is not None:
+                yield pd.DataFrame({"sums": [pickle.dumps(total)]})
+
+        done = written(pool.select("xt", "xm").mapInPandas(part, "sums binary"), "quality-sums")
+        while (n := done.count()) > 8:
+            fewer = written(done.repartition(-(-n // 32)).mapInPandas(add, "sums binary"), "quality-sums")
+            discard(done)
+            done = fewer
+        total = None
+        for r in done.toLocalIterator():
+            total = add_sums(total, pickle.loads(bytes(r["sums"])))
+        discard(done)
+        return total
+
+    return lent
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = 4000) -> CoTrained | None:
+    """Co-train on at most ``labelled`` labelled documents (the smallest hashes of their ids) and on all that have no label, held-out ids apart.
+
+    An id with several labels counts as the rounded mean, half up; null ids neither teach nor join the pool. None when the sample lacks a class.
+    Both views of every document are written once, as half-precision numbers (a tenth to a third of the texts); each round reads that table.
     """
     small_batches(docs.sparkSession)
-    y = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
-    ids = docs.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).join(y, "id", "left").withColumn("o", F.xxhash64("id", F.lit(9)))
-    picked = [(r["id"], -1 if r["y"] is None else r["y"]) for known, n in ((True, labelled), (False, unlabelled)) for r in ids.where(F.col("y").isNotNull() if known else F.col("y").isNull()).orderBy("o", "id").limit(n).collect()]
-    want = F.broadcast(docs.sparkSession.createDataFrame(picked, "id long, y int").dropDuplicates(["id"]))
-    rows = docs.select(F.col(id_col).alias("id"), *_rows(docs, text_col)).join(want, "id")
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                xt, xm = _views(b)
-                yield pd.DataFrame({"id": b["id"], "y": b["y"], "xt": [x.astype("<f4").tobytes() for x in xt], "xm": [x.astype("<f4").tobytes() for x in xm]})
-
-    found = sorted(rows.select("id", "y", "text", "n_chars", "lang", "source").mapInPandas(extract, "id long, y int, xt binary, xm binary").toLocalIterator(), key=lambda r: (r["id"], bytes(r["xt"])))
+    y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
+    y = y.agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
+    ident = F.col(f"`{id_col}`").cast("long")
+    slim = docs.select(ident.alias("id"), *_rows(docs, text_col)).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    views = written(slim.mapInPandas(_extract, "id long, xt binary, xm binary"), "quality-views")
+    order = F.xxhash64("id", F.lit(9))
+    picked = y.where(~held_out(F.col("id"))).join(views.select("id"), "id", "left_semi").withColumn("o", order).orderBy("o", "id").limit(labelled)
+    want = F.broadcast(docs.sparkSession.createDataFrame([(r["id"], r["y"]) for r in picked.collect()], "id long, y int"))
+    one = views.join(want, "id").groupBy("id").agg(F.min(F.struct("xt", "xm", "y")).alias("r")).orderBy("id")  # a row an id, however often it occurs
+    found = [(r["id"], r["r"]["y"], r["r"]["xt"], r["r"]["xm"]) for r in one.toLocalIterator()]
+    pool = written(views.join(y, "id", "left_anti"), "quality-pool")
+    discard(views)
     if not found:
         return None
-    stack = lambda c: np.frombuffer(b"".join(bytes(r[c]) for r in found), dtype="<f4").reshape(len(found), -1).astype(np.float64)
-    return co_train(stack("xt"), stack("xm"), np.array([r["y"] for r in found]))
+    model = co_train(_stacked([r[2] for r in found]), _stacked([r[3] for r in found]), np.array([r[1] for r in found]), _pool_pass(pool))
+    discard(pool)
+    return model
 
 
 def score_quality(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,28 +255,23 @@ def score_quality(docs: DataFrame, model: CoTrained | None, id_col: str = "doc_i
     Defined cases: null and empty texts are scored as texts without words; a missing or null metadata column is a value of its own; null
     ids pass through; repeated rows score alike; without a model (no labels of both classes) every score is 1; columns named like an added one are replaced.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     base = without(docs, *ADDED)
-    shared = spark.sparkContext.broadcast(model)
+    return _scored(base, base.columns, model, text_col).withColumn("held_out", held_out(F.col(id_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def _scored(docs: DataFrame, carry: list[str], model: CoTrained | None, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batch: pd.DataFrame) -> list[np.ndarray]:
         m = shared.value
-        for b in batches:
-            if not len(b):
-                continue
-            a, c, s = m.scores(*_views(b)) if m is not None else [np.ones(len(b))] * 3
-            out = b[["row"]].copy()
-            yield out.assign(text_score=a, meta_score=c, score=s)
-
-    slim = F.struct(*[F.col(f"`{c}`") for c in base.columns])
-    rows = base.select(slim.alias("row"), *_rows(base, text_col))
-    kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInPandas(score, f"row {kind}, text_score double, meta_score double, score double").select("row.*", "text_score", "meta_score", "score")
-    return out.withColumn("held_out", held_out(F.col(id_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with a score of 0.5 or more, with the columns of ``docs``."""
-    marked = score_quality(docs, fit_quality(docs, labels, **options))
-    return marked.where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
+        return list(m.scores(*_views(batch))) if m is not None else [np.ones(len(batch))] * 3
+
+    return with_scores(docs, carry, _rows(docs, text_col), score, ["text_score", "meta_score", "score"])
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with a score of 0.5 or more, with all columns of ``docs`` as they were."""
+    named = [c for c in ("n_chars", "lang", "source") if c in docs.columns]
+    model = fit_quality(docs, labels, id_col, text_col, **options)
+    return _scored(rows_of(docs, text_col, *named), ["__row"], model, text_col).where("score >= 0.5").select("__row.*")
