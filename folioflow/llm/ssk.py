@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 
 #: Subsequence length, decay for each spanned character, longest span, letters of the alphabet, longest piece of a word.
-P, DECAY, SPAN, LETTERS, LONGEST = 3, 0.6, 7, 32, 24
+P, DECAY, SPAN, LETTERS, LONGEST = 3, 0.6, 7, 48, 24
 DIM = LETTERS**P
 _GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
 
 def _code(c: str) -> int:
-    if "a" <= c <= "z":
-        return ord(c) - 96
-    return 31 if not c.isalpha() else 27 + ord(c) % 4
+    """1 to 26 for a to z and their accented forms, 47 for what is no letter; other scripts' letters share 27 to 46 by a hash."""
+    base = unicodedata.normalize("NFKD", c)[0].lower()
+    if "a" <= base <= "z":
+        return ord(base) - 96
+    if not c.isalpha():
+        return LETTERS - 1
+    return 27 + ((ord(c) * 2654435761 & 0xFFFFFFFF) >> 16) % (LETTERS - 28)
+
+
+class _Codes(dict):
+    def __missing__(self, c: str) -> int:
+        self[c] = code = _code(c)
+        return code
 
 
-_CODES = {chr(i): _code(chr(i)) for i in range(0x180)}
+_CODES = _Codes()
 
 
 def encode(words: list[str]) -> np.ndarray:
@@ -24,7 +36,7 @@ def encode(words: list[str]) -> np.ndarray:
     width = max([P, *map(len, words)]) + SPAN
     out = np.zeros((len(words), width), dtype=np.int32)
     for i, w in enumerate(words):
-        out[i, : len(w)] = [_CODES.get(c) or _code(c) for c in w]
+        out[i, : len(w)] = [_CODES[c] for c in w]
     return out
 
 
