@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,11 +32,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: What a tokenizer file says that normalises and splits as _WORD and lower() do.
+_NORMALISER = {"NFC", "Lowercase", "Replace \\s+"}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_in_words(tokenizer) -> bool:
+    """Whether a loaded tokenizer's own description is that of the word vocabularies that ``WordEncoder`` splits for."""
+    said = json.loads(tokenizer.to_str())
+    norm, pre = said.get("normalizer") or {}, said.get("pre_tokenizer") or {}
+    steps = {f"{n['type']} {n['pattern'].get('Regex')}" if n["type"] == "Replace" else n["type"] for n in norm.get("normalizers", [])}
+    split = [p.get("pattern", {}).get("Regex") for p in pre.get("pretokenizers", []) if p["type"] == "Split"]
+    model = said.get("model") or {}
+    return steps == _NORMALISER and split == [_SPLIT] and model.get("type") == "BPE" and not model.get("byte_fallback")
+
+
 class WordEncoder:
     """Token ids of whole texts, each distinct word put through the tokenizer's model once.
 
     Holds for lower-casing word BPE vocabularies that split at white space, letters, single digits and
-    the rest. Words are remembered in two generations of about ``most``: a full one becomes the older, whose words
+    the rest, which the loaded file must say itself (``splits_in_words``); any other tokenizer encodes every text whole. Words are remembered in two generations of about ``most``: a full one becomes the older, whose words
     come back as they recur, each as its ids' bytes, and are otherwise forgotten with it; a text with any character outside the plain set, or with the mark of a
     special token, is encoded whole by the tokenizer. The tests hold both ways against it.
     """
@@ -45,6 +61,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model  # the pipeline around it is what _WORD and lower() stand for
+        self.by_word = splits_in_words(self.tokenizer)
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -61,7 +78,7 @@ class WordEncoder:
                 known[w] = ids
 
     def ids(self, text: str) -> np.ndarray:
-        if "<|" in text or not _PLAIN.fullmatch(text):
+        if not self.by_word or "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         words = _WORD.findall(text.lower())
         if len(self.known) > self.most:
@@ -152,10 +169,11 @@ def pack_pieces(pieces: DataFrame, length: int = 4096, seed: int = 11, group: in
 
     Pieces are dealt by a seeded hash into randomised groups of about ``group``, each packed on its
     own; a sequence id is the group's number and the bin in it. Only the pieces' numbers go through
-    this exchange, and a document's pieces go to different groups, so a very long document is no single task.
+    this exchange, and a document's pieces go to different groups, so a very long document is no single task. The hash takes in
+    where the written table holds a piece, so that repeated rows (a third of all may be one) are dealt out like any others.
     """
     groups = max(1, -(-pieces.count() // group))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", F.lit(seed)), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
