@@ -26,17 +26,17 @@ def _open_range(key: str, other: str, bits: int, prefix: int) -> tuple[Column, C
     return inside, probe if used else (F.shiftright(word, 64 - STEP) + F.lit(1 << (STEP - 1)))
 
 
-def splitters(rows: DataFrame, n: int, tolerance: float, key: str, other: str, size: str) -> list[int]:
-    """The ``n - 1`` 128-bit keys that cut ``rows`` into ``n`` ranges of near equal ``size``.
+def splitters(rows: DataFrame, n: int, tolerance: float, key: str, other: str, size: str, parts: int = 1) -> list[int]:
+    """The ``n * parts - 1`` 128-bit keys that cut ``rows`` into ``n`` ranges of near equal ``size``, each of them into ``parts``.
 
     Each round counts, over all rows, the exact size between neighbouring probes inside the still
     open intervals (a few hundred sums per round reach the driver, whatever the input) and keeps for
-    each splitter the probe nearest its target. A splitter is settled once it is within ``tolerance``
-    of a shard, or when the interval holds a single row.
+    each splitter the probe nearest its target. A splitter of the ``n`` ranges is settled once it is within ``tolerance``
+    of a range, an inner one within half of its part, or when the interval holds a single row.
     """
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    goals = {j: total * j / n for j in range(1, n)}
-    slack, settled = tolerance * total / n, {}
+    total, fine = rows.agg(F.sum(size)).first()[0] or 0, n * parts
+    goals = {j: total * j / fine for j in range(1, fine)}
+    slack, settled = {j: tolerance * total / n if j % parts == 0 else total / fine / 2 for j in goals}, {}
     where = {j: (0, 0, 0) for j in goals}  # bits, prefix, size below the interval
     while where:
         spots = sorted(set(where.values()))
@@ -58,63 +58,79 @@ def splitters(rows: DataFrame, n: int, tolerance: float, key: str, other: str, s
             low = (prefix << STEP) | probe_no
             off, cut = min((abs(below - goals[j]), low), (abs(below + held - goals[j]), low + 1))
             bits += STEP
-            if off <= slack or count <= 1 or bits >= 128:
+            if off <= slack[j] or count <= 1 or bits >= 128:
                 settled[j] = cut << (128 - bits)
                 del where[j]
             else:
                 where[j] = (bits, low, below)
-    return [settled[j] for j in sorted(settled)]
+    # An inner splitter, settled more loosely, may have come out beyond its range's own: it then cuts off nothing.
+    main = [0, *[settled[j] for j in sorted(settled) if j % parts == 0], 1 << 128]
+    return [min(max(settled[j], main[j // parts]), main[j // parts + 1]) for j in sorted(settled)]
+
+
+def _range_of(cuts: list[int], key: str, other: str) -> Column:
+    """How many of the ascending ``cuts`` are at or below a row's key: a binary search written as nested conditions."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        top, rest = (cuts[mid] >> 64) - _SIGN, (cuts[mid] & (2 * _SIGN - 1)) - _SIGN
+        if top >= _SIGN:  # above every key
+            return search(low, mid)
+        reached = (F.col(key) > F.lit(top)) | ((F.col(key) == F.lit(top)) & (F.col(other) >= F.lit(rest)))
+        return F.when(reached, search(mid + 1, high)).otherwise(search(low, mid))
+
+    return search(0, len(cuts))
 
 
 def shard_by_bytes(rows: DataFrame, n: int = 8, key: str = "k1", other: str = "k2", size: str = "size", tolerance: float = 0.002) -> DataFrame:
     """``rows`` with ``shard`` (0 to n - 1) and ``slot`` (gapless from 0 in each shard), sorted by key.
 
     ``key`` and ``other`` are long columns, compared in that order; ``rows`` should be a written table, as it is read once a round.
-    Rows are exchanged once, by key range; a shard is spread over many tasks and its
-    slots follow from each task's row counts, so no task holds a whole shard. The joined count
-    table has one row per task and shard, so it is broadcast. Only DataFrame functions are used.
+    The splitters themselves deal the rows out, once: a task gets one of the ranges that they cut each shard into (as many in
+    all as ``spark.sql.shuffle.partitions``), so no task holds a whole shard, and
+    slots follow from each task's row counts. The joined count table has one row per task, so it is broadcast. Only DataFrame functions are used.
     """
-    cuts = splitters(rows, n, tolerance, key, other, size)
-    shard = F.lit(0)
-    for cut in cuts:
-        high, low = (cut >> 64) - _SIGN, (cut & (2 * _SIGN - 1)) - _SIGN
-        if high >= _SIGN:  # above every key
-            continue
-        shard = shard + F.when((F.col(key) > F.lit(high)) | ((F.col(key) == F.lit(high)) & (F.col(other) >= F.lit(low))), 1).otherwise(0)
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n)
+    cuts = splitters(rows, n, tolerance, key, other, size, parts)
     rest = [c for c in rows.columns if c not in (key, other)]
     sorted_rows = written(
-        rows.withColumn("shard", shard).repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, other)
-        .sortWithinPartitions(key, other, *[c for c in rest if rows.schema[c].dataType.typeName() in ("long", "integer", "string")])
-        .withColumn("__task", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()),
+        rows.withColumn("__range", _range_of(cuts, key, other)).repartitionById(n * parts, "__range")
+        .sortWithinPartitions("__range", key, other, *[c for c in rest if rows.schema[c].dataType.typeName() in ("long", "integer", "string")])
+        .withColumn("__at", F.monotonically_increasing_id()),
         "sharded",
     )
-    runs = sorted_rows.groupBy("shard", "__task").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    runs = sorted_rows.groupBy("__range").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    runs = runs.withColumn("shard", F.floor(F.col("__range") / parts).cast("int"))
+    before = Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    return sorted_rows.join(F.broadcast(runs), ["shard", "__task"]).withColumn("slot", F.col("__row") - F.col("__first") + F.col("__start")).drop("__task", "__row", "__first", "__start")
+    return sorted_rows.join(F.broadcast(runs), "__range").withColumn("slot", F.col("__at") - F.col("__first") + F.col("__start")).drop("__range", "__at", "__first", "__start")
 
 
 def histogram_shards(docs: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: bool = True, tolerance: float = 0.002) -> DataFrame:
-    """Documents in ``n`` shards of near equal bytes, sorted by (hash of the text, id).
+    """Documents in ``n`` shards of near equal bytes, sorted by hashes of the text and of the id.
 
-    Copies of a text are neighbours, so they share a shard unless a splitter has to cut the group to
-    keep the bytes equal. ``size`` is the UTF-8 bytes of the text plus 1; a null text has none and so size 1 and
-    crc 0. Null ids sort first. Repeated rows cannot be told apart and keep neighbouring slots.
+    Copies of a text are neighbours, so they share a shard unless a splitter falls into the group and cuts it to
+    keep the bytes equal. Rows that repeat a text and an id are told apart by 20 more bits, so that they can be dealt out
+    even if a third of all rows are one. ``size`` is the UTF-8 bytes of the text plus 1; a null text has none and so size 1 and
+    crc 0. Null ids are like any other.
     With ``carry`` all columns of ``docs`` pass through the exchange (those named like an added one are
     replaced), else only the id. An empty table gives an empty result.
     """
     text = text_of(text_col)
-    base = without(docs, *ADDED, "k1", "k2")
-    kept = [F.col(f"`{c}`") for c in base.columns] if carry else [F.col(id_col)]
+    base = without(docs, *ADDED)
+    told_apart = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 20) - 1).cast("long"))
     rows = written(
         base.select(
-            *kept,
+            # The caller's columns go as one, so that none of their names can clash.
+            F.struct(*[F.col(f"`{c}`") for c in (base.columns if carry else [id_col])]).alias("__row"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("k1"),
-            F.coalesce(F.col(id_col).cast("long"), F.lit(-_SIGN)).alias("k2"),
+            F.shiftleft(F.xxhash64(F.col(f"`{id_col}`").cast("long")), 20).bitwiseOR(told_apart).alias("k2"),
         ),
         "to-shard",
     )
     out = shard_by_bytes(rows, n, tolerance=tolerance)
-    return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")).drop("k1", "k2")
+    return out.select("__row.*", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
