@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, small_batches, written
+from ._common import delete, discard, shared_dir, small_batches, written
 
 #: The skippable-frame magic number of dictionary-compressed WARC files, and of a Zstandard dictionary.
 SKIPPABLE = 0x184D2A5D
@@ -40,27 +40,27 @@ def open_store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
 
 
-def _uri(page_id: int | None) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
-
-
-def _page(uri: str | None) -> int | None:
-    tail = (uri or "").removesuffix(">").rpartition(":")[2]
-    return int(tail) if tail else None
+def _uri(page_id: int | None, digest: str) -> str:
+    """The record id of a page's response, which its revisits name: one for each page id and payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit carries headers only; the payload is at the record that it refers to."""
+    """One WARC/1.1 record. A revisit carries headers only; the payload is at the record that it refers to.
+
+    A revisit's record id is drawn, a response's follows from page id and payload, so full repeats of a page share theirs.
+    """
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = head if revisit else head + payload
     target = "".join(c for c in (url or "") if c >= " " and c != "\x7f")
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_uri(page_id)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {f'<urn:uuid:{uuid.uuid4()}>' if revisit else _uri(page_id, digest)}",
         "WARC-Date: 1970-01-01T00:00:00Z", *([f"WARC-Target-URI: {target}"] if url is not None else []),
-        f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response",
+        f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response", *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
     ]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_uri(refers_to)}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_uri(refers_to, digest)}"]
+        lines += [f"X-Refers-To-Page-ID: {refers_to}"] if refers_to is not None else []
     return "\r\n".join([*lines, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
 
 
@@ -75,8 +75,8 @@ def parse_record(raw: bytes) -> dict:
     if not revisit and (payload_digest(payload) != digest or len(payload) != said):
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
     return {
-        "page_id": _page(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"],
-        "refers_to": _page(fields["WARC-Refers-To"]) if revisit else None, "payload_digest": digest, "payload_bytes": said,
+        "page_id": int(fields["X-Page-ID"]) if "X-Page-ID" in fields else None, "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"],
+        "refers_to": int(fields["X-Refers-To-Page-ID"]) if "X-Refers-To-Page-ID" in fields else None, "payload_digest": digest, "payload_bytes": said,
         "payload": None if revisit else payload,
     }
 
@@ -136,7 +136,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     the ``dictionary_records`` records of the smallest hash among those of at most 64 KiB (a fixed sample, so its cost does not grow);
     every record is compressed with it. Each task streams its records into files of its own, rolled at
     ``roll_bytes``, under fresh names; only files of tasks that ended well are in the manifest, so a lost
-    or repeated task leaves no record twice. An empty table gives an empty manifest.
+    or repeated task leaves no record twice. Columns other than id, address and text are not archived, so their names do not
+    matter. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -146,10 +147,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     marked = keyed.join(keepers, "key", "left").drop("key")
     revisits = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.octet_length("payload") >= min_revisit_bytes)
     marked = marked.withColumn("revisit", F.coalesce(revisits, F.lit(False)))
-    order = F.xxhash64("page_id", F.octet_length("payload"))
+    order = F.xxhash64("page_id", F.md5("payload"))
     fit = rows.where(F.octet_length("payload") <= 65_536)
-    picked = [r[0] for r in fit.select(order.alias("o")).orderBy("o").limit(dictionary_records).collect()]
-    sample = fit.where(order.isin(picked)).limit(4 * dictionary_records).collect() if picked else []
+    picked = [r[0] for r in fit.select(order.alias("o")).distinct().orderBy("o").limit(dictionary_records).collect()]
+    # Full repeats of a record teach nothing new: a row each, whatever their number.
+    sample = fit.where(order.isin(picked)).dropDuplicates(["page_id", "payload"]).orderBy("page_id", "payload").collect() if picked else []
     records = [record_bytes(r.page_id, r.url, bytes(r.payload), payload_digest(bytes(r.payload)), False, None) for r in sample]
     dictionary = spark.sparkContext.broadcast(train_dictionary(records, dictionary_bytes))
 
@@ -196,7 +198,21 @@ def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFr
     return manifest.select("file").repartition(min(files, 100_000)).mapInPandas(records, RECORDS)
 
 
+def verified_revisits(records: DataFrame) -> DataFrame:
+    """``records`` (a written table) once every revisit is known to name a response of the same payload digest; else an error."""
+    responses = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    on = F.col("r.refers_to").eqNullSafe(F.col("s.refers_to")) & (F.col("r.payload_digest") == F.col("s.payload_digest"))
+    lost = records.where("record_type = 'revisit'").alias("r").join(responses.alias("s"), on, "left_anti")
+    if not lost.isEmpty():
+        raise ValueError("a revisit names a response that is not in the archives")
+    return records
+
+
 def round_trip(spark: SparkSession, pages: DataFrame, payloads: bool = False, **options) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back."""
+    """Write ``pages`` to archives in the shared folder, read them back and verify every record; the archives are then deleted."""
     folder = os.path.join(shared_dir(spark), f"warc-{uuid.uuid4().hex}")
-    return read_warc(write_warc(pages, folder, **options), folder, payloads)
+    manifest = write_warc(pages, folder, **options)
+    records = verified_revisits(written(read_warc(manifest, folder, payloads), "warc-records"))
+    discard(manifest)
+    delete(spark, folder)
+    return records
