@@ -17,20 +17,48 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Candidates of the weak labelers.
+#: Candidates of the weak labelers. Runs are possessive or bounded for the same reason, and none is cut at a length.
 LOOSE = {
-    "handle": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{2,63}+ ?(?:\.|[\[(]dot[\])]) ?[a-z]{2,12}+",
+    "handle": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{2,}+ ?(?:\.|[\[(]dot[\])]) ?[a-z]{2,12}+",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::|(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
     "local": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "abroad": r"(?<![0-9+().-])00[1-9][0-9]{0,2}(?:[ .-][0-9]{2,5}){2,5}(?![0-9-])",
+    "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? [A-ZÄÖÜÉÑ][a-zäöüßéèñ]++(?:[ -][A-ZÄÖÜÉÑ][a-zäöüßéèñ]++){0,2}",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}+={0,2}(?:\.[A-Za-z0-9+/_-]{8,}+){0,2}|(?<=(?:password|passwd|pwd|secret)(?: is)? ?[:=]? ?[\"']?)[^\s\"']{6,}+)",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "street": r"(?<![A-Za-z0-9])[0-9]{1,5}[A-Za-z]? (?:[A-Z][a-z]++ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Ct|Place|Square|Terrace)(?![A-Za-z])",
+}
+#: Cheap tests without which a text has no candidate of the kind.
+_MAY = {
+    "handle": r"(?i)[\[(]at[\])]", "iban": r"[A-Z]{2}[0-9]{2}", "ipv6": r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:", "local": "[0-9]{3}[ .-][0-9]{4}", "abroad": "00[1-9]",
+    "name": r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? ", "secret": r"(?i)[a-z0-9+/_-]{20}|passw|pwd|secret", "ssn": "-[0-9]{2}-",
+    "street": r"[0-9][A-Za-z]? [A-Z][a-z]",
 }
 KINDS = [*BASE, *LOOSE]
 #: Fixed word lists of the gazetteer and context labelers.
-GAZETTEER = r"(?i)\b(?:com|org|net|edu|gov|io|de|fr|es|uk|gmail|mail|yahoo|outlook|hotmail|example|212|213|310|312|415|617|718|800)\b"
-CUES = r"(?i)\b(?:call|tel|phone|fax|mobile|cell|contact|mail|e-mail|email|reach|write|ssn|social|security|card|visa|ip|host|server|address|number)\b"
-ANTI_CUES = r"(?i)\b(?:order|invoice|version|isbn|issn|token|serial|part|sku|doi|build|commit|id|ref|page|section)\b"
-LABELERS = ("regex", "gazetteer", "context", "shape", "plain")
-CONTEXT = 32
-ADDED = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+GAZETTEER = (
+    r"(?i)(?<![a-z0-9])(?:com|org|net|edu|gov|io|de|fr|es|uk|gmail|mail|yahoo|outlook|hotmail|example|212|213|310|312|415|617|718|800"
+    r"|GB\d\d|DE\d\d|FR\d\d|ES\d\d|NL\d\d|IT\d\d|2001|fe80|0044|0049|0033|0034|main|high|park|church|oak|first|second|john|mary|smith|jones|müller|garcia|martin"
+    r"|AKIA[a-z0-9]*|ASIA[a-z0-9]*|gh[pousr]_[a-z0-9]*|sk-[a-z0-9_-]*|sk_live_[a-z0-9]*|xox[abprs]-[a-z0-9-]*|eyJ[a-z0-9_-]*)(?![a-z0-9])"
+)
+#: Cue words by what they announce; which group stands before a span is also a feature of the span classifier.
+CUE_GROUPS = {
+    "contact": "call|tel|phone|fax|mobile|cell|contact|mail|e-mail|email|reach|write",
+    "person": "ssn|social|security|name|born|passport|patient|customer|address|lives|street|sincerely|dear",
+    "payment": "card|visa|iban|account|bank|pay|transfer|number",
+    "access": "password|passwd|pwd|secret|token|key|api|apikey|credential|bearer|auth|login",
+    "network": "ip|ipv6|host|server|ping|gateway|dns",
+}
+ANTI_CUES = r"(?i)\b(?:order|invoice|version|isbn|issn|serial|part|sku|doi|build|commit|sha|md5|checksum|id|ref|page|section|figure|table|score)\b"
+LABELERS = ("regex", "gazetteer", "context", "shape", "plain", "company")
+#: Code points before a span that count as its context, and to either side within which another span is company.
+CONTEXT, COMPANY = 32, 200
+ADDED = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_more", "n_spans")
+
+
+def _cues(group: str) -> str:
+    return rf"(?i)(?<![a-z])(?:{CUE_GROUPS[group]})(?![a-z])"
 
 
 def located(text: Column, pattern: str, may: Column) -> Column:
@@ -79,97 +107,162 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.filter(located(text, p, may[k]), test(k)) for k, p in BASE.items()}
 
 
+def iban_holds(m: Column) -> Column:
+    """The check digits of an account number: its digits, letters counted from 10, leave 1 when divided by 97."""
+    bare = F.upper(F.replace(m, F.lit(" "), F.lit("")))
+    turned = F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, F.lit(1), F.lit(4)))
+
+    def add(acc: Column, i: Column) -> Column:
+        c = F.substring(turned, i, F.lit(1))
+        value = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        return (acc * F.when(value > 9, 100).otherwise(10) + value) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
+
+
+def _strict(kind: str, m: Column) -> Column:
+    """The narrow pattern of a loose kind; base kinds have passed theirs."""
+    return {
+        "handle": m.rlike(r"(?i)[\[(]at[\])].*[\[(]dot[\])]"),
+        "iban": iban_holds(m),
+        "ipv6": m.rlike(r"^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$") | (m.contains("::") & m.rlike("[0-9]")),
+        "local": m.rlike(r"^(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}"),
+        "abroad": F.length(_digits(m)).between(11, 15),
+        "name": m.rlike(r"^\S+ \S+[ -]\S+"),
+        "secret": m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike(r"(?:[/_-][A-Za-z]+){3}"),
+        "ssn": m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"),
+        "street": m.rlike(r"(?:Street|Avenue|Road|Lane|Drive|Boulevard)$"),
+    }.get(kind, F.lit(True))
+
+
+def _shape(kind: str, m: Column) -> Column:
+    """Whether a span looks drawn rather than written out: no single digit repeated, and a secret's signs change class often."""
+    if kind == "secret":
+        return F.length(F.regexp_replace(m, "[A-Za-z]+|[0-9]+", "x")) * 5 >= F.length(m)
+    return ~_digits(m).rlike(r"^([0-9])\1{3,}$")
+
+
 def _votes(text: Column, kind: str, x: Column) -> Column:
-    """The labelers' votes on a span as bits, and its length class above them."""
+    """The labelers' votes on a span as bits, but for the last labeler's; above them its length class (2 bits) and the cue group before it (3 bits)."""
     m = x["m"]
     left = F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
-    digits = _digits(m)
-    strict = {"handle": m.rlike(r"(?i)[\[(]at[\])].*[\[(]dot[\])]"), "local": m.rlike(r"^(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}"), "ssn": m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)")}.get(kind, F.lit(True))
-    bits = [strict, m.rlike(GAZETTEER), left.rlike(CUES), ~digits.rlike(r"^([0-9])\1*$"), ~left.rlike(ANTI_CUES)]
+    group = F.lit(0)
+    for i, g in reversed(list(enumerate(CUE_GROUPS, 1))):
+        group = F.when(left.rlike(_cues(g)), i).otherwise(group)
+    bits = [_strict(kind, m), m.rlike(GAZETTEER), group > 0, _shape(kind, m), ~left.rlike(ANTI_CUES)]
     length = F.when(F.length(m) < 12, 0).when(F.length(m) < 20, 1).otherwise(2)
-    return sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0)) + length * (1 << len(bits))
+    n = len(LABELERS)
+    return sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0)) + length * (1 << n) + group * (1 << (n + 2))
 
 
 def aggregate_votes(counts: dict[tuple[int, int], int], rounds: int = 60) -> dict[tuple[int, int], float]:
     """Expectation-maximisation over (kind, votes) patterns: the chance that a span of a pattern is personal data.
 
-    Two latent classes; each labeler has a rate of voting for spans of either. Starts from the share of votes; rates are smoothed.
+    Two latent classes; each labeler has a rate of voting for spans of either, and each kind a share of true spans. Starts from the share
+    of votes; rates are smoothed. Patterns are taken in order, so that sums do not depend on how they arrived.
     """
-    n = len(LABELERS)
-    bits = {p: [(p[1] >> j) & 1 for j in range(n)] for p in counts}
+    n, order = len(LABELERS), sorted(counts)
+    bits = {p: [(p[1] >> j) & 1 for j in range(n)] for p in order}
     post = {p: 0.02 + 0.96 * sum(b) / n for p, b in bits.items()}
     total = sum(counts.values())
     for _ in range(rounds if total else 0):
-        yes = sum(counts[p] * post[p] for p in counts)
-        prior = (yes + 1) / (total + 2)
-        hit = [(sum(counts[p] * post[p] * bits[p][j] for p in counts) + 1) / (yes + 2) for j in range(n)]
-        false = [(sum(counts[p] * (1 - post[p]) * bits[p][j] for p in counts) + 1) / (total - yes + 2) for j in range(n)]
+        yes = sum(counts[p] * post[p] for p in order)
+        share = {}
+        for k in {p[0] for p in order}:
+            mine = [p for p in order if p[0] == k]
+            share[k] = (sum(counts[p] * post[p] for p in mine) + 1) / (sum(counts[p] for p in mine) + 2)
+        hit = [(sum(counts[p] * post[p] * bits[p][j] for p in order) + 1) / (yes + 2) for j in range(n)]
+        false = [(sum(counts[p] * (1 - post[p]) * bits[p][j] for p in order) + 1) / (total - yes + 2) for j in range(n)]
         for p, b in bits.items():
-            odds = math.log(prior / (1 - prior)) + sum(math.log(hit[j] / false[j]) if v else math.log((1 - hit[j]) / (1 - false[j])) for j, v in enumerate(b))
+            odds = math.log(share[p[0]] / (1 - share[p[0]])) + sum(math.log(hit[j] / false[j]) if v else math.log((1 - hit[j]) / (1 - false[j])) for j, v in enumerate(b))
             post[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return post
 
 
 def features(kind: int, votes: int) -> list[float]:
+    """Constant, votes, length class, cue group before the span, kind."""
     n = len(LABELERS)
-    return [1.0, *(float((votes >> j) & 1) for j in range(n)), *(float(votes >> n == k) for k in (1, 2)), *(float(kind == k) for k in range(1, len(KINDS)))]
+    length, group = (votes >> n) & 3, votes >> (n + 2)
+    return [
+        1.0, *(float((votes >> j) & 1) for j in range(n)), *(float(length == k) for k in (1, 2)), *(float(group == k) for k in range(1, len(CUE_GROUPS) + 1)),
+        *(float(kind == k) for k in range(1, len(KINDS))),
+    ]
+
 
+def train_spans(counts: dict[tuple[int, int], int], post: dict[tuple[int, int], float], rounds: int = 300, rate: float = 1.0, ridge: float = 1e-3) -> list[float]:
+    """Logistic span classifier on the posteriors as soft labels; one example a pattern, weighted by its count.
 
-def train_spans(counts: dict[tuple[int, int], int], post: dict[tuple[int, int], float], rounds: int = 400, rate: float = 1.0, ridge: float = 1e-3) -> list[float]:
-    """Logistic span classifier on the posteriors as soft labels; one example a pattern, weighted by its count."""
-    total, w = max(1, sum(counts.values())), [0.0] * len(features(0, 0))
-    data = [(features(*p), post[p], c / total) for p, c in sorted(counts.items())]
+    A kind's patterns weigh as much as any other kind's, so that a kind that is frequent does not drown the rest.
+    """
+    kinds: dict[int, int] = {}
+    for (k, _), c in counts.items():
+        kinds[k] = kinds.get(k, 0) + c
+    w = [0.0] * len(features(0, 0))
+    data = [([(i, v) for i, v in enumerate(features(*p)) if v], post[p], c / kinds[p[0]] / len(kinds)) for p, c in sorted(counts.items())]
     for _ in range(rounds):
         grad = [ridge * x for x in w]
         for x, y, c in data:
-            err = c * (1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True)))) - y)
-            grad = [g + err * v for g, v in zip(grad, x, strict=True)]
+            err = c * (1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[i] * v for i, v in x))))) - y)
+            for i, v in x:
+                grad[i] += err * v
         w = [a - rate * g for a, g in zip(w, grad, strict=True)]
     return w
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` with ``n_email, n_ip, n_card, n_phone, base_sha256, spans`` over whole texts.
+    """``docs`` with ``n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more, n_spans`` over whole texts.
 
-    One pass finds the base spans (always kept) and the loose candidates outside them, with the votes of five labelers:
-    strict regex, gazetteer, context cue, digit shape and absence of contrary cues. The votes of all spans
-    in all documents are counted by pattern (a few hundred sums, whatever the input); expectation-maximisation estimates the labelers' reliabilities from them,
+    One pass finds the base spans (always kept) and the loose candidates outside them (obfuscated addresses, account numbers,
+    IPv6, national and foreign telephone numbers, titled names, secrets and keys, social security numbers, streets), with the votes of six labelers:
+    strict pattern or check digits, gazetteer, context cue, shape, absence of contrary cues, company of other spans. The votes of all spans
+    in all documents are counted by pattern (some hundred sums, whatever the input); expectation-maximisation estimates the labelers' reliabilities from them,
     and a logistic span classifier is trained on the posteriors. Candidates that it gives ``least`` or more join ``spans``
-    under the kinds ``handle``, ``local`` and ``ssn``, which sort after the base kinds.
+    under their kinds, which sort after the base kinds; ``n_more`` counts them, ``n_spans`` all.
 
     Defined cases: null and empty texts have no spans (the digest is that of the empty string); ids are not looked at, so null and
     repeated ones pass through; columns named like an added one are replaced; an empty table gives an empty result.
     """
-    base = without(docs, *ADDED, "__base", "__more", "__t")
+    base = without(docs, *ADDED, *[f"__{k}" for k in KINDS], "__spans", "__t")
     keep = [c for c in base.columns if c != text_col] or [id_col]
     rows = base.select(*[F.col(f"`{c}`") for c in keep], text_of(text_col).alias("__t"))
     t = F.col("__t")
     spans = base_spans(t)
-    may = {"handle": t.rlike(r"(?i)[\[(]at[\])]"), "local": t.rlike("[0-9]{3}[ .-][0-9]{4}"), "ssn": t.rlike("-[0-9]{2}-")}
     for k, c in spans.items():
         rows = rows.withColumn(f"__{k}", c)
     flat = F.concat(*[F.col(f"__{k}") for k in BASE])
     clear = lambda x: ~F.exists(flat, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
     for k, p in LOOSE.items():
-        rows = rows.withColumn(f"__{k}", F.filter(located(t, p, may[k]), clear))
+        rows = rows.withColumn(f"__{k}", F.filter(located(t, p, t.rlike(_MAY[k])), clear))
 
     def voted(k: str) -> Column:
-        return F.transform(F.col(f"__{k}"), lambda x: F.struct(F.lit(KINDS.index(k)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), _votes(t, k, x).alias("v")))
-
-    found = written(rows.select(*[F.col(f"`{c}`") for c in keep], F.concat(*[voted(k) for k in KINDS]).alias("__spans")), "pii-spans")
+        parts = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(KINDS.index(k)).alias("k"), _votes(t, k, x).alias("v"))
+        return F.transform(F.col(f"__{k}"), parts)
+
+    def with_company(x: Column, i: Column) -> Column:
+        """In order of their starts, a span's company is the one before or the one after it."""
+        before, after = F.get(F.col("__spans"), i - 1), F.get(F.col("__spans"), i + 1)
+        near = F.coalesce(before["e"] + COMPANY > x["s"], F.lit(False)) | F.coalesce(after["s"] < x["e"] + COMPANY, F.lit(False))
+        return F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), (x["v"] + F.when(near, 1 << (len(LABELERS) - 1)).otherwise(0)).alias("v"))
+
+    names = [F.col(f"`{c}`") for c in keep]
+    found = rows.select(*names, F.array_sort(F.concat(*[voted(k) for k in KINDS])).alias("__spans"))
+    found = written(found.select(*names, F.transform("__spans", with_company).alias("__spans")), "pii-spans")
     counts = {(r["k"], r["v"]): r["n"] for r in found.select(F.explode("__spans").alias("x")).groupBy(F.col("x.k").alias("k"), F.col("x.v").alias("v")).agg(F.count("*").alias("n")).collect()}
     w = train_spans(counts, aggregate_votes(counts))
     accepted = {p for p in counts if p[0] >= len(BASE) and 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, features(*p), strict=True)))) >= least}
     codes = F.array(*[F.lit((k << 16) | v) for k, v in sorted(accepted)]).cast("array<int>")
+    taken = lambda x: is_base(x) | F.array_contains(codes, F.shiftleft(x["k"], 16).bitwiseOR(x["v"]))
     ordered = F.array_sort(F.transform("__spans", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"))))
     is_base = lambda x: x["k"] < len(BASE)
     name = F.array(*map(F.lit, KINDS))
     line = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.element_at(name, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
-    out = found.withColumn("__spans", ordered)
+    out = found.withColumn("__spans", F.filter(ordered, taken))
     of_kind = lambda i: lambda x: x["k"] == i
     counted = [F.size(F.filter("__spans", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
     return out.select(
         *[F.col(f"`{c}`") for c in keep], *counted,
         F.sha2(line(F.filter("__spans", is_base)), 256).alias("base_sha256"),
-        line(F.filter("__spans", lambda x: is_base(x) | F.array_contains(codes, F.shiftleft(x["k"], 16).bitwiseOR(x["v"])))).alias("spans"),
+        line(F.col("__spans")).alias("spans"),
+        F.size(F.filter("__spans", lambda x: ~is_base(x))).cast("long").alias("n_more"),
+        F.size("__spans").cast("long").alias("n_spans"),
     )
