@@ -115,7 +115,7 @@ def test_near_duplicates_against_all_pairs(spark):
     links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     comp = brute.components(len(rows), links)
     want = sorted((rows[i][0], len(sets[i]), rows[comp[i]][0], comp[i] == i) for i in range(len(rows)))
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted(map(tuple, got)) == want
 
 
@@ -133,7 +133,7 @@ def test_dense_near_group(spark, monkeypatch, block):
     sets = [brute.shingle_set(t) for _, t in rows]
     links = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     comp = brute.components(len(rows), links)
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).select("doc_id", "component_id").collect()
     assert sorted(map(tuple, got)) == list(enumerate(comp))
 
 
@@ -344,9 +344,64 @@ def test_co_training_learns():
     good, bad = [prose(i, 60) for i in range(200)], [("KAR!! LON!! " * 30) for _ in range(60)]
     texts = good + bad
     xt = np.array([quality.text_view(t) for t in texts])
-    xm = np.array([quality.meta_view(len(t), "en", "s", t) for t in texts])
+    xm = np.array([quality.meta_view(len(t), "en", "junk" if i >= 230 else "s") for i, t in enumerate(texts)])
     y = np.array([1] * 200 + [0] * 60)
-    y[::5] = -1
-    m = quality.co_train(xt, xm, y)
+    known = np.arange(260) % 5 != 0
+    passes = []
+
+    def lent(views, least):
+        sums = quality.lent_sums(views, least, (xt[~known], xm[~known]))
+        passes.append([[n for n, *_ in per] for per in sums])
+        return sums
+
+    m = quality.co_train(xt[known], xm[known], y[known], lent)
     score = m.scores(xt, xm)[2]
     assert (score[:200] >= 0.5).mean() > 0.97 and (score[200:] < 0.5).mean() > 0.97
+    assert len(passes) == 4 and passes[0][1][1] > 0  # the text view lends good pages to the metadata view
+
+
+def test_views_do_not_overlap():
+    """The metadata view is a function of the recorded columns alone."""
+    import inspect
+
+    assert list(inspect.signature(quality.meta_view).parameters) == ["n_chars", "lang", "source"]
+
+
+def test_pool_sums_do_not_depend_on_partitions(spark, docs, labels):
+    models = [quality.fit_quality(docs.repartition(n), labels) for n in (1, 13)]
+    assert abs(models[0].text.w - models[1].text.w).max() < 1e-6
+
+
+#: A true and a false candidate of each weakly supervised kind.
+PLANTED = {
+    "handle": ("write to jane.roe [at] example [dot] org today", "look (at) that. is"),
+    "iban": ("account GB29 NWBK 6016 1331 9268 19 please pay", "part AB12 CDEF GHIJ KLMN on page"),
+    "ipv6": ("ping host fe80::1ff:fe23:4567:890a now", "section 12:30 and after"),
+    "local": ("call (212) 555-0147 tonight", "order 000 000 0000 of"),
+    "abroad": ("phone 0044 20 7946 0958 in London", "build 001 00 00 x"),
+    "name": ("Dear patient Dr. Mary Jones of", "see figure Dr. No"),
+    "secret": ('api token = "9fA2c44be1d07Ff3e8B6a1c2d3e4f5a6" here', "commit Donaudampfschifffahrtsgesellschaft of"),
+    "ssn": ("social security 219-09-9999 given", "invoice 000-00-0000 of"),
+    "street": ("lives at 12 Oak Street in", "page 99999 Very Wrong St of"),
+}
+
+
+def test_each_kind_is_accepted_and_rejected(spark):
+    """The span classifier, trained on votes alone, takes the true candidate of each kind and leaves the false one."""
+    rows, want = [], {}
+    for n in range(30):
+        for k, (true, false) in PLANTED.items():
+            rows += [(len(rows), f"{true} {prose(n, 12)} jane@example.org"), (len(rows) + 1, f"{prose(n, 9)} {false} {prose(n + 1, 9)}")]
+            want[len(rows) - 2], want[len(rows) - 1] = (k, 1), (k, 0)
+    out = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    wrong = [(want[r.doc_id], r.spans, dict(rows)[r.doc_id]) for r in out if (r.n_more, [s.split(":")[0] for s in r.spans.split(",")][-1] if r.n_more else want[r.doc_id][0]) != want[r.doc_id][::-1]]
+    assert not wrong[:9], wrong[:9]
+    found = {want[r.doc_id][0]: dict(rows)[r.doc_id][slice(*map(int, r.spans.split(",")[-1].split(":")[1:]))] for r in out if r.n_more}
+    assert found["iban"] == "GB29 NWBK 6016 1331 9268 19" and found["secret"] == "9fA2c44be1d07Ff3e8B6a1c2d3e4f5a6" and found["ipv6"] == "fe80::1ff:fe23:4567:890a"
+
+
+def test_votes_do_not_depend_on_order():
+    counts = {(4, 0b111111): 50, (5, 0b010110): 20, (4, 0b000001): 60, (6, 0b001000): 40}
+    turned = dict(reversed(counts.items()))
+    assert pii.aggregate_votes(counts) == pii.aggregate_votes(turned)
+    assert pii.train_spans(counts, pii.aggregate_votes(counts)) == pii.train_spans(turned, pii.aggregate_votes(turned))
