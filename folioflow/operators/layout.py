@@ -2,78 +2,123 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Signs that may not begin a line, and that may not end one.
 NO_START, NO_END = "，。、；：！？）》」』】,.;:!?)]}%", "（《「『【"
+#: Letter spacings in em, in the order in which they are tried; share of the box height at which sizes start; line height; the factor between sizes.
+SPACINGS, FILL, LINE_HEIGHT, STEP = (0.0, -0.012, -0.025, -0.04), 0.92, 1.02, 0.92
+#: A small overflow is sought below this share of the first size, and is at most so many characters and this share of the width.
+MINOR_BELOW, MINOR_CHARS, MINOR_SHARE = 0.8, 2, 0.12
 
 
 def is_wide(c: str) -> bool:
     return any(lo <= c <= hi for lo, hi in (("　", "ヿ"), ("一", "鿿"), ("＀", "￯")))
 
 
+def _width(wide: int, length: int, size: float, spacing: float) -> float:
+    return size * (0.45 * wide + 0.55 * length) + spacing * size * max(0, length - 1)
+
+
 def measure(text: str, size: float, spacing: float = 0.0) -> float:
-    wide = 0 if text.isascii() else sum(map(is_wide, text))
-    return size * (0.45 * wide + 0.55 * len(text)) + spacing * size * max(0, len(text) - 1)
+    return _width(0 if text.isascii() else sum(map(is_wide, text)), len(text), size, spacing)
 
 
 def wrap(text: str, width: float, size: float, spacing: float = 0.0) -> list[str]:
-    """Greedy wrapping by character; a closing sign is pulled up, an opening one pushed down, a blank at a break dropped."""
+    """Greedy wrapping by character; a closing sign is pulled up, an opening one pushed down, a blank at a break dropped.
+
+    Wide characters are counted once, so the width of any stretch of the text is a difference of two counts.
+    """
     if not text or not width > 0:
         return [text] if text else []
-    if measure(text, size, spacing) <= width:
-        return [text]
-    lines, line = [], ""
-    for c in text:
-        if not line or measure(line + c, size, spacing) <= width:
-            line += c
-        elif c in NO_START:
-            lines.append(line + c)
-            line = ""
-        elif line[-1] in NO_END and len(line) > 1:
-            lines.append(line[:-1])
-            line = line[-1] + c
+    wide = list(accumulate(map(is_wide, text), initial=0))
+    lines, start = [], 0
+    for i, c in enumerate(text):
+        if i <= start or _width(wide[i + 1] - wide[start], i + 1 - start, size, spacing) <= width:
+            continue
+        if c in NO_START:
+            lines.append(text[start : i + 1])
+            start = i + 1
+        elif text[i - 1] in NO_END:
+            lines.append(text[start : i - 1])
+            start = i - 1
         else:
-            lines.append(line)
-            line = "" if c == " " else c
-    return lines + [line] if line else lines
+            lines.append(text[start:i])
+            start = i + 1 if c == " " else i
+    return [*lines, text[start:]] if start < len(text) else lines
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a text may take: sizes, height and width, and the stretch that its block must stay in (None: around its box)."""
+
+    smallest: float = 6.0
+    largest: float | None = None
+    from_largest: bool = False
+    allow_h: float | None = None
+    allow_w: float | None = None
+    top: float | None = None
+    bottom: float | None = None
+    minor_chars: int = MINOR_CHARS
+
+
+def sizes(h: float, limits: Limits) -> list[float]:
+    """Whole sizes to try, falling by ``STEP`` from what the box height or the largest size says down to the smallest."""
+    start = math.floor(h * FILL)
+    if limits.largest and math.isfinite(limits.largest):
+        start = math.floor(limits.largest) if limits.from_largest else min(start, limits.largest)
+    out = [max(start, limits.smallest)]
+    while out[-1] > limits.smallest and len(out) < 40:
+        out.append(math.floor(out[-1] * STEP))
+    return out
 
 
-def fit(text: str, x: float, y: float, w: float, h: float, allow_h: float, allow_w: float | None = None, largest: float = 40.0, smallest: float = 8.0) -> dict:
+def fit(text: str, x: float, y: float, w: float, h: float, limits: Limits = Limits()) -> dict:
     """The largest size at which the text fits its limits, trying tighter spacing before a smaller size.
 
-    A small overflow (two characters, 12 per cent, within ``allow_w``) is preferred to shrinking below 0.8 of the first size.
+    If that is below ``MINOR_BELOW`` of the first size, or nothing fits, a larger size that overflows the width a little (``MINOR_CHARS`` characters,
+    ``MINOR_SHARE`` of it, never past ``allow_w``) is preferred. If that fails too, the smallest size at the tightest spacing overflows.
     """
-    most_w = allow_w if allow_w is not None else w * 1.12
-    start = size = min(largest, max(smallest, h * 1.1))
+    w, h, least = max(1.0, w), max(1.0, h), max(4.0, limits.smallest or 6.0)
+    limits = Limits(**{**limits.__dict__, "smallest": least})
+    room, ladder = max(h, limits.allow_h or h), sizes(h, limits)
+    most_w = math.inf if limits.allow_w is None else limits.allow_w
 
     def shape(size: float, spacing: float, width: float) -> dict:
         lines = wrap(text, width, size, spacing)
-        return {"lines": lines, "font_size": size, "spacing": spacing, "line_height": size * 1.22, "block_h": len(lines) * size * 1.22, "widest": max((measure(t, size, spacing) for t in lines), default=0.0)}
-
-    found, best = None, None
-    while found is None:
-        for spacing in (0.0, -0.012, -0.025, -0.04):
-            s = shape(size, spacing, w)
-            if s["block_h"] <= allow_h and s["widest"] <= w + 0.5:
-                found = s
-                break
-        if found is None and size < 0.8 * start:
-            s = shape(size, 0.0, max(w, min(most_w, w * 1.12)))
-            if s["block_h"] <= allow_h and s["widest"] <= min(most_w, w * 1.12) + 0.5 and s["widest"] - w <= 2 * size:
-                found = s | {"overflow_x": True}
-        if found is None and size <= smallest:
-            best = shape(smallest, 0.0, w)
-            found = best | {"overflow": best["block_h"] > allow_h or best["widest"] > w + 0.5}
-        size = max(smallest, size * 0.92)
-    out = {"overflow": False, "overflow_x": False} | found
-    out |= {"shrunk": out["font_size"] < start, "tightened": out["spacing"] < 0, "x": x, "y": y + max((h - out["block_h"]) / 2, -(allow_h - h) / 2 if allow_h > h else 0.0)}
-    return out
+        widest = max((measure(t, size, spacing) for t in lines), default=0.0)
+        return {"lines": lines, "font_size": float(size), "spacing": spacing, "line_height": size * LINE_HEIGHT, "block_h": len(lines) * size * LINE_HEIGHT, "widest": widest}
+
+    def first(tried: list[float], width) -> dict | None:
+        every = (shape(size, spacing, width(size)) for size in tried for spacing in SPACINGS)
+        return next((s for s in every if s["block_h"] <= room and s["widest"] <= width(s["font_size"]) + 0.5), None)
+
+    found, over_w = first(ladder, lambda _: w), False
+    if found is None or found["font_size"] < ladder[0] * MINOR_BELOW:
+        larger = [s for s in ladder if found is None or s > found["font_size"]]
+        wider = first(larger, lambda size: max(w, min(most_w, w + limits.minor_chars * size, w * (1 + MINOR_SHARE))))
+        if wider is not None:
+            found, over_w = wider, wider["widest"] > w + 0.5
+    over = found is None
+    out = (found or shape(least, SPACINGS[-1], w)) | {"overflow": over, "overflow_x": over_w}
+    low = y - (room - h) / 2 if limits.top is None else limits.top
+    high = low + room if limits.bottom is None else limits.bottom
+    out |= {"shrunk": out["font_size"] < ladder[0], "tightened": out["spacing"] < 0, "x": x}
+    return out | {"y": min(max(y + (h - out["block_h"]) / 2, low), max(low, high - out["block_h"]))}
 
 
 KIND = "struct<lines:array<string>,font_size:double,spacing:double,line_height:double,block_h:double,widest:double,overflow:boolean,overflow_x:boolean,shrunk:boolean,tightened:boolean,x:double,y:double>"
+FIELDS = "lines font_size spacing line_height block_h widest overflow overflow_x shrunk tightened x y".split()
+
+
+def known(v) -> float | None:
+    return None if v is None or pd.isna(v) else float(v)
 
 
 def lay_out(items: DataFrame) -> DataFrame:
@@ -81,9 +126,8 @@ def lay_out(items: DataFrame) -> DataFrame:
 
     @F.pandas_udf(KIND)
     def run(text: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, allow_h: pd.Series, allow_w: pd.Series) -> pd.DataFrame:
-        names = [c.split(":")[0] for c in "lines font_size spacing line_height block_h widest overflow overflow_x shrunk tightened x y".split()]
-        rows = [fit(t or "", *v[:5], None if pd.isna(v[5]) else v[5]) for t, *v in zip(text, x, y, w, h, allow_h, allow_w, strict=True)]
-        return pd.DataFrame([{k: r[k] for k in names} for r in rows], columns=names)
+        rows = [fit(t or "", *v[:4], Limits(allow_h=known(v[4]), allow_w=known(v[5]))) for t, *v in zip(text, x, y, w, h, allow_h, allow_w, strict=True)]
+        return pd.DataFrame([{k: r[k] for k in FIELDS} for r in rows], columns=FIELDS)
 
     return items.withColumn("layout", run("text", "x", "y", "w", "h", "allow_h", "allow_w"))
 
@@ -92,4 +136,5 @@ def page_line_height(items: DataFrame) -> DataFrame:
     """Upper median of a page's item heights, by which outliers are normalised before layout."""
     s = F.sort_array(F.collect_list("h"))
     per = items.groupBy("page").agg(F.get(s, F.floor(F.size(s) / 2).cast("int")).alias("median_h"))
-    return items.join(per, "page").withColumn("even_h", F.when(F.col("h").between(F.col("median_h") * 0.7, F.col("median_h") * 1.4), F.col("median_h")).otherwise(F.col("h")))
+    even = F.when(F.col("h").between(F.col("median_h") * 0.7, F.col("median_h") * 1.4), F.col("median_h")).otherwise(F.col("h"))
+    return items.join(per, "page").withColumn("even_h", even)

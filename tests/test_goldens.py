@@ -173,13 +173,42 @@ def test_pieces_add_up(text, limit):
     assert "".join(out) == text and all(len(p) <= limit for p in out)
 
 
+def em(text):
+    """What a layout test measures with: every character one em wide."""
+    return "中" * len(text)
+
+
 def test_layout():
-    a = Y.fit("七" * 7, 0, 0, 150, 24, 40)
-    assert a["widest"] <= 150.5 and a["block_h"] <= 40 and not a["overflow"]
-    b = Y.fit("long text that cannot fit at all", 0, 0, 30, 8, 10)
-    assert b["overflow"] and all(map(math.isfinite, (b["font_size"], b["block_h"], b["widest"])))
-    c = Y.fit("八" * 8, 0, 0, 100, 20, 27)
-    assert c["font_size"] < 18 and c["block_h"] <= 27 and c["shrunk"]
+    """Known sizes of the ladder: spacing before size, a small overflow before shrinking, the smallest size last."""
+    a = Y.fit("中" * 7, 0, 0, 150, 24, Y.Limits(allow_h=40))
+    assert (a["font_size"], a["spacing"], a["tightened"], a["overflow"], a["overflow_x"]) == (22, -0.04, True, False, False) and a["widest"] <= 150.5
+    b = Y.fit("中" * 9, 0, 0, 130, 20, Y.Limits(allow_h=32))
+    assert b["font_size"] == 16 and b["overflow_x"] and not b["overflow"] and b["widest"] <= 130 * 1.12 + 0.5
+    c = Y.fit("中" * 9, 0, 0, 130, 20, Y.Limits(allow_h=32, allow_w=118))
+    assert not c["overflow_x"] and c["font_size"] < 16
+    d = Y.fit(em("eight of"), 0, 0, 100, 20, Y.Limits(allow_h=27))
+    assert d["font_size"] < 18 and d["block_h"] <= 27 and d["shrunk"]
+    e = Y.fit("long text that cannot fit at all", 0, 0, 30, 8, Y.Limits(allow_h=10))
+    assert e["overflow"] and (e["font_size"], e["spacing"]) == (6, -0.04) and all(map(math.isfinite, (e["block_h"], e["widest"], e["y"])))
+
+
+def test_layout_ladder_and_place():
+    assert Y.sizes(24, Y.Limits()) == [22, 20, 18, 16, 14, 12, 11, 10, 9, 8, 7, 6]
+    assert Y.sizes(24, Y.Limits(largest=15.5)) == [15.5, 14, 12, 11, 10, 9, 8, 7, 6] and Y.sizes(24, Y.Limits(largest=30.7, from_largest=True))[0] == 30
+    assert Y.sizes(3, Y.Limits()) == [6]
+    one = Y.fit("中", 0, 100, 50, 20)
+    assert (one["font_size"], one["line_height"], one["y"]) == (18, 18 * 1.02, 100 + (20 - 18 * 1.02) / 2)
+    low = Y.fit("中" * 12, 0, 100, 60, 20, Y.Limits(allow_h=60, top=95, bottom=160))
+    assert 95 <= low["y"] and low["y"] + low["block_h"] <= 160
+    assert Y.wrap("中文（中文", 45, 15) == ["中文", "（中文"] and Y.wrap("中文。中", 30, 15) == ["中文。", "中"] and Y.wrap("ab cd", 17, 10) == ["ab ", "cd"]
+    assert Y.wrap("", 10, 10) == [] and Y.wrap("ab", 0, 10) == ["ab"]
+
+
+@given(st.text(alphabet="ab 中文，（。", max_size=60), st.integers(10, 80), st.sampled_from([0.0, -0.04]))
+@settings(max_examples=60, deadline=None)
+def test_wrapping_loses_only_blanks(text, width, spacing):
+    lines = Y.wrap(text, width, 12, spacing)
+    assert "".join(lines).replace(" ", "") == text.replace(" ", "")
 
 
 def test_bands():
