@@ -52,10 +52,14 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(s, f"(?<=[^0-9]){_QUOTE}$", ""))
 
 
+#: Glyph names that exporters leave for ligatures, and their letters.
+LIGATURES = (("/f_", "f"), ("/_/", ""), ("/ffl", "ffl"), ("/ff", "ff"), ("/fi", "fi"), ("/fl", "fl"), ("\ufffd", ""))
+
+
 def clean_pdf_text(c: Column) -> Column:
     """Glyph names that exporters leave for ligatures become letters; longer names first."""
     s = _empty(c)
-    for name, letters in (("/f_", "f"), ("/_/", ""), ("/ffl", "ffl"), ("/ff", "ff"), ("/fi", "fi"), ("/fl", "fl"), ("�", "")):
+    for name, letters in LIGATURES:
         s = F.replace(s, F.lit(name), F.lit(letters))
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
@@ -126,10 +130,25 @@ def codes(c: Column) -> Column:
     return F.regexp_extract_all(_empty(c), F.lit(CODES), F.lit(0))
 
 
-def mask_codes(c: Column) -> Column:
-    """Codes replaced by numbered placeholders; gaps and numbers are woven together again without a UDF."""
-    gaps, n = F.split(_empty(c), CODES, -1), F.size(codes(c))
-    marks = F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i < n, F.concat(F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(F.lit("")))
+#: No code without a digit, a colour name or a hyphenated id: a cheap test before the patterns.
+MAY_HOLD_CODES = "[0-9]|PMS|[A-Z0-9]-[A-Z0-9]"
+
+
+def protected(c: Column) -> Column:
+    """``codes`` and ``masked`` of a text in one struct; texts without a sign of any code are not searched."""
+    may = _empty(c).rlike(MAY_HOLD_CODES)
+    found = F.when(may, codes(c)).otherwise(F.array().cast("array<string>"))
+    return F.struct(found.alias("codes"), F.when(may, mask_codes(c)).otherwise(_empty(c)).alias("masked"))
+
+
+def mask_codes(c: Column, known: Column | None = None) -> Column:
+    """Codes replaced by numbered placeholders; gaps and numbers are woven together again without a UDF.
+
+    ``known``, if given, are the text's codes, so that they need not be found again.
+    """
+    gaps = F.split(_empty(c), CODES, -1)
+    last = F.size(gaps) - 1 if known is None else F.size(known)
+    marks = F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i < last, F.concat(F.lit(OPEN), i.cast("string"), F.lit(CLOSE))).otherwise(F.lit("")))
     return F.array_join(F.zip_with(gaps, marks, lambda g, m: F.concat(g, m)), "")
 
 
@@ -154,9 +173,23 @@ def lost_codes(restored: Column, known: Column) -> Column:
     return F.filter(known, lambda k: F.instr(restored, k) == 0)
 
 
+def residue(restored: Column, known: Column) -> Column:
+    """What is wrong with a restored text: placeholders or halves of them left in it, codes lost; empty if nothing."""
+    lost = lost_codes(restored, known)
+    left = F.when(_empty(restored).rlike(f"[{OPEN}{CLOSE}]"), "placeholder left")
+    return F.concat_ws("; ", left, F.when(F.size(lost) > 0, F.concat(F.lit("lost: "), F.array_join(lost, ", "))))
+
+
 def fnv1a(c: Column) -> Column:
-    """32-bit FNV-1a over code points (UTF-16 units inside the basic plane), in base 36."""
-    step = lambda h, ch: (h.bitwiseXOR(F.ascii(ch).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+    """32-bit FNV-1a over UTF-16 units, in base 36: a code point above the basic plane counts as its two surrogates."""
+    mixed = lambda h, unit: (h.bitwiseXOR(unit) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def step(h: Column, ch: Column) -> Column:
+        point = F.conv(F.hex(F.encode(ch, "utf-32")), 16, 10).cast("long")
+        above = point - 0x10000
+        high, low = F.lit(0xD800) + F.shiftright(above, 10), F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))
+        return F.when(point < 0x10000, mixed(h, point)).otherwise(mixed(mixed(h, high), low))
+
     h = F.aggregate(F.filter(F.split(_empty(c), ""), lambda ch: ch != ""), F.lit(2166136261), step)
     return F.lower(F.conv(h.cast("string"), 10, 36))
 
@@ -192,10 +225,14 @@ def strip_fences(c: Column) -> Column:
     return F.when(inner != "", inner).otherwise(s)
 
 
+#: Words of other languages in would-be JSON, and what they stand for.
+FOREIGN_LITERALS = (("None", "null"), ("True", "true"), ("False", "false"), ("NaN", "null"), ("Infinity", "null"))
+
+
 def repair_json(c: Column) -> Column:
     """Trailing commas go first, then foreign literals, then bare keys get quotes."""
     s = F.regexp_replace(_empty(c), r",\s*([}\]])", "$1")
-    for word, json in (("None", "null"), ("True", "true"), ("False", "false"), ("NaN", "null"), ("Infinity", "null")):
+    for word, json in FOREIGN_LITERALS:
         s = F.regexp_replace(s, rf"\b{word}\b", json)
     key = r"([A-Za-z_$\x{4e00}-\x{9fff}][A-Za-z0-9_$\x{4e00}-\x{9fff}]*)(\s*:)"
     return F.regexp_replace(F.regexp_replace(s, r"([{,]\s*)" + key, '$1"$2"$3'), r"(\[\s*)" + key, '$1"$2"$3')

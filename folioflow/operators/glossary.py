@@ -65,15 +65,26 @@ def glossary_prompt(entries: DataFrame) -> DataFrame:
     return entries.agg(F.concat_ws("\n", F.transform(maps, lambda x: x["t"])).alias("map_block"), F.concat_ws("\n", F.transform(keeps, lambda x: x["t"])).alias("keep_block"))
 
 
+def keep_list(entries: DataFrame) -> DataFrame:
+    """Terms that are to stay as they are, in order of their line."""
+    return entries.where(F.col("keep") & (F.trim("term") != "")).select("no", F.trim("term").alias("term"))
+
+
+def fingerprint(entries: DataFrame) -> DataFrame:
+    """One short text that changes with any entry: part of what a remembered translation hangs on; ``0`` without entries."""
+    entry = F.concat_ws("\x02", F.coalesce("term", F.lit("")), F.coalesce("target", F.lit("")), F.when(F.col("keep"), "1").otherwise("0"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("no", entry.alias("e")))), lambda x: x["e"])
+    return entries.agg(listed.alias("l")).select(F.when(F.size("l") == 0, "0").otherwise(T.fnv1a(F.array_join("l", "\x03"))).alias("fingerprint"))
+
+
 def route(texts: DataFrame, entries: list[tuple[str, str, bool]], column: str = "src", dictionary_only: bool = False) -> DataFrame:
     """``route, dst, payload, codes``: what needs no engine is settled here, the rest gets a masked payload.
 
     In order: blank, mostly Han, dictionary mode, wholly covered by the glossary, nothing left to translate once codes are masked; else send.
     """
     raw = F.coalesce(F.col(column), F.lit(""))
-    may = raw.rlike("[0-9]|PMS|[A-Z0-9]-[A-Z0-9]")  # no code without a digit, a colour name or a hyphenated id
-    codes, payload = F.when(may, T.codes(raw)).otherwise(F.array().cast("array<string>")), F.when(may, T.mask_codes(raw)).otherwise(raw)
-    rows = texts.withColumn("_g", apply_glossary(raw, entries)).withColumn("codes", codes).withColumn("payload", payload)
+    rows = texts.withColumn("_g", apply_glossary(raw, entries)).withColumn("_p", T.protected(raw))
+    rows = rows.withColumn("codes", F.col("_p.codes")).withColumn("payload", F.col("_p.masked")).drop("_p")
     covered = (F.col("_g") != raw) & ~F.col("_g").rlike("[A-Za-z]")
     way = F.when(F.trim(raw) == "", "blank").when(T.is_mostly_han(raw), "han").when(F.lit(dictionary_only), "dict").when(covered, "glossary").when(~F.col("payload").rlike("[A-Za-z]"), "codes").otherwise("send")
     rows = rows.withColumn("route", way)
@@ -111,8 +122,8 @@ def translate(texts: DataFrame, entries: list[tuple[str, str, bool]], engine: Ca
     schema = "raw string, payload string, codes array<string>, reply string"
     answered = kept(routed.where("route = 'send'").select("raw", "payload", "codes").mapInPandas(send, schema))
     restored = answered.withColumn("_r", T.restore_codes(F.col("reply"), F.col("codes")))
-    lost = T.lost_codes(F.col("_r"), F.col("codes"))
-    warn = F.when(F.col("reply").isNull() | (F.trim(F.coalesce(F.col("reply"), F.lit(""))) == ""), "empty reply").when(F.size(lost) > 0, F.concat(F.lit("lost: "), F.array_join(lost, ", "))).otherwise("")
+    empty = F.col("reply").isNull() | (F.trim(F.coalesce(F.col("reply"), F.lit(""))) == "")
+    warn = F.when(empty, "empty reply").otherwise(T.residue(F.col("_r"), F.col("codes")))
     sent = restored.select("raw", T.cleanup_punct(apply_glossary(F.col("_r"), entries)).alias("dst"), F.when(warn == "empty reply", "failed").otherwise(engine_name).alias("engine"), warn.alias("warn"))
     results = settled.unionByName(sent)
     if known is not None:
