@@ -178,3 +178,9 @@ def tiles(page_w: Column, page_h: Column, most: float = 1600.0) -> Column:
 
     every = F.flatten(F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.transform(F.sequence(F.lit(0), cols - 1), lambda c: one(r, c))))
     return F.when((cols == 1) & (rows == 1), every).otherwise(F.filter(every, lambda t: (t["w"] >= 32) & (t["h"] >= 32)))
+
+
+def region_score(ink: Column, w: Column, h: Column, lines: Column) -> Column:
+    """How much a region looks like text: the evenness of its ink and its number of lines."""
+    even = F.when((ink / (w * h)).between(0.06, 0.62), 1.0).otherwise(0.35)
+    return F.least(F.lit(1.0), 0.5 * even + 0.12 * F.least(lines, F.lit(6)))

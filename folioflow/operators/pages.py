@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -15,10 +16,12 @@ from pyspark.sql.types import StructType
 def kept(df: DataFrame) -> DataFrame:
     """``df`` checkpointed: computed once and cut off from its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one (tests) gets its own.
+    The folder is the session's ``spark.checkpoint.dir``; only a session that runs in one process and names none (tests) gets its own.
     """
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-"))
     return df.checkpoint()
 
