@@ -45,24 +45,12 @@ def fake_engine(texts: list[str]) -> list[str]:
 
 # Flagship ------------------------------------------------------------------------------------------------------------
 
-@query(rf"""
-WITH {D.LINES}, t AS (SELECT doc_id, lang, trim(line) AS raw FROM lines),
-r AS (SELECT lang, raw, len(regexp_extract_all(raw, '[\x{{4e00}}-\x{{9fff}}]')) AS han, len(regexp_extract_all(raw, '[A-Za-z]')) AS latin FROM t)
-SELECT lang, CASE WHEN raw = '' OR han > latin OR latin = 0 THEN 'skip' ELSE 'engine' END AS engine, count(*) AS n, count(DISTINCT raw) AS texts
-FROM r WHERE raw NOT SIMILAR TO '.*[0-9].*' GROUP BY ALL""")
-def flagship_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines without digits, distinct, routed, translated by a fake engine, joined back and counted."""
-    lines = D.text_lines(spark, sf_dir).where(~F.col("line").rlike("[0-9]"))
-    done = L.translate(lines, ONE_TERM, fake_engine, "line")
-    return done.groupBy("lang", "engine").agg(F.count("*").alias("n"), F.countDistinct(F.trim("line")).alias("texts"))
-
-
 @query(rf"""
 WITH {D.LINES}, t AS (SELECT lang, trim(line) AS raw FROM lines),
 r AS (SELECT lang, raw, len(regexp_extract_all(raw, '[\x{{4e00}}-\x{{9fff}}]')) AS han, len(regexp_extract_all(raw, '[A-Za-z]')) AS latin, regexp_replace(raw, '{T.CODES.replace("'", "''")}', '', 'g') AS masked FROM t)
 SELECT lang, CASE WHEN raw = '' OR han > latin OR NOT regexp_matches(masked, '[A-Za-z]') THEN 'skip' ELSE 'engine' END AS engine, '' AS warn, count(*) AS n, count(DISTINCT raw) AS texts
 FROM r GROUP BY ALL""")
-def flagship_translation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flagship_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines, distinct, routed, codes masked, translated by a fake engine, codes restored, joined back and counted."""
     done = L.translate(D.text_lines(spark, sf_dir), ONE_TERM, fake_engine, "line")
     return done.groupBy("lang", "engine", "warn").agg(F.count("*").alias("n"), F.countDistinct(F.trim("line")).alias("texts"))
@@ -145,11 +133,11 @@ def region_top_k(spark, sf_dir):
     return B.top_regions(D.boxes(spark, sf_dir)).select("page", "no", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {D.BOXES}, s AS (SELECT page, no, count(*) OVER (PARTITION BY page) AS n, least(1.0, 0.5 * (CASE WHEN no % 3 = 0 THEN 0.35 ELSE 1.0 END) + 0.12 * least(no, 6)) AS score FROM boxes)
-SELECT page, no, score FROM s""")
+@query(f"""WITH {D.BOXES}, i AS (SELECT page, no, w, h, floor(w * h * (no % 10) / 10) AS ink, no AS lines FROM boxes)
+SELECT page, no, least(1.0, 0.5 * CASE WHEN ink / (w * h) BETWEEN 0.06 AND 0.62 THEN 1.0 ELSE 0.35 END + 0.12 * least(lines, 6)) AS score FROM i""")
 def region_score(spark, sf_dir):
-    dens = F.when(F.col("no") % 3 == 0, 0.35).otherwise(1.0)
-    return D.boxes(spark, sf_dir).select("page", "no", F.least(F.lit(1.0), 0.5 * dens + 0.12 * F.least("no", F.lit(6))).alias("score"))
+    ink = F.floor(F.col("w") * F.col("h") * (F.col("no") % 10) / 10)
+    return D.boxes(spark, sf_dir).select("page", "no", G.region_score(ink, F.col("w"), F.col("h"), F.col("no")).alias("score"))
 
 
 @query()
@@ -392,9 +380,9 @@ def codes_extract(spark, sf_dir):
 
 @query(_TEXT + f" SELECT k, no, line AS restored, regexp_matches(regexp_replace(line, '{_CODES_SQL}', '', 'g'), '[A-Za-z]') AS latin_left, 0 AS lost FROM t")
 def codes_round_trip(spark, sf_dir):
-    t = _text(spark, sf_dir).withColumn("codes", T.codes(F.col("line"))).withColumn("masked", T.mask_codes(F.col("line")))
-    back = T.restore_codes(F.col("masked"), F.col("codes"))
-    return t.select("k", "no", back.alias("restored"), F.col("masked").rlike("[A-Za-z]").alias("latin_left"), F.size(T.lost_codes(back, F.col("codes"))).alias("lost"))
+    t = _text(spark, sf_dir).withColumn("p", T.protected(F.col("line"))).select("k", "no", "p.codes", "p.masked")
+    t = t.withColumn("restored", T.restore_codes(F.col("masked"), F.col("codes")))
+    return t.select("k", "no", "restored", F.col("masked").rlike("[A-Za-z]").alias("latin_left"), F.size(T.lost_codes(F.col("restored"), F.col("codes"))).alias("lost"))
 
 
 @query(_TEXT + rf""", r AS (SELECT k, no, line, regexp_replace(line, '{_CODES_SQL}', '', 'g') AS masked FROM t)
@@ -417,80 +405,47 @@ def translate_batches(spark, sf_dir):
 # JSON ----------------------------------------------------------------------------------------------------------------
 
 def _replies(spark, sf_dir):
-    clean = F.regexp_replace(F.substring("text", 1, 40), r"[^A-Za-z0-9 ]", " ")
-    body = F.concat(F.lit('Sure:\n```json\n{items:[{text:"'), clean, F.lit('",translation:"T '), F.col("turn").cast("string"), F.lit('",box:[0,0,10,10],},],}\n```'))
-    return D.table(spark, sf_dir, "conversations").select("conv_id", "turn", clean.alias("clean"), body.alias("body"))
+    """Replies that quote a turn's whole text: untidy ones (bare keys, trailing commas) and well-formed ones in turn."""
+    said = F.coalesce("text", F.lit(""))
+    quoted = F.regexp_replace(F.to_json(F.struct(said.alias("t"))), r'^\{"t":|\}$', "")
+    turn = F.col("turn").cast("string")
+    untidy = F.concat(F.lit("{items:[{text:"), quoted, F.lit(',translation:"T '), turn, F.lit('",box:[0,0,10,10],},],}'))
+    tidy = F.concat(F.lit('{"items":[{"text":'), quoted, F.lit(',"translation":"T '), turn, F.lit('","box":[0,0,10,10]}]}'))
+    body = F.concat(F.lit("Sure:\n```json\n"), F.when(F.col("turn") % 2 == 0, untidy).otherwise(tidy), F.lit("\n```"))
+    return D.table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said"), body.alias("body"))
 
 
-_REPLIES = r"""WITH r AS (SELECT conv_id, turn, regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9 ]', ' ', 'g') AS clean FROM conversations)"""
+#: The same replies' texts for a second engine: whole, and as they stand quoted in JSON.
+_REPLIES = "WITH r AS (SELECT conv_id, turn, coalesce(text, '') AS said, CAST(to_json(coalesce(text, '')) AS VARCHAR) AS quoted FROM conversations)"
+_TRIMMED = r"regexp_replace(said, '^\s+|\s+$', '', 'g')"
 
 
-@query(_REPLIES + """ SELECT conv_id, turn, '{items:[{text:"' || clean || '",translation:"T ' || turn || '",box:[0,0,10,10],},],}' AS inner_text FROM r""")
+@query(_REPLIES + """ SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '{items:[{text:' || quoted || ',translation:"T ' || turn || '",box:[0,0,10,10],},],}'
+  ELSE '{"items":[{"text":' || quoted || ',"translation":"T ' || turn || '","box":[0,0,10,10]}]}' END AS inner_text FROM r""")
 def json_strip_fences(spark, sf_dir):
     return _replies(spark, sf_dir).select("conv_id", "turn", T.strip_fences(F.col("body")).alias("inner_text"))
 
 
-@query(_REPLIES + """ SELECT conv_id, turn, '{"items":[{"text":"' || clean || '","translation":"T ' || turn || '","box":[0,0,10,10]}]}' AS repaired FROM r""")
+@query(_REPLIES + """ SELECT conv_id, turn, '{"items":[{"text":' || quoted || ',"translation":"T ' || turn || '","box":[0,0,10,10]}]}' AS repaired FROM r""")
 def json_repair(spark, sf_dir):
     return _replies(spark, sf_dir).select("conv_id", "turn", T.repair_json(T.strip_fences(F.col("body"))).alias("repaired"))
 
 
-@query(_REPLIES + " SELECT conv_id, turn, 0 AS item_no, clean AS src, 'T ' || turn AS dst, 20.0 AS box_sum FROM r")
+@query(_REPLIES + " SELECT conv_id, turn, 0 AS item_no, said AS src, 'T ' || turn AS dst, 20.0 AS box_sum FROM r")
 def json_typed_items(spark, sf_dir):
     rows = _replies(spark, sf_dir).select("conv_id", "turn", F.posexplode(J.typed_items(F.col("body"))).alias("item_no", "i"))
     return rows.select("conv_id", "turn", "item_no", F.col("i.text").alias("src"), F.col("i.translation").alias("dst"), F.aggregate("i.box", F.lit(0.0), lambda a, x: a + x).alias("box_sum"))
 
 
-@query(_REPLIES + " SELECT conv_id, turn, 0 AS item_no, trim(clean) AS src, 'T ' || turn AS dst FROM r")
+@query(_REPLIES + f" SELECT conv_id, turn, 0 AS item_no, {_TRIMMED} AS src, 'T ' || turn AS dst FROM r")
 def json_parse_replies(spark, sf_dir):
-    return J.parse_replies(_replies(spark, sf_dir).drop("clean")).select("conv_id", "turn", "item_no", "src", "dst")
+    return J.parse_replies(_replies(spark, sf_dir).drop("said")).select("conv_id", "turn", "item_no", "src", "dst")
 
 
-@query(_REPLIES + " SELECT conv_id, turn, clean || 'tail' AS said FROM r")
+@query(_REPLIES + " SELECT conv_id, turn, said || 'tail' AS said FROM r")
 def json_model_text(spark, sf_dir):
     c = _replies(spark, sf_dir)
     part = lambda t: F.struct(t.alias("text"))
-    gemini = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(part(F.col("clean")), part(F.lit("tail"))).alias("parts")).alias("content"))).alias("candidates")))
-    openai = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("clean", F.lit("tail")).alias("content")).alias("message"))).alias("choices")))
-    return c.select("conv_id", "turn", J.model_text(F.when(F.col("turn") % 2 == 0, gemini).otherwise(openai)).alias("said"))
-
-
-def _whole_replies(spark, sf_dir):
-    """Replies that quote a turn's whole text: untidy ones (bare keys, trailing commas) and well-formed ones in turn."""
-    said = F.coalesce("text", F.lit(""))
-    quoted = F.regexp_replace(F.to_json(F.struct(said.alias("t"))), r'^\{"t":|\}$', "")
-    turn = F.col("turn").cast("string")
-    untidy = F.concat(F.lit("{items:[{text:"), quoted, F.lit(',translation:"T '), turn, F.lit('",box:[0,0,10,10],},],}'))
-    tidy = F.concat(F.lit('{"items":[{"text":'), quoted, F.lit(',"translation":"T '), turn, F.lit('","box":[0,0,10,10]}]}'))
-    body = F.concat(F.lit("Sure:\n```json\n"), F.when(F.col("turn") % 2 == 0, untidy).otherwise(tidy), F.lit("\n```"))
-    return D.table(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said"), body.alias("body"))
-
-
-@query()
-def json_strip_fences_whole(spark, sf_dir):
-    return _whole_replies(spark, sf_dir).select("conv_id", "turn", T.strip_fences(F.col("body")).alias("inner_text"))
-
-
-@query()
-def json_repair_whole(spark, sf_dir):
-    return _whole_replies(spark, sf_dir).select("conv_id", "turn", T.repair_json(T.strip_fences(F.col("body"))).alias("repaired"))
-
-
-@query()
-def json_typed_items_whole(spark, sf_dir):
-    rows = _whole_replies(spark, sf_dir).select("conv_id", "turn", F.posexplode(J.typed_items(F.col("body"))).alias("item_no", "i"))
-    return rows.select("conv_id", "turn", "item_no", F.col("i.text").alias("src"), F.col("i.translation").alias("dst"), F.aggregate("i.box", F.lit(0.0), lambda a, x: a + x).alias("box_sum"))
-
-
-@query()
-def json_parse_replies_whole(spark, sf_dir):
-    return J.parse_replies(_whole_replies(spark, sf_dir).drop("said")).select("conv_id", "turn", "item_no", "src", "dst")
-
-
-@query()
-def json_model_text_whole(spark, sf_dir):
-    c = _whole_replies(spark, sf_dir)
-    part = lambda t: F.struct(t.alias("text"))
     gemini = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(part(F.col("said")), part(F.lit("tail"))).alias("parts")).alias("content"))).alias("candidates")))
     openai = F.to_json(F.struct(F.array(F.struct(F.struct(F.concat("said", F.lit("tail")).alias("content")).alias("message"))).alias("choices")))
     return c.select("conv_id", "turn", J.model_text(F.when(F.col("turn") % 2 == 0, gemini).otherwise(openai)).alias("said"))
@@ -763,7 +718,7 @@ def ocr_drop_reread(spark, sf_dir):
 
 @query()
 def regions_from_lines(spark, sf_dir):
-    return B.group_regions(D.boxes(spark, sf_dir).withColumn("ink", F.floor(F.col("w") * F.col("h") * 0.3)), most=3)
+    return B.group_regions(D.boxes(spark, sf_dir).withColumn("ink", F.floor(F.col("w") * F.col("h") * 0.3)))
 
 
 _URLS = ("https://a.b/v1/", "https://a.b", "https://api.deepseek.com/", "https://a.b/v1/chat/completions", "https://a.b/v4beta", "https://a.b/models")
@@ -817,11 +772,11 @@ def fake_reader(image: bytes, crop: dict, kind: str) -> str:
 def _answers(spark, sf_dir):
     b = D.boxes(spark, sf_dir)
     pages = b.groupBy("page").agg(F.lit(PAGE_W).alias("width"), F.lit(PAGE_H).alias("height"), F.lit(b"\0").alias("image"))
-    return R.ask(pages, R.requests(pages, b, 3), fake_reader)
+    return R.ask(pages, R.requests(pages, b), fake_reader)
 
 
 @query(f"""WITH {D.BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY w * h DESC, no) AS rank FROM boxes WHERE w >= 8 AND h >= 6),
-p AS (SELECT page, rank, greatest(0, x - greatest(4, floor(greatest(w, h) * CAST(0.12 AS DOUBLE) + 0.5))) AS cx, greatest(0, y - greatest(4, floor(greatest(w, h) * CAST(0.12 AS DOUBLE) + 0.5))) AS cy FROM r WHERE rank <= 3),
+p AS (SELECT page, rank, greatest(0, x - greatest(4, floor(greatest(w, h) * CAST(0.12 AS DOUBLE) + 0.5))) AS cx, greatest(0, y - greatest(4, floor(greatest(w, h) * CAST(0.12 AS DOUBLE) + 0.5))) AS cy FROM r WHERE rank <= 24),
 q AS (SELECT page, count(*) AS regions, count(*) FILTER (CAST(floor(cx) AS BIGINT) % 5 = 0 OR CAST(floor(cy) AS BIGINT) % 11 = 3) AS failed FROM p GROUP BY page)
 SELECT page, regions + 1 AS requests, failed, regions, failed < regions AS usable FROM q""")
 def reading_two_pass_report(spark, sf_dir):
@@ -839,3 +794,9 @@ def kernel_cover_boxes(spark, sf_dir):
     pages = _plane_rows(spark, sf_dir).select("page", "width", "height", F.unhex(F.regexp_replace(F.hex("lum"), "(..)", "$1$1$1")).alias("rgb"))
     todo = pages.select("page", F.explode(F.array(*[F.struct(F.lit(i).alias("no"), *[F.lit(float(v)).alias(c) for c, v in zip("xywh", b, strict=True)]) for i, b in enumerate(((4, 4, 24, 20), (30, 30, 20, 28)))])).alias("b")).select("page", "b.*")
     return K.cover_pages(pages, todo).select("page", F.md5("rgb").alias("digest"), F.explode("report").alias("r")).select("page", "digest", "r.*")
+
+
+from . import more  # noqa: E402, F401  (registers further queries with the two tables above)
+from .oracles import MORE  # noqa: E402
+
+SQL |= MORE

@@ -29,8 +29,8 @@ def by_turn(spark, name, at):
 
 def test_json_queries_read_whole_texts(spark, talks):
     at, texts = talks
-    inner, repaired = by_turn(spark, "json_strip_fences_whole", at), by_turn(spark, "json_repair_whole", at)
-    typed, parsed, said = (by_turn(spark, f"json_{n}_whole", at) for n in ("typed_items", "parse_replies", "model_text"))
+    inner, repaired = by_turn(spark, "json_strip_fences", at), by_turn(spark, "json_repair", at)
+    typed, parsed, said = (by_turn(spark, f"json_{n}", at) for n in ("typed_items", "parse_replies", "model_text"))
     assert set(inner) == set(repaired) == set(typed) == set(parsed) == set(said) == set(texts)
     for (conv, turn), t in texts.items():
         key, value = (conv, turn), {"items": [{"text": t, "translation": f"T {turn}", "box": [0, 0, 10, 10]}]}
@@ -49,5 +49,5 @@ def test_flagship_translates_every_line(spark, tmp_path):
     lines = ["Hello there", "SKU-11227J", "AB-1234 costs 99", "100%", "", "3 boxes of 12 in", "中文 12", " 4'5\" and 160cm "]
     docs = [(1, "en", "\n".join(lines)), (2, "de", "\r\n".join(lines * 2))]
     spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.lang, r.engine, r.warn): (r.n, r.texts) for r in plans.QUERIES["flagship_translation_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.lang, r.engine, r.warn): (r.n, r.texts) for r in plans.QUERIES["flagship_translation"](spark, str(tmp_path)).collect()}
     assert got == {("en", "skip", ""): (4, 4), ("en", "engine", ""): (4, 4), ("de", "skip", ""): (8, 4), ("de", "engine", ""): (8, 4)}
