@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pages import kept
+from .pages import per_page
 
 
 def to_gray(pixels: DataFrame) -> DataFrame:
@@ -105,36 +105,41 @@ def text_height(mask: DataFrame) -> DataFrame:
     return row_bands(mask).groupBy("page").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY y1 - y0)").alias("height"))
 
 
-def run_edges(r: DataFrame, reach: int = 1) -> DataFrame:
-    """Runs of neighbouring rows that overlap or, with ``reach`` 1, touch at a corner (8-connectivity)."""
-    a = r.select("page", F.col("y").alias("ya"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    b = r.select("page", (F.col("y") - 1).alias("ya"), F.col("y").alias("yb"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    return a.join(b, ["page", "ya"]).where((F.col("a0") < F.col("b1") + reach) & (F.col("b0") < F.col("a1") + reach))
-
-
-def components(mask: DataFrame, reach: int = 1, rounds: int = 64) -> DataFrame:
-    """Connected components of a mask: box, ink, rows and density; labels are the first run, in reading order.
-
-    Runs take the least label among their neighbours and jump to their label's label until nothing
-    changes, so rounds grow with the logarithm of a component's height; each is checkpointed.
+def joined_runs(rows: list[dict], reach: int) -> list[dict]:
+    """Components of a page's runs (y, x0, x1, ink in reading order): two rows of runs are walked together and joined by union-find."""
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    above = 0
+    for i, r in enumerate(rows):
+        while above < i and (rows[above]["y"] < r["y"] - 1 or (rows[above]["y"] == r["y"] - 1 and rows[above]["x1"] + reach <= r["x0"])):
+            above += 1
+        j = above
+        while j < i and rows[j]["y"] == r["y"] - 1 and rows[j]["x0"] < r["x1"] + reach:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+            j += 1
+    found: dict[int, dict] = {}
+    for i, r in enumerate(rows):
+        c = found.setdefault(find(i), {"x": r["x0"], "y": r["y"], "x1": r["x1"], "ink": 0, "rows": 0, "last": None})
+        c["x"], c["x1"], c["ink"] = min(c["x"], r["x0"]), max(c["x1"], r["x1"]), c["ink"] + r["ink"]
+        c["rows"], c["last"] = c["rows"] + (c["last"] != r["y"]), r["y"]
+    out = [{"x": c["x"], "y": c["y"], "w": c["x1"] - c["x"], "h": c["last"] - c["y"] + 1, "ink": c["ink"], "rows": c["rows"]} for c in found.values()]
+    return [c | {"density": c["ink"] / (c["w"] * c["h"])} for c in out]
+
+
+def components(mask: DataFrame, reach: int = 1) -> DataFrame:
+    """Connected components of a mask: box, ink, rows and density, touching corners counted as connected with ``reach`` 1.
+
+    Pixels become runs where they are; a page's runs, a small part of its pixels, then come to one place and are joined in one walk.
     """
-    key = lambda y, x: F.col(y).cast("long") * (1 << 31) + F.col(x)
-    r = kept(runs(mask).withColumn("id", key("y", "x0")))
-    e = run_edges(r, reach).select("page", key("ya", "a0").alias("u"), key("yb", "b0").alias("v"))
-    e = kept(e.unionByName(e.select("page", F.col("v").alias("u"), F.col("u").alias("v"))))
-    label = r.select("page", "id", F.col("id").alias("root"))
-    for _ in range(rounds):
-        near = e.join(label, (e["page"] == label["page"]) & (e["v"] == label["id"])).groupBy(e["page"], F.col("u").alias("id")).agg(F.min("root").alias("least"))
-        after = label.join(near, ["page", "id"], "left").select("page", "id", F.col("root").alias("was"), F.least("root", "least").alias("root"))
-        jump = after.select("page", F.col("id").alias("root"), F.col("root").alias("next"))
-        after = kept(after.join(jump, ["page", "root"]).select("page", "id", "was", F.least("root", "next").alias("root")))
-        label = after.select("page", "id", "root")
-        if after.where("was <> root").isEmpty():
-            break
-    whole = r.join(label, ["page", "id"]).groupBy("page", "root").agg(
-        F.min("x0").alias("x"), F.min("y").alias("y"), (F.max("x1") - F.min("x0")).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.sum("ink").alias("ink"), F.countDistinct("y").alias("rows")
-    )
-    return whole.drop("root").withColumn("density", F.col("ink") / (F.col("w") * F.col("h")))
+    schema = "page long, x int, y int, w int, h int, ink long, rows long, density double"
+    return per_page(runs(mask), ("y", "x0", "x1", "ink"), ("y", "x0"), lambda rows: joined_runs(rows, reach), schema)
 
 
 def dominant_colour(pixels: DataFrame, step: int = 16) -> DataFrame:
