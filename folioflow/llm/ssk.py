@@ -78,13 +78,18 @@ def dense(words: list[str]) -> np.ndarray:
 
 
 def project(words: list[str], table: np.ndarray, chunk: int = 1024) -> np.ndarray:
-    """Normalised kernel of each word with the columns of ``table`` (DIM x m): K(w, column) / sqrt(K(w, w))."""
-    out, chunk = [], max(32, chunk // max(1, table.shape[1] // 8))
+    """Normalised kernel of each word with the columns of ``table`` (DIM x m): K(w, column) / sqrt(K(w, w)).
+
+    Words of like length share a chunk, as all in a chunk are as wide as its longest.
+    """
+    out, chunk = np.zeros((len(words), table.shape[1])), max(32, chunk // max(1, table.shape[1] // 8))
+    order = np.argsort([len(w) for w in words], kind="stable")
     for a in range(0, len(words), chunk):
-        f, w = occurrences(words[a : a + chunk])
+        at = order[a : a + chunk]
+        f, w = occurrences([words[i] for i in at])
         norm = np.sqrt(np.maximum(self_kernel(f, w), 1e-12))
-        out.append(np.einsum("wf,wfm->wm", w, table[f]) / norm[:, None])
-    return np.concatenate(out) if out else np.zeros((0, table.shape[1]))
+        out[at] = np.einsum("wf,wfm->wm", w, table[f]) / norm[:, None]
+    return out
 
 
 def pieces(word: str) -> list[str]:
