@@ -131,6 +131,22 @@ def translate(texts: DataFrame, entries: list[tuple[str, str, bool]], engine: Ca
     return keyed.join(results.withColumnRenamed("raw", "_raw"), "_raw").drop("_raw")
 
 
+class Incomplete(Exception):
+    """Some texts were not translated; ``partial`` is the whole result with what was."""
+
+    def __init__(self, failed: int, partial: DataFrame):
+        super().__init__(f"{failed} texts were not translated")
+        self.failed, self.partial = failed, partial
+
+
+def complete(results: DataFrame) -> DataFrame:
+    """``results`` of ``translate`` if no text failed; else an error that carries them, so that what was translated is not lost."""
+    failed = results.where("engine = 'failed'").count()
+    if failed:
+        raise Incomplete(failed, results)
+    return results
+
+
 def request_batches(texts: DataFrame, size: int = 24) -> DataFrame:
     """Number of the request that each distinct text goes in, by partition of a language."""
     return texts.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("lang").orderBy("raw")) - 1) / size))

@@ -166,6 +166,15 @@ def test_translation_sends_distinct_texts_once(spark):
     assert calls.value == 1 and [r.engine for r in out] == ["engine"] * 3 + ["skip"] * 2 and out[0].dst == "<Hello>"
 
 
+def test_failed_texts_do_not_lose_the_others(spark):
+    rows = spark.createDataFrame([(0, "Hello"), (1, "World")], "no int, src string")
+    done = L.translate(rows, [], lambda texts: [None if t == "World" else "你好" for t in texts])
+    with pytest.raises(L.Incomplete) as e:
+        L.complete(done)
+    assert e.value.failed == 1 and {(r.src, r.engine) for r in e.value.partial.collect()} == {("Hello", "engine"), ("World", "failed")}
+    assert L.complete(done.where("no = 0")).count() == 1
+
+
 @given(st.text(alphabet="ab ,.;\n" + T.OPEN + "0" + T.CLOSE, max_size=400), st.integers(5, 60))
 @settings(max_examples=80, deadline=None)
 def test_pieces_add_up(text, limit):
