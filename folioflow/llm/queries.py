@@ -19,47 +19,57 @@ from .warc import round_trip
 
 
 def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through dictionary-compressed archives and back; every record is verified."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return round_trip(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over all documents and whole texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes, over all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole texts. The kernel counts subsequences of three letters up to a span of seven characters (wider ones weigh
+    under 3 per cent) and compares words on their own, spelled-out ones joined."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, machine).select("doc_id", "held_out", "score", "predicted")
 
 
 def op5_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and weakly supervised spans of personal data and secrets in all whole texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_personal_data(docs).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_more", "n_spans")
 
 
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked at a similarity of 0.85 on five-word shingles."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors of one label linked at a cosine of 0.98."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return embedding_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept")
 
 
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return histogram_shards(docs, 8, carry=False).select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int"), F.col("slot").cast("long"), "grown_shard")
 
 
 def op9_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents from two views that taught each other."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", "held_out", "text_score", "meta_score", "score", "predicted", (F.col("predicted") == 1).alias("kept"))
@@ -73,6 +83,7 @@ def word_bpe() -> str:
 
 
 def op10_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences of at most 4096 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_documents(docs, word_bpe()).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
