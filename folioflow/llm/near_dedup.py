@@ -9,15 +9,15 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import discard, one_of_each, rows_of, small_batches, text_of, without, written
 from .graph import components
 from .hyperminhash import REGISTERS, band_keys, estimate, few_keys, jaccard_counts, possible, registers, rows_for, set_key, shingles
 
-#: Members of a hub's group that meet in one task.
-BLOCK = 512
+#: Members of a block, two of which meet in one task, and steps of set size that make up the threshold.
+BLOCK, STEPS = 512, 4
 ADDED = ("n_shingles", "component_id", "kept")
 
 
@@ -132,32 +132,53 @@ def _forest(threshold: float, percent: int, width: int):
     return run
 
 
+def _blocks(steps: list[tuple[int, int, int]]) -> list[tuple[int, bool, int, int, list[int]]]:
+    """How the members of one hub are cut into blocks: (step, apart, first block, blocks, blocks that these meet) for each size step.
+
+    ``steps`` are (step, members apart from the hub's component, other members) in order of size. Neighbouring steps share a block up to ``BLOCK``
+    members, a fuller step has several. Blocks meet where one of them holds members apart and their sizes allow a link.
+    """
+    made, where = [], {}  # (apart, lowest step, highest step); (step, apart) -> (first block, blocks)
+    for apart in (True, False):
+        room = 0
+        for step, a, m in steps:
+            n = a if apart else m
+            if not n:
+                continue
+            if n <= room:
+                made[-1] = (apart, made[-1][1], step)
+                where[step, apart], room = (len(made) - 1, 1), room - n
+            else:
+                several = -(-n // BLOCK)
+                where[step, apart] = (len(made), several)
+                made += [(apart, step, step)] * several
+                room = BLOCK - n if several == 1 else 0
+    near = lambda p, q: (p[0] or q[0]) and p[1] - q[2] <= STEPS and q[1] - p[2] <= STEPS
+    meets = {p: [j for j, q in enumerate(made) if near(p, q)] for p in set(made)}
+    return [(step, apart, first, n, meets[made[first]]) for (step, apart), (first, n) in where.items()]
+
+
+def _planned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(hub, *r) for hub, steps in zip(b["hub"], b["steps"], strict=True) for r in _blocks([(s["step"], s["a"], s["m"]) for s in steps])]
+        yield pd.DataFrame(rows, columns=["hub", "step", "apart", "first", "blocks", "meets"])
+
+
 def _meetings(sides: DataFrame, percent: int) -> DataFrame:
     """``sides`` (hub, cid, comp, apart, n) with ``blk`` and one row for each task (``i``, ``j``) that the member is in.
 
-    Sets whose sizes differ by more than the threshold allows cannot be linked, so members of a hub are parted by size:
-    linked ones sit in the same step of a geometric scale or in neighbouring ones. A step's members are cut by hash
-    into blocks of ``BLOCK``, those apart from the hub's component and the others on their own, and blocks of near steps meet where
-    at least one holds members that are apart. A hub has a few dozen steps at most, whatever its group's size.
+    Sets are counted by hub and by size on a geometric scale, ``STEPS`` steps of which are the threshold; a hub has some hundred steps at
+    most, whatever its group's size, and blocks are planned on these counts. Within a step members go to blocks by hash.
     """
-    step = F.floor(F.log("n") / (math.log(100 / min(percent, 99)) * (1 + 1e-9))).cast("int")
+    step = F.floor(F.log("n") * STEPS / (math.log(100 / min(percent, 99)) * (1 + 1e-9))).cast("int")
     sides = sides.withColumn("step", step)
     per = sides.groupBy("hub", "step").agg(F.count_if("apart").alias("a"), F.count_if(~F.col("apart")).alias("m"))
-    per = per.select("hub", "step", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(f"{c}b") for c in "am"], (F.col("a") + F.col("m")).alias("all"))
-    hubs = per.groupBy("hub").agg(F.map_from_entries(F.collect_list(F.struct("step", F.struct("ab", "mb")))).alias("steps"), F.sum("ab").alias("open"), F.sum("all").alias("all"))
-    hubs = written(hubs.where("open > 0 and all > 1").select("hub", "steps"), "near-open-hubs")
-    here = F.element_at("steps", F.col("step"))
-    label = lambda step, b: step.cast("long") * (1 << 32) + b
-
-    def blocks(step: Column) -> Column:
-        there = F.try_element_at(F.col("steps"), step)
-        last = F.coalesce(F.when(F.col("apart"), there["ab"] + there["mb"]).otherwise(there["ab"]), F.lit(0))
-        return F.when(last > 0, F.transform(F.sequence(F.lit(0), last - 1), lambda b: label(step, b))).otherwise(F.array().cast("array<bigint>"))
-
-    mine = F.when(F.col("apart"), F.pmod(F.xxhash64("cid"), here["ab"])).otherwise(here["ab"] + F.pmod(F.xxhash64("cid"), here["mb"]))
-    dealt = sides.join(hubs, "hub").withColumn("blk", label(F.col("step"), mine))
-    other = F.explode(F.concat(*[blocks(F.col("step") + d) for d in (-1, 0, 1)]))
-    return dealt.select("hub", "cid", "comp", "blk", other.alias("o")).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
+    hubs = per.groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("step", "a", "m"))).alias("steps"), F.sum("a").alias("open"), F.sum(F.col("a") + F.col("m")).alias("all"))
+    schema = "hub long, step int, apart boolean, first long, blocks int, meets array<long>"
+    plan = written(hubs.where("open > 0 AND `all` > 1").select("hub", "steps").mapInPandas(_planned, schema), "near-plan")
+    dealt = sides.join(plan, ["hub", "step", "apart"]).withColumn("blk", F.col("first") + F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    dealt = dealt.select("hub", "cid", "comp", "blk", F.explode("meets").alias("o"))
+    return dealt.withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
