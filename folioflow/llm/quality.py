@@ -65,18 +65,22 @@ class Logistic:
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
         found = cls(mean, scale, np.zeros(x.shape[1] + 1))
         for _ in range(steps):
-            if np.abs(found.step(*found.sums(x, y, weight), ridge)).max() < 1e-5:
+            if np.abs(found.step(found.gradient(x, y, weight), found.curvature(x, weight), ridge)).max() < 1e-5:
                 break
         return found
 
     def rows(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))])
 
-    def sums(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient and curvature of the loss at these rows; both add up over any parts of the data."""
+    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Gradient of the loss at these rows; it adds up over any parts of the data."""
+        z = self.rows(x)
+        return z.T @ (weight * (1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30))) - y))
+
+    def curvature(self, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
         z = self.rows(x)
         p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-        return z.T @ (weight * (p - y)), (z * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z
+        return (z * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ z
 
     def step(self, grad: np.ndarray, curve: np.ndarray, ridge: float = 3.0) -> np.ndarray:
         """One damped Newton step."""
@@ -112,24 +116,23 @@ def sure_margin(margin: np.ndarray, y: np.ndarray, label: int, sure: float, leas
     return float(toward[order][good[-1]]) if len(good) else float("inf")
 
 
-#: What a pass over the pool brings for each view and lent label: rows, gradient and curvature.
-Sums = list[list[tuple[float, np.ndarray, np.ndarray]]]
+#: What a pass over the pool brings for each view: rows and gradient for either lent label, and the curvature over both.
+Sums = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def lent_sums(views: tuple[Logistic, Logistic], least: list[list[float]], x: tuple[np.ndarray, np.ndarray]) -> Sums:
-    """For either view and label, the sums over the rows of which the other view is sure."""
+    """For either view, the sums over the rows of which the other view is sure."""
     margins, out = [v.margin(a) for v, a in zip(views, x, strict=True)], []
     for k, view in enumerate(views):
-        other, per = margins[1 - k], []
-        for label in (0, 1):
-            rows = (other if label else -other) >= least[1 - k][label]
-            per.append((float(rows.sum()), *view.sums(x[k][rows], np.full(int(rows.sum()), float(label)), np.ones(int(rows.sum())))))
-        out.append(per)
+        sure = [(margins[1 - k] if label else -margins[1 - k]) >= least[1 - k][label] for label in (0, 1)]
+        grads = [view.gradient(x[k][r], np.full(int(r.sum()), float(label)), np.ones(int(r.sum()))) for label, r in enumerate(sure)]
+        rows = x[k][sure[0] | sure[1]]
+        out.append((np.array([float(r.sum()) for r in sure]), np.array(grads), view.curvature(rows, np.ones(len(rows))).astype(np.float32)))
     return out
 
 
 def add_sums(a: Sums | None, b: Sums) -> Sums:
-    return b if a is None else [[tuple(x + y for x, y in zip(p, q, strict=True)) for p, q in zip(v, w, strict=True)] for v, w in zip(a, b, strict=True)]
+    return b if a is None else [tuple(p + q for p, q in zip(v, w, strict=True)) for v, w in zip(a, b, strict=True)]
 
 
 def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, lent, rounds: int = 4, sure: float = 0.95, share: float = 0.5) -> CoTrained | None:
@@ -152,11 +155,10 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, lent, rounds: int =
         if sums is None:
             break
         for v, a, per in zip(fitted, x, sums, strict=True):
-            grad, curve = v.sums(a[~calibrate], own, np.ones(len(own)))
-            for label, (n, g, c) in enumerate(per):
-                weight = share * (own == label).sum() / n if n else 0.0
-                grad, curve = grad + weight * g, curve + weight * c
-            v.step(grad, curve)
+            n, grads, curve = per
+            weight = np.array([share * (own == label).sum() / c if c else 0.0 for label, c in enumerate(n)])
+            ones, mean = np.ones(len(own)), float(weight @ n / max(1.0, n.sum()))
+            v.step(v.gradient(a[~calibrate], own, ones) + weight @ grads, v.curvature(a[~calibrate], ones) + mean * curve)
     ones = np.ones(len(goal))
     margins = [v.margin(a[calibrate]) for v, a in zip(fitted, x, strict=True)]
     single = tuple(Logistic.fit(m[:, None], goal, ones, 1.0) for m in margins)
@@ -209,9 +211,10 @@ def _pool_pass(pool: DataFrame):
             if total is not None:
                 yield pd.DataFrame({"sums": [pickle.dumps(total)]})
 
+        # About a megabyte a task, so that few are added up at a time.
         done = written(pool.select("xt", "xm").mapInPandas(part, "sums binary"), "quality-sums")
         while (n := done.count()) > 8:
-            fewer = written(done.repartition(-(-n // 32)).mapInPandas(add, "sums binary"), "quality-sums")
+            fewer = written(done.repartition(-(-n // 16)).mapInPandas(add, "sums binary"), "quality-sums")
             discard(done)
             done = fewer
         total = None
