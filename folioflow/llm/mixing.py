@@ -148,17 +148,18 @@ def _balance(last: bool, seed: int):
 
 def _decide(state: DataFrame, seed: int) -> DataFrame:
     """0 or 1 in place of every ``p``. Only fractional units go through Python, ``BLOCK`` of a source at a time."""
-    spark = state.sparkSession
+    tasks = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     decided = state.where("p <= 0 OR p >= 1")
     state, level = written(state.where("p > 0 AND p < 1"), "mix-level"), 0
     while not state.isEmpty():
-        counts = state.groupBy("src").agg(F.count("*").alias("n"))
-        largest = counts.agg(F.max("n")).first()[0]
-        last = largest <= BLOCK
+        counts = written(state.groupBy("src").agg(F.count("*").alias("n")), "mix-counts")  # written, so that its size is known to the join
+        last = counts.agg(F.max("n")).first()[0] <= BLOCK
         blocks = counts.select("src", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         dealt = state.join(blocks, "src").withColumn("order", F.xxhash64("id", "h", F.lit(seed + level)))
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("order"), "blocks").cast("int")).drop("blocks")
+        dealt = dealt.repartition(tasks, "src", "block")  # stated: what a join has dealt by source alone holds a source in one task
         after = written(dealt.groupBy("src", "block").applyInPandas(_balance(last, seed + level), _UNITS), "mix-level")
+        discard(counts)
         discard(state)
         decided = decided.unionByName(after.where("p <= 0 OR p >= 1"))
         state, level = written(after.where("p > 0 AND p < 1"), "mix-level"), level + 1
