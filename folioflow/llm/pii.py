@@ -155,27 +155,39 @@ def _votes(text: Column, kind: str, x: Column) -> Column:
     return sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0)) + length * (1 << n) + group * (1 << (n + 2))
 
 
-def aggregate_votes(counts: dict[tuple[int, int], int], rounds: int = 60) -> dict[tuple[int, int], float]:
+def aggregate_votes(counts: dict[tuple[int, int], int], rounds: int = 60, pull: float = 20.0) -> dict[tuple[int, int], float]:
     """Expectation-maximisation over (kind, votes) patterns: the chance that a span of a pattern is personal data.
 
-    Two latent classes; each labeler has a rate of voting for spans of either, and each kind a share of true spans. Starts from the share
-    of votes; rates are smoothed. Patterns are taken in order, so that sums do not depend on how they arrived.
+    Two latent classes. Each labeler has a rate of voting for spans of either, for each kind on its own but pulled by ``pull`` spans towards
+    its rate over all kinds, and is taken to be no worse than chance; each kind has a share of true spans. Spans of the base kinds,
+    which passed exact tests, are known to be true. Starts from the share of votes. Patterns are taken in order, so that sums do
+    not depend on how they arrived.
     """
     n, order = len(LABELERS), sorted(counts)
     bits = {p: [(p[1] >> j) & 1 for j in range(n)] for p in order}
-    post = {p: 0.02 + 0.96 * sum(b) / n for p, b in bits.items()}
-    total = sum(counts.values())
-    for _ in range(rounds if total else 0):
-        yes = sum(counts[p] * post[p] for p in order)
-        share = {}
-        for k in {p[0] for p in order}:
-            mine = [p for p in order if p[0] == k]
-            share[k] = (sum(counts[p] * post[p] for p in mine) + 1) / (sum(counts[p] for p in mine) + 2)
-        hit = [(sum(counts[p] * post[p] * bits[p][j] for p in order) + 1) / (yes + 2) for j in range(n)]
-        false = [(sum(counts[p] * (1 - post[p]) * bits[p][j] for p in order) + 1) / (total - yes + 2) for j in range(n)]
-        for p, b in bits.items():
-            odds = math.log(share[p[0]] / (1 - share[p[0]])) + sum(math.log(hit[j] / false[j]) if v else math.log((1 - hit[j]) / (1 - false[j])) for j, v in enumerate(b))
-            post[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+    post = {p: 0.98 if p[0] < len(BASE) else 0.02 + 0.96 * sum(b) / n for p, b in bits.items()}
+    of_kind = {k: [p for p in order if p[0] == k] for k in sorted({p[0] for p in order})}
+
+    def rates(patterns: list[tuple[int, int]], true: bool, prior: list[float], weight: float) -> list[float]:
+        mass = {p: counts[p] * (post[p] if true else 1 - post[p]) for p in patterns}
+        total = sum(mass.values())
+        return [(sum(m * bits[p][j] for p, m in mass.items()) + weight * prior[j]) / (total + weight) for j in range(n)]
+
+    for _ in range(rounds if order else 0):
+        every = [rates(order, true, [0.5] * n, 2.0) for true in (True, False)]
+        for k, mine in of_kind.items():
+            if k < len(BASE):
+                continue
+            share = (sum(counts[p] * post[p] for p in mine) + 1) / (sum(counts[p] for p in mine) + 2)
+            hit, false = (rates(mine, true, rate, pull) for true, rate in zip((True, False), every, strict=True))
+            new = {}
+            for p in mine:
+                odds = math.log(share / (1 - share))
+                for j, vote in enumerate(bits[p]):
+                    if hit[j] > false[j]:
+                        odds += math.log(hit[j] / false[j]) if vote else math.log((1 - hit[j]) / (1 - false[j]))
+                new[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
+            post |= new
     return post
 
 

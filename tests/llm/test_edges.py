@@ -504,3 +504,14 @@ def test_archives_ignore_other_columns(spark):
     more = pages.select("*", *[F.lit("mine").alias(c) for c in ("payload", "key", "first_id", "record_type")])
     key = lambda df: sorted((r.page_id, r.payload_digest, r.record_type) for r in warc.round_trip(spark, df).collect())
     assert key(more) == key(pages)
+
+
+def test_kinds_unlike_the_base_ones_are_not_outvoted():
+    """Base spans rarely stand behind a cue word; that does not speak against a secret that does."""
+    secret = pii.KINDS.index("secret")
+    counts = {(0, 0b111011): 500, (2, 0b011001): 400, (secret, 0b011101): 120, (secret, 0b010000): 60}
+    post = pii.aggregate_votes(counts)
+    assert post[(secret, 0b011101)] > 0.5 > post[(secret, 0b010000)] and post[(0, 0b111011)] > 0.9
+    w = pii.train_spans(counts, post)
+    score = {p: sum(a * b for a, b in zip(w, pii.features(*p))) for p in counts}
+    assert score[(secret, 0b011101)] > 0 > score[(secret, 0b010000)]
