@@ -79,7 +79,10 @@ def affine(a: Column, b: Column) -> Column:
 
 
 def glyph_box(viewport: Column, transform: Column, width: Column, height: Column, string: Column) -> dict[str, Column]:
-    """Page box of a text-layer item: from its baseline along its writing direction, 0.85 of the font up and 0.3 down."""
+    """Page box of a text-layer item: from its baseline along its writing direction, 0.85 of the font up and 0.3 down.
+
+    Its width and height come from its own extents, not as differences of far larger coordinates.
+    """
     m = affine(viewport, transform)
     up, along = F.hypot(m[2], m[3]), F.hypot(m[0], m[1])
     font = F.when(up > 0, up).when(F.abs(height) > 0, F.abs(height)).otherwise(10.0)
@@ -88,7 +91,8 @@ def glyph_box(viewport: Column, transform: Column, width: Column, height: Column
     ux, uy = F.when(up > 0, m[2] / up).otherwise(0.0), F.when(up > 0, m[3] / up).otherwise(0.0)
     ends = lambda start, d, u: [s + u * k for s in (start, start + d * advance) for k in (font * 0.85, -font * 0.3)]
     xs, ys = ends(m[4], dx, ux), ends(m[5], dy, uy)
-    return {"x": F.least(*xs), "y": F.least(*ys), "w": F.greatest(*xs) - F.least(*xs), "h": F.greatest(*ys) - F.least(*ys), "font_height": font, "base_y": m[5] + dy * advance / 2, "raw": T.clean_pdf_text(string)}
+    wide = lambda d, u: F.abs(d * advance) + F.abs(u) * (font * 1.15)
+    return {"x": F.least(*xs), "y": F.least(*ys), "w": wide(dx, ux), "h": wide(dy, uy), "font_height": font, "base_y": m[5] + dy * advance / 2, "raw": T.clean_pdf_text(string)}
 
 
 def group_text_items(items: DataFrame) -> DataFrame:
