@@ -46,11 +46,12 @@ def written(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts lineage: a lost executor costs only the tasks that read the written table. An empty
-    result keeps its schema.
+    result keeps its schema. No _SUCCESS file: nobody asks for it, and where Hadoop has no native library
+    the driver forks a process for each folder or file that it makes.
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     _LEFT.add(path)
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folioflow_path = path
     return out
