@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -107,6 +108,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def row_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs of rows whose texts in ``column`` have together about ``most`` bytes, a row at least; none is empty."""
+    for b in batches:
+        lengths = pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False) + 64
+        run = (np.cumsum(lengths) - lengths) // most
+        starts = np.flatnonzero(np.diff(run, prepend=-1))
+        for start, end in zip(starts, [*starts[1:], b.num_rows], strict=True):
+            yield b.slice(int(start), int(end - start))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small: long texts, not row counts, fill a Python worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
