@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from . import ssk
 from ._common import held_out, small_batches, text_of, with_scores, without
 
-SENTENCE = re.compile(r"[.!?]+\s+|\n+")
-#: Single characters with blanks or marks between them ("i d i o t", "i.d.i.o.t") read as one word.
-SPELLED = re.compile(r"(?<!\w)(?:\w[\s.*_\-]{1,2}){2,}\w(?!\w)")
+#: A run of marks is entered at its start alone, so that one without a blank after it is scanned once.
+SENTENCE = re.compile(r"(?<![.!?])[.!?]++\s+|\n+")
+#: Single characters with blanks or marks between them ("i d i o t", "i.d.i.o.t") read as one word. No character is both, and each
+#: is known to stand alone before the next is looked for, so nothing is ever taken back.
+SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[\s.*_\-]{1,2}+[^\W_](?![^\W_])){2,}+")
 TRIM = ".,!?;:\"'()[]{}|*_-"
 ADDED = ("held_out", "score", "predicted")
 
