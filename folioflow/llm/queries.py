@@ -66,9 +66,8 @@ def op7_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in eight shards of near equal bytes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return histogram_shards(docs, 8, carry=False).select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int"), F.col("slot").cast("long"), "grown_shard")
+    """All documents in eight shards of near equal bytes: whole rows are exchanged and written, the columns come from that table."""
+    return histogram_shards(table(spark, sf_dir, "documents"), 8).select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int"), F.col("slot").cast("long"), "grown_shard")
 
 
 def op9_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
