@@ -34,59 +34,67 @@ def exact_hits(vectors: np.ndarray, q: np.ndarray, threshold: float) -> np.ndarr
     return _pairs(q[a : a + CHUNK] @ vectors.T >= threshold - 1e-9 for a in range(0, len(q), CHUNK))
 
 
-def audit_of(vectors: np.ndarray, q: np.ndarray, threshold: float, recall: float, own: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Evenly spaced queries, their true neighbours, and whether these are enough to see a loss of ``1 - recall``.
-
-    ``own``: the queries are the shard's vectors, and none counts as its own neighbour.
+def planted(vectors: np.ndarray, count: int, threshold: float, seed: int = 7) -> np.ndarray:
+    """Unit vectors with a cosine between ``threshold`` and 1 to evenly spaced ones of ``vectors``: queries with a true neighbour each."""
+    rng = np.random.default_rng(seed)
+    at = np.linspace(0, len(vectors) - 1, count).astype(int)
+    noise = rng.standard_normal((count, vectors.shape[1]))
+    base = vectors[at]
+    noise -= (noise * base).sum(axis=1, keepdims=True) * base
+    size = np.sqrt((noise * noise).sum(axis=1, keepdims=True))
+    cosine = rng.uniform(threshold, 1.0, (count, 1))
+    made = cosine * base + np.sqrt(1 - cosine**2) * np.divide(noise, size, out=np.zeros_like(noise), where=size > 0)
+    return made / np.sqrt((made * made).sum(axis=1, keepdims=True))
+
+
+def audit_of(vectors: np.ndarray, q: np.ndarray, threshold: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
+    """Queries of an audit and their true neighbours: some of ``q``, evenly spaced, and planted ones.
+
+    There are so many planted ones that a loss of ``1 - recall`` shows however few pairs the data hold.
     """
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = q[audit] @ vectors.T >= threshold
-    if own:
-        truth[np.arange(len(audit)), audit] = False
-    return audit, truth, bool(truth.sum() * (1 - recall) >= 1 - 1e-9)
+    some = q[np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))]
+    audit = np.concatenate([some, planted(vectors, int(np.ceil(1 / (1 - recall) - 1e-9)) if recall < 1 else len(vectors), threshold)])
+    return audit, audit @ vectors.T >= threshold
 
 
-def audited_hits(graph: Graph, q: np.ndarray, threshold: float, recall: float, own: bool = False) -> tuple[np.ndarray, int]:
-    """Row and column of all pairs found, and how often the beam was widened (-1: answered by brute force).
+def audited_hits(graph: Graph, q: np.ndarray, threshold: float, recall: float) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """Row and column of all pairs that the graph finds, and how often the beam was widened (-1: answered by brute force), the true
+    pairs of the audit, and how many of them were found.
 
-    Evenly spaced audit queries are held against brute force; while they miss more than ``1 - recall``
-    of their true neighbours, the beam doubles and the margin grows by half. Where they have too few true neighbours to
-    tell, or still miss some with a beam as wide as the shard, all queries are answered by brute force.
+    Audit queries are held against brute force; while they miss more than ``1 - recall`` of their true neighbours, the beam
+    doubles and the margin grows by half. Only a graph that still misses some with a beam as wide as the shard is
+    given up, and all its queries are answered by brute force.
     """
     beam, margin, widened = 32, 0.02, 0
-    audit, truth, enough = audit_of(graph.vectors, q, threshold, recall, own)
-    if not enough:
-        return exact_hits(graph.vectors, q, threshold), -1
-    while (graph.within(q[audit], threshold, beam, margin) & truth).sum() < recall * truth.sum():
+    audit, truth = audit_of(graph.vectors, q, threshold, recall)
+    while True:
+        caught = sum(int((graph.within(audit[a : a + CHUNK], threshold, beam, margin) & truth[a : a + CHUNK]).sum()) for a in range(0, len(audit), CHUNK))
+        if caught >= recall * truth.sum():
+            break
         if beam >= len(graph.vectors):
-            return exact_hits(graph.vectors, q, threshold), -1
+            return exact_hits(graph.vectors, q, threshold), (-1, int(truth.sum()), caught)
         beam, margin, widened = beam * 2, margin * 1.5, widened + 1
-    return _pairs(graph.within(q[a : a + CHUNK], threshold, beam, margin) for a in range(0, len(q), CHUNK)), widened
+    return _pairs(graph.within(q[a : a + CHUNK], threshold, beam, margin) for a in range(0, len(q), CHUNK)), (widened, int(truth.sum()), caught)
 
 
 def _sorted(part: pd.DataFrame) -> pd.DataFrame:
     return part.sort_values(["shard", "cid"], kind="stable").reset_index(drop=True)
 
 
-def _build(threshold: float, recall: float):
-    """A shard's graph, once: its vectors, ids and copies with it. Without links where its own audit has nothing to go by."""
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = _sorted(part)
-        raw = np.stack(part["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)).tolist())
-        unit = _unit(part["embedding"])
-        graph = Graph(unit) if audit_of(unit, unit, threshold, recall, True)[2] else None
-        blob = pickle.dumps((graph, raw, part["cid"].to_numpy(), part["copies"].to_numpy()), protocol=5)
-        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "shards": [part["shards"][0]], "graph": [blob]})
-
-    return run
+def _slim(x: np.ndarray) -> np.ndarray:
+    """The same numbers in half the bytes where they are all single ones."""
+    small = x.astype(np.float32)
+    return small if (small == x).all() else x
 
 
-class _Flat:
-    """What stands in for a graph where none is built."""
-
-    def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
+def _build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    """A shard's graph, once: its vectors, ids and copies with it. Unit vectors are left out and made again."""
+    part = _sorted(part)
+    raw = np.stack(part["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)).tolist())
+    graph = Graph(_unit(part["embedding"]))
+    graph.vectors = None
+    blob = pickle.dumps((graph, _slim(raw), part["cid"].to_numpy(), part["copies"].to_numpy()), protocol=5)
+    return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "shards": [part["shards"][0]], "graph": [blob]})
 
 
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,22 +108,20 @@ def _links(threshold: float, recall: float):
 
     def run(key: tuple, queries: pd.DataFrame, graphs: pd.DataFrame) -> pd.DataFrame:
         graph, raw, cid, copies = pickle.loads(bytes(graphs["graph"][0]))
+        raw = raw.astype(np.float64)
         shard, ids, sizes, x_all, y_all, audits = int(key[2]), [cid], [copies], [], [], []
         unit = raw / np.abs(raw).max(axis=1, keepdims=True)
         unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-        graph, at = graph if graph is not None else _Flat(unit), len(cid)
+        graph.vectors, at = unit, len(cid)
         for other, mine in _sorted(queries).groupby("shard", sort=True):
             same, q = other == shard, _unit(mine["embedding"])
-            searchable = isinstance(graph, Graph) or not audit_of(unit, q, threshold, recall, same)[2]
-            if not searchable:  # the shard's own pairs were too few to vouch for a graph, those with this one are not
-                graph = Graph(unit)
-            hits, widened = audited_hits(graph, q, threshold, recall, same)
+            hits, (widened, true, caught) = audited_hits(graph, q, threshold, recall)
             if same:
                 hits = np.unique(np.sort(hits[hits[:, 0] != hits[:, 1]], axis=1), axis=0)
             a = np.stack(mine["embedding"].map(lambda v: np.asarray(v, dtype=np.float64)).tolist())
             good = _cosines(a[hits[:, 0]], raw[hits[:, 1]]) >= threshold
             x, y = hits[good, 0], hits[good, 1]
-            audits.append((-1 - int(other), int(widened), len(x)))
+            audits.append((-1 - int(other), widened, len(x), true, caught))
             if not same:
                 ids.append(mine["cid"].to_numpy())
                 sizes.append(mine["copies"].to_numpy())
@@ -139,8 +145,8 @@ def _links(threshold: float, recall: float):
             ru, rv = find(u), find(v)
             root[max(ru, rv)] = min(ru, rv)
         has = np.flatnonzero(links)
-        found = pd.DataFrame({"cid": ids[has], "links": links[has], "root": ids[[find(c) for c in has]] if len(has) else ids[:0]})
-        return pd.concat([found, pd.DataFrame(audits, columns=["cid", "links", "root"])], ignore_index=True).astype("int64")
+        found = pd.DataFrame({"cid": ids[has], "links": links[has], "root": ids[[find(c) for c in has]] if len(has) else ids[:0], "true": 0, "caught": 0})
+        return pd.concat([found, pd.DataFrame(audits, columns=found.columns)], ignore_index=True).astype("int64")
 
     return run
 
@@ -152,7 +158,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     vector that a third of all rows share is one row. Classes of a label are dealt by hash into shards of about ``shard``;
     a label with a third of all rows is many shards. Each shard's graph is built once and stored; every other shard of the label
     queries it, ``ROUND`` of them a task. A task audits the recall of each shard's queries against brute force, widens until the audit
-    passes (queries with too few true pairs for an audit are answered by brute force in blocks) and verifies each hit in double precision. It
+    passes (planted queries give every audit true pairs; a graph that fails at its widest beam is replaced by brute force in blocks) and verifies each hit in double precision. It
     returns link counts and one forest edge a vector, never its pairs; components are unioned over those.
 
     A class goes by a number of its own, never by an id; a component takes the smallest id of its classes, and rows get their result by
@@ -185,7 +191,11 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
 
 
 def _found(keyed: DataFrame, threshold: float, recall: float, shard: int) -> tuple[DataFrame, DataFrame]:
-    """The classes of equal vectors, and what the tasks found among them (rows of ``cid`` below 0 tell of audits)."""
+    """The classes of equal vectors, and what the tasks found among them.
+
+    A row of ``cid`` -1 - s tells of the audit of shard s at a graph: ``links`` how often the beam was widened (-1: brute force), ``root``
+    the pairs linked, ``true`` and ``caught`` the audit's true pairs and those found.
+    """
     spark = keyed.sparkSession
     small_batches(spark)
     least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id"))
@@ -197,7 +207,7 @@ def _found(keyed: DataFrame, threshold: float, recall: float, shard: int) -> tup
     dealt = written(dealt, "vec-dealt")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, so that few bytes with much work are not folded together
     built = dealt.withColumnRenamed("__l", "label").repartition(n, "label", "dim", "shard").groupBy("label", "dim", "shard")
-    graphs = written(built.applyInPandas(_build(threshold, recall), "label string, dim int, shard int, shards int, graph binary"), "vec-graphs")
+    graphs = written(built.applyInPandas(_build, "label string, dim int, shard int, shards int, graph binary"), "vec-graphs")
     # Shard i queries the graphs of the shards from i on, in rounds counted from each graph's own shard.
     asked = dealt.withColumn("at", F.explode(F.sequence("shard", F.col("shards") - 1))).withColumn("turn", F.floor((F.col("at") - F.col("shard")) / ROUND).cast("int"))
     asked = asked.select(F.col("__l").alias("label"), "dim", "at", "turn", "shard", "cid", "copies", "embedding")
@@ -205,6 +215,6 @@ def _found(keyed: DataFrame, threshold: float, recall: float, shard: int) -> tup
     served = graphs.select("label", "dim", F.col("shard").alias("at"), turns.alias("turn"), "graph")
     keys = ("label", "dim", "at", "turn")
     pairs = asked.repartition(n, *keys).groupBy(*keys).cogroup(served.repartition(n, *keys).groupBy(*keys))
-    found = written(pairs.applyInPandas(_links(threshold, recall), "cid long, links long, root long"), "vec-links")
+    found = written(pairs.applyInPandas(_links(threshold, recall), "cid long, links long, root long, true long, caught long"), "vec-links")
     discard(dealt, graphs)
     return classes, found
