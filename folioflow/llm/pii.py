@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,8 @@ ANTI_CUES = r"(?i)\b(?:order|invoice|version|isbn|issn|serial|part|sku|doi|build
 LABELERS = ("regex", "gazetteer", "context", "shape", "plain", "company")
 #: Code points before a span that count as its context, and to either side within which another span is company.
 CONTEXT, COMPANY = 32, 200
+#: Matches of a text that are walked in one go.
+BLOCK = 128
 ADDED = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_more", "n_spans")
 
 
@@ -61,20 +64,68 @@ def _cues(group: str) -> str:
     return rf"(?i)(?<![a-z])(?:{CUE_GROUPS[group]})(?![a-z])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def located(text: Column, pattern: str, may: Column) -> Column:
-    """Array of (s, e, m): code-point spans and texts of all leftmost matches, from the pieces between them."""
-    found = F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    gaps = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    """Array of (s, e, m, left): code-point spans and texts of all leftmost matches and what stands before them, from the pieces between them.
+
+    Matches are walked in blocks of ``BLOCK``: within one, and over the blocks' lengths, lists grow, so the work is that of the text and
+    of ``BLOCK`` a match until the blocks themselves are many thousands.
+    """
+    last = lambda c: F.right(c, F.lit(CONTEXT))
 
     def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["g"])
+        s, left = acc["at"] + F.length(x["g"]), last(F.concat(acc["tail"], last(x["g"])))
         e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))).alias("out"))
+        span = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), left.alias("left"))
+        return F.struct(e.alias("at"), last(F.concat(left, last(x["m"]))).alias("tail"), F.array_append(acc["out"], span).alias("out"))
+
+    def walk(pairs: Column, start: Column) -> Column:
+        return F.aggregate(pairs, F.struct(start["at"].alias("at"), start["tail"].alias("tail"), _none().alias("out")), step, lambda acc: acc["out"])
+
+    def block(pairs: Column) -> Callable[[Column], Column]:
+        def measured(b: Column) -> Column:
+            piece = F.array_join(F.flatten(F.transform(F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)), lambda x: F.array(x["g"], x["m"]))), "")
+            return let(piece, lambda p: F.struct(F.length(p).alias("n"), last(p).alias("tail")))
+
+        return measured
+
+    def next_start(acc: Column, x: Column) -> Column:
+        end = F.element_at(acc, -1)
+        return F.array_append(acc, F.struct((end["at"] + x["n"]).alias("at"), last(F.concat(end["tail"], x["tail"])).alias("tail")))
+
+    def in_blocks(pairs: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+        first = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")))
+        starts = F.aggregate(F.transform(blocks, block(pairs)), first, next_start)
+        return let(starts, lambda at: F.flatten(F.transform(blocks, lambda b: walk(F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK)), F.get(at, b)))))
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m"))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(none)
+    def of(found: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("g"), found.alias("m"))
+        spans = let(pairs, lambda p: F.when(F.size(p) <= BLOCK, walk(p, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")))).otherwise(in_blocks(p)))
+        return F.when(F.size(found) > 0, spans).otherwise(_none())
+
+    return F.when(may, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)).otherwise(_none())
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<s:int,e:int,m:string,left:string>>")
+
+
+def meets(spans: Column, x: Column) -> Column:
+    """Whether ``x`` overlaps one of ``spans``, which lie apart and in order: a binary search for the last that starts before its end."""
+    bounds = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["low"] + acc["high"], 1)
+        open_, up = acc["low"] < acc["high"], F.coalesce(F.get(spans, mid)["s"] < x["e"], F.lit(False))
+        return F.struct(F.when(open_ & up, mid + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~up, mid).otherwise(acc["high"]).alias("high"))
+
+    at = F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(spans)))), bounds, halve, lambda acc: acc["low"])
+    return F.coalesce(F.get(spans, at - 1)["e"] > x["s"], F.lit(False))
 
 
 def _digits(m: Column) -> Column:
@@ -142,10 +193,10 @@ def _shape(kind: str, m: Column) -> Column:
     return ~_digits(m).rlike(r"^([0-9])\1{3,}$")
 
 
-def _votes(text: Column, kind: str, x: Column) -> Column:
+def _votes(kind: str, x: Column) -> Column:
     """The labelers' votes on a span as bits, but for the last labeler's; above them its length class (2 bits) and the cue group before it (3 bits)."""
     m = x["m"]
-    left = F.substring(text, F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT)))
+    left = x["left"]
     group = F.lit(0)
     for i, g in reversed(list(enumerate(CUE_GROUPS, 1))):
         group = F.when(left.rlike(_cues(g)), i).otherwise(group)
@@ -241,13 +292,18 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spans = base_spans(t)
     for k, c in spans.items():
         rows = rows.withColumn(f"__{k}", c)
-    flat = F.concat(*[F.col(f"__{k}") for k in BASE])
-    clear = lambda x: ~F.exists(flat, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+
+    def clear(x: Column) -> Column:
+        apart = F.lit(True)
+        for k in BASE:
+            apart = apart & ((F.size(f"__{k}") == 0) | ~meets(F.col(f"__{k}"), x))
+        return apart
+
     for k, p in LOOSE.items():
         rows = rows.withColumn(f"__{k}", F.filter(located(t, p, t.rlike(_MAY[k])), clear))
 
     def voted(k: str) -> Column:
-        parts = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(KINDS.index(k)).alias("k"), _votes(t, k, x).alias("v"))
+        parts = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(KINDS.index(k)).alias("k"), _votes(k, x).alias("v"))
         return F.transform(F.col(f"__{k}"), parts)
 
     def with_company(x: Column, i: Column) -> Column:
