@@ -19,7 +19,9 @@ ADDED = ("ids", "decoded", "agrees")
 #: The vocabulary's sign for a blank.
 MARK = "▁"
 #: Chunks remembered in one generation of a worker's memory, and the longest that is remembered.
-MOST, LONGEST = 300_000, 48
+MOST, LONGEST = 450_000, 48
+#: Symbols for which a list is the faster agenda, and what stands there for a pair that is no piece.
+FEW, NEVER = 32, float("inf")
 #: Fixed values of the model file: field numbers, the number of the merge type, the kinds of pieces.
 PIECES, TRAINER, NORMALIZER, MODEL_TYPE, CHARSMAP, DUMMY_PREFIX, EXTRA_BLANKS = 1, 2, 3, 3, 2, 3, 4
 MERGES, NORMAL, UNKNOWN, CONTROL, BYTE = 2, 1, 2, 3, 6
@@ -71,18 +73,18 @@ class Agenda:
         norm = dict(_fields(parts[NORMALIZER][0])) if NORMALIZER in parts else {}
         kinds = set()
         self.score: dict[str, float] = {}
-        self.number: dict[str, int] = {}
+        self.number: dict[str, bytes] = {}
         self.shown: list[bytes] = []
-        self.byte: dict[int, int] = {}
+        self.byte: dict[int, bytes] = {}
         for i, piece in enumerate(parts[PIECES]):
             said = dict(_fields(piece))
             text, kind = said[1].decode().replace(MARK, " "), said.get(3, NORMAL)
             kinds.add(kind)
             self.shown.append(text.encode())
             if kind == NORMAL:
-                self.number[text], self.score[text] = i, -struct.unpack("<f", said.get(2, bytes(4)))[0]
+                self.number[text], self.score[text] = i.to_bytes(4, "little"), -struct.unpack("<f", said.get(2, bytes(4)))[0]
             elif kind == BYTE:
-                self.byte[int(text[1:-1], 16)] = i
+                self.byte[int(text[1:-1], 16)] = i.to_bytes(4, "little")
                 self.shown[i] = bytes([int(text[1:-1], 16)])
         if dict(_fields(parts[TRAINER][0])).get(MODEL_TYPE, 1) != MERGES or kinds - {NORMAL, UNKNOWN, CONTROL, BYTE} or len(self.byte) != 256:
             raise ValueError(f"{path} is no merge-type vocabulary of normal, control and all byte pieces")
@@ -112,6 +114,27 @@ class Agenda:
 
     def merged(self, chunk: str) -> list[str]:
         """The symbols that are left when the agenda is empty: best score first, then leftmost."""
+        return self._few(chunk) if len(chunk) <= FEW else self._many(chunk)
+
+    def _few(self, chunk: str) -> list[str]:
+        """A list by place is agenda enough for few symbols: the first of the best scores is taken off."""
+        score, symbol = self.score.get, list(chunk)
+        agenda = [score(a + b, NEVER) for a, b in zip(chunk, chunk[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            symbol[i] = made = symbol[i] + symbol[i + 1]
+            del symbol[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = score(symbol[i - 1] + made, NEVER)
+            if i < len(agenda):
+                agenda[i] = score(made + symbol[i + 1], NEVER)
+        return symbol
+
+    def _many(self, chunk: str) -> list[str]:
+        """A heap for many: pairs whose symbols have changed since they were put in are passed over."""
         score, symbol, last = self.score.get, list(chunk), len(chunk) - 1
         after, before = list(range(1, last + 2)), list(range(-1, last))
         agenda = [(s, i, i + 1, 2) for i, pair in enumerate(map("".join, zip(chunk, chunk[1:]))) if (s := score(pair)) is not None]
@@ -120,7 +143,7 @@ class Agenda:
             _, left, right, size = heappop(agenda)
             a, b = symbol[left], symbol[right]
             if not a or not b or len(a) + len(b) != size:
-                continue  # one of the two has been merged since
+                continue
             a += b
             symbol[left], symbol[right] = a, ""
             right = after[left] = after[right]
@@ -138,30 +161,31 @@ class Agenda:
 
     def _learn(self, chunk: str) -> bytes:
         """The ids of a chunk, little-endian; symbols that are no piece become their bytes."""
+        found = self.older.get(chunk)
+        if found is None:
+            symbols = self.merged(chunk)
+            try:
+                found = b"".join(map(self.number.__getitem__, symbols))
+            except KeyError:
+                found = b"".join([self.number[s] if s in self.number else b"".join([self.byte[b] for b in s.encode()]) for s in symbols])
         if len(chunk) <= LONGEST:
-            found = self.known.get(chunk) or self.older.get(chunk)
-            if found is None:
-                found = b"".join([self._id_bytes(s) for s in self.merged(chunk)])
             self.known[chunk] = found
-            return found
-        return b"".join([self._id_bytes(s) for s in self.merged(chunk)])
-
-    def _id_bytes(self, symbol: str) -> bytes:
-        i = self.number.get(symbol)
-        return i.to_bytes(4, "little") if i is not None else b"".join([self.byte[b].to_bytes(4, "little") for b in symbol.encode()])
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         chunks = self.chunks.findall(self.normalised(text))
         if len(self.known) > MOST:
             self.older, self.known = self.known, {}
         found = list(map(self.known.get, chunks))
-        if None in found:
-            found = [self._learn(c) if f is None else f for c, f in zip(chunks, found, strict=True)]
-        return np.frombuffer(b"".join(found), dtype="<i4")
+        try:
+            raw = b"".join(found)
+        except TypeError:  # some are not known yet
+            raw = b"".join([self._learn(c) if f is None else f for c, f in zip(chunks, found, strict=True)])
+        return np.frombuffer(raw, dtype="<i4")
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes joined to characters, without the blank that encoding put before it."""
-        raw = b"".join(map(self.shown.__getitem__, ids.tolist()))
+        raw = b"".join(map(self.shown.__getitem__, ids))
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode(errors="replace")
 
 
@@ -196,15 +220,14 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFr
         for part in row_slices(batches, "text"):
             texts = part.column("text").to_pylist()
             ids, decoded, agrees = [], [], []
-            for text, theirs in zip(texts, own.library.encode(texts, num_threads=1), strict=True):
+            for text, theirs in zip(texts, own.library.encode(texts, num_threads=1, return_type="numpy"), strict=True):
                 mine = own.encode(text)
-                said = own.decode(mine)
-                known = np.array(theirs, dtype="<i4")
-                back = own.library.decode(theirs) if theirs else ""
-                same = np.array_equal(mine, known) and said == back
-                ids.append(mine if same else known)
-                decoded.append(said if same else back)
-                agrees.append(same)
+                same = np.array_equal(mine, theirs)
+                listed = theirs.tolist()
+                said, back = own.decode(listed), own.library.decode(listed) if listed else ""
+                ids.append(mine if same else theirs)
+                decoded.append(back)
+                agrees.append(same and said == back)
             ends = np.cumsum([0, *map(len, ids)], dtype="i4")
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, "i4"), type=pa.int32())
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], names=["row", *ADDED])
