@@ -7,22 +7,26 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed: computed once and cut off from its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a session that runs in one process and names none (tests) gets its own.
-    """
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a session that runs in one process and names none (tests) gets a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-"))
+        found = tempfile.mkdtemp(prefix="folioflow-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed: computed once and cut off from its lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -110,7 +110,8 @@ ADDRESSES = (
     ("a.example", "openai", "https://a.example/v1/chat/completions", "https://a.example/v1/models"),
     ("https://a.example/v1/models", "openai", "https://a.example/v1/chat/completions", "https://a.example/v1/models"),
 )
-MODELS = (("", "gemini", "gemini-2.5-flash"), ("models/gemini-2.5-pro", "gemini", "gemini-2.5-pro"), ("https://g.example/v1beta/models/gemini-x?key=1", "gemini", "gemini-x"), (" /qwen-vl ", "openai", "qwen-vl"), ("org/model", "openai", "org/model"))
+#: A sign stands for a number.
+MODELS = (("", "gemini", "gemini-2.5-flash"), ("models/gemini-#", "gemini", "gemini-#"), ("https://g.example/v1beta/models/gemini-x#?key=1", "gemini", "gemini-x#"), (" /qwen-# ", "openai", "qwen-#"), ("org/model#", "openai", "org/model#"))
 
 
 def _values(rows) -> str:
@@ -118,17 +119,27 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
 
 
-@query(f"SELECT * FROM (VALUES {_values((i, chat, listed) for i, (_, _, chat, listed) in enumerate(ADDRESSES))}) AS t(k, chat, models)")
+_HOST_SQL = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
+
+
+@query(f"""SELECT page_id AS k, replace(replace(chat, 'a.example', {_HOST_SQL}), 'g.example', {_HOST_SQL}) AS chat, replace(replace(models, 'a.example', {_HOST_SQL}), 'g.example', {_HOST_SQL}) AS models
+FROM pages JOIN (VALUES {_values((i, chat, listed) for i, (_, _, chat, listed) in enumerate(ADDRESSES))}) AS t(i, chat, models) ON page_id % {len(ADDRESSES)} = i""")
 def service_endpoints(spark, sf_dir):
-    rows = spark.createDataFrame([(i, u, p) for i, (u, p, _, _) in enumerate(ADDRESSES)], "k int, url string, protocol string")
-    at = lambda kind: S.service_endpoint(F.col("url"), F.lit(kind), F.col("protocol"))
+    """Addresses in all the ways in which people write them, on the hosts of the pages."""
+    form = lambda i: F.get(F.array(*[F.lit(a[i]) for a in ADDRESSES]), (F.col("page_id") % len(ADDRESSES)).cast("int"))
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    given = F.replace(F.replace(form(0), F.lit("a.example"), host), F.lit("g.example"), host)
+    rows = D.table(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), given.alias("given"), form(1).alias("protocol"))
+    at = lambda kind: S.service_endpoint(F.col("given"), F.lit(kind), F.col("protocol"))
     return rows.select("k", at("chat").alias("chat"), at("models").alias("models"))
 
 
-@query(f"""SELECT k, model, CASE WHEN k < 3 THEN 'https://g.example/v1beta/models/' || model || ':generateContent?key=a%2Fb' ELSE 'https://g.example/v1beta/models/' || replace(model, '/', '%2F') || ':generateContent' END AS address
-FROM (VALUES {_values((i, m) for i, (_, _, m) in enumerate(MODELS))}) AS t(k, model)""")
+@query(f"""SELECT k, model, CASE WHEN protocol = 'gemini' THEN 'https://g.example/v1beta/models/' || model || ':generateContent?key=a%2Fb' ELSE 'https://g.example/v1beta/models/' || replace(model, '/', '%2F') || ':generateContent' END AS address
+FROM (SELECT p_partkey AS k, protocol, replace(model, '#', CAST(p_partkey AS VARCHAR)) AS model FROM part JOIN (VALUES {_values((i, p, m) for i, (_, p, m) in enumerate(MODELS))}) AS t(i, protocol, model) ON p_partkey % {len(MODELS)} = i)""")
 def service_models(spark, sf_dir):
-    rows = spark.createDataFrame([(i, m, p) for i, (m, p, _) in enumerate(MODELS)], "k int, given string, protocol string")
+    """Models named after the parts, in all the ways in which people write them."""
+    form = lambda i: F.replace(F.get(F.array(*[F.lit(m[i]) for m in MODELS]), (F.col("p_partkey") % len(MODELS)).cast("int")), F.lit("#"), F.col("p_partkey").cast("string"))
+    rows = D.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), form(1).alias("protocol"), form(0).alias("given"))
     rows = rows.withColumn("model", S.model_name(F.col("given"), F.col("protocol")))
     at = S.service_endpoint(F.lit("g.example"), F.lit("chat"), F.lit("gemini"))
     return rows.select("k", "model", S.resolved(at, F.col("model"), F.col("protocol"), F.lit("a/b")).alias("address"))
@@ -136,9 +147,9 @@ def service_models(spark, sf_dir):
 
 # Glossary and codes ---------------------------------------------------------------------------------------------------
 
-@query(SQL["glossary_parse"].replace("SELECT no, term, target, target = ''", "SELECT no, term FROM (SELECT no, term, target = ''", 1) + ") WHERE keep")
+@query(SQL["glossary_parse"].replace("SELECT brand, no, term, target, target = ''", "SELECT brand, no, term FROM (SELECT brand, no, term, target = ''", 1) + ") WHERE keep")
 def glossary_keep_list(spark, sf_dir):
-    return L.keep_list(glossary_parse(spark, sf_dir))
+    return L.keep_list(glossary_parse(spark, sf_dir), "brand")
 
 
 _FNV = """lower(to_base(list_reduce(flatten(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN unicode(substr({0}, i, 1)) < 65536 THEN [CAST(unicode(substr({0}, i, 1)) AS BIGINT)]
@@ -146,12 +157,12 @@ _FNV = """lower(to_base(list_reduce(flatten(list_transform(range(1, length({0})
   lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)), 36))"""
 
 SQL["text_fnv1a"] = _TEXT + f" SELECT k, no, {_FNV.format('line')} AS key FROM t"
-SQL["glossary_prompt_blocks"] = SQL["glossary_parse"].replace("SELECT no, term, target, target = ''", "SELECT string_agg(CASE WHEN NOT keep THEN term || ' => ' || target END, chr(10) ORDER BY no) AS map_block, string_agg(CASE WHEN keep THEN term END, chr(10) ORDER BY no) AS keep_block FROM (SELECT no, term, target, target = ''", 1) + ")"
+SQL["glossary_prompt_blocks"] = SQL["glossary_parse"].replace("SELECT brand, no, term, target, target = ''", "SELECT brand, coalesce(string_agg(CASE WHEN NOT keep THEN term || ' => ' || target END, chr(10) ORDER BY no), '') AS map_block, coalesce(string_agg(CASE WHEN keep THEN term END, chr(10) ORDER BY no), '') AS keep_block FROM (SELECT brand, no, term, target, target = ''", 1) + ") GROUP BY brand"
 
 
-@query(SQL["glossary_parse"].replace("SELECT no, term, target, target = ''", f"SELECT {_FNV.format('e')} AS fingerprint FROM (SELECT string_agg(term || chr(2) || target || chr(2) || CASE WHEN keep THEN '1' ELSE '0' END, chr(3) ORDER BY no) AS e FROM (SELECT no, term, target, target = ''", 1) + "))")
+@query(SQL["glossary_parse"].replace("SELECT brand, no, term, target, target = ''", f"SELECT brand, {_FNV.format('e')} AS fingerprint FROM (SELECT brand, string_agg(term || chr(2) || target || chr(2) || CASE WHEN keep THEN '1' ELSE '0' END, chr(3) ORDER BY no) AS e FROM (SELECT brand, no, term, target, target = ''", 1) + ") GROUP BY brand)")
 def glossary_fingerprint(spark, sf_dir):
-    return L.fingerprint(glossary_parse(spark, sf_dir))
+    return L.fingerprint(glossary_parse(spark, sf_dir), "brand")
 
 
 def _replaced(column: str) -> str:

@@ -334,30 +334,55 @@ def file_classify(spark, sf_dir):
     return D.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), T.file_kind(f, F.lit("")).alias("kind"), T.output_stem(f, "-zh.pdf").alias("output"))
 
 
-@query("""WITH u(k, url) AS (VALUES (1, 'https://a.b/v1/'), (2, 'https://a.b'), (3, 'https://api.deepseek.com/'), (4, 'https://a.b/v1/chat/completions'), (5, 'https://a.b/v4beta')), s AS (SELECT k, regexp_replace(trim(url), '/+$', '') AS u FROM u)
-SELECT k, CASE WHEN u LIKE '%/chat/completions' THEN u WHEN u = 'https://api.deepseek.com' OR regexp_matches(u, '/v[0-9]+[a-z0-9]*$') THEN u || '/chat/completions' ELSE u || '/v1/chat/completions' END AS endpoint, k IN (2, 3, 4) AS again FROM s""")
+#: What stands after a page's host in the service addresses made from it.
+_SERVICE_PATHS = ("", "/", "/v1/", "/v4beta", "/v1/chat/completions", "/v1/models//")
+
+
+def _addresses(spark, sf_dir):
+    """A service address from each page's: its host, the special one among them, and a path; and a status."""
+    host = F.when(F.col("page_id") % 7 == 0, "https://api.deepseek.com").otherwise(F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0))
+    path = F.get(F.array(*map(F.lit, _SERVICE_PATHS)), (F.col("page_id") % len(_SERVICE_PATHS)).cast("int"))
+    return D.table(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), F.concat(host, path).alias("url"), (F.col("page_id") * 37 % 600).cast("int").alias("status"))
+
+
+_ADDRESSES_SQL = f"""WITH a AS (SELECT page_id AS k, CASE WHEN page_id % 7 = 0 THEN 'https://api.deepseek.com' ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') END
+  || {list(_SERVICE_PATHS)}[CAST(page_id % {len(_SERVICE_PATHS)} AS INTEGER) + 1] AS url, CAST(page_id * 37 % 600 AS INTEGER) AS status FROM pages), s AS (SELECT k, status, regexp_replace(trim(url), '/+$', '') AS u FROM a)"""
+
+
+@query(_ADDRESSES_SQL + """ SELECT k, CASE WHEN u LIKE '%/chat/completions' THEN u WHEN u = 'https://api.deepseek.com' OR regexp_matches(u, '/v[0-9]+[a-z0-9]*$') THEN u || '/chat/completions' ELSE u || '/v1/chat/completions' END AS endpoint,
+  status = 408 OR status = 429 OR status >= 500 AS again FROM s""")
 def endpoint_rules(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "https://a.b/v1/", 200), (2, "https://a.b", 429), (3, "https://api.deepseek.com/", 503), (4, "https://a.b/v1/chat/completions", 408), (5, "https://a.b/v4beta", 404)], "k int, url string, status int")
-    return rows.select("k", T.chat_endpoint(F.col("url")).alias("endpoint"), T.retryable(F.col("status")).alias("again"))
+    return _addresses(spark, sf_dir).select("k", T.chat_endpoint(F.col("url")).alias("endpoint"), T.retryable(F.col("status")).alias("again"))
 
 
 # Glossary and translation --------------------------------------------------------------------------------------------
 
-GLOSSARY_LINES = ("# comment", "// comment", "", "Alpha => 甲", "Beta -> 乙", "Gamma :: 丙", "Delta = 丁", "Epsilon", "Zeta => keep", "  Eta  ＝ 戊 ", "=> nothing")
+#: How a part's name becomes a line of its brand's glossary: before it, after it.
+GLOSSARY_FORMS = (("# ", ""), ("// ", ""), ("", " => 甲"), ("", " -> 乙"), ("", " :: 丙"), ("", " = 丁"), ("", ""), ("", " => keep"), ("  ", "  ＝ 戊 "), ("=> ", ""), ("", "＝>己"), ("", " → 不译"))
 
 
-@query(r"""WITH g(no, line) AS (VALUES (0, '# comment'), (1, '// comment'), (2, ''), (3, 'Alpha => 甲'), (4, 'Beta -> 乙'), (5, 'Gamma :: 丙'), (6, 'Delta = 丁'), (7, 'Epsilon'), (8, 'Zeta => keep'), (9, '  Eta  ＝ 戊 '), (10, '=> nothing')),
-s AS (SELECT no, trim(line) AS s FROM g), f AS (SELECT * FROM s WHERE s <> '' AND NOT regexp_matches(s, '^(#|//)')),
-c AS (SELECT no, s, list_filter([{'p': instr(s, '=>'), 'n': 2}, {'p': instr(s, '＝>'), 'n': 2}, {'p': instr(s, '->'), 'n': 2}, {'p': instr(s, '→'), 'n': 1}, {'p': instr(s, '::'), 'n': 2}, {'p': instr(s, '＝'), 'n': 1}, {'p': instr(s, '='), 'n': 1}], lambda e: e.p > 1) AS e FROM f),
-t AS (SELECT no, CASE WHEN len(e) = 0 THEN s ELSE trim(substr(s, 1, e[1].p - 1)) END AS term, CASE WHEN len(e) = 0 THEN '' ELSE trim(substr(s, e[1].p + e[1].n)) END AS target FROM c)
-SELECT no, term, target, target = '' OR regexp_matches(target, '(?i)^(原样|保持原样|keep|keep as is|keep as-is|不译|不翻译|-|—)$') AS keep FROM t WHERE term <> ''""")
+def _glossary_lines(spark, sf_dir):
+    """A glossary a brand, whose lines are the names of its parts in all forms of an entry."""
+    form = (F.col("p_partkey") % len(GLOSSARY_FORMS)).cast("int")
+    before, after = (F.array(*[F.lit(f[i]) for f in GLOSSARY_FORMS]) for i in (0, 1))
+    return D.table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("no"), F.concat(F.get(before, form), "p_name", F.get(after, form)).alias("line"))
+
+
+_FORMS_SQL = ", ".join(f"({i}, '{b}', '{a}')" for i, (b, a) in enumerate(GLOSSARY_FORMS))
+
+
+@query(rf"""WITH f(i, b, a) AS (VALUES {_FORMS_SQL}), g AS (SELECT p_brand AS brand, p_partkey AS no, b || p_name || a AS line FROM part JOIN f ON p_partkey % {len(GLOSSARY_FORMS)} = i),
+s AS (SELECT brand, no, trim(line) AS s FROM g), f2 AS (SELECT * FROM s WHERE s <> '' AND NOT regexp_matches(s, '^(#|//)')),"""
+       r"""c AS (SELECT brand, no, s, list_filter([{'p': instr(s, '=>'), 'n': 2}, {'p': instr(s, '＝>'), 'n': 2}, {'p': instr(s, '->'), 'n': 2}, {'p': instr(s, '→'), 'n': 1}, {'p': instr(s, '::'), 'n': 2}, {'p': instr(s, '＝'), 'n': 1}, {'p': instr(s, '='), 'n': 1}], lambda e: e.p > 1) AS e FROM f2),
+t AS (SELECT brand, no, CASE WHEN len(e) = 0 THEN s ELSE trim(substr(s, 1, e[1].p - 1)) END AS term, CASE WHEN len(e) = 0 THEN '' ELSE trim(substr(s, e[1].p + e[1].n)) END AS target FROM c)
+SELECT brand, no, term, target, target = '' OR regexp_matches(target, '(?i)^(原样|保持原样|keep|keep as is|keep as-is|不译|不翻译|-|—)$') AS keep FROM t WHERE term <> ''""")
 def glossary_parse(spark, sf_dir):
-    return L.parse_glossary(spark.createDataFrame(list(enumerate(GLOSSARY_LINES)), "no int, line string")).drop("line")
+    return L.parse_glossary(_glossary_lines(spark, sf_dir)).drop("line")
 
 
 @query()
 def glossary_prompt_blocks(spark, sf_dir):
-    return L.glossary_prompt(glossary_parse(spark, sf_dir))
+    return L.glossary_prompt(glossary_parse(spark, sf_dir), "brand")
 
 
 @query(_TEXT + r""" SELECT k, no, regexp_replace(regexp_replace(line, '(^|[^A-Za-z0-9_])(?i:the)($|[^A-Za-z0-9_])', '\1DER\2', 'g'), '(^|[^A-Za-z0-9_])(?i:the)($|[^A-Za-z0-9_])', '\1DER\2', 'g') AS replaced FROM t""")
@@ -721,15 +746,12 @@ def regions_from_lines(spark, sf_dir):
     return B.group_regions(D.boxes(spark, sf_dir).withColumn("ink", F.floor(F.col("w") * F.col("h") * 0.3)))
 
 
-_URLS = ("https://a.b/v1/", "https://a.b", "https://api.deepseek.com/", "https://a.b/v1/chat/completions", "https://a.b/v4beta", "https://a.b/models")
-
-
-@query("WITH u(k, url) AS (VALUES " + ", ".join(f"({i}, '{u}')" for i, u in enumerate(_URLS)) + r"""), s AS (SELECT k, regexp_replace(trim(url), '/+$', '') AS u FROM u), b AS (SELECT k, u, regexp_replace(u, '/chat/completions$', '') AS b FROM s)
+@query(_ADDRESSES_SQL + r""", b AS (SELECT k, status, u, regexp_replace(u, '/chat/completions$', '') AS b FROM s)
 SELECT k, CASE WHEN u LIKE '%/models' THEN u WHEN b = 'https://api.deepseek.com' OR regexp_matches(b, '/v[0-9]+[a-z0-9]*$') THEN b || '/models' ELSE b || '/v1/models' END AS endpoint,
-  CAST(CASE WHEN k % 2 = 1 THEN least(10000, k * 3000) ELSE least(10000, 500 * pow(2, k)) END AS DOUBLE) AS wait_ms FROM b""")
+  CAST(CASE WHEN k % 2 = 1 THEN least(10000, status % 20 * 1000) ELSE least(10000, 500 * pow(2, k % 6)) END AS DOUBLE) AS wait_ms FROM b""")
 def endpoint_models_and_waits(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(_URLS)), "k int, url string")
-    return rows.select("k", T.models_endpoint(F.col("url")).alias("endpoint"), T.backoff_ms(F.col("k"), F.when(F.col("k") % 2 == 1, F.col("k") * 3)).cast("double").alias("wait_ms"))
+    asked = F.when(F.col("k") % 2 == 1, F.col("status") % 20)
+    return _addresses(spark, sf_dir).select("k", T.models_endpoint(F.col("url")).alias("endpoint"), T.backoff_ms(F.col("k") % 6, asked).cast("double").alias("wait_ms"))
 
 
 @query(_TEXT + " SELECT k, no, 'zh-CN' || chr(1) || CASE WHEN no % 2 = 0 THEN 'llm' ELSE 'free' END || chr(1) || CASE WHEN no % 2 = 0 THEN 'm@u' ELSE '' END || chr(1) || '0' || chr(1) || CASE WHEN no % 3 = 0 THEN '1' ELSE '0' END || chr(1) || line AS key FROM t")
@@ -796,7 +818,7 @@ def kernel_cover_boxes(spark, sf_dir):
     return K.cover_pages(pages, todo).select("page", F.md5("rgb").alias("digest"), F.explode("report").alias("r")).select("page", "digest", "r.*")
 
 
-from . import more  # noqa: E402, F401  (registers further queries with the two tables above)
+from . import more, remembered  # noqa: E402, F401  (registers further queries with the two tables above)
 from .oracles import MORE  # noqa: E402
 
 SQL |= MORE
