@@ -250,26 +250,70 @@ def fill_holes(mask: np.ndarray) -> np.ndarray:
         open_ = near
 
 
-def inpaint(rgb: np.ndarray, mask: np.ndarray, least: int = 16, most: int = 600, stop: float = 1.2, omega: float = 1.85) -> np.ndarray:
-    """Masked pixels relaxed towards the mean of their neighbours (over-relaxed, red-black sweeps), seeded with the median outside."""
-    out = rgb.astype(np.float64)
-    if not mask.any() or mask.all():
-        return rgb.copy()
-    out[mask] = np.median(out[~mask], axis=0)
-    y, x = np.nonzero(mask)
-    h, w = mask.shape
+def inpaint(rgb: np.ndarray, mask: np.ndarray, **options) -> np.ndarray:
+    return inpaint_all([rgb], [mask], **options)[0]
+
+
+def inpaint_all(images: list[np.ndarray], masks: list[np.ndarray], least: int = 16, most: int = 600, stop: float = 1.2, omega: float = 1.85) -> list[np.ndarray]:
+    """Masked pixels over-relaxed towards the mean of their neighbours, seeded with the upper median outside.
+
+    Sweeps go pixel by pixel in reading order and back in turn, in whole numbers, until no pixel would move by ``stop`` (channels
+    summed). The result hangs on that order, and the order only on neighbours: pixels on one antidiagonal never touch, those
+    above and on the left lie on the one before. So each sweep takes whole antidiagonals, of all images that still move at once.
+    """
+    out, flat, stride, base, place, owner, diag, sides = [], [], [], 0, [], [], [], []
+    for i, (rgb, mask) in enumerate(zip(images, masks, strict=True)):
+        h, w = mask.shape
+        framed = np.zeros((h + 2, w + 2, 3), dtype=np.float64)
+        framed[1:-1, 1:-1] = rgb
+        if mask.any() and not mask.all():
+            around = np.sort(rgb[~mask], axis=0)
+            framed[1:-1, 1:-1][mask] = around[len(around) // 2]
+        y, x = np.nonzero(mask)
+        place.append(base + (y + 1) * (w + 2) + x + 1)
+        owner.append(np.full(len(y), i))
+        stride.append(np.full(len(y), w + 2))
+        diag.append(y + x)
+        sides.append(4 - (y == 0) - (y == h - 1) - (x == 0) - (x == w - 1))
+        flat.append(framed.reshape(-1, 3))
+        base += framed.shape[0] * framed.shape[1]
+    pixels = np.concatenate(flat) if flat else np.zeros((0, 3))
+    place, owner, stride, diag, sides = (np.concatenate(a) if a else np.zeros(0, dtype=int) for a in (place, owner, stride, diag, sides))
+    moving = np.flatnonzero(sides > 0)
+    moving = moving[np.argsort(diag[moving], kind="stable")]
+    delta, groups, states = np.zeros(len(images)), None, []
     for k in range(most):
-        delta = 0.0
-        for colour in (0, 1):
-            pick = (y + x) % 2 == colour
-            py, px = y[pick], x[pick]
-            around = (out[np.maximum(py - 1, 0), px] + out[np.minimum(py + 1, h - 1), px] + out[py, np.maximum(px - 1, 0)] + out[py, np.minimum(px + 1, w - 1)]) / 4
-            step = omega * (around - out[py, px])
-            out[py, px] = np.clip(out[py, px] + step, 0, 255)
-            delta = max(delta, float(np.abs(step).max()) if len(step) else 0.0)
-        if k + 1 >= least and delta < stop:
+        if not len(moving):
             break
-    return np.rint(out).astype(np.uint8)
+        if groups is None:
+            groups = []
+            for g in np.split(moving, np.flatnonzero(np.diff(diag[moving])) + 1):
+                first = np.flatnonzero(np.diff(owner[g], prepend=-1))
+                groups.append((place[g], stride[g], sides[g, None], first, owner[g][first]))
+        delta[:] = 0
+        for at, up, n, first, own in groups if k % 2 == 0 else reversed(groups):
+            now = pixels[at]
+            new = now + omega * ((pixels[at - 1] + pixels[at + 1] + pixels[at - up] + pixels[at + up]) / n - now)
+            if k + 1 >= least:
+                delta[own] = np.maximum(delta[own], np.maximum.reduceat(np.abs(new - now).sum(axis=1), first))
+            pixels[at] = np.clip(np.rint(new), 0, 255)
+        if k + 1 < least:
+            continue
+        ended = delta < stop
+        states = [*states[-2:], pixels[place]]
+        if len(states) == 3 and (most - 1 - k) % 2 == 0:
+            # As it was two sweeps ago, and neither stopped it: so it goes on for ever, and this is what the last sweep leaves.
+            changed = np.zeros(len(images), dtype=bool)
+            changed[owner[(states[2] != states[0]).any(axis=1)]] = True
+            ended |= ~changed
+        if ended[owner[moving]].any():
+            moving, groups = moving[~ended[owner[moving]]], None
+    start = 0
+    for mask in masks:
+        h, w = mask.shape
+        out.append(pixels[start : start + (h + 2) * (w + 2)].reshape(h + 2, w + 2, 3)[1:-1, 1:-1].astype(np.uint8))
+        start += (h + 2) * (w + 2)
+    return out
 
 
 def text_mask(plane: np.ndarray, grow: int = 2) -> np.ndarray:
@@ -291,17 +335,20 @@ def erase_text(rgb: np.ndarray) -> np.ndarray:
     return inpaint(rgb, text_mask(gray(rgb)))
 
 
+#: Bytes of page images that are swept together.
+TOGETHER = 4 << 20
+
+
 def erase_pages(pages: DataFrame) -> DataFrame:
     """Pages (page, width, height, rgb binary) with their text painted over; ``left`` is the share of masked pixels."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for p, w, h, raw in zip(b["page"], b["width"], b["height"], b["rgb"], strict=True):
-                image = np.frombuffer(raw, dtype=np.uint8).reshape(h, w, 3)
-                mask = text_mask(gray(image))
-                rows.append((p, w, h, inpaint(image, mask).tobytes(), float(mask.mean())))
-            yield pd.DataFrame(rows, columns=["page", "width", "height", "rgb", "masked"])
+            for _, part in b.groupby(b["rgb"].map(len).cumsum() // TOGETHER):
+                images = [np.frombuffer(raw, dtype=np.uint8).reshape(h, w, 3) for w, h, raw in zip(part["width"], part["height"], part["rgb"], strict=True)]
+                masks = [text_mask(gray(i)) for i in images]
+                done = inpaint_all(images, masks)
+                yield part[["page", "width", "height"]].assign(rgb=[d.tobytes() for d in done], masked=[float(m.mean()) for m in masks])
 
     return pages.select("page", "width", "height", "rgb").mapInPandas(run, "page long, width int, height int, rgb binary, masked double")
 

@@ -818,7 +818,7 @@ def kernel_cover_boxes(spark, sf_dir):
     return K.cover_pages(pages, todo).select("page", F.md5("rgb").alias("digest"), F.explode("report").alias("r")).select("page", "digest", "r.*")
 
 
-from . import more, printed, remembered, tiled  # noqa: E402, F401  (registers further queries with the two tables above)
+from . import more, printed, remembered, services, tiled  # noqa: E402, F401  (registers further queries with the two tables above)
 from .oracles import MORE  # noqa: E402
 
 SQL |= MORE
