@@ -6,7 +6,10 @@ import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -30,6 +33,29 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tasks(spark: SparkSession) -> int:
+    """As many tasks as the session states: few bytes that cost much work are not folded into few of them."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def in_slices(df: DataFrame, column: str, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, most: int = 4 << 20) -> DataFrame:
+    """``work`` on runs of rows whose bytes in ``column`` are together about ``most``, a row at least: a worker never holds what a whole Arrow batch grows to."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+            starts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most, prepend=-1)).tolist()
+            for start, end in zip(starts, [*starts[1:], b.num_rows], strict=False):
+                yield pa.RecordBatch.from_pandas(work(b.slice(start, end - start).to_pandas()), schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
+def _lists(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist() if pa.types.is_primitive(values.type) and not values.null_count and not pa.types.is_temporal(values.type) else values.to_pylist()
+
+
 def per_page(df: DataFrame, columns: tuple[str, ...], order: tuple[str, ...], work: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
     """``work`` on the rows of each page, sorted by ``order``; its rows get the page back as ``page``.
 
@@ -37,13 +63,21 @@ def per_page(df: DataFrame, columns: tuple[str, ...], order: tuple[str, ...], wo
     heavy work is not folded into one task.
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    listed = df.repartition(n, "page").groupBy("page").agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias("rows"))
+    listed = df.repartition(tasks(spark), "page").groupBy("page").agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias("rows"))
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [{**r, "page": page} for page, rows in zip(batch["page"].to_pylist(), batch["rows"].to_pylist(), strict=True) for r in work(rows)]
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+            listed = batch["rows"]
+            flat = listed.flatten()
+            names = [f.name for f in flat.type]
+            rows = [dict(zip(names, r)) for r in zip(*map(_lists, flat.flatten()))]
+            ends = np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            out, pages = [], []
+            for page, start, end in zip(batch["page"].to_pylist(), [0, *ends], ends):
+                found = work(rows[start:end])
+                out += found
+                pages += [page] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pages if f.name == "page" else [r.get(f.name) for r in out], f.type) for f in arrow], schema=arrow)
 
     return listed.mapInArrow(run, schema)

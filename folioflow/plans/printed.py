@@ -22,8 +22,7 @@ _NUMBERED = f"numbered AS (SELECT page // {BOOK} AS book, row_number() OVER (PAR
 def _through_files(spark, pages, read, **options):
     """``pages`` printed to files in the shared folder and read back; the files are deleted once what was read is kept."""
     folder = f"{shared_dir(spark)}/pdf-{uuid.uuid4().hex}"
-    P.write_pdfs(pages, folder, **options)
-    found = kept(read(spark, folder))
+    found = kept(read(spark, folder, P.write_pdfs(pages, folder, **options)))
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return found.where(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("boolean")).otherwise(True)).withColumn("book", F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("long"))
@@ -70,6 +69,6 @@ SELECT book, page_no, CAST(25.6 AS DOUBLE) AS width_pt, CAST(25.6 AS DOUBLE) AS
 def pdf_image_pages(spark, sf_dir):
     """Page images printed at 180 dpi: page sizes and pixels as they are read from the files."""
     pages = _plane_rows(spark, sf_dir).select("page", "width", "height", F.unhex(F.regexp_replace(F.hex("lum"), "(..)", "$1$1$1")).alias("rgb"), F.lit(None).alias("width_pt"), F.lit(None).alias("height_pt"), F.lit(None).alias("items"))
-    read = lambda spark, folder: P.read_pdf_images(spark, folder).join(P.read_pdfs(spark, folder).select("path", "page_no", "width_pt", "height_pt"), ["path", "page_no"])
+    read = lambda spark, folder, files: P.read_pdf_images(spark, folder, files).join(P.read_pdfs(spark, folder, files).select("path", "page_no", "width_pt", "height_pt"), ["path", "page_no"])
     found = _through_files(spark, _books(pages), read, scale=2.5)
     return found.select("book", F.col("page_no").cast("long").alias("page_no"), F.round("width_pt", 6).alias("width_pt"), F.round("height_pt", 6).alias("height_pt"), F.sha2("rgb", 256).alias("digest"))

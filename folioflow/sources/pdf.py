@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from ..functions.geometry import page_size
 from ..functions.text import clean_pdf_text
 from ..operators.ocr import glyph_box
-from ..operators.pages import kept
+from ..operators.pages import kept, tasks
 from .pdf_syntax import File
 
 FILES = "doc string, volume long, path string, pages long, bytes long, sha256 string"
@@ -161,8 +161,7 @@ def write_pdfs(pages: DataFrame, folder: str, scale: float | None = None, most:
     bare = slim.where("rgb IS NULL").select("doc", "page_no", "w", "h", "width", "height", F.lit(None).cast("binary").alias("packed"), "items")
     volumes = images.unionByName(bare).withColumn("volume", F.greatest(F.floor((F.col("page_no") - 1) / most), F.lit(0)).cast("long"))
     spark, made = pages.sparkSession, _arrow(FILES)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ordered = volumes.repartition(n, "doc", "volume").sortWithinPartitions("doc", "volume", "page_no", F.md5("packed"), F.hash("items"), "w", "h")
+    ordered = volumes.repartition(tasks(spark), "doc", "volume").sortWithinPartitions("doc", "volume", "page_no", F.md5("packed"), F.hash("items"), "w", "h")
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = path = out = None
@@ -184,13 +183,18 @@ def write_pdfs(pages: DataFrame, folder: str, scale: float | None = None, most:
     return kept(ordered.mapInArrow(files, FILES))
 
 
-def _opened(spark: SparkSession, path: str) -> DataFrame:
+def _opened(spark: SparkSession, path: str, files: DataFrame | None) -> DataFrame:
+    if files is not None:
+        return files.select("path").repartition(tasks(spark), "path")
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
+def read_pdfs(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
     """Pages of all PDF files under ``path`` with their text layers: ``PAGES``.
 
+    ``files`` (``path``, as ``write_pdfs`` gives it) names those to read: tasks open them, so the driver lists no folder and small
+    files share a task.
+
     Sizes and ``view`` (user space to points from the top left corner) count a page's crop and rotation. An item is what one
     operator shows, with its matrix, advance and height. A task holds one file and gives its pages one by one. A file that cannot be
     read is one row without a page number, a page whose contents cannot be read a page without items, and both say their ``error``. Spark passes over files of no bytes.
@@ -202,14 +206,14 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
         return *file.frame(page), [dict(zip(("transform", "width", "height", "str"), i, strict=True)) for i in file.text(page)]
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, raw in _files(batches):
-            yield from _held(_guarded(name, raw, layer, 4), schema, lambda row: 1 + len(row[5] or ()), 5_000)
+        rows = (row for name, raw in _files(batches, path) for row in _guarded(name, raw, layer, 4))
+        yield from _held(rows, schema, lambda row: 1 + len(row[5] or ()), 5_000)
 
-    return _opened(spark, path).mapInArrow(pages, PAGES)
+    return _opened(spark, path, files).mapInArrow(pages, PAGES)
 
 
-def read_pdf_images(spark: SparkSession, path: str) -> DataFrame:
-    """Images of the pages of all PDF files under ``path`` (``IMAGES``): those of 8 bits a channel stored without loss; others are an ``error``."""
+def read_pdf_images(spark: SparkSession, path: str, files: DataFrame | None = None) -> DataFrame:
+    """Images of the pages of all PDF files under ``path``, or of ``files`` there (``IMAGES``): those of 8 bits a channel stored without loss; others are an ``error``."""
 
     schema = _arrow(IMAGES)
 
@@ -220,14 +224,20 @@ def read_pdf_images(spark: SparkSession, path: str) -> DataFrame:
                 yield path, no, None, None, None, None, error
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, raw in _files(batches):
-            yield from _held(found(name, raw), schema, lambda row: len(row[5] or b"") + 100, 8 << 20)
+        rows = (row for name, raw in _files(batches, path) for row in found(name, raw))
+        yield from _held(rows, schema, lambda row: len(row[5] or b"") + 100, 8 << 20)
 
-    return _opened(spark, path).mapInArrow(images, IMAGES)
+    return _opened(spark, path, files).mapInArrow(images, IMAGES)
 
 
-def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+def _files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[str, bytes]]:
     for b in batches:
+        if "content" not in b.schema.names:
+            where, _ = fs.FileSystem.from_uri(folder)
+            for name in b.column("path").to_pylist():
+                with where.open_input_stream(name) as file:
+                    yield name, file.read()
+            continue
         for name, raw in zip(b.column("path"), b.column("content"), strict=True):
             yield name.as_py(), raw.as_py()
 
