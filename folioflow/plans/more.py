@@ -17,6 +17,7 @@ from ..operators import glossary as L
 from ..operators import kernels as K
 from ..operators import recognition as N
 from ..operators import render as R
+from ..operators.pages import in_slices
 from ..sources import derive as D
 from .queries import _CODES_SQL, _HAN, _PX, _TEXT, GLOSSARY, PAGE_H, PAGE_W, SQL, _plane_rows, _text, glossary_parse, query
 
@@ -230,13 +231,16 @@ def px_resize_down(spark, sf_dir):
 
 @query()
 def kernel_prepare_for_reading(spark, sf_dir):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            planes = [np.frombuffer(raw, dtype=np.uint8).reshape(64, 64) for raw in b["lum"]]
-            out = [(K.prepare_for_reading(p, 1.5), K.prepare_for_reading(p, 9.0, binarise=True)) for p in planes]
-            yield pd.DataFrame({"page": b["page"], "side": [a.shape[0] for a, _ in out], "largest": [c.shape[0] for _, c in out], "gray": [int(a.sum()) for a, _ in out], "ink": [int((c == 0).sum()) for _, c in out]})
+    def measured(raw: bytes) -> tuple[int, int, int, int]:
+        plane = np.frombuffer(raw, dtype=np.uint8).reshape(64, 64)
+        gray, ink = K.prepare_for_reading(plane, 1.5), K.prepare_for_reading(plane, 9.0, binarise=True)
+        return gray.shape[0], ink.shape[0], int(gray.sum()), int((ink == 0).sum())
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        rows = [(page, *measured(raw)) for page, raw in zip(part["page"], part["lum"], strict=True)]  # a page's large planes go before the next page's come
+        return pd.DataFrame(rows, columns=["page", "side", "largest", "gray", "ink"])
 
-    return _plane_rows(spark, sf_dir).select("page", "lum").mapInPandas(run, "page long, side int, largest int, gray long, ink long")
+    return in_slices(_plane_rows(spark, sf_dir).select("page", "lum"), "lum", work, "page long, side int, largest int, gray long, ink long")
 
 
 @query()

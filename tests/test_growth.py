@@ -38,3 +38,14 @@ def test_tokens_in_one_match_equal_those_step_by_step(raw, monkeypatch):
     quick = every()
     monkeypatch.setattr(S, "TOKEN", S.re.compile(rb"(?!)"))
     assert quick == every()
+
+
+def test_work_gets_slices_of_stated_bytes(spark):
+    df = spark.range(100, numPartitions=1).withColumn("raw", F.when(F.col("id") % 10 != 3, F.repeat(F.lit("x"), 1000).cast("binary")))
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": part["id"], "held": len(part)})
+
+    got = O.in_slices(df, "raw", work, "id long, held int", 10_000).toPandas()
+    assert sorted(got["id"]) == list(range(100)) and got["held"].max() <= 13
+    assert O.in_slices(df.where("id < 0"), "raw", work, "id long, held int").count() == 0
