@@ -17,6 +17,7 @@ from ..operators import layout as Y
 from ..operators import ocr as O
 from ..operators import pixels as P
 from ..operators import reading as R
+from ..operators.pages import tasks
 from ..sources import derive as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -645,7 +646,7 @@ def px_invert_downscale(spark, sf_dir):
 
 def _plane_rows(spark, sf_dir):
     """Planes as page images, each pixel drawn 8 x 8."""
-    p = D.planes(spark, sf_dir).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "lum"))).alias("p"))
+    p = D.planes(spark, sf_dir).repartition(tasks(spark), "page").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y", "x", "lum"))).alias("p"))
     line = lambda r: F.array_join(F.transform(F.slice("p", r * 8 + 1, 8), lambda q: F.repeat(F.lpad(F.hex(q["lum"]), 2, "0"), 8)), "")
     body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.repeat(line(r), 8)), "")
     return p.select("page", F.lit(64).alias("width"), F.lit(64).alias("height"), F.unhex(body).alias("lum"))

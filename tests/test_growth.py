@@ -49,3 +49,7 @@ def test_work_gets_slices_of_stated_bytes(spark):
     got = O.in_slices(df, "raw", work, "id long, held int", 10_000).toPandas()
     assert sorted(got["id"]) == list(range(100)) and got["held"].max() <= 13
     assert O.in_slices(df.where("id < 0"), "raw", work, "id long, held int").count() == 0
+
+
+def test_page_images_are_not_folded_into_one_task(spark):
+    assert Q._plane_rows(spark, SF).rdd.getNumPartitions() == O.tasks(spark)
