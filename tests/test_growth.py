@@ -53,3 +53,15 @@ def test_work_gets_slices_of_stated_bytes(spark):
 
 def test_page_images_are_not_folded_into_one_task(spark):
     assert Q._plane_rows(spark, SF).rdd.getNumPartitions() == O.tasks(spark)
+
+
+def test_layouts_of_equal_texts_are_made_once_and_placed_apart(spark):
+    from folioflow.operators import layout as Y
+
+    rows = [(f"item {i % 5}, and more", float(i), float(3 * i), 20.0 + i % 4, 9.0 + i % 3, None if i % 2 else 14.0, None) for i in range(200)] + [(None, 1.0, 2.0, 30.0, 10.0, None, 50.0), ("x" * 90, 0.0, 0.0, 40.0, 12.0, 99.0, None)]
+    items = spark.createDataFrame(rows, "text string, x double, y double, w double, h double, allow_h double, allow_w double")
+    Y._shaped.cache_clear()
+    want = [Y.fit(t or "", *v, Y.Limits(allow_h=a, allow_w=b)) for t, *v, a, b in rows]
+    assert Y._shaped.cache_info().misses <= 5 * 4 * 3 * 2 + 1
+    got = Y.lay_out(items.coalesce(1)).select("layout.*").collect()
+    assert [{k: r[k] for k in Y.FIELDS} for r in got] == [{k: w[k] for k in Y.FIELDS} for w in want]
