@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .pages import kept
+from .pages import kept, tasks
 
 #: Term, target, and whether the term is to stay as it is.
 Entries = list[tuple[str, str, bool]]
@@ -228,8 +228,17 @@ def complete(results: DataFrame) -> DataFrame:
 
 
 def request_batches(texts: DataFrame, size: int = 24) -> DataFrame:
-    """Number of the request that each distinct text goes in, by partition of a language."""
-    return texts.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("lang").orderBy("raw")) - 1) / size))
+    """Number of the request that each distinct text goes in, within its language and by order of the texts.
+
+    Texts are dealt to tasks by ranges, numbered there, and moved on by what the ranges before hold, so a language is many tasks.
+    """
+    ordered = texts.repartitionByRange(tasks(texts.sparkSession), "lang", "raw").sortWithinPartitions("lang", "raw")
+    ranges = kept(ordered.withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    held = ranges.groupBy("_range", "lang").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))  # no more rows than ranges and languages
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("lang").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = held.select(F.col("_range").alias("_at"), F.col("lang").alias("_lang"), (before - F.col("_first")).alias("_move"))
+    placed = ranges.join(F.broadcast(starts), (F.col("_range") == F.col("_at")) & F.col("lang").eqNullSafe(F.col("_lang")))
+    return placed.select(*texts.columns, F.floor((F.col("_move") + F.col("_row")) / size).alias("batch"))
 
 
 def split_for_limit(text: str, limit: int) -> list[str]:

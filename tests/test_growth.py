@@ -78,3 +78,15 @@ def test_tiles_come_in_slices(spark, monkeypatch):
     marks = boxes.withColumn("no", F.lit(1).cast("long"))
     crops = P2.crops(parts, marks, 1050, 700, pad=1).collect()
     assert len(crops) == 300 and all(r["gray"].count(40) == 150 * 9 for r in crops)
+
+
+def test_one_language_is_numbered_by_many_tasks(spark):
+    from folioflow.operators import glossary as L
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows would share a task else
+    rows = [("en", f"text {i * 7919 % 3000:05d}") for i in range(3000)] + [(None, f"t{i}") for i in range(30)] + [("de", "a")]
+    got = L.request_batches(spark.createDataFrame(rows, "lang string, raw string"), 24).withColumn("at", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["at"] for r in got if r["lang"] == "en"}) > 1
+    want = {(lang, raw): i // 24 for lang in ("en", None, "de") for i, raw in enumerate(sorted(r for g, r in rows if g == lang))}
+    assert {(r["lang"], r["raw"]): r["batch"] for r in got} == want and len(got) == len(rows)
