@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,17 +183,37 @@ def residue(restored: Column, known: Column) -> Column:
 
 
 def fnv1a(c: Column) -> Column:
-    """32-bit FNV-1a over UTF-16 units, in base 36: a code point above the basic plane counts as its two surrogates."""
-    mixed = lambda h, unit: (h.bitwiseXOR(unit) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+    """32-bit FNV-1a over UTF-16 units, in base 36: a code point above the basic plane counts as its two surrogates.
 
-    def step(h: Column, ch: Column) -> Column:
-        point = F.conv(F.hex(F.encode(ch, "utf-32")), 16, 10).cast("long")
-        above = point - 0x10000
-        high, low = F.lit(0xD800) + F.shiftright(above, 10), F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))
-        return F.when(point < 0x10000, mixed(h, point)).otherwise(mixed(mixed(h, high), low))
+    A step hangs on the one before, so texts of a batch are hashed side by side, unit by unit.
+    """
 
-    h = F.aggregate(F.filter(F.split(_empty(c), ""), lambda ch: ch != ""), F.lit(2166136261), step)
-    return F.lower(F.conv(h.cast("string"), 10, 36))
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([np.base_repr(h, 36).lower() for h in fnv1a_all(s.tolist())], dtype=object)
+
+    return run(_empty(c))
+
+
+def fnv1a_all(texts: list[str], few: int = 16) -> list[int]:
+    """FNV-1a of each text; the last ``few`` that go on, the longest, are finished one by one."""
+    raw = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+    lengths = np.array([len(r) // 2 for r in raw], dtype=np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order] if len(raw) else lengths
+    units, ends = np.frombuffer(b"".join(raw), dtype="<u2").astype(np.uint32), -lengths[order]
+    h, prime, at = np.full(len(raw), 2166136261, dtype=np.uint32), np.uint32(16777619), 0
+    while (n := int(np.searchsorted(ends, -at, side="left"))) > few:  # the first n are longer than ``at``
+        h[:n] = (h[:n] ^ units[starts[:n] + at]) * prime
+        at += 1
+    for i in range(n):
+        left = int(h[i])
+        for unit in units[starts[i] + at : starts[i] - ends[i]].tolist():
+            left = ((left ^ unit) * 16777619) & 0xFFFFFFFF
+        h[i] = left
+    out = np.empty(len(raw), dtype=np.int64)
+    out[order] = h
+    return out.tolist()
 
 
 #: Names of target languages.

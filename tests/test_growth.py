@@ -90,3 +90,19 @@ def test_one_language_is_numbered_by_many_tasks(spark):
     assert len({r["at"] for r in got if r["lang"] == "en"}) > 1
     want = {(lang, raw): i // 24 for lang in ("en", None, "de") for i, raw in enumerate(sorted(r for g, r in rows if g == lang))}
     assert {(r["lang"], r["raw"]): r["batch"] for r in got} == want and len(got) == len(rows)
+
+
+def test_fnv1a_of_many_texts_equals_a_loop():
+    from folioflow.functions import text as T
+
+    rng = np.random.default_rng(3)
+    texts = ["", "a", "𝄞 and 中文", *("".join(map(chr, rng.integers(32, 0x2FFFF, n, dtype=int))) for n in rng.integers(0, 60, 80))]
+    texts = ["".join(c for c in t if not 0xD800 <= ord(c) < 0xE000) for t in texts] + ["long " * 5000]
+
+    def plain(t: str) -> int:
+        h, raw = 2166136261, t.encode("utf-16-le")
+        for i in range(0, len(raw), 2):
+            h = ((h ^ int.from_bytes(raw[i : i + 2], "little")) * 16777619) & 0xFFFFFFFF
+        return h
+
+    assert T.fnv1a_all(texts) == list(map(plain, texts)) and T.fnv1a_all([]) == []
