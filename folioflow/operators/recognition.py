@@ -13,7 +13,7 @@ from ..functions import geometry as G
 from . import boxes as B
 from . import kernels as K
 from . import ocr as O
-from .pages import kept
+from .pages import in_slices, kept, tasks
 
 #: The longest side at which a page is searched in one piece; sides and zoom of a page that is read whole.
 WHOLE_SIDE, READ_SIDE = 1600.0, 1800.0
@@ -28,16 +28,16 @@ def cut_tiles(pages: DataFrame, most: float = WHOLE_SIDE) -> DataFrame:
     wide, high = F.col("width").cast("double"), F.col("height").cast("double")
     planned = pages.select("page", "width", "height", "lum", G.tiles(wide, high, most).alias("tiles"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                plane = np.frombuffer(r.lum, dtype=np.uint8).reshape(r.height, r.width)
-                for i, t in enumerate(r.tiles):
-                    x, y, w, h = (int(t[k]) for k in "xywh")
-                    part = np.ascontiguousarray(plane[y : y + h, x : x + w])
-                    yield pd.DataFrame({"page": [r.page], "tile": [i], "x": [x], "y": [y], "width": [w], "height": [h], "lum": [part.tobytes()]})
+    def work(b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in b.itertuples(index=False):
+            plane = np.frombuffer(r.lum, dtype=np.uint8).reshape(r.height, r.width)
+            for i, t in enumerate(r.tiles):
+                x, y, w, h = (int(t[k]) for k in "xywh")
+                rows.append((r.page, i, x, y, w, h, plane[y : y + h, x : x + w].tobytes()))
+        return pd.DataFrame(rows, columns=["page", "tile", "x", "y", "width", "height", "lum"])
 
-    return planned.mapInPandas(run, "page long, tile int, x int, y int, width int, height int, lum binary")
+    return in_slices(planned, "lum", work, "page long, tile int, x int, y int, width int, height int, lum binary")
 
 
 def detect_tiled(pages: DataFrame, most: float = WHOLE_SIDE) -> DataFrame:
@@ -47,20 +47,17 @@ def detect_tiled(pages: DataFrame, most: float = WHOLE_SIDE) -> DataFrame:
     """
     names = [c.split()[0] for c in FOUND.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b.itertuples(index=False):
-                lines = K.detect(np.frombuffer(t.lum, dtype=np.uint8).reshape(t.height, t.width))
-                found = [("line", {**line, "lines": 1, "score": None}) for line in lines] + [("region", g) for g in B.regions_of(lines)]
-                for no, (kind, r) in enumerate(found):
-                    rows.append((t.page, t.tile, kind, no, float(r["x"] + t.x), float(r["y"] + t.y), float(r["w"]), float(r["h"]), int(r["ink"]), r["lines"], r["score"]))
-            yield pd.DataFrame(rows, columns=names)
-
-    spark = pages.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    tiles = cut_tiles(pages, most).repartition(n, "page", "tile")
-    found = kept(tiles.mapInPandas(run, FOUND))
+    def work(b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for t in b.itertuples(index=False):
+            lines = K.detect(np.frombuffer(t.lum, dtype=np.uint8).reshape(t.height, t.width))
+            found = [("line", {**line, "lines": 1, "score": None}) for line in lines] + [("region", g) for g in B.regions_of(lines)]
+            for no, (kind, r) in enumerate(found):
+                rows.append((t.page, t.tile, kind, no, float(r["x"] + t.x), float(r["y"] + t.y), float(r["w"]), float(r["h"]), int(r["ink"]), r["lines"], r["score"]))
+        return pd.DataFrame(rows, columns=names)
+
+    tiles = cut_tiles(pages, most).repartition(tasks(pages.sparkSession), "page", "tile")
+    found = kept(in_slices(tiles, "lum", work, FOUND))
     number = (F.col("tile").cast("long") * (1 << 31) + F.col("no")).alias("no")
     parts = []
     for kind, least in (("line", 0.5), ("region", 0.4)):
