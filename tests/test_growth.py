@@ -106,3 +106,10 @@ def test_fnv1a_of_many_texts_equals_a_loop():
         return h
 
     assert T.fnv1a_all(texts) == list(map(plain, texts)) and T.fnv1a_all([]) == []
+
+
+def test_rows_of_a_page_come_as_they_are(spark):
+    rows = [(1, 2, None, "b"), (1, 1, 2.5, None), (None, 3, 1.0, "c"), (2, 1, 4.0, "d")]
+    df = spark.createDataFrame(rows, "page long, no int, x double, s string")
+    got = O.per_page(df, ("x", "s"), ("no",), lambda rows: [r | {"n": len(rows)} for r in rows] if rows[0]["x"] != 4.0 else [], "page long, no int, x double, s string, n int")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, 2.5, None, 2), (1, 2, None, "b", 2), (None, 3, 1.0, "c", 1)], key=str)
