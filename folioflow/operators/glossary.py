@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -199,6 +200,34 @@ def results_of(raws: DataFrame, entries: Entries, engine: Callable[[list[str]],
     return results if known is None else results.unionByName(known)
 
 
+def settle(distinct: DataFrame, entries: Entries, engine: Callable[[list[str]], list[str | None]], engine_name: str = "engine", batch: int = 24, codes: bool = True) -> DataFrame:
+    """``key, dst, engine, warn, origin`` of each row (key as bytes, raw) in one pass: ``rule`` where no engine is needed, else ``engine``.
+
+    Nothing is checkpointed here: who reads it twice asks twice.
+    """
+    routed = route(distinct, entries, "raw", codes=codes)
+    sent = F.col("route") == "send"
+    asked = routed.select("key", "route", "dst", F.when(sent, F.col("payload")).alias("payload"), F.when(sent, F.col("codes")).alias("codes"))
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out, mine = [None] * len(frame), np.flatnonzero(frame["route"].to_numpy() == "send").tolist()
+            for a in range(0, len(mine), batch):
+                part = [frame["payload"].iat[i] for i in mine[a : a + batch]]
+                reply = list(engine(part))
+                reply = reply if len(reply) == len(part) else [r for p in part for r in engine([p])]
+                for i, r in zip(mine[a : a + batch], reply):
+                    out[i] = r
+            yield frame.drop(columns="payload").assign(reply=out)
+
+    answered = asked.mapInPandas(send, "key binary, route string, dst string, codes array<string>, reply string").withColumn("_r", T.restore_codes(F.col("reply"), F.col("codes")))
+    empty = F.col("reply").isNull() | (F.trim("reply") == "")
+    warn = F.when(~sent, "").when(empty, "empty reply").otherwise(T.residue(F.col("_r"), F.col("codes")))
+    by = F.when(F.col("route").isin("dict", "glossary"), "glossary").when(~sent, "skip").when(empty, "failed").otherwise(engine_name)
+    dst = F.when(sent, T.cleanup_punct(apply_glossary(F.col("_r"), entries))).otherwise(F.col("dst"))
+    return answered.select("key", dst.alias("dst"), by.alias("engine"), warn.alias("warn"), F.when(sent, "engine").otherwise("rule").alias("origin"))
+
+
 def translate(texts: DataFrame, entries: Entries, engine: Callable[[list[str]], list[str | None]], column: str = "src", engine_name: str = "engine", batch: int = 24, cache: DataFrame | None = None) -> DataFrame:
     """Every row with ``dst, engine, warn``: distinct trimmed texts are routed, sent in batches of ``batch``, finished and joined back.
 

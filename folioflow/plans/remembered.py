@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import glossary as L
 from ..operators import memory as M
-from ..operators.pages import kept, shared_dir
+from ..operators.pages import kept, shared_dir, stored
 from ..sources import derive as D
 from .queries import GLOSSARY, SQL, _text, fake_engine, query
 
@@ -26,7 +26,7 @@ def translation_memory_runs(spark, sf_dir):
     run = M.Run(engine="engine")
     origin = lambda entries: M.translate_remembered(texts, entries, fake_engine, memory, run, "line")
     first = kept(origin(GLOSSARY).select("k", "no", F.col("origin").alias("first")))
-    second = kept(origin(GLOSSARY).select("k", "no", "dst", "engine", "warn", F.col("origin").alias("second")))
+    second = stored(origin(GLOSSARY).select("k", "no", "dst", "engine", "warn", F.col("origin").alias("second")))
     other = kept(origin(more).select("k", "no", F.col("origin").alias("other_glossary")))
     memory.fold()
     memory.prune()

@@ -113,3 +113,18 @@ def test_rows_of_a_page_come_as_they_are(spark):
     df = spark.createDataFrame(rows, "page long, no int, x double, s string")
     got = O.per_page(df, ("x", "s"), ("no",), lambda rows: [r | {"n": len(rows)} for r in rows] if rows[0]["x"] != 4.0 else [], "page long, no int, x double, s string, n int")
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, 2.5, None, 2), (1, 2, None, "b", 2), (None, 3, 1.0, "c", 1)], key=str)
+
+
+def test_memory_moves_keys_and_not_texts(spark, tmp_path):
+    from folioflow.operators import memory as M
+
+    texts = spark.createDataFrame([(i, f"{i} " + "words of a long line " * 50) for i in range(300)] * 2, "no int, src string")
+    memory = M.Memory(spark, f"file://{tmp_path}/memory")
+    run = lambda t: {(r.no, r.dst, r.origin) for r in M.translate_remembered(t, [], lambda b: [f"[{x}]" for x in b], memory).collect()}
+    assert {o for *_, o in run(texts.where("no < 250"))} == {"engine"}
+    again = run(texts)
+    assert len(again) == 300 and all((o == "memory") == (no < 250) and d.startswith("[") for no, d, o in again)
+    assert len(memory.versions()) == 2 and {len(r.key) for r in memory.read().collect()} == {24}
+    keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"), "id")
+    kept = {r.id for r in M._maybe(keys, keys.where("id % 50 = 7").select("key")).collect()}
+    assert kept >= set(range(7, 5000, 50)) and len(kept) < 200
