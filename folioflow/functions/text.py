@@ -29,16 +29,23 @@ def norm_text(c: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length of the normalised texts."""
-    x, y = norm_text(a), norm_text(b)
+    return _alike(norm_text(a), norm_text(b))
+
+
+def _alike(x: Column, y: Column) -> Column:
     most = F.greatest(F.length(x), F.length(y))
     return F.when(most == 0, 1.0).when((x == "") | (y == ""), 0.0).otherwise(1 - F.levenshtein(x, y) / most)
 
 
 def same_text(a: Column, b: Column, threshold: float = 0.82) -> Column:
-    x, y = norm_text(a), norm_text(b)
+    return same_norm(norm_text(a), norm_text(b), threshold)
+
+
+def same_norm(x: Column, y: Column, threshold: float = 0.82) -> Column:
+    """``same_text`` of texts that are normalised already: a fold over many pairs normalises each text once."""
     short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
     inside = F.contains(x, y) | F.contains(y, x)
-    return (short > 0) & ((x == y) | (inside & (short / long >= 0.6)) | (similarity(a, b) >= threshold))
+    return (short > 0) & ((x == y) | (inside & (short / long >= 0.6)) | (_alike(x, y) >= threshold))
 
 
 def split_lines(c: Column) -> Column:

@@ -257,16 +257,17 @@ def drop_repeats(boxes: DataFrame, least: float = 0.5) -> DataFrame:
     return _fold(boxes, (F.col("no"),), merge, ("no", "x", "y", "w", "h"))
 
 
-def drop_reread(lines: DataFrame, overlap: float = 0.5) -> DataFrame:
-    """Lines that neighbouring bands both read (page, no, x, y, w, h, text, conf): the surer one takes the first one's place."""
+def drop_reread(lines: DataFrame, overlap: float = 0.5, more: tuple[str, ...] = ()) -> DataFrame:
+    """Lines that neighbouring bands both read (page, no, x, y, w, h, text, conf, and the columns ``more``): the surer one takes the first one's place."""
 
     def merge(kept: Column, a: Column) -> Column:
-        again = lambda b: (G.overlap_ratio(_part(b), _part(a)) > overlap) & T.same_text(b["text"], a["text"])
+        again = lambda b: (G.overlap_ratio(_part(b), _part(a)) > overlap) & T.same_norm(b["_norm"], a["_norm"])
         at = F.coalesce(F.array_position(F.transform(kept, again), True), F.lit(0))
         surer = lambda b: F.coalesce(a["conf"], F.lit(0.0)) > F.coalesce(b["conf"], F.lit(0.0))
         return F.when(at == 0, F.array_append(kept, a)).otherwise(F.transform(kept, lambda b, i: F.when((i + 1 == at) & surer(b), a).otherwise(b)))
 
-    return _fold(lines, (F.col("no"),), merge, ("no", "x", "y", "w", "h", "text", "conf"))
+    normed = lines.withColumn("_norm", T.norm_text(F.col("text")))
+    return _fold(normed, (F.col("no"),), merge, ("no", "x", "y", "w", "h", "text", "conf", *more, "_norm")).drop("_norm")
 
 
 def regions_of(rows: list[dict], most: int = 40, v_gap: int = 14, h_gap: int = 40) -> list[dict]:

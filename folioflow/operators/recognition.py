@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import text as T
 from . import boxes as B
 from . import kernels as K
 from . import ocr as O
@@ -97,14 +98,17 @@ def recognise(pages: DataFrame, lines: DataFrame, reader: Callable[[list[dict]],
     spark = pages.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     answers = kept(reading_bands(pages, lines).repartition(n, "page", "band").mapInPandas(ask, schema))
-    at = answers.select("page", "band", F.col("x").alias("bx"), F.col("y").alias("by"), "zoom")
-    rows = answers.select("page", "band", F.explode(F.split(F.coalesce("tsv", F.lit("")), "\r?\n")).alias("line"))
-    flat = O.tsv_lines(O.parse_tsv(rows), ("page", "band")).select("page", "band", "text", "conf", *[F.col(c).cast("double").alias(c) for c in "xywh"])
-    good = O.usable_lines(flat)
-    left = flat.select("page", "band").distinct().join(good.select("page", "band").distinct(), ["page", "band"], "left_anti")
-    trees = answers.join(left, ["page", "band"], "left_semi").where("tree IS NOT NULL").select("page", "band", F.col("tree").alias("body"))
-    other = O.usable_lines(O.lines_of_tree(trees)).select("page", "band", "text", "conf", "x", "y", "w", "h", "font_height")
-    read = good.select("page", "band", "text", "conf", "x", "y", "w", "h", "font_height").unionByName(other).join(at, ["page", "band"])
+    at = ("bx", "by", "zoom")
+    placed = answers.select("page", "band", F.col("x").alias("bx"), F.col("y").alias("by"), "zoom", "tsv", "tree")
+    rows = placed.select("page", "band", *at, F.explode(F.split(F.coalesce("tsv", F.lit("")), "\r?\n")).alias("line"))
+    words = O.tsv_lines(O.parse_tsv(rows), ("page", "band", *at)).select("page", "band", *at, "text", "conf", *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    flat = kept(words.withColumn("noise", T.looks_like_noise(F.col("text"), F.col("conf"))))  # read three times, made once
+    good = flat.where("NOT noise").withColumn("font_height", F.col("h"))
+    left = flat.groupBy("page", "band").agg(F.every(F.coalesce("noise", F.lit(True))).alias("none")).where("none")
+    trees = placed.join(left, ["page", "band"], "left_semi").where("tree IS NOT NULL").select("page", "band", *at, F.col("tree").alias("body"))
+    other = O.usable_lines(O.lines_of_tree(trees))
+    columns = ("page", "band", *at, "text", "conf", "x", "y", "w", "h", "font_height")
+    read = good.select(*columns).unionByName(other.select(*columns))
     moved = read.select(
         "page", "band", "text", F.col("conf").cast("double").alias("conf"), *[(F.col(f"b{c}") + F.col(c) / F.col("zoom")).alias(c) for c in "xy"],
         *[(F.col(c) / F.col("zoom")).alias(c) for c in ("w", "h", "font_height")],
@@ -112,7 +116,7 @@ def recognise(pages: DataFrame, lines: DataFrame, reader: Callable[[list[dict]],
     order = F.struct("band", "y", "x", "text", "w")
     listed = moved.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "y", "x", "w", "h", "text", "conf", "font_height"))).alias("l"))
     numbered = kept(listed.select("page", F.posexplode("l").alias("no", "r")).select("page", "no", "r.x", "r.y", "r.w", "r.h", "r.text", "r.conf", "r.font_height"))
-    once = B.drop_reread(numbered.drop("font_height")).drop("pos").join(numbered.select("page", "no", "font_height"), ["page", "no"])
+    once = B.drop_reread(numbered, more=("font_height",)).drop("pos")
     per = answers.groupBy("page").agg(F.count("*").alias("bands"), F.count_if("answered").alias("calls"))
     report = per.join(flat.groupBy("page").agg(F.count("*").alias("raw")), "page", "left").join(once.groupBy("page").agg(F.count("*").alias("kept")), "page", "left")
     return once, report.na.fill(0, ["raw", "kept"])
