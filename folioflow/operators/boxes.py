@@ -239,13 +239,54 @@ def group_blocks(boxes: DataFrame, **options) -> DataFrame:
     return per_page(boxes, ("no", "x", "y", "w", "h"), ("no",), work, "page long, block int, x double, y double, w double, h double, members int")
 
 
+def _ratio(a: dict, b: dict) -> float:
+    least = min(max(a["w"], 0) * max(a["h"], 0), max(b["w"], 0) * max(b["h"], 0))
+    over_x = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
+    over_y = min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"])
+    return over_x * over_y / least if least > 0 and over_x > 0 and over_y > 0 else 0.0
+
+
+def _near(a: dict, b: dict) -> bool:
+    return abs(a["x"] + a["w"] / 2 - (b["x"] + b["w"] / 2)) < max(a["w"], b["w"]) * 0.35 and abs(a["y"] + a["h"] / 2 - (b["y"] + b["h"] / 2)) < max(a["h"], b["h"]) * 0.5
+
+
+def _in_order(rows: list[dict], *first) -> list[dict]:
+    """Rows by the functions ``first``, then by all columns of an item, nulls first."""
+    return sorted(rows, key=lambda r: (*[f(r) for f in first], *[(r[c] is not None, r[c]) for c in ITEM]))
+
+
+def first_fit(rows: list[dict], strong: float = 0.55, weak: float = 0.3) -> list[dict]:
+    """``dedupe_overlapping`` of one page's rows."""
+    kept: list[dict] = []
+    for a in _in_order(rows):
+        for i, b in enumerate(kept):
+            ratio = _ratio(a, b)
+            if ratio > strong or (ratio > weak and _near(a, b)):
+                said, had = bool(a["dst"]), bool(b["dst"])
+                if (said and not had) or (said == had and a["w"] * a["h"] > b["w"] * b["h"]):
+                    kept[i] = a
+                break
+        else:
+            kept.append(a)
+    return kept
+
+
+def collapsed(rows: list[dict], least: float = 0.42) -> list[dict]:
+    """``collapse_overlapping`` of one page's rows."""
+    kept: list[dict] = []
+    for a in _in_order(rows, lambda r: -len(r["dst"] or r["src"] or ""), lambda r: r["w"] * r["h"]):
+        if not any(_ratio(a, b) > least for b in kept):
+            kept.append(a)
+    return kept
+
+
 def prepare_items(items: DataFrame, mode: str = "smart") -> DataFrame:
-    """De-duplicate, merge fragments (``whole``: across any gap; ``off``: not at all), de-duplicate, collapse."""
-    first = dedupe_overlapping(items).drop("pos")
+    """De-duplicate, merge fragments (``whole``: across any gap; ``off``: not at all), de-duplicate, collapse: a page's rows are moved once for all of it."""
     if mode == "off":
-        return first
-    merged = merge_adjacent(first, **({"gap_ratio": float("inf")} if mode == "whole" else {})).drop("merged")
-    return collapse_overlapping(dedupe_overlapping(merged).drop("pos")).drop("pos")
+        return dedupe_overlapping(items).drop("pos")
+    options = {"gap_ratio": float("inf")} if mode == "whole" else {}
+    schema = "page long, no int, x double, y double, w double, h double, src string, dst string"
+    return per_page(items, ITEM, ("no",), lambda rows: collapsed(first_fit(merge_line(first_fit(rows), **options))), schema)
 
 
 def drop_repeats(boxes: DataFrame, least: float = 0.5) -> DataFrame:

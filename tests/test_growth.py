@@ -128,3 +128,17 @@ def test_memory_moves_keys_and_not_texts(spark, tmp_path):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"), "id")
     kept = {r.id for r in M._maybe(keys, keys.where("id % 50 = 7").select("key")).collect()}
     assert kept >= set(range(7, 5000, 50)) and len(kept) < 200
+
+
+@pytest.mark.parametrize("mode", ["smart", "whole"])
+def test_items_are_prepared_in_one_pass(spark, mode):
+    from folioflow.operators import boxes as B
+
+    rng = np.random.default_rng(5)
+    rows = [(int(p), int(no), float(rng.integers(0, 60)), float(rng.integers(0, 40)), float(rng.integers(0, 40)), float(rng.integers(0, 20)), ["a", None, "", "b c"][rng.integers(4)], ["", None, "d", "中文"][rng.integers(4)]) for p in range(80) for no in rng.permutation(9)]
+    items = spark.createDataFrame(rows, "page long, no int, x double, y double, w double, h double, src string, dst string")
+    got = B.prepare_items(items, mode)
+    merged = B.merge_adjacent(B.dedupe_overlapping(items).drop("pos"), **({"gap_ratio": float("inf")} if mode == "whole" else {})).drop("merged")
+    want = B.collapse_overlapping(B.dedupe_overlapping(merged).drop("pos")).drop("pos")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    assert got._jdf.queryExecution().analyzed().toString().count("collect_list") == 1
