@@ -103,16 +103,16 @@ def group_text_items(items: DataFrame) -> DataFrame:
         out = []
         while left:
             line = [left.pop(0)]
+            base, tall, x0, x1 = line[0]["base_y"], line[0]["font_height"], line[0]["x"], line[0]["x"] + line[0]["w"]
             grown = True
             while grown:
                 grown = False
                 for r in list(left):
-                    fh = max(r["font_height"], max(x["font_height"] for x in line))
-                    x0, x1 = min(x["x"] for x in line), max(x["x"] + x["w"] for x in line)
-                    if abs(r["base_y"] - line[0]["base_y"]) <= max(3, 0.35 * fh) and r["x"] - x1 <= max(12, 1.2 * fh) and x0 - (r["x"] + r["w"]) <= max(8, fh):
+                    fh = max(r["font_height"], tall)
+                    if abs(r["base_y"] - base) <= max(3, 0.35 * fh) and r["x"] - x1 <= max(12, 1.2 * fh) and x0 - (r["x"] + r["w"]) <= max(8, fh):
                         line.append(r)
                         left.remove(r)
-                        grown = True
+                        grown, tall, x0, x1 = True, fh, min(x0, r["x"]), max(x1, r["x"] + r["w"])
             line.sort(key=lambda r: r["x"])
             text = line[0]["raw"]
             for a, b in zip(line, line[1:]):
