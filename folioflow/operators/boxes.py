@@ -152,11 +152,12 @@ def dedupe_same_text(items: DataFrame, overlap: float = 0.5, threshold: float =
     """Of boxes that overlap and say the same, the first stays: ``first`` (say, a source rank), reading order, larger area, input."""
 
     def merge(kept: Column, a: Column) -> Column:
-        hit = F.exists(kept, lambda b: (G.overlap_ratio(_part(a), _part(b)) > overlap) & T.same_text(a["src"], b["src"], threshold))
+        hit = F.exists(kept, lambda b: (G.overlap_ratio(_part(a), _part(b)) > overlap) & T.same_norm(a["_norm"], b["_norm"], threshold))
         return F.when(hit, kept).otherwise(F.array_append(kept, a))
 
     order = (first if first is not None else F.lit(0), F.floor(F.col("y") / 16), F.col("x"), -(F.col("w") * F.col("h")), F.col("no"))
-    return _fold(items.where((F.col("w") > 0) & (F.col("h") > 0)), order, merge)
+    sized = items.where((F.col("w") > 0) & (F.col("h") > 0)).withColumn("_norm", T.norm_text(F.col("src")))
+    return _fold(sized, order, merge, (*ITEM, "_norm")).drop("_norm")
 
 
 def _hull(a: dict, b: dict) -> dict:

@@ -60,7 +60,8 @@ def in_slices(df: DataFrame, column: str, work: Callable[[pd.DataFrame], pd.Data
     return df.mapInArrow(run, schema)
 
 
-def _lists(values: pa.Array) -> list:
+def lists(values: pa.Array) -> list:
+    """A column as Python values, through NumPy where that says the same."""
     return values.to_numpy(zero_copy_only=False).tolist() if pa.types.is_primitive(values.type) and not values.null_count and not pa.types.is_temporal(values.type) else values.to_pylist()
 
 
@@ -79,7 +80,7 @@ def per_page(df: DataFrame, columns: tuple[str, ...], order: tuple[str, ...], wo
             listed = batch["rows"]
             flat = listed.flatten()
             names = [f.name for f in flat.type]
-            rows = [dict(zip(names, r)) for r in zip(*map(_lists, flat.flatten()))]
+            rows = [dict(zip(names, r)) for r in zip(*map(lists, flat.flatten()))]
             ends = np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False)).tolist()
             out, pages = [], []
             for page, start, end in zip(batch["page"].to_pylist(), [0, *ends], ends):

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
 from ..functions import semijson as J
 from . import boxes as B
-from .pages import kept
+from .pages import kept, lists
 
 #: ``reader(image, crop, kind)``: the page's image, the crop as a dict (x, y, w, h, scale), and "region" or "whole"; returns the reply's text.
 Reader = Callable[[bytes, dict, str], str]
@@ -37,23 +40,29 @@ def ask(pages: DataFrame, wanted: DataFrame, reader: Reader, image: str = "image
     names = ("kind", "no", "pw", "ph", "x", "y", "w", "h", "scale")
     listed = wanted.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("no", *[c for c in names if c != "no"]))).alias("crops"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "page long, kind string, no int, pw double, ph double, x double, y double, w double, h double, scale double, reply string, error string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    place = ("x", "y", "w", "h", "scale")
+
+    def one(data: bytes, crop: dict, kind: str) -> tuple[str | None, str | None]:
+        try:
+            reply = reader(data, crop, kind)
+            return (None, "PARSE_FAILED") if reply and reply.strip() and J.extract(reply) is None else (reply, None)
+        except Exception as e:  # any failure of an outside service is a row, never a lost page
+            return None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for page, data, crops in zip(b["page"], b["image"], b["crops"], strict=True):
-                for c in crops:
-                    reply = error = None
-                    try:
-                        reply = reader(data, {k: c[k] for k in ("x", "y", "w", "h", "scale")}, c["kind"])
-                        if reply and reply.strip() and J.extract(reply) is None:
-                            reply, error = None, "PARSE_FAILED"
-                    except Exception as e:  # any failure of an outside service is a row, never a lost page
-                        error = f"{type(e).__name__}: {e}"
-                    rows.append((page, *[c[k] for k in names], reply, error))
-            yield pd.DataFrame(rows, columns=["page", *names, "reply", "error"])
+            flat, at, images = b["crops"].flatten(), pc.list_parent_indices(b["crops"]), b["image"].to_pylist()
+            columns = dict(zip([f.name for f in flat.type], flat.flatten())) | {"page": b["page"].take(at)}
+            crops = zip(*[lists(columns[c]) for c in place])
+            said = [one(images[i], dict(zip(place, c)), kind) for i, c, kind in zip(at.to_pylist(), crops, lists(columns["kind"]))]
+            columns |= {"reply": [s[0] for s in said], "error": [s[1] for s in said]}
+            yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in names or f.name == "page" else pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     joined = pages.select("page", F.col(image).alias("image")).join(listed, "page")
-    return kept(joined.mapInPandas(run, "page long, kind string, no int, pw double, ph double, x double, y double, w double, h double, scale double, reply string, error string"))
+    return kept(joined.mapInArrow(run, schema))
 
 
 def read_items(answers: DataFrame) -> DataFrame:
@@ -62,8 +71,8 @@ def read_items(answers: DataFrame) -> DataFrame:
     An item without a place stands at its crop's corner; items without text are left out.
     """
     said = J.parse_replies(answers.where("reply IS NOT NULL").select("page", "kind", F.col("no").alias("crop"), "pw", "ph", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("w").alias("cw"), F.col("h").alias("ch"), F.col("reply").alias("body")))
-    raw = [F.get("box", i) for i in range(4)]
-    place = G.map_from_crop(G.normalise_1000(raw), F.col("cx"), F.col("cy"), F.col("cw"), F.col("ch"), F.col("pw"), F.col("ph"))
+    said = said.withColumn("_box", G.normalise_1000([F.get("box", i) for i in range(4)]))  # used eight times, made once
+    place = G.map_from_crop(F.col("_box"), F.col("cx"), F.col("cy"), F.col("cw"), F.col("ch"), F.col("pw"), F.col("ph"))
     items = said.select("page", (F.col("crop").cast("long") * 100_000 + F.col("item_no")).alias("no"), *[c.alias(n) for n, c in zip("xywh", place, strict=True)], "src", "dst")
     return B.dedupe_same_text(items, first=(F.col("no") >= (1 << 30) * 100_000).cast("int"))
 

@@ -130,6 +130,15 @@ def test_memory_moves_keys_and_not_texts(spark, tmp_path):
     assert kept >= set(range(7, 5000, 50)) and len(kept) < 200
 
 
+def test_folds_normalise_each_text_once(spark):
+    from folioflow.operators import boxes as B
+
+    rows = spark.createDataFrame([(1, 1, 0.0, 0.0, 9.0, 9.0, "Front  piece", "", 50.0), (1, 2, 1.0, 0.0, 9.0, 9.0, "FRONT piece", "x", 60.0)], "page long, no int, x double, y double, w double, h double, src string, dst string, conf double")
+    for df in (B.dedupe_same_text(rows), B.drop_reread(rows.withColumnRenamed("src", "text"))):
+        assert df._jdf.queryExecution().analyzed().toString().count("[‘’“”]") == 1
+        assert df.count() == 1
+
+
 @pytest.mark.parametrize("mode", ["smart", "whole"])
 def test_items_are_prepared_in_one_pass(spark, mode):
     from folioflow.operators import boxes as B
