@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
 import tempfile
@@ -52,12 +53,24 @@ def written(df: DataFrame, tag: str = "stage") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     _LEFT.add(path)
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    _local_folders(df.sparkSession, path)
+    df.write.mode("append").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._folioflow_path = path
     return out
 
 
+def _local_folders(spark: SparkSession, path: str) -> None:
+    """Make the folders of a write to a mounted folder, the table's and its committer's (``_temporary/0``, gone after the commit).
+
+    Otherwise Hadoop without its native library forks the driver for each of the three, to set permissions, and a
+    fork shares all memory of the driver until its program starts. Other stores need none of this.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        os.makedirs(f"{p.toUri().getPath()}/_temporary/0", exist_ok=True)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
