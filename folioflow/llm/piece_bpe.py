@@ -22,6 +22,10 @@ MARK = "▁"
 MOST, LONGEST = 450_000, 48
 #: Symbols for which a list is the faster agenda, and what stands there for a pair that is no piece.
 FEW, NEVER = 32, float("inf")
+#: New chunks from which agendas side by side are faster, and the rank of a pair that is no piece.
+MANY, LAST = 64, np.iinfo("i4").max
+#: Bytes of texts that are encoded at once: their chunks are Python strings.
+SLICE = 1 << 20
 #: Fixed values of the model file: field numbers, the number of the merge type, the kinds of pieces.
 PIECES, TRAINER, NORMALIZER, MODEL_TYPE, CHARSMAP, DUMMY_PREFIX, EXTRA_BLANKS = 1, 2, 3, 3, 2, 3, 4
 MERGES, NORMAL, UNKNOWN, CONTROL, BYTE = 2, 1, 2, 3, 6
@@ -53,6 +57,53 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Pairs:
+    """Which piece two adjacent pieces make, and its rank by score, for arrays of pairs: a hash table in arrays, at most half full."""
+
+    def __init__(self, number: dict[str, bytes], score: dict[str, float]):
+        ids = {text: int.from_bytes(i, "little") for text, i in number.items()}
+        ranks = dict(zip(ids, np.unique([score[text] for text in ids], return_inverse=True)[1].tolist()))
+        self.base = max(ids.values(), default=0) + 1
+        found = [(ids[a] * self.base + ids[b], ids[text], ranks[text]) for text in ids for k in range(1, len(text)) if (a := text[:k]) in ids and (b := text[k:]) in ids]
+        keys, made, rank = (np.array(x, dtype="i8") for x in zip(*found)) if found else np.empty((3, 0), "i8")
+        bits = max(8, (2 * len(keys)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.key = np.full(1 << bits, -1, "i8")
+        left, at = np.arange(len(keys)), self._home(keys)
+        while left.size:  # each takes the first free place from its home on; of several for one place, one
+            free = left[self.key[at[left]] < 0]
+            self.key[at[free]] = keys[free]
+            left = left[self.key[at[left]] != keys[left]]
+            at[left] = at[left] + 1 & self.mask
+        self.made, self.rank = np.full(1 << bits, -1, "i4"), np.full(1 << bits, LAST, "i4")
+        self.made[at], self.rank[at] = made, rank
+        characters = {ord(text): i for text, i in ids.items() if len(text) == 1}
+        #: Ids by code point, -1 for what is no piece; the last place stands for all that lie behind.
+        self.character = np.full(max(characters, default=0) + 2, -1, "i4")
+        self.character[list(characters)] = list(characters.values())
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view("u8") * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view("i8")
+
+    def places(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where the pairs stand in ``made`` and ``rank``; a free place says that a pair is no piece."""
+        keys = a * np.int64(self.base) + b
+        at = self._home(keys)
+        other = np.flatnonzero(self.key[at] != keys)
+        while other.size:
+            other = other[self.key[at[other]] >= 0]
+            at[other] = at[other] + 1 & self.mask
+            other = other[self.key[at[other]] != keys[other]]
+        return at
+
+    def ranks(self, symbol: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The ranks of the pairs that begin at ``at``; the last symbol of a row begins none."""
+        after = np.minimum(at + 1, len(row) - 1)
+        found = self.rank[self.places(symbol[at], symbol[after])]
+        found[(after == at) | (row[after] != row[at])] = LAST
+        return found
+
+
 class Agenda:
     """Ids of whole texts under one vocabulary, and texts of ids.
 
@@ -60,7 +111,7 @@ class Agenda:
     merge can ever reach, because no piece of several characters holds what stands on both sides: a blank after another
     character, a character outside ``joining``, a sign after a letter. So the agenda of each chunk pops its pairs in the order in
     which one agenda of the whole text would, and a chunk that recurs need not be merged again. Chunks are remembered in two
-    generations of about ``MOST``; those longer than ``LONGEST`` never.
+    generations of about ``MOST``; those longer than ``LONGEST`` never. The agendas of many new chunks run side by side.
     """
 
     def __init__(self, path: str):
@@ -91,6 +142,8 @@ class Agenda:
         self.prefix = bool(norm.get(DUMMY_PREFIX, 1))
         self.plain = not norm.get(CHARSMAP) and not norm.get(EXTRA_BLANKS, 1)
         self.chunks = self._cuts([p for p in self.number if len(p) > 1])
+        self.pairs = Pairs(self.number, self.score)
+        self.texts = pa.array(self.shown, pa.large_binary())
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -100,10 +153,11 @@ class Agenda:
         joining = {c for p in pieces for c in p} - {" "}
         letters = {c for c in joining if c.isalpha()}
         signs = joining - letters - {b for p in pieces for a, b in zip(p, p[1:]) if a in letters}
-        known, word, sign = ("".join(map(re.escape, sorted(x))) for x in (joining, letters, signs))
+        known, word, sign, other = ("".join(map(re.escape, sorted(x))) for x in (joining, letters, signs, joining - letters - signs))
         if any(" " in p.lstrip(" ") for p in pieces):
             return re.compile(f"[ {known}]+|[^ {known}]", re.S)
-        cut = f" *[{word}]++(?=[{sign}])|" if word and sign else ""
+        more = f"(?:[{other}][{known}]*+)?+" if other else ""  # letters end before a sign; before another character they do not
+        cut = f" *+[{word}]++{more}|" if word and sign else ""
         return re.compile(f"{cut} *[{known}]+| +|[^ {known}]", re.S)
 
     def normalised(self, text: str) -> str:
@@ -159,34 +213,87 @@ class Agenda:
                     heappush(agenda, (s, left, right, size + len(symbol[left])))
         return [s for s in symbol if s]
 
-    def _learn(self, chunk: str) -> bytes:
+    def side_by_side(self, chunks: list[str]) -> list[bytes | None]:
+        """The ids of each chunk as bytes, None for one with a character that is no piece.
+
+        All symbols stand in one array, a row a chunk. In each round every chunk takes the first of the best pairs off its agenda,
+        and those without a pair leave.
+        """
+        pairs = self.pairs
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
+        symbol = pairs.character[np.minimum(codes, len(pairs.character) - 1)]
+        row = np.repeat(np.arange(len(chunks), dtype="i4"), list(map(len, chunks)))
+        strange = np.zeros(len(chunks), bool)
+        strange[row[symbol < 0]] = True
+        kept = ~strange[row]
+        row, symbol = row[kept], symbol[kept]
+        rank = pairs.ranks(symbol, row, np.arange(len(row)))
+        rows, symbols = [row[:0]], [symbol[:0]]
+        while row.size:
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            best, size = np.minimum.reduceat(rank, first), np.diff(first, append=len(row))
+            going = best < LAST
+            live = np.repeat(going, size)
+            rows.append(row[~live])
+            symbols.append(symbol[~live])
+            row, symbol, rank = row[live], symbol[live], rank[live]
+            at = np.flatnonzero(rank == np.repeat(best[going], size[going]))
+            at = at[np.diff(row[at], prepend=-1) != 0]
+            symbol[at] = pairs.made[pairs.places(symbol[at], symbol[at + 1])]
+            kept = np.ones(len(row), bool)
+            kept[at + 1] = False
+            row, symbol, rank = row[kept], symbol[kept], rank[kept]
+            at -= np.arange(len(at))
+            at = np.concatenate([at[at > 0] - 1, at])
+            rank[at] = pairs.ranks(symbol, row, at)
+        row = np.concatenate(rows)
+        raw = np.concatenate(symbols)[np.argsort(row, kind="stable")].astype("<i4").tobytes()
+        ends = np.cumsum(4 * np.bincount(row, minlength=len(chunks))).tolist()
+        return [None if odd else raw[a:b] for odd, a, b in zip(strange.tolist(), [0, *ends], ends)]
+
+    def _alone(self, chunk: str) -> bytes:
         """The ids of a chunk, little-endian; symbols that are no piece become their bytes."""
-        found = self.older.get(chunk)
-        if found is None:
-            symbols = self.merged(chunk)
-            try:
-                found = b"".join(map(self.number.__getitem__, symbols))
-            except KeyError:
-                found = b"".join([self.number[s] if s in self.number else b"".join([self.byte[b] for b in s.encode()]) for s in symbols])
-        if len(chunk) <= LONGEST:
-            self.known[chunk] = found
+        symbols = self.merged(chunk)
+        try:
+            return b"".join(map(self.number.__getitem__, symbols))
+        except KeyError:
+            return b"".join([self.number[s] if s in self.number else b"".join([self.byte[b] for b in s.encode()]) for s in symbols])
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of chunks that are not in the younger memory."""
+        found = {c: f for c in chunks if (f := self.older.get(c)) is not None}
+        new = [c for c in chunks if c not in found]
+        short = [c for c in new if len(c) <= LONGEST]
+        if len(short) >= MANY:
+            found |= {c: f for c, f in zip(short, self.side_by_side(short), strict=True) if f is not None}
+        found |= {c: self._alone(c) for c in new if c not in found}
+        self.known |= {c: f for c, f in found.items() if len(c) <= LONGEST}
         return found
 
-    def encode(self, text: str) -> np.ndarray:
-        chunks = self.chunks.findall(self.normalised(text))
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         if len(self.known) > MOST:
             self.older, self.known = self.known, {}
-        found = list(map(self.known.get, chunks))
-        try:
-            raw = b"".join(found)
-        except TypeError:  # some are not known yet
-            raw = b"".join([self._learn(c) if f is None else f for c, f in zip(chunks, found, strict=True)])
-        return np.frombuffer(raw, dtype="<i4")
+        cut = [self.chunks.findall(self.normalised(t)) for t in texts]
+        found = [list(map(self.known.get, chunks)) for chunks in cut]
+        learnt = self._learn({c for chunks, ids in zip(cut, found, strict=True) for c, f in zip(chunks, ids, strict=True) if f is None})
+        raw = (b"".join([learnt[c] if f is None else f for c, f in zip(chunks, ids, strict=True)]) for chunks, ids in zip(cut, found, strict=True))
+        return [np.frombuffer(r, dtype="<i4") for r in raw]
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def decode_all(self, ids: list[np.ndarray]) -> list[str]:
+        """The text of each array of ids: bytes joined to characters, without the blank that encoding put before it."""
+        taken = self.texts.take(pa.array(np.concatenate(ids), pa.int32()))
+        ends = np.cumsum([0, *map(len, ids)])
+        _, places, data = taken.buffers()
+        places = np.frombuffer(places, "i8", len(taken) + 1)[ends].tolist() if len(taken) else [0] * len(ends)
+        raw = memoryview(data or b"")
+        return [str(raw[a + (self.prefix and a < b and raw[a] == 32) : b], "utf-8", "replace") for a, b in zip(places, places[1:])]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: bytes joined to characters, without the blank that encoding put before it."""
-        raw = b"".join(map(self.shown.__getitem__, ids))
-        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode(errors="replace")
+        return self.decode_all([np.array(ids, dtype="i4")])[0]
 
 
 _AGENDAS: dict[str, Agenda] = {}
@@ -217,19 +324,16 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = agenda(model)
-        for part in row_slices(batches, "text"):
+        for part in row_slices(batches, "text", SLICE):
             texts = part.column("text").to_pylist()
-            ids, decoded, agrees = [], [], []
-            for text, theirs in zip(texts, own.library.encode(texts, num_threads=1, return_type="numpy"), strict=True):
-                mine = own.encode(text)
-                same = np.array_equal(mine, theirs)
-                listed = theirs.tolist()
-                said, back = own.decode(listed), own.library.decode(listed) if listed else ""
-                ids.append(mine if same else theirs)
-                decoded.append(back)
-                agrees.append(same and said == back)
+            theirs = own.library.encode(texts, num_threads=1, return_type="numpy")
+            decoded = own.library.decode(theirs, num_threads=1)
+            mine = own.encode_all(texts)
+            same = [np.array_equal(m, t) for m, t in zip(mine, theirs, strict=True)]
+            ids = [m if s else t for m, t, s in zip(mine, theirs, same, strict=True)]
+            agrees = [s and said == back for s, said, back in zip(same, own.decode_all(theirs), decoded, strict=True)]
+            flat = pa.array(np.concatenate(ids), type=pa.int32())
             ends = np.cumsum([0, *map(len, ids)], dtype="i4")
-            flat = pa.array(np.concatenate(ids) if ids else np.empty(0, "i4"), type=pa.int32())
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], names=["row", *ADDED])
 
     return rows.mapInArrow(run, schema).select("row.*", *ADDED)

@@ -54,6 +54,56 @@ def test_list_and_heap_agendas_agree():
         assert own._few(chunk) == own._many(chunk)
 
 
+def words(rng, n, letters="theinganrolé,"):
+    return [" " * rng.randint(0, 2) + "".join(rng.choice(letters) for _ in range(rng.randint(1, 20))) for _ in range(n)]
+
+
+def test_agendas_side_by_side_are_the_agenda():
+    """Also with many equal scores, and with a character that stands in pieces but is none."""
+    own, rng = piece_bpe.Agenda(queries.piece_bpe()), random.Random(4)
+    chunks = words(rng, 5000) + [" ", "\n\n", "x", "😀", "a\nb", "an" * 24]
+    for score in (own.score, {p: round(s / 5000) for p, s in own.score.items()}):
+        own.score = score
+        own.pairs = piece_bpe.Pairs(own.number, score)
+        for chunk, ids in zip(chunks, own.side_by_side(chunks), strict=True):
+            assert ids == (None if set(chunk) - own.number.keys() else b"".join(own.number[p] for p in own._many(chunk))), chunk
+    del own.number["h"]
+    own.pairs = piece_bpe.Pairs(own.number, own.score)
+    assert [ids is None for ids in own.side_by_side(chunks)] == [bool(set(c) - own.number.keys()) for c in chunks]
+
+
+def test_chunks_end_where_they_did(library):
+    own, rng = piece_bpe.Agenda(queries.piece_bpe()), random.Random(5)
+    texts = ["".join(words(rng, 200, SIGNS)) for _ in range(40)] + ["", "\n", " ", "😀" * 90]
+    for text, ids, theirs in zip(texts, own.encode_all(texts), library.encode(texts), strict=True):
+        assert ids.tolist() == theirs, text
+    every = own.encode_all(texts)
+    assert own.decode_all(every) == [library.decode(i.tolist()) if len(i) else "" for i in every]
+
+
+def test_letters_and_signs_that_no_vocabulary_here_has():
+    """A character that may follow a letter but is none keeps what stands behind it in the chunk."""
+    cuts = piece_bpe.Agenda._cuts(["ab", "b'", "'c", ".c", " a"])
+    assert cuts.findall(" ab'c.a ab.c  c.. é") == [" ab'c.a", " ab", ".c", "  c", "..", " ", "é"]
+
+
+def test_new_words_cost_less_than_agendas_one_by_one():
+    """The check's prose has one new word in ten, each of which had an agenda of its own."""
+    rng = random.Random(6)
+    text = "".join(sorted({" " + w.strip() for w in words(rng, 20_000, "theinganrol")}))
+    shares = []
+    for _ in range(3):
+        own = piece_bpe.Agenda(queries.piece_bpe())
+        chunks = own.chunks.findall(text)
+        start = time.process_time()
+        own.encode(text)
+        whole = time.process_time() - start
+        for c in chunks:
+            own._few(c)
+        shares.append(whole / (time.process_time() - start - whole))
+    assert min(shares) < 0.6
+
+
 def test_memory_of_chunks_is_bounded(monkeypatch, library):
     monkeypatch.setattr(piece_bpe, "MOST", 50)
     own, rng = piece_bpe.Agenda(queries.piece_bpe()), random.Random(3)
