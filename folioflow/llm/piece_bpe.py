@@ -22,8 +22,8 @@ MARK = "▁"
 MOST, LONGEST = 450_000, 48
 #: Symbols for which a list is the faster agenda, and what stands there for a pair that is no piece.
 FEW, NEVER = 32, float("inf")
-#: New chunks from which agendas side by side are faster, and the rank of a pair that is no piece.
-MANY, LAST = 64, np.iinfo("i4").max
+#: New chunks from which agendas side by side are faster, the most at once, and the rank of a pair that is no piece.
+MANY, AT_ONCE, LAST = 64, 20_000, np.iinfo("i4").max
 #: Bytes of texts that are encoded at once: their chunks are Python strings.
 SLICE = 1 << 20
 #: Fixed values of the model file: field numbers, the number of the merge type, the kinds of pieces.
@@ -260,24 +260,23 @@ class Agenda:
             return b"".join([self.number[s] if s in self.number else b"".join([self.byte[b] for b in s.encode()]) for s in symbols])
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of chunks that are not in the younger memory."""
-        found = {c: f for c in chunks if (f := self.older.get(c)) is not None}
-        new = [c for c in chunks if c not in found]
-        short = [c for c in new if len(c) <= LONGEST]
-        if len(short) >= MANY:
-            found |= {c: f for c, f in zip(short, self.side_by_side(short), strict=True) if f is not None}
-        found |= {c: self._alone(c) for c in new if c not in found}
-        self.known |= {c: f for c, f in found.items() if len(c) <= LONGEST}
-        return found
+        """Put chunks into the younger memory; the ids of those too long for it are returned."""
+        known = self.known
+        known |= {c: f for c in chunks if (f := self.older.get(c)) is not None}
+        new = [c for c in chunks if len(c) <= LONGEST and c not in known]
+        for some in (new[i : i + AT_ONCE] for i in range(0, len(new) if len(new) >= MANY else 0, AT_ONCE)):
+            known |= {c: f for c, f in zip(some, self.side_by_side(some), strict=True) if f is not None}
+        known |= {c: self._alone(c) for c in new if c not in known}
+        return {c: self._alone(c) for c in chunks if len(c) > LONGEST}
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.known) > MOST:
             self.older, self.known = self.known, {}
-        cut = [self.chunks.findall(self.normalised(t)) for t in texts]
-        found = [list(map(self.known.get, chunks)) for chunks in cut]
-        learnt = self._learn({c for chunks, ids in zip(cut, found, strict=True) for c, f in zip(chunks, ids, strict=True) if f is None})
-        raw = (b"".join([learnt[c] if f is None else f for c, f in zip(chunks, ids, strict=True)]) for chunks, ids in zip(cut, found, strict=True))
+        known, cut = self.known.get, [self.chunks.findall(self.normalised(t)) for t in texts]
+        found = [list(map(known, chunks)) for chunks in cut]
+        long = self._learn({c for chunks, ids in zip(cut, found, strict=True) for c, f in zip(chunks, ids, strict=True) if f is None})
+        raw = (b"".join([f or known(c) or long[c] for c, f in zip(chunks, ids, strict=True)]) for chunks, ids in zip(cut, found, strict=True))
         return [np.frombuffer(r, dtype="<i4") for r in raw]
 
     def encode(self, text: str) -> np.ndarray:
