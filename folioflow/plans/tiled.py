@@ -36,7 +36,7 @@ px AS (SELECT DISTINCT page, root, x + i AS x, y + j AS y FROM (SELECT page, roo
 SELECT page, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM px GROUP BY page, root""")
 def tile_components(spark, sf_dir):
     """Components of pages of 1000 x 760 pixels, labelled tile by tile and joined over the tiles' borders."""
-    return P.components(kept(P.drawn_tiles(_marks(spark, sf_dir))), level=P.PAPER)
+    return P.components(P.drawn_tiles(_marks(spark, sf_dir)), level=P.PAPER)
 
 
 @query(f"""WITH {_MARKS}, b AS (SELECT page, no, greatest(x - 1, 0) AS x, greatest(y - 1, 0) AS y, least(x + w + 1, {WIDTH}) AS x1, least(y + h + 1, {HEIGHT}) AS y1 FROM marks),

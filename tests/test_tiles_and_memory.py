@@ -150,3 +150,31 @@ def test_memory_of_two_writers_and_a_dead_one(spark, tmp_path):
     assert memory.publish(answers("a", "2")) == 3 and memory.publish(answers("b", "1")) == 4
     assert sorted((r.key, r.dst) for r in memory.read().collect()) == [("a", "2"), ("b", "1")]
     assert memory.publish(spark.createDataFrame([], M.SCHEMA)) is None
+
+
+def test_components_read_tiles_once(spark, planes):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    tiles = P.plane_tiles(pages(spark, planes), 16).localCheckpoint()
+    got = P.components(tiles.mapInArrow(counted, P.TILES), tile=16).collect()
+    want = [(i, c["x"], c["y"], c["w"], c["h"], c["area"]) for i, p in enumerate(planes) for c in K.components(p < 200)]
+    assert seen.value == tiles.count() and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_boxes_of_a_tile_that_come_in_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(P, "SOME", 2)
+    rng = random.Random(7)
+    boxes = [(p, rng.randrange(-9, 80), rng.randrange(-9, 60), rng.randrange(1, 70), rng.randrange(1, 40), rng.randrange(255)) for p in (None, 1, 2) for _ in range(60)]
+    want = {}
+    for p, x, y, w, h, shade in boxes:
+        for i in range(y, y + h):
+            for j in range(x, x + w):
+                tile = want.setdefault((p, i // 32, j // 32), np.full((32, 32), 255, np.uint8))
+                tile[i % 32, j % 32] = min(tile[i % 32, j % 32], shade)
+    drawn = P.drawn_tiles(spark.createDataFrame(boxes, "page long, x int, y int, w int, h int, shade int"), 32).collect()
+    assert len(drawn) == len(want) and {(r.page, r.ty, r.tx): bytes(r.gray) for r in drawn} == {k: t.tobytes() for k, t in want.items()}
