@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from pyspark.sql.types import StructType
 from ..functions.geometry import page_size
 from ..functions.text import clean_pdf_text
 from ..operators.ocr import glyph_box
-from ..operators.pages import kept, tasks
+from ..operators.pages import kept, lists, tasks
 from .pdf_syntax import File
 
 FILES = "doc string, volume long, path string, pages long, bytes long, sha256 string"
@@ -43,7 +44,7 @@ class Volume:
         self.files, self.doc, self.volume = files, doc, volume
         self.path = f"{folder}/{file_name(doc, volume)}"
         self.waiting = f"{folder}/_waiting-{uuid.uuid4().hex}"
-        self.out, self.at, self.sha, self.where, self.code, self.pages = files.open_output_stream(self.waiting), 0, hashlib.sha256(), {}, {}, 0
+        self.out, self.at, self.sha, self.where, self.code, self.digits, self.pages = files.open_output_stream(self.waiting), 0, hashlib.sha256(), {}, {}, {}, 0
         self._put(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n")
 
     def _put(self, raw: bytes) -> None:
@@ -53,10 +54,8 @@ class Volume:
 
     def _object(self, number: int, head: str, stream: bytes | None = None) -> None:
         self.where[number] = self.at
-        self._put(f"{number} 0 obj\n{head}\n".encode())
-        if stream is not None:
-            self._put(b"stream\n" + stream + b"\nendstream\n")
-        self._put(b"endobj\n")
+        body = b"" if stream is None else b"stream\n" + stream + b"\nendstream\n"
+        self._put(b"".join((f"{number} 0 obj\n{head}\n".encode(), body, b"endobj\n")))
 
     def _codes(self, text: str) -> str:
         for c in text:
@@ -64,7 +63,8 @@ class Volume:
                 if len(self.code) == CODES:
                     raise ValueError(f"{self.path} has more than {CODES} different characters")
                 self.code[c] = len(self.code) + 1
-        return "".join(f"{self.code[c]:04X}" for c in text)
+                self.digits[c] = f"{len(self.code):04X}"
+        return "".join([self.digits[c] for c in text])
 
     def page(self, w: float, h: float, image: tuple[int, int, bytes] | None, items: list[dict]) -> None:
         """A page of ``w`` x ``h`` points: an image over all of it and its text, unseen, above that."""
@@ -75,7 +75,7 @@ class Volume:
         if texts:
             body.append("BT 3 Tr")
             for i in texts:
-                natural = sum(map(_width, i["text"])) / 1000 * i["size"]
+                natural = (500 * len(i["text"]) if i["text"].isascii() else sum(map(_width, i["text"]))) / 1000 * i["size"]
                 wide = 100.0 if i["width"] is None or not natural else 100 * i["width"] / natural
                 body.append(f"/F {_n(i['size'])} Tf {_n(wide)} Tz 1 0 0 1 {_n(i['x'])} {_n(h - i['y'])} Tm <{self._codes(i['text'])}> Tj")
             body.append("ET")
@@ -167,7 +167,7 @@ def write_pdfs(pages: DataFrame, folder: str, scale: float | None = None, most:
         where = path = out = None
         done = []
         for b in batches:
-            for r in b.to_pylist():
+            for r in _rows(b):
                 if where is None:
                     where, path = fs.FileSystem.from_uri(folder)
                     where.create_dir(path, recursive=True)
@@ -203,11 +203,11 @@ def read_pdfs(spark: SparkSession, path: str, files: DataFrame | None = None) ->
     schema = _arrow(PAGES)
 
     def layer(file: File, page: dict) -> tuple:
-        return *file.frame(page), [dict(zip(("transform", "width", "height", "str"), i, strict=True)) for i in file.text(page)]
+        return *file.frame(page), list(file.text(page))
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for name, raw in _files(batches, path) for row in _guarded(name, raw, layer, 4))
-        yield from _held(rows, schema, lambda row: 1 + len(row[5] or ()), 5_000)
+        yield from _layers(rows, schema, 5_000)
 
     return _opened(spark, path, files).mapInArrow(pages, PAGES)
 
@@ -242,6 +242,46 @@ def _files(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[str
             yield name.as_py(), raw.as_py()
 
 
+def _rows(b: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of ``write_pdfs``' pages, whose items are taken out of their columns at once."""
+    flat, starts = b["items"].flatten(), np.cumsum(b["items"].value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    names = [f.name for f in flat.type]
+    items = [None if i is None else dict(zip(names, i)) for i in zip(*(flat.field(k).to_pylist() for k in range(len(names))), strict=True)]
+    for k, known in enumerate(flat.is_valid().to_pylist()) if flat.null_count else ():
+        items[k] = items[k] if known else None
+    rest = [c for c in b.schema.names if c != "items"]
+    for start, end, *row in zip([0, *starts[:-1]], starts, *(lists(b[c]) for c in rest), strict=True):
+        yield dict(zip(rest, row)) | {"items": items[start:end]}
+
+
+def _layers(rows: Iterator[tuple], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PAGES`` in batches of about ``most`` items, as columns; a page's items are tuples."""
+    kind = schema.field("items").type
+    held: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        path, no, w, h, view, items, error = zip(*held, strict=True)
+        flat = [i for of in items if of is not None for i in of]
+        transform, *others = zip(*flat, strict=True) if flat else [()] * 4
+        turns = pa.array([v for t in transform for v in t], pa.float64())
+        fields = [pa.ListArray.from_arrays(pa.array(range(0, 6 * len(flat) + 1, 6), pa.int32()), turns, type=kind.value_type[0].type)]
+        fields += [pa.array(c, f.type) for c, f in zip(others, list(kind.value_type)[1:], strict=True)]
+        ends = np.cumsum([0, *(len(i or ()) for i in items)])
+        mask = pa.array([i is None for i in items])
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind.value_type)), type=kind, mask=mask)
+        return pa.RecordBatch.from_arrays([listed if f.name == "items" else pa.array(c, f.type) for f, c in zip(schema, (path, no, w, h, view, items, error), strict=True)], schema=schema)
+
+    total = 0
+    for row in rows:
+        held.append(row)
+        total += 1 + len(row[5] or ())
+        if total >= most:
+            yield batch()
+            held, total = [], 0
+    if held:
+        yield batch()
+
+
 def _held(rows: Iterator[tuple], schema: pa.Schema, size, most: int) -> Iterator[pa.RecordBatch]:
     """Batches of rows of together about ``most`` by ``size``."""
     held, total = [], 0

@@ -1,6 +1,7 @@
 """PDF files: what is printed is read back, and files of other makers are understood or said to be broken."""
 
 import os
+import re
 import zlib
 
 import pytest
@@ -158,3 +159,48 @@ def test_nothing_and_no_size(spark, tmp_path):
     with pytest.raises(Exception, match="has no size"):
         P.write_pdfs(spark.createDataFrame([("x", 1, None, None, None, None, None, None)], SHAPE), f"file://{tmp_path}/no")
     assert Font(File(made(one_page(""))), {}).width == 500
+
+
+def test_plain_pages_are_read_in_few_steps(spark, tmp_path, monkeypatch):
+    from folioflow.sources import pdf_syntax as X
+
+    items = [{"x": 10.0 * i, "y": 30.0 + 12 * i, "size": 8.0 + i, "width": None if i % 2 else 31.7, "text": t} for i, t in enumerate(("item 3", "字 wide", "𝄞", "plain"))]
+    where, folder = P.fs.FileSystem.from_uri(str(tmp_path))
+    book = P.Volume(where, folder, "book", 0)
+    for k in range(64):
+        book.page(600.0 + k, 500.0, None, items)
+    raw, steps, step = open(book.close()["path"], "rb").read(), [0], X.Reader.next
+
+    def counted(self, depth=0):
+        steps[0] += 1
+        return step(self, depth)
+
+    monkeypatch.setattr(X.Reader, "next", counted)
+    read = lambda: [(f.frame(p), list(f.text(p))) for f in [X.File(raw)] for p in f.pages()]
+    found = read()
+    assert steps[0] < 64 * 20
+    assert [[i[3] for i in texts] for _, texts in found] == [[i["text"] for i in items]] * 64
+    never = re.compile(rb"(?!)")
+    monkeypatch.setattr(X, "SHOWN", never)
+    monkeypatch.setattr(X, "PAIRS", never)
+    monkeypatch.setattr(X, "ENTRY", never)
+    assert read() == found  # token by token
+
+
+@pytest.mark.parametrize("body", [
+    b"BT /F 9 Tf 1 0 0 1 5 6 Tm <0001> Tj <0002>Tj ET", b"q 2 0 0 2 1 1 cm BT /F 9 Tf 50 Tz 0 1 -1 0 5 6 Tm <00010002> Tj <0001> Tj ET Q BT <0002> Tj ET",
+    b"BT 3 Tw 1 Tc 2 Ts /F 9 Tf .5 0 0 1 5. 6 Tm <00010002> Tj T* <0001> Tj ET", b"BT /G 9 Tf 1 0 0 1 5 6 Tm <0001> Tj /F -4 Tf 1 0 0 1 +5 -6 Tm <00010009> Tj(x)' ET",
+    b"BT 1 /F 9 Tf 1 0 0 1 5 6 Tm <0001> Tj % /F 9 Tf 1 0 0 1 5 6 Tm <0001> Tj\n/F 9 Tf 1 0 0 1 7 6 Tm <0001>Tjx /F 9 Tf 1 0 0 1 8 6 Tm <000> Tj ET",
+])
+def test_plain_text_is_as_token_by_token(tmp_path, monkeypatch, body):
+    from folioflow.sources import pdf_syntax as X
+
+    where, folder = P.fs.FileSystem.from_uri(str(tmp_path))
+    book = P.Volume(where, folder, "book", 0)
+    book.page(600.0, 500.0, None, [{"x": 1.0, "y": 2.0, "size": 3.0, "width": None, "text": "a字"}])
+    file = X.File(open(book.close()["path"], "rb").read())
+    resources = file.get(next(file.pages())["Resources"])
+    read = lambda: list(file._shown(body, resources, [1.0, 0.0, 0.0, 1.0, 0.0, 0.0], 0))
+    found = read()
+    monkeypatch.setattr(X, "SHOWN", re.compile(rb"(?!)"))
+    assert found == read() and found
