@@ -53,6 +53,36 @@ def test_sweep_equals_the_loop():
     assert K.inpaint_all([], []) == []
 
 
+def test_gray_images_are_swept_on_one_channel(monkeypatch):
+    rng = np.random.default_rng(9)
+    cases = []
+    for h, w, share in ((1, 1, 1), (1, 9, 0.5), (7, 1, 0.9), (2, 2, 1), (12, 17, 0.3), (9, 9, 1), (14, 11, 0.7), (5, 30, 0), (16, 16, 0.95)):
+        cases.append((np.repeat(rng.integers(0, 256, (h, w, 1)).astype(np.uint8), 3, axis=2), rng.random((h, w)) < share))
+    cases.append((np.repeat(np.where(np.arange(16) < 8, 0, 250)[None, :, None], 14, axis=0).repeat(3, axis=2).astype(np.uint8), np.pad(np.ones((10, 12), dtype=bool), 2)))
+    with monkeypatch.context() as only:
+        only.setattr(K, "_swept", lambda images, *rest: [] if not images else pytest.fail("gray images in colours"))
+        for most in (0, 5, 15, 16, 17, 60, 61, 600):
+            for (rgb, mask), got in zip(cases, K.inpaint_all([c[0] for c in cases], [c[1] for c in cases], most=most), strict=True):
+                assert (got == swept(rgb, mask, most=most)).all()
+    colour = (rng.integers(0, 256, (8, 9, 3)).astype(np.uint8), rng.random((8, 9)) < 0.6)
+    mixed = [cases[4], colour, cases[6]]
+    for (rgb, mask), got in zip(mixed, K.inpaint_all([c[0] for c in mixed], [c[1] for c in mixed]), strict=True):
+        assert (got == swept(rgb, mask)).all()
+
+
+def test_holes_are_what_no_way_leads_into():
+    rng = np.random.default_rng(2)
+    for h, w, share in ((1, 5, 0.5), (9, 1, 0.5), (30, 40, 0.5), (25, 25, 0.7), (6, 6, 0), (6, 6, 1)):
+        mask = rng.random((h, w)) < share
+        way = {(y, x) for y in range(h) for x in range(w) if not mask[y, x] and (y in (0, h - 1) or x in (0, w - 1))}
+        new = way
+        while new:
+            new = {(v, u) for y, x in new for v, u in ((y, x - 1), (y, x + 1), (y - 1, x), (y + 1, x)) if 0 <= v < h and 0 <= u < w and not mask[v, u]} - way
+            way = way | new
+        want = np.array([[(y, x) not in way for x in range(w)] for y in range(h)])
+        assert (K.fill_holes(mask) == want).all()
+
+
 def pictures():
     rng = np.random.default_rng(7)
     y, x = np.mgrid[0:83, 0:131]
