@@ -7,6 +7,7 @@ import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import quote
 
 import numpy as np
@@ -31,8 +32,11 @@ IMAGES = "path string, page_no int, name string, width int, height int, rgb bina
 HEAD, EACH = 5, 3
 #: Codes of a font and entries of one block of a character map.
 CODES, BLOCK = 65_535, 100
+#: Characters and number of the texts whose codes a file on its way holds.
+SHORT, TEXTS = 64, 4096
 
 
+@lru_cache(1 << 16)
 def _n(v: float) -> str:
     return str(int(v)) if v == int(v) else f"{v:.12f}".rstrip("0")
 
@@ -44,7 +48,7 @@ class Volume:
         self.files, self.doc, self.volume = files, doc, volume
         self.path = f"{folder}/{file_name(doc, volume)}"
         self.waiting = f"{folder}/_waiting-{uuid.uuid4().hex}"
-        self.out, self.at, self.sha, self.where, self.code, self.digits, self.pages = files.open_output_stream(self.waiting), 0, hashlib.sha256(), {}, {}, {}, 0
+        self.out, self.at, self.sha, self.where, self.code, self.digits, self.texts, self.pages = files.open_output_stream(self.waiting), 0, hashlib.sha256(), {}, {}, {}, {}, 0
         self._put(b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n")
 
     def _put(self, raw: bytes) -> None:
@@ -66,6 +70,15 @@ class Volume:
                 self.digits[c] = f"{len(self.code):04X}"
         return "".join([self.digits[c] for c in text])
 
+    def _said(self, text: str) -> tuple[float, str]:
+        """Advance of a text at size 1 and its codes; those of short texts, which pages repeat, are held."""
+        found = self.texts.get(text)
+        if found is None:
+            found = (500 * len(text) if text.isascii() else sum(map(_width, text))) / 1000, self._codes(text)
+            if len(text) <= SHORT and len(self.texts) < TEXTS:
+                self.texts[text] = found
+        return found
+
     def page(self, w: float, h: float, image: tuple[int, int, bytes] | None, items: list[dict]) -> None:
         """A page of ``w`` x ``h`` points: an image over all of it and its text, unseen, above that."""
         number, body = HEAD + 1 + EACH * self.pages, []
@@ -75,9 +88,10 @@ class Volume:
         if texts:
             body.append("BT 3 Tr")
             for i in texts:
-                natural = (500 * len(i["text"]) if i["text"].isascii() else sum(map(_width, i["text"]))) / 1000 * i["size"]
-                wide = 100.0 if i["width"] is None or not natural else 100 * i["width"] / natural
-                body.append(f"/F {_n(i['size'])} Tf {_n(wide)} Tz 1 0 0 1 {_n(i['x'])} {_n(h - i['y'])} Tm <{self._codes(i['text'])}> Tj")
+                size, width, (natural, codes) = i["size"], i["width"], self._said(i["text"])
+                natural *= size
+                wide = 100.0 if width is None or not natural else 100 * width / natural
+                body.append(f"/F {_n(size)} Tf {_n(wide)} Tz 1 0 0 1 {_n(i['x'])} {_n(h - i['y'])} Tm <{codes}> Tj")
             body.append("ET")
         packed = zlib.compress("\n".join(body).encode())
         picture = f"/XObject << /I {number + 2} 0 R >> " if image is not None else ""
@@ -246,9 +260,9 @@ def _rows(b: pa.RecordBatch) -> Iterator[dict]:
     """Rows of ``write_pdfs``' pages, whose items are taken out of their columns at once."""
     flat, starts = b["items"].flatten(), np.cumsum(b["items"].value_lengths().to_numpy(zero_copy_only=False)).tolist()
     names = [f.name for f in flat.type]
-    items = [None if i is None else dict(zip(names, i)) for i in zip(*(flat.field(k).to_pylist() for k in range(len(names))), strict=True)]
-    for k, known in enumerate(flat.is_valid().to_pylist()) if flat.null_count else ():
-        items[k] = items[k] if known else None
+    items = [dict(zip(names, i)) for i in zip(*(lists(flat.field(k)) for k in range(len(names))), strict=True)]
+    if flat.null_count:
+        items = [i if known else None for i, known in zip(items, flat.is_valid().to_pylist(), strict=True)]
     rest = [c for c in b.schema.names if c != "items"]
     for start, end, *row in zip([0, *starts[:-1]], starts, *(lists(b[c]) for c in rest), strict=True):
         yield dict(zip(rest, row)) | {"items": items[start:end]}

@@ -204,3 +204,15 @@ def test_plain_text_is_as_token_by_token(tmp_path, monkeypatch, body):
     found = read()
     monkeypatch.setattr(X, "SHOWN", re.compile(rb"(?!)"))
     assert found == read() and found
+
+
+def test_repeated_texts_are_coded_once(tmp_path, monkeypatch):
+    where, folder = P.fs.FileSystem.from_uri(str(tmp_path))
+    coded, code = [], P.Volume._codes
+    monkeypatch.setattr(P.Volume, "_codes", lambda self, text: (coded.append(text), code(self, text))[1])
+    book, texts = P.Volume(where, folder, "book", 0), ["item 1", "字", "x" * 500, "item 1"]
+    for _ in range(5):
+        book.page(100.0, 100.0, None, [{"x": 1.0, "y": 2.0, "size": 3.0, "width": None, "text": t} for t in texts])
+    file = File(open(book.close()["path"], "rb").read())
+    assert [[t for *_, t in file.text(p)] for p in file.pages()] == [texts] * 5
+    assert coded.count("item 1") == 1 and coded.count("字") == 1
